@@ -111,6 +111,11 @@ CODES, CODES_LOWER = _codes(False), _codes(True)
 _P = 0x5851F42D4C957F2D
 _P_INV = pow(_P, -1, 1 << 64)
 
+#: Terms: runs of ASCII letters and digits and of non-ASCII bytes, so that marks around a word don't matter.
+TERM = np.zeros(256, bool)
+TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+TERM_CODES = np.where(TERM, CODES_LOWER, 0).astype(np.uint64)
+
 
 @functools.lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:

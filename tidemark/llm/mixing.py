@@ -46,11 +46,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return final.select("source", "source_size", F.least(cap, F.coalesce(F.col("at_level") * F.col("weight"), cap)).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, seed: str = "mix-1") -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, seed: str = "mix-1", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every row, and the columns named in ``carry``."""
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     sized = written(
-        docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key")).withColumn("range", F.substring("key", 1, RANGE_DIGITS)),
+        docs.select(*carry, "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key")).withColumn("range", F.substring("key", 1, RANGE_DIGITS)),
         "mix-sized",
     )
     sums = sized.groupBy("source", "range").agg(F.sum("size").alias("in_range"))
@@ -66,7 +66,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
     left = budget - epochs * F.col("source_size") - prefix
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))
-    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return rows.select(*carry, "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
+    """The mix as rows of ``docs``: each as often as the mix takes it.
+
+    Documents stay whole, so a source may pass its budget by less than one document. Rows of size 0 stay as they are.
+    Rows that are equal in doc_id, source and text are alike and take what they take together.
+    """
+    row = F.md5(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("doc_id", "source", "text"))))
+    taken = mix(docs.withColumn("_row", row), weights, share, most, carry=("_row",))
+    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.ceil(F.col("taken") / F.col("size")))
+    often = taken.groupBy("_row").agg(F.sum(copies).cast("int").alias("_copies")).where("_copies > 0")
+    kept = docs.withColumn("_row", row).dropDuplicates(["_row"]).join(often, "_row")
+    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_mixture(spark, sf_dir: str) -> DataFrame:

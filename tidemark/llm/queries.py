@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import attribution, line_rules, mixing, pages, pii, quality_model, tokenfile, toxicity
+from . import attribution, decontamination, jaccard, line_rules, mixing, pages, pii, quality_model, tokenfile, toxicity
 
 QUERIES = {
     "op1_personal_data": pii.op1_personal_data,
     "op2_main_text": pages.op2_main_text,
+    "op3_decontamination": decontamination.op3_decontamination,
     "op4_quality": quality_model.op4_quality,
     "op5_line_rules": line_rules.op5_line_rules,
     "op6_mixture": mixing.op6_mixture,
+    "op7_jaccard_join": jaccard.op7_jaccard_join,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_token_files": tokenfile.op9_token_files,
     "op10_section_tokens": attribution.op10_section_tokens,

@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import CODES_LOWER, Words, table, texts
+from .common import TERM, TERM_CODES, Words, table, texts
 from .samples import contract, labelled
 
 BITS, RANK, MIN_DOCS, MIN_Z = 26, 4, 3, 3.5
@@ -28,15 +29,11 @@ BITS, RANK, MIN_DOCS, MIN_Z = 26, 4, 3, 3.5
 PER_CLASS = 4000
 PARTS, HELD, THRESHOLD = 3, 1, 0.7
 
-TERM = np.zeros(256, bool)
-TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-CODES = np.where(TERM, CODES_LOWER, 0).astype(np.uint64)
-
 
 def terms(data: np.ndarray, offs: np.ndarray, names: np.ndarray | None = None, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, place) pairs of a piece, in order; with ``names``, sorted places, only those, by their number."""
     words = Words(data, offs, TERM)
-    place = (words.hashes(codes=CODES) >> np.uint64(64 - BITS)).astype(np.int64)
+    place = (words.hashes(codes=TERM_CODES) >> np.uint64(64 - BITS)).astype(np.int64)
     row = words.doc()
     if names is not None:
         keep = np.flatnonzero(mask[place & 0xFFFF])
@@ -133,18 +130,28 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
     return fit([np.frombuffer(r.places, "<i4").astype(np.int64) for r in rows], np.array([r.y for r in rows], float))
 
 
-def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
-    """doc_id, score. The model, no larger than the sample it was fitted on, is broadcast."""
+def with_score(docs: DataFrame, model: FactorizationMachine, name: str = "score") -> DataFrame:
+    """``docs`` with a column of scores. The model, no larger than the sample it was fitted on, is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast((model, low_mask(model.names)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, mask = shared.value
         for b in batches:
-            for at, n, data, offs in texts(b):
-                z = m.logits(*terms(data, offs, m.names, mask), n)
-                yield pa.RecordBatch.from_pydict({"doc_id": b.column(0).slice(at, n), "score": pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())})
+            z = [m.logits(*terms(data, offs, m.names, mask), n) for _, n, data, offs in texts(b)]
+            z = np.concatenate([*z, np.zeros(0)])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())], [*b.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
+def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
+    """doc_id, score."""
+    return with_score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).drop("text")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+def accepted(docs: DataFrame, model: FactorizationMachine, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold."""
+    return with_score(docs, model, "_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -1,0 +1,24 @@
+"""Connected components by Spark joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def components(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+    """node, label: the smallest node of its component. pairs: a, b. Labels spread to neighbours until none changes; each round is checkpointed."""
+    if pairs.sparkSession.sparkContext.getCheckpointDir() is None:
+        import tempfile
+
+        at = pairs.sparkSession.conf.get("spark.checkpoint.dir", None)
+        pairs.sparkSession.sparkContext.setCheckpointDir(at or tempfile.mkdtemp(prefix="tidemark-"))
+    both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct().checkpoint()
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")).checkpoint()
+    for _ in range(rounds):
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        new = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved")).checkpoint()
+        labels = new.drop("moved")
+        if not new.where("moved").limit(1).count():
+            return labels
+    raise RuntimeError("components did not settle")

@@ -38,16 +38,22 @@ NEVER_NAMES = re.compile(
 )
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>?", re.S)
+#: Elements below this depth are taken as part of the one there, as browsers do: bounds paths and walks up.
+DEPTH = 512
+# Possessive: a tag that doesn't end is given up after one pass.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>?", re.S)
+_STRAY = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+_BEGINS = re.compile(r"</?[a-zA-Z]|<[!?]")
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _DIGITS = re.compile(r"[0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "path", "never", "parent", "chars", "link", "blocks", "first")
+    __slots__ = ("tag", "path", "never", "parent", "chars", "link", "blocks", "first", "depth")
 
     def __init__(self, tag: str, path: str, never: bool, parent: Node | None, first: int):
         self.tag, self.path, self.never, self.parent, self.first = tag, path, never, parent, first
+        self.depth = parent.depth + 1 if parent else 0
         self.chars = self.link = self.blocks = 0
 
 
@@ -67,7 +73,7 @@ def _open(tag: str, attrs: str, parent: Node, first: int) -> Node:
 def parse(page: str) -> tuple[list[tuple[str, Node, bool]], list[Node]]:
     """Pieces of text with the node each is in and whether a block begins before it; and the containers."""
     root = Node("", "", False, None, 0)
-    at, node, pieces, containers, fresh, links = 0, root, [], [], True, 0
+    at, node, pieces, containers, fresh, links, deeper = 0, root, [], [], True, 0, 0
 
     def text(s: str) -> None:
         nonlocal fresh
@@ -80,8 +86,13 @@ def parse(page: str) -> tuple[list[tuple[str, Node, bool]], list[Node]]:
                 node.link += n if links else 0
                 fresh = False
 
-    while m := _TAG.search(page, at):
-        text(page[at : m.start()])
+    while b := _BEGINS.search(page, at):
+        # A tag with a stray quote ends at its first ">"; one that is cut off by the end of the page is no text.
+        m = _TAG.match(page, b.start()) or _STRAY.match(page, b.start())
+        text(page[at : b.start()])
+        if not m:
+            at = len(page)
+            break
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
@@ -89,6 +100,9 @@ def parse(page: str) -> tuple[list[tuple[str, Node, bool]], list[Node]]:
         if tag not in INLINE:
             fresh = True
         if m[1]:
+            if deeper and tag not in VOID:
+                deeper -= 1
+                continue
             up = node
             while up is not root and up.tag != tag:
                 if up.tag in ("td", "th", "table", "body") and tag in INLINE:
@@ -117,19 +131,16 @@ def parse(page: str) -> tuple[list[tuple[str, Node, bool]], list[Node]]:
             end = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
+        if node.depth >= DEPTH:
+            deeper += 1
+            continue
         node = _open(tag, m[3], node, len(pieces))
         links += tag == "a"
         if tag == "p":
             node.blocks += 1
         if tag in CONTAINERS and not node.never:
             containers.append(node)
-    if "<" in page[at:]:  # a tag cut off at the end of the page is no text
-        rest = page[at:]
-        cut = re.search(r"<[/!a-zA-Z]", rest)
-        rest = rest[: cut.start()] if cut else rest
-        text(rest)
-    else:
-        text(page[at:])
+    text(page[at:])
     return pieces, containers
 
 

@@ -207,7 +207,10 @@ def plain_overlaps(docs, items):
             need = min(decontamination.MIN_OVERLAP, len(v))
             if not v:
                 continue
-            for a in range(-len(v) + 1, len(w)):
+            places = collections.defaultdict(list)
+            for k, x in enumerate(v):
+                places[x].append(k)
+            for a in sorted({j - k for j, x in enumerate(w) if x in places for k in places[x]}):  # other diagonals match nowhere
                 lo, hi = max(0, -a), min(len(v), len(w) - a)
                 s, e = decontamination.best_stretch(np.array([w[a + k] == v[k] for k in range(lo, hi)]))
                 if e - s >= need:

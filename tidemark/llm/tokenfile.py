@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, table, texts
+from .common import CHUNK, new_path, table, texts
 from .encode import encoder, vocabulary
 
 MAGIC = b"TMDAC001"
@@ -157,7 +157,7 @@ def write_tokens(docs: DataFrame, path: str, vocab: str, end_id: int = 0, file_t
             doc_ids = batch.column(0)
             known = np.asarray(doc_ids.is_valid())
             doc_ids = np.asarray(doc_ids.fill_null(0))
-            for at, n, data, offs in texts(batch):
+            for at, n, data, offs in texts(batch, most=min(CHUNK, file_tokens)):
                 ids, of = enc.encode(data, offs)
                 ids = np.insert(ids, of[1:], end_id)
                 held.append((doc_ids[at : at + n], known[at : at + n], np.diff(of) + 1, ids.astype(np.uint16 if not len(ids) or ids.max() < 1 << 16 else np.uint32)))

@@ -237,6 +237,42 @@ def test_exact_and_substituted_passages(spark):
     assert found <= want and len(found) >= 0.95 * len(want) and {p for p in want if p[0] % 2 == 0} <= found
 
 
+def share_reached(w, v):
+    """The definition: on some diagonal some window of 13 tokens and more (of the whole item, if shorter) with 80 % matches."""
+    need = min(decontamination.MIN_OVERLAP, len(v))
+    for a in range(-len(v) + 1, len(w)):
+        same = [w[a + k] == v[k] for k in range(max(0, -a), min(len(v), len(w) - a))]
+        for s in range(len(same)):
+            for e in range(s + need, len(same) + 1):
+                if 5 * sum(same[s:e]) >= 4 * (e - s):
+                    return True
+    return False
+
+
+def test_best_stretch_is_the_best_of_all_windows():
+    rng = np.random.default_rng(4)
+    for _ in range(1500):
+        same = rng.random(int(rng.integers(1, 45))) < rng.choice([0.5, 0.8, 0.85, 0.95])
+        least = min(decontamination.MIN_OVERLAP, len(same))
+        windows = [(-int(same[s:e].sum()), e - s, s) for s in range(len(same)) for e in range(s + least, len(same) + 1) if 5 * same[s:e].sum() >= 4 * (e - s)]
+        s, e = decontamination.best_stretch(same)
+        assert (s, e) == (0, 0) if not windows else (-int(same[s:e].sum()), e - s, s) == min(windows)
+
+
+def test_passages_broken_near_the_share(spark):
+    words = lambda p, n: [f"{p}{k}" for k in range(n)]
+    broken = [(13, [k]) for k in range(13)] + [(16, [3]), (20, [6, 10, 14]), (40, range(3, 40, 5)), (13, [2, 6, 9]), (16, range(0, 16, 3)), (30, range(2, 30, 3))]
+    items, docs = [], []
+    for i, (n, at) in enumerate(broken):
+        v = words(f"i{i}x", n)
+        items.append((i, " ".join(v)))
+        docs.append((i, " ".join([*words("a", 30), *("odd" if k in at else x for k, x in enumerate(v)), *words("b", 30)])))
+    want = {(d, i) for d, t in docs for i, u in items if d == i and share_reached(t.split(), u.split())}
+    assert {i for _, i in want} == set(range(16))  # the last three are under the share
+    got = decontamination.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+
+
 def test_odd_documents_and_items(spark):
     a, b = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen", "k l m"
     docs = spark.createDataFrame([(None, "x " + a, 1), (1, None, 2), (2, "", 3), (3, "K, L; m!", 4), (3, "K, L; m!", 4), (4, "k l z m", 5), (5, "p " * 90_000 + a, 6)], "doc_id long, text string, item_id int")

@@ -2,8 +2,8 @@
 
 A mask is laid on every place of a token sequence; the hash of the tokens under its ones ignores the others, so an overlap
 with substituted tokens still meets under some mask. Training and benchmark hashes are joined, and around each hit the
-two texts are compared on the hit's diagonal: the best stretch (a match counts 1, a mismatch -4, so at least 80 % match)
-of MIN_OVERLAP tokens, or of the whole item if that is shorter, makes the pair contaminated.
+two texts are compared on the hit's diagonal: any window of MIN_OVERLAP tokens and more, or of the whole item if that is
+shorter, in which at least 80 % match (a match counts 1, a mismatch -4, the sum is not negative) makes the pair contaminated.
 
 A filter of fixed size (FILTER_BITS), built from all benchmark hashes by Spark's bitmap aggregate, is broadcast, so that
 only training hashes that may meet one are kept for the join; it grows with neither table. With a hit goes the part
@@ -94,11 +94,20 @@ def hash_filter(hashes: DataFrame) -> np.ndarray:
 
 
 def best_stretch(same: np.ndarray) -> tuple[int, int]:
-    """[from, to) with the most of matches less MISMATCH times mismatches; the first of equals."""
-    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -MISMATCH))])
-    low = np.minimum.accumulate(total)
-    to = int(np.argmax(total - low))
-    return int(np.argmax(total[: to + 1] == low[to])), to
+    """[from, to) of MIN_OVERLAP places and more (of all, if there are fewer) with at least 80 % matches: of all such windows the one
+    with the most matches, then the shortest, then the first. (0, 0) if there is none."""
+    n = len(same)
+    least = min(MIN_OVERLAP, n)
+    matches = np.concatenate([[0], np.cumsum(same)])
+    total = matches - MISMATCH * (np.arange(n + 1) - matches)  # does not fall from ``from`` to ``to`` where the share is reached
+    start = np.arange(n - least + 1)
+    to = np.searchsorted(-np.maximum.accumulate(total[::-1])[::-1], -total[start], "right") - 1  # the last place that is as high
+    start, to = start[to - start >= least], to[to - start >= least]
+    if not len(start):
+        return 0, 0
+    to = np.maximum(start + least, np.searchsorted(matches, matches[to]))
+    top = np.lexsort((start, to - start, matches[start] - matches[to]))[0]
+    return int(start[top]), int(to[top])
 
 
 def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -166,8 +175,9 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
                         continue
                     same = t[a + lo : a + hi] == u[lo:hi]
                     s, e = best_stretch(same)
-                    top = max(top, (int(same[s:e].sum()), e - s, -(d + lo + s)))
-                if top[1] >= min(MIN_OVERLAP, len(u)):
+                    if e - s >= min(MIN_OVERLAP, len(u)):
+                        top = max(top, (int(same[s:e].sum()), e - s, -(d + lo + s)))
+                if top[1]:
                     out.append((i, *top))
             pick = b.select(["doc_id", "text_key", "item_id"]).take(pa.array([x[0] for x in out], pa.int64()))
             yield pa.RecordBatch.from_pydict({n: pick.column(n) for n in ("doc_id", "text_key", "item_id")} | {"overlap": pa.array([x[2] for x in out], pa.int32()), "matched": pa.array([x[1] for x in out], pa.int32()), "start": pa.array([-x[3] for x in out], pa.int32())})

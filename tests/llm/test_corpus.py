@@ -155,6 +155,35 @@ def test_join_of_odd_rows(spark):
     assert jaccard.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def plain_groups(rows, n, percent):
+    """Texts' groups as sets of row numbers, by comparing all pairs of sets of n-word shingles."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", low(t)) for _, t in rows]
+    sets = [{tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} for w in words]
+    part = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if part[i] != part[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                part = [part[j] if x == part[i] else x for x in part]
+    return part
+
+
+@pytest.mark.parametrize(("n", "percent", "often"), [(5, 80, 32), (5, 80, 2), (2, 70, 32)])
+def test_join_of_other_shingles_and_shares(spark, monkeypatch, n, percent, often):
+    monkeypatch.setattr(jaccard, "FREQUENT_LEAST", often)
+    rows = near_copies(4, groups=8, words=90)
+    part, ids = plain_groups(rows, n, percent), [i for i, _ in rows]
+    want = {i: min(ids[k] for k in range(len(rows)) if part[k] == part[x]) for x, i in enumerate(ids)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.join(df, n, percent).collect()} == want
+
+
+def test_one_of_each_at_0_8(spark):
+    """Edits 50 words apart: 3-word shingles are less than 0.9 alike, 5-word shingles more than 0.8."""
+    w = [f"w{i}" for i in range(300)]
+    docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join("x" if i % 50 == 25 else x for i, x in enumerate(w)))], "doc_id long, text string")
+    assert [r.doc_id for r in jaccard.one_of_each(docs, words=5, percent=80).collect()] == [1] and jaccard.one_of_each(docs).count() == 2
+
+
 def test_one_of_each(spark):
     w = " ".join(f"w{i}" for i in range(40))
     rows = [(7, w, 1), (4, w + " x", 2), (4, w + " x", 2), (None, w, 3), (2, None, 4), (None, "q", 5), (None, "q", 6)]

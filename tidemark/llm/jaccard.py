@@ -1,7 +1,7 @@
 """N-gram Jaccard join by token-combination prefixes.
 
-A document's set is its distinct 3-word shingles (the whole sequence as one if it has fewer words), ASCII letters folded.
-Two sets link when 100 * intersection >= 90 * union. Exact for all pairs of different sets, but for chance of 64-bit hashes:
+A document's set is its distinct shingles of ``words`` words (the whole sequence as one if it has fewer), ASCII letters folded.
+Two sets link when 100 * intersection >= ``percent`` * union; op7's are WORDS and PERCENT. Exact for all pairs of different sets, but for chance of 64-bit hashes:
 
 1. Equal sets are one class, known by a hash of the set; from here on a class is one record however many copies it has.
 2. Tokens get one order for all sets: a fixed quarter of the hash space first, by document frequency (counted by one shuffle
@@ -38,14 +38,14 @@ FREQUENT, FREQUENT_LEAST = 0.0025, 32
 LOCAL_LEAST = 4
 BLOCK = 192
 FILTER_BITS = 24
-#: Below this size a set links with equal ones only: 8 / 9 < 0.9.
-LEAST = 9
+#: Shingle length and share of op7; other callers name their own.
+WORDS, PERCENT = 3, 90
 #: Stands for a null doc_id where ids are compared.
 NO_ID = -(1 << 63)
 _U = np.uint64
 
 
-def shingles(data: np.ndarray, offs: np.ndarray, n: int = 3) -> list[np.ndarray]:
+def shingles(data: np.ndarray, offs: np.ndarray, n: int = WORDS) -> list[np.ndarray]:
     """The sorted set of each text of a piece."""
     words = Words(data, offs)
     h = words.hashes(lower=True)
@@ -72,14 +72,24 @@ def signature(s: np.ndarray) -> int:
     return int(mix(np.array([x], _U)).view(np.int64)[0])
 
 
-def needed(n: int) -> int:
+def least(percent: int = PERCENT) -> int:
+    """Below this size a set links with equal ones only; for 90, 8 / 9 < 0.9."""
+    return -(-percent // (100 - percent))
+
+
+def overlap(n: int, percent: int = PERCENT) -> int:
+    """Tokens that a set of n shares with any set that it links with, at least; also the least size of such a set."""
+    return -(-percent * n // 100)
+
+
+def needed(n: int, percent: int = PERCENT) -> int:
     """The prefix: what is left of a set of n when all but one of the least common tokens are taken away, plus one."""
-    return n - -(-9 * n // 10) + 1
+    return n - overlap(n, percent) + 1
 
 
-def groups(n: int) -> int:
+def groups(n: int, percent: int = PERCENT) -> int:
     """Hash groups for the combinations of a set of n tokens."""
-    return 1 << max(0, (needed(n) // 4).bit_length() - 1)
+    return 1 << max(0, (needed(n, percent) // 4).bit_length() - 1)
 
 
 def first(tokens: np.ndarray) -> np.ndarray:
@@ -89,13 +99,13 @@ def first(tokens: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- passes over the texts
 
-def _summaries(docs: DataFrame) -> DataFrame:
+def _summaries(docs: DataFrame, words: int) -> DataFrame:
     """kind 0: doc_id, set size, signature, hash of the text. kind 1: token, documents that have it, in pieces where they are LOCAL_LEAST and more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, n, data, offs in texts(b, most=4 << 20):
-                sets = shingles(data, offs)
+                sets = shingles(data, offs, words)
                 sig = np.array([signature(s) for s in sets], np.int64)
                 size = np.array([len(s) for s in sets], np.int64)
                 yield pa.RecordBatch.from_pydict({"kind": pa.array(np.zeros(n, np.int8)), "a": b.column(0).slice(at, n), "b": pa.array(size), "c": pa.array(sig), "d": b.column(2).slice(at, n)})
@@ -118,7 +128,7 @@ def _frequent(summaries: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray
     return t[order], c[order]
 
 
-def _token_rows(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def _token_rows(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: int, percent: int) -> DataFrame:
     """Rows (token, sig) of each set, and one (sig, sig, info): size, rare tokens sent of the first quarter and of the rest, frequent tokens in order."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -128,11 +138,11 @@ def _token_rows(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> Dat
         for b in batches:
             for _, _, data, offs in texts(b):
                 keys, sigs, infos = [], [], []
-                for s in shingles(data, offs):
-                    if len(s) < LEAST or (sig := signature(s)) in done:
+                for s in shingles(data, offs, words):
+                    if len(s) < least(percent) or (sig := signature(s)) in done:
                         continue
                     done.add(sig)
-                    length = needed(len(s)) + groups(len(s))
+                    length = needed(len(s), percent) + groups(len(s), percent)
                     at = np.minimum(np.searchsorted(common, s), max(len(common) - 1, 0))
                     often = common[at] == s if len(common) else np.zeros(len(s), bool)
                     rare = s[~often]
@@ -193,15 +203,15 @@ def _shared_tokens(rows: DataFrame) -> DataFrame:
     return rows.repartition(n, "key").sortWithinPartitions("key", "sig").mapInArrow(run, "sig long, token long, df long, info binary")
 
 
-def prefix_keys(n: int, early: int, rest: int, most: np.ndarray, shared: np.ndarray, df: np.ndarray) -> tuple[np.ndarray, int]:
+def prefix_keys(n: int, early: int, rest: int, most: np.ndarray, shared: np.ndarray, df: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
     """Keys of one set, and how many of the tokens it sent are its own alone. shared: its rare tokens of frequency 2 and more."""
     order = np.lexsort((shared, df, ~first(shared)))
     shared = shared[order]
     in_first = int(first(shared).sum())
     parts = [(early - in_first, shared[:in_first]), (rest - (len(shared) - in_first), shared[in_first:])]
     keys = []
-    for g in {groups(-(-9 * n // 10)), groups(n)}:
-        left, rare = needed(n) + g, []
+    for g in {groups(overlap(n, percent), percent), groups(n, percent)}:
+        left, rare = needed(n, percent) + g, []
         for own, tokens in parts:
             left -= own
             take = tokens[: max(left, 0)]
@@ -220,7 +230,7 @@ def prefix_keys(n: int, early: int, rest: int, most: np.ndarray, shared: np.ndar
     return np.unique(np.concatenate(keys)), early + rest - len(shared)
 
 
-def _index(shared: DataFrame) -> DataFrame:
+def _index(shared: DataFrame, percent: int) -> DataFrame:
     """key, sig, n, own for every set that has keys."""
     grouped = shared.groupBy("sig").agg(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("token", "df"))).alias("t"), F.max("info").alias("info"))
 
@@ -234,7 +244,7 @@ def _index(shared: DataFrame) -> DataFrame:
             for i, raw in enumerate(infos.to_pylist()):
                 info = np.frombuffer(raw, _U)
                 n, early, rest = map(int, info[:3])
-                k, own = prefix_keys(n, early, rest, info[3:], token[cut[i] : cut[i + 1]], df[cut[i] : cut[i + 1]])
+                k, own = prefix_keys(n, early, rest, info[3:], token[cut[i] : cut[i + 1]], df[cut[i] : cut[i + 1]], percent)
                 keys.append(k)
                 count.append(len(k))
                 sizes.append(n)
@@ -257,7 +267,7 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """sig, set of the classes in ``wanted`` (sig, id: their smallest doc_id); reads the texts again, but keeps those of wanted ids only."""
     shared = docs.sparkSession.sparkContext.broadcast(_id_filter(wanted))
 
@@ -271,7 +281,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             b = b.take(pa.array(keep))
             for at, n, data, offs in texts(b):
                 ids, out = b.column(0).slice(at, n).to_pylist(), []
-                for i, s in zip(ids, shingles(data, offs), strict=True):
+                for i, s in zip(ids, shingles(data, offs, words), strict=True):
                     if len(s) and (row := (signature(s), i)) not in done:  # repeated rows once a task
                         done.add(row)
                         out.append((*row, s.tobytes()))
@@ -283,11 +293,11 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted.withColumnRenamed("id", "rep"), "sig").where("id = rep").select("sig", "set").dropDuplicates(["sig"])
 
 
-def linked(common, a, b):
-    return 100 * common >= 90 * (a + b - common)
+def linked(common, a, b, percent: int = PERCENT):
+    return 100 * common >= percent * (a + b - common)
 
 
-def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """hub, sig of the pairs that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +306,7 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for i, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):
                 x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                if linked(int((y[at] == x).sum()), len(x), len(y)):
+                if linked(int((y[at] == x).sum()), len(x), len(y), percent):
                     out.append(i)
             yield pa.RecordBatch.from_arrays([b.column(k).take(pa.array(out, pa.int64())) for k in (0, 1)], ["hub", "sig"])
 
@@ -304,7 +314,7 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("hub", "sig", "set", "hub_set").mapInArrow(run, "hub long, sig long")
 
 
-def links_in_block(sig: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: list[np.ndarray], columns: int = 8192) -> list[tuple[int, int]]:
+def links_in_block(sig: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT, columns: int = 8192) -> list[tuple[int, int]]:
     """Links between different components that join them up (not all of them): sets as rows of a 0/1 matrix over the tokens that two sets and more have."""
     size = np.array([len(s) for s in sets])
     row = np.repeat(np.arange(len(sets)), size)
@@ -321,7 +331,7 @@ def links_in_block(sig: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: li
         m = np.zeros((len(sets), columns), np.float32)
         m[row[lo:hi], col[lo:hi] - start] = 1
         common += m @ m.T
-    hit = linked(common.astype(np.int64), size[:, None], size[None, :]) & (comp[:, None] != comp[None, :]) & ~(side[:, None] & side[None, :])
+    hit = linked(common.astype(np.int64), size[:, None], size[None, :], percent) & (comp[:, None] != comp[None, :]) & ~(side[:, None] & side[None, :])
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -339,7 +349,7 @@ def links_in_block(sig: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: li
     return out
 
 
-def _rest(members: DataFrame, links: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+def _rest(members: DataFrame, links: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links among the members of hubs around which several components are left. members: hub, sig without the hub itself."""
     named = members.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("label", "sig")).drop("label")
     near = links.select("hub", "sig", F.lit(True).alias("side"))
@@ -365,29 +375,29 @@ def _rest(members: DataFrame, links: DataFrame, labels: DataFrame, sets: DataFra
         sig, once = np.unique(np.asarray(t["sig"]), return_index=True)
         comp, side = np.asarray(t["comp"])[once], np.asarray(t["side"])[once]
         raw = t["set"].take(pa.array(once)).to_pylist()
-        found = links_in_block(sig, comp, side, [np.frombuffer(x, _U) for x in raw])
+        found = links_in_block(sig, comp, side, [np.frombuffer(x, _U) for x in raw], percent)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     return dealt.join(sets, "sig").select("hub", "kind", "i", "j", "sig", "comp", "side", "set").groupBy("hub", "kind", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def grouped(docs: DataFrame) -> DataFrame:
+def grouped(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; and text_key, a hash of its text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    summaries = written(_summaries(docs), "jaccard-sets")
+    summaries = written(_summaries(docs, words), "jaccard-sets")
     per_doc = summaries.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("c").alias("sig"), F.col("d").alias("text_key"))
     classes = written(per_doc.where("n > 0").groupBy("sig").agg(F.min("id").alias("id")), "jaccard-classes")
     frequent = _frequent(summaries, per_doc.count())
 
-    index = written(_index(_shared_tokens(_token_rows(docs, frequent))), "jaccard-index")
+    index = written(_index(_shared_tokens(_token_rows(docs, frequent, words, percent)), percent), "jaccard-index")
     hubs = index.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("own", "sig", "n")).alias("h")).where("m > 1").select("key", F.col("h.sig").alias("hub"), F.col("h.n").alias("hub_n"))
     members = written(index.join(hubs, "key").where("sig <> hub").select("hub", "sig", "n", "hub_n").distinct(), "jaccard-members")
     wanted = members.select("sig").union(members.select("hub")).distinct().join(classes, "sig").select("sig", F.coalesce("id", F.lit(NO_ID)).alias("id"))
-    sets = written(_sets_of(docs, written(wanted, "jaccard-wanted")), "jaccard-candidates")
-    fits = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * 90
-    links = written(_compare(members.where(fits).select("hub", "sig"), sets), "jaccard-links")
+    sets = written(_sets_of(docs, written(wanted, "jaccard-wanted"), words), "jaccard-candidates")
+    fits = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
+    links = written(_compare(members.where(fits).select("hub", "sig"), sets, percent), "jaccard-links")
     labels = components(links.select(F.col("hub").alias("a"), F.col("sig").alias("b")))
-    more = written(_rest(members.select("hub", "sig"), links, labels, sets), "jaccard-links")
+    more = written(_rest(members.select("hub", "sig"), links, labels, sets, percent), "jaccard-links")
     if more.limit(1).count():
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
 
@@ -398,14 +408,14 @@ def grouped(docs: DataFrame) -> DataFrame:
     return some.unionByName(per_doc.where("n = 0").withColumn("component_id", F.col("id")).withColumn("label", F.lit(None).cast("long"))).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "text_key", "label")
 
 
-def join(docs: DataFrame) -> DataFrame:
+def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    return grouped(docs).select("doc_id", "n_shingles", "component_id")
+    return grouped(docs, words, percent).select("doc_id", "n_shingles", "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Of each component the row with its smallest doc_id (then text hash) stays; of rows equal in doc_id and text, one. Texts without a shingle all stay."""
-    found = written(grouped(docs), "jaccard-groups")
+    found = written(grouped(docs, words, percent), "jaccard-groups")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     top = found.where("label IS NOT NULL").groupBy("label").agg(F.min(order).alias("top"))
     gone = found.join(top, "label").where(order != F.col("top")).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text_key").alias("_key")).distinct()

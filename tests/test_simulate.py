@@ -54,6 +54,21 @@ def test_book_keeps_its_slots(spark):
     assert (first.taken, first.skipped, first.open_slots) == (2, 2, 0) and last.equity == pytest.approx(1040)
 
 
+def test_queries_simulate_daily_bars_on_the_reference_s_grid(spark):
+    from conftest import DATA
+    from tidemark.plans import sim_queries as Q
+    from tidemark.sources.market import bars_daily
+
+    assert [(x.days, x.target1, x.target2) for x in Q.CONFIGS] == [(d, a, b) for d in (7, 14, 21, 30) for a, b in ((1.5, 2.5), (2, 3), (2, 4), (3, 5))]
+    assert len({x.name for x in Q.CONFIGS}) == 16
+    sf = f"{DATA}/sf0.001"
+    bars, signals = bars_daily(spark, sf).toPandas(), Q.signals(spark, sf).toPandas()
+    assert len(signals) == len(bars) and set(zip(signals.instrument_id, signals.trade_date)) == set(zip(bars.instrument_id, bars.trade_date))
+    done = Q.simulated_trades(spark, sf).toPandas()
+    exits = {d: set(map(tuple, done[done.config == f"d{d}-t2-3"][["instrument_id", "signal_date", "exit_date"]].to_numpy())) for d in (7, 14)}
+    assert exits[7] and exits[7] != exits[14]  # on monthly bars both end at the next bar
+
+
 def test_generator_and_bootstrap(spark):
     g = M.mulberry32(7)
     x = [g() for _ in range(2000)]

@@ -15,12 +15,12 @@ from .cross_queries import monthly_panel
 from .registry import query, r
 from .series_queries import KEYS, W
 
-CONFIGS = [M.Exits(f"d{d}-t{a:g}", d, a, a + 1) for d in (7, 14, 30, 60) for a in (1.5, 2.0, 2.5, 3.0)]
+CONFIGS = [M.Exits(f"d{d}-t{a:g}-{b:g}", d, a, b) for d in (7, 14, 21, 30) for a, b in ((1.5, 2.5), (2.0, 3.0), (2.0, 4.0), (3.0, 5.0))]
 
 
 def signals(spark, sf) -> DataFrame:
-    """Monthly bars with levels; a signal where the close is over its EMA 20 and the stop is apart."""
-    m = S.indicators(bars_monthly(bars_daily(spark, sf))).withColumn("low15", F.min("low").over(S.last(15)))
+    """Daily bars with levels; a signal where the close is over its EMA 20 and the stop is apart."""
+    m = S.indicators(bars_daily(spark, sf)).withColumn("low15", F.min("low").over(S.last(15)))
     lv = E.levels(F.col("low15"))
     return m.withColumn("stop", F.coalesce(lv["stop"], F.lit(0.0))).withColumn("signal", F.coalesce((F.col("close") > F.col("ema20")) & F.col("atr14").isNotNull(), F.lit(False)))
 
@@ -38,7 +38,7 @@ def sweep_metrics(spark, sf) -> DataFrame:
 
 @query()
 def walk_forward(spark, sf) -> DataFrame:
-    cal = bars_monthly(bars_daily(spark, sf)).select("trade_date").distinct()
+    cal = bars_daily(spark, sf).select("trade_date").distinct()
     return M.walk_forward(M.trades(signals(spark, sf), CONFIGS), M.folds(cal, 3, 2))
 
 

@@ -77,6 +77,16 @@ def test_generator_and_bootstrap(spark):
     assert M.stationary_bootstrap(s, "v", "d", "k", reps=20).first()[1:] == (1.0, 1.0, 1.0)
 
 
+def test_the_bootstrap_query_draws_as_the_reference(spark, monkeypatch):
+    from conftest import DATA
+    from tidemark.plans import sim_queries as Q
+
+    seen = {}
+    monkeypatch.setattr(M, "stationary_bootstrap", lambda *a, **b: seen.update(b))
+    Q.bootstrap_ic(spark, f"{DATA}/sf0.001")
+    assert seen == {"reps": 10_000, "block": 20, "seed": 12345}
+
+
 def test_split_moves_what_came_before(spark):
     b = spark.createDataFrame([(1, dt.date(2024, 1, 1 + i), p, p, p, p, 10.0) for i, p in enumerate([100.0, 100.0, 50.0])], "instrument_id long, trade_date date, open double, high double, low double, close double, volume double")
     got = M.split_adjusted(b).orderBy("trade_date").collect()

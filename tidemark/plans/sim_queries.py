@@ -50,7 +50,7 @@ def portfolio(spark, sf) -> DataFrame:
 @query()
 def bootstrap_ic(spark, sf) -> DataFrame:
     ic = X.spearman(monthly_panel(spark, sf), "score", "fwd", ["subject", "h", "trade_date"]).withColumn("series", F.concat_ws("-", "subject", "h"))
-    return M.stationary_bootstrap(ic, "ic", "trade_date", "series")
+    return M.stationary_bootstrap(ic, "ic", "trade_date", "series", reps=10_000, block=20, seed=12345)
 
 
 @query(f"""WITH {SQL_BARS}, {SQL_MONTHS}, c AS (SELECT DISTINCT trade_date FROM months), n AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) - 1 AS i, floor(count(*) OVER () / 4) AS size FROM c), k AS (SELECT * FROM n, (SELECT unnest([1, 2, 3]) AS fold))

@@ -1,8 +1,8 @@
 """Quality rules and line labels: base counts of a text, and a linear-chain conditional random field over its lines.
 
 Viterbi decoding marks each line that has a word as content or boilerplate; a text is kept if the base rules pass and
-content lines hold at least MIN_SHARE of its words. The field is trained by gradient ascent on its log-likelihood
-(forward-backward in numpy) on lines of a bounded sample of labelled documents: lines start with their document's
+content lines hold at least MIN_SHARE of its words. The field is trained by climbing its log-likelihood to a tolerance
+(forward-backward in numpy) on all lines of a bounded sample of labelled documents: lines start with their document's
 label and without transitions, then lines of poor documents are decoded anew and the whole field is fitted.
 
 Nulls: a null text has no word, so base_failed is true and kept false; doc_id may be null. Repeated rows are judged each.
@@ -18,16 +18,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_WORD, Words, mix, powers, table, texts
+from .common import IS_WORD, Words, mix, run_hashes, table, texts
 from .samples import labelled
 
 #: Labelled documents of each class that the field is fitted on, at most.
 PER_CLASS = 1500
+#: Lines of a chain in training.
+CHAIN = 64
 MIN_WORDS, MAX_REPEAT_PERCENT, MIN_SHARE = 50, 50, 0.5
 
 FEATURES = ("bias", "symbols", "upper", "bars", "marks", "again", "same_words", "repeats", "short", "long", "digits")
 _U = np.uint64
 _ALL = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
+_ALL[10] = 0
 
 
 def _in(chars: str) -> np.ndarray:
@@ -86,15 +89,9 @@ class Lines:
         self.row = doc[first_word]
         edges = np.append(first_word, len(h))
         self.words = np.diff(edges)
-        if len(has):  # a line's bytes without the newline that ends it
-            up, down = powers(len(data))
-            codes = _ALL[data]
-            codes[data == 10] = 0
-            codes *= up[: len(codes)]
-            whole = np.add.reduceat(codes, starts)[has] * down[at]
-        else:
-            whole = np.zeros(0, _U)
-        again = _seen(mix(whole) ^ salt[self.row])[1]
+        # A line's bytes without the newline that ends it.
+        whole = run_hashes(data, starts, ends, _ALL)[has]
+        again = _seen(whole ^ salt[self.row])[1]
         self.n_dup_lines = np.bincount(self.row[again], minlength=n)
 
         def within(flags: np.ndarray) -> np.ndarray:
@@ -134,61 +131,117 @@ def viterbi(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     return np.array(out[::-1], bool)
 
 
-def gradient(x: np.ndarray, y: np.ndarray, w: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of one sequence's log-likelihood, by forward-backward."""
-    n = len(x)
-    e = np.stack([np.zeros(n), x @ w], axis=1)
-    f, b = np.zeros((n, 2)), np.zeros((n, 2))
-    f[0] = e[0]
-    for i in range(1, n):
-        f[i] = e[i] + np.logaddexp(f[i - 1, 0] + t[0], f[i - 1, 1] + t[1])
-    for i in range(n - 2, -1, -1):
-        m = e[i + 1] + b[i + 1]
-        b[i] = np.logaddexp(t[:, 0] + m[0], t[:, 1] + m[1])
-    z = np.logaddexp(*f[-1])
-    dw = x.T @ (y - np.exp(f[:, 1] + b[:, 1] - z))
-    dt = np.zeros((2, 2))
-    if n > 1:
-        np.add.at(dt, (y[:-1], y[1:]), 1)
-        dt -= np.exp(f[:-1, :, None] + t[None] + (e + b)[1:, None, :] - z).sum(axis=0)
-    return dw, dt
-
-
-def fit(docs: list[np.ndarray], y: np.ndarray, rounds: int = 2, epochs: int = 2, rate: float = 0.5, decay: float = 1e-3, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """docs: the features of each one's lines. Returns weights and transitions."""
-    w, t = np.zeros(len(FEATURES)), np.zeros((2, 2))
+class Chains:
+    """Sequences of lines for training, all in step t at once: the longest first, so that those still going are a prefix."""
+
+    def __init__(self, x: list[np.ndarray], weight: list[float]):
+        self.order = np.argsort([-len(v) for v in x], kind="stable")
+        self.length = np.array([len(x[i]) for i in self.order])
+        self.weight = np.array([weight[i] for i in self.order])
+        self.steps = int(self.length.max())
+        self.going = np.searchsorted(-self.length, -np.arange(self.steps), "left")  # sequences longer than t
+        #: Row and step of each line, in the order of ``x`` put together.
+        self.seq = np.repeat(np.argsort(self.order), [len(v) for v in x])
+        self.step = np.concatenate([np.arange(len(v)) for v in x])
+        self.x = np.concatenate(x)
+
+    def value(self, y: np.ndarray, w: np.ndarray, t: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Weighted log-likelihood of the labels ``y`` (of all lines), and its gradient, by forward-backward."""
+        n, go = len(self.length), self.going
+        s = np.zeros((self.steps, n))
+        s[self.step, self.seq] = self.x @ w
+        f, b = np.zeros((self.steps, 2, n)), np.zeros((self.steps, 2, n))
+        f[0, 1] = s[0]
+        for k in range(1, self.steps):
+            m = go[k]
+            for c in (0, 1):
+                f[k, c, :m] = np.logaddexp(f[k - 1, 0, :m] + t[0, c], f[k - 1, 1, :m] + t[1, c])
+            f[k, 1, :m] += s[k, :m]
+        for k in range(self.steps - 2, -1, -1):
+            m = go[k + 1]
+            on = b[k + 1, 1, :m] + s[k + 1, :m]
+            for a in (0, 1):
+                b[k, a, :m] = np.logaddexp(t[a, 0] + b[k + 1, 0, :m], t[a, 1] + on)
+        last = f[self.length - 1, :, np.arange(n)]
+        z = np.logaddexp(last[:, 0], last[:, 1])
+        row_weight = self.weight[self.seq]
+        p = np.exp(f[self.step, 1, self.seq] + b[self.step, 1, self.seq] - z[self.seq])
+        dw = self.x.T @ (row_weight * (y - p))
+        label = np.zeros((self.steps, n), np.int8)
+        label[self.step, self.seq] = y
+        value = float((row_weight * y) @ s[self.step, self.seq] - self.weight @ z)
+        dt = np.zeros((2, 2))
+        for k in range(1, self.steps):
+            m = go[k]
+            u, v = label[k - 1, :m], label[k, :m]
+            for a in (0, 1):
+                for c in (0, 1):
+                    seen = float(self.weight[:m][(u == a) & (v == c)].sum())
+                    want = float(self.weight[:m] @ np.exp(f[k - 1, a, :m] + t[a, c] + (s[k, :m] if c else 0) + b[k, c, :m] - z[:m]))
+                    dt[a, c] += seen - want
+                    value += seen * t[a, c]
+        return value, dw, dt
+
+
+def climb(value, start: np.ndarray, tolerance: float = 1e-5, most: int = 200) -> np.ndarray:
+    """The maximum of a concave function (value, gradient) by the quasi-Newton method of Broyden, Fletcher, Goldfarb and Shanno."""
+    x, h = start.copy(), np.eye(len(start))
+    v, g = value(x)
+    for _ in range(most):
+        if np.abs(g).max() < tolerance:
+            break
+        d, size = h @ g, 1.0
+        while True:
+            new_v, new_g = value(x + size * d)
+            if new_v >= v + 1e-4 * size * (d @ g) or size < 1e-8:
+                break
+            size /= 2
+        if size < 1e-8:
+            break
+        step, turn = size * d, g - new_g
+        x, v, g = x + step, new_v, new_g
+        if (c := step @ turn) > 1e-12:
+            left = np.eye(len(x)) - np.outer(step, turn) / c
+            h = left @ h @ left.T + np.outer(step, step) / c
+    return x
+
+
+def fit(docs: list[np.ndarray], y: np.ndarray, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """docs: the features of each one's lines. Returns weights and transitions.
+
+    Both labels weigh the same, and so do all documents of a label, whatever their length; long documents are chains of
+    CHAIN lines each, so that every line counts and the work grows with the lines.
+    """
+    k = len(FEATURES)
     if len(np.unique(y)) < 2:
-        w[0] = 30.0
-        return w, t
-    rng = np.random.default_rng(seed)
-    labels = [np.full(len(x), int(v)) for x, v in zip(docs, y, strict=True)]
-    for again in range(rounds):
-        if again:
-            labels = [u if v else viterbi(x @ w, t).astype(int) for x, u, v in zip(docs, labels, y, strict=True)]
-            w = np.zeros(len(FEATURES))
-        gw, gt = np.full(len(w), 1e-6), np.full((2, 2), 1e-6)
-        for _ in range(epochs):
-            for i in rng.permutation(len(docs)):
-                dw, dt = gradient(docs[i], labels[i], w, t)
-                dw, dt = dw / len(docs[i]) - decay * w, dt / len(docs[i]) - decay * t
-                gw += dw * dw
-                gt += dt * dt
-                w += rate * dw / np.sqrt(gw)
-                if again:
-                    t += rate * dt / np.sqrt(gt)
-    return w, t
-
-
-#: Lines of a sampled document that training reads, at most: bounds the sample's bytes.
-SAMPLE_LINES = 200
+        return np.where(np.arange(k) == 0, 30.0, 0.0), np.zeros((2, 2))
+    share = np.bincount(y)
+    parts = [(i, a) for i, x in enumerate(docs) for a in range(0, len(x), CHAIN)]
+    chains = Chains([docs[i][a : a + CHAIN] for i, a in parts], [0.5 / share[y[i]] / len(docs[i]) for i, _ in parts])
+    label = np.repeat(y, [len(x) for x in docs])
+
+    def solve(transitions: bool, start: np.ndarray) -> np.ndarray:
+        def value(p: np.ndarray) -> tuple[float, np.ndarray]:
+            v, dw, dt = chains.value(label, p[:k], p[k:].reshape(2, 2))
+            return v - 0.5 * decay * float(p @ p), np.concatenate([dw, dt.ravel() * transitions]) - decay * p
+
+        return climb(value, start)
+
+    p = solve(False, np.zeros(k + 4))
+    # Not every line of a poor document is boilerplate: they are decoded anew, documents in full, before transitions are learnt.
+    label = np.concatenate([np.ones(len(x), int) if v else viterbi(x @ p[:k], p[k:].reshape(2, 2)).astype(int) for x, v in zip(docs, y, strict=True)])
+    p = solve(True, p)
+    return p[:k], p[k:].reshape(2, 2)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> tuple[np.ndarray, np.ndarray]:
+    """The field, from all lines of the sampled documents; two bytes a line come to the driver."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, n, data, offs in texts(b):
                 x = Lines(data, offs)
-                own = [np.packbits(x.x[x.of[i] : x.of[i + 1]][:SAMPLE_LINES].astype(bool), axis=1).tobytes() for i in range(n)]
+                own = [np.packbits(x.x[x.of[i] : x.of[i + 1]].astype(bool), axis=1).tobytes() for i in range(n)]
                 yield pa.RecordBatch.from_pydict({"doc_id": b.column(0).slice(at, n), "y": b.column(2).slice(at, n), "lines": pa.array(own, pa.binary())})
 
     rows = labelled(docs, labels, label, 1, 1, per_class).select(F.col("doc_id").cast("long"), "text", F.col("y").cast("int")).mapInArrow(run, "doc_id long, y int, lines binary").collect()

@@ -1,17 +1,20 @@
 """Personal data: fixed patterns, and a skip-chain conditional random field over whatever looks like them.
 
 Every run that could be an e-mail address or a number is a token of the field; the labels are none, email, ip, card,
-phone. A token has its own features and a link to the one before it; and skip links join tokens of a document, however
-far apart, that hold the same digits or address, or the same last SIMILAR digits. Loopy sum-product messages over those
-links pull such tokens to one label, so a number given in full once is found again where it is abbreviated. A token between the tokens cannot be
-personal data, so it is fixed to none and drops out of the field.
-
-The field is trained by pseudo-likelihood on all documents, with what the patterns find as labels: its features are
-few, so tokens are counted by (features, label, neighbours' labels) and only the counts, bounded by MOST_CELLS, come to
-the driver. What the patterns find is kept; the field adds spans where its belief in a kind is over BELIEF and no span of the patterns overlaps.
-
-Nulls: a null text has no data; doc_id may be null. Repeated rows give their spans each. Empty table: no rows, and
-no training: nothing is added then. Other columns are not read.
+phone. A run of numbers too long for any kind is a token a word. A token has its own features and a link to the one before it; and
+skip links join tokens of a document, however far apart, that hold the same digits or address, or the same last SIMILAR digits.
+Loopy sum-product messages over those links pull such tokens to one label, so a number given in full once is found again where it is
+abbreviated. A word between the tokens cannot be personal data, so it is fixed to none and drops out of the field; so is
+a number of less than SIMILAR digits without three dots, as it has no skip link.
+
+What the patterns find is evidence: those tokens are clamped to their label. The others are hidden. The field is trained by
+pseudo-likelihood on all documents; there a token counts as none, unless a skip link ties it to a token that the patterns found or it was cut
+from a run that the patterns cannot judge: nothing is known of such a token, and it teaches nothing. Features are few, so tokens are counted by (features, label, neighbours'
+labels) and only the counts come to the driver: their number is bounded by the alphabet of features, not by the table.
+Spans of the patterns are kept; the field adds a hidden token where its belief in a kind is over BELIEF.
+
+All patterns take time in proportion to the text, whatever it repeats. Nulls: a null text has no data; doc_id may be null.
+Repeated rows give their spans each. Empty table: no rows, and no training: nothing is added then. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,15 +34,18 @@ from .common import table
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 #: Fixed patterns of the contract.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: An address in two parts, so that a long run of letters is passed once: what ends at the sign, and what follows it.
+LOCAL, DOMAIN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@"), re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 #: What may be personal data at all.
-CANDIDATE = re.compile(r"[^\s@<>,;]*@[^\s@<>,;]+|\+?\(?[0-9](?:[\x20().-]{0,2}[0-9])*")
-SIMILAR, BELIEF, ITERATIONS, MOST_CELLS = 7, 0.9, 30, 200_000
+CANDIDATE = re.compile(r"(?<![^\s@<>,;])[^\s@<>,;]++@[^\s@<>,;]++|\+?\(?[0-9](?:[\x20().-]{0,2}+[0-9])*+")
+NUMBER_WORD = re.compile(r"\+?\(?[0-9](?:[().-]{0,2}+[0-9])*+")
+SIMILAR, LONGEST, BELIEF, ITERATIONS = 7, 19, 0.9, 30
 #: Where the weights of skip links are before any are seen: equal tokens tend to be of one kind.
 SKIP_PRIOR = 2.0
+CLAMP = -1e3
 
 
 def digits(s: str) -> str:
@@ -50,16 +56,26 @@ def luhn(d: str) -> bool:
     return (sum(map(int, d[-1::-2])) + sum((0, 2, 4, 6, 8, 1, 3, 5, 7, 9)[int(c)] for c in d[-2::-2])) % 10 == 0
 
 
+def octets(s: str) -> bool:
+    """Whether all parts between dots are numbers up to 255, however many zeros they begin with."""
+    return all(x.isdigit() and (len(y := x.lstrip("0")) < 3 or len(y) == 3 and y <= "255") for x in s.split("."))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind number, start, end), by kind, then start."""
     out = []
     if "@" in text:
-        out += [(0, *m.span()) for m in EMAIL.finditer(text)]
+        end = 0
+        for m in LOCAL.finditer(text):
+            start, at = max(m.start(), end), m.end()
+            if start < at - 1 and (domain := DOMAIN.match(text, at)):
+                end = domain.end()
+                out.append((0, start, end))
     if "." in text:
-        out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split("."))]
-    out += [(2, m.start(), m.end()) for m in CARD.finditer(text) if m.end() - m.start() >= 16 and 16 <= len(d := digits(m[0])) <= 19 and luhn(d)]
+        out += [(1, m.start(), m.end()) for m in IP.finditer(text) if octets(m[0])]
+    out += [(2, m.start(), m.end()) for m in CARD.finditer(text) if 16 <= m.end() - m.start() < 38 and 16 <= len(d := digits(m[0])) <= 19 and luhn(d)]
     if "+" in text:
-        out += [(3, m.start(), m.end()) for m in PHONE.finditer(text) if 8 <= len(digits(m[0])) <= 15]
+        out += [(3, m.start(), m.end()) for m in PHONE.finditer(text) if 8 <= sum("0" <= c <= "9" for c in m[0]) <= 15]
     return out
 
 
@@ -74,44 +90,46 @@ class Tokens:
     end: list[int]
     features: list[int]  # a bit each
     label: list[int]  # by the patterns
+    cut: list[bool]
     chain: list[tuple[int, int]]
     skip: list[tuple[int, int]]
 
 
+def candidates(text: str) -> Iterator[tuple[int, int, str, bool]]:
+    """Start, end, text of each token, and whether it was cut from a run that is too long for the patterns to judge."""
+    for m in CANDIDATE.finditer(text):
+        if "@" in m[0] or len(m[0]) <= LONGEST or len(digits(m[0])) <= LONGEST:
+            yield m.start(), m.end(), m[0], False
+        else:
+            yield from ((w.start(), w.end(), w[0], True) for w in NUMBER_WORD.finditer(text, m.start(), m.end()))
+
+
 def tokens(text: str, base: list[tuple[int, int, int]]) -> Tokens:
     """The field of one text. Skip links tie a token to the last one with its key: as many links as tokens, not pairs."""
-    out = Tokens([], [], [], [], [], [])
+    out = Tokens([], [], [], [], [], [], [])
     same: dict[str, int] = {}
-    at = {(s, e): k for k, s, e in base}
-    by_end = sorted((s, e, k) for k, s, e in base)
+    spans = sorted((s, e, k) for k, s, e in base)
     j = 0
-    for m in CANDIDATE.finditer(text):
-        s, e = m.span()
-        word = m[0]
+    for s, e, word, cut in candidates(text):
         d = digits(word)
         mail = "@" in word
-        if not mail and len(d) < SIMILAR:
+        n, dots = len(d), word.count(".")
+        if not mail and n < SIMILAR and dots != 3:
             continue
         i = len(out.start)
-        n = len(d)
-        dots = word.count(".")
         bits = (
-            1, mail, mail and "." in word[word.find("@"):], mail and word[0] != "@", not mail and word[0] == "+", not mail and "(" in word,
-            not mail and dots == 3 and n <= 12, not mail and dots == 3 and n <= 12 and all(x.isdigit() and len(x) <= 3 and int(x) <= 255 for x in word.strip("+(").split(".")),
+            1, mail, mail and "." in word[word.find("@"):], mail and word[-1].isalnum(), not mail and word[0] == "+", not mail and "(" in word,
+            not mail and dots == 3 and n <= 12, not mail and dots == 3 and n <= 12 and octets(word.strip("+(")),
             not mail and " " in word, not mail and "-" in word, not mail and n < 8, not mail and 8 <= n <= 9, not mail and 10 <= n <= 11, not mail and 12 <= n <= 15,
-            not mail and 16 <= n <= 19, not mail and 16 <= n <= 19 and luhn(d), not mail and n > 19,
+            not mail and 16 <= n <= 19, not mail and 16 <= n <= 19 and luhn(d), not mail and n > LONGEST,
         )
-        while j < len(by_end) and by_end[j][1] <= s:
+        while j < len(spans) and spans[j][1] <= s:
             j += 1
-        label = 0
-        if (s, e) in at:
-            label = at[s, e] + 1
-        elif j < len(by_end) and by_end[j][0] < e:
-            label = by_end[j][2] + 1
         out.start.append(s)
         out.end.append(e)
         out.features.append(sum(1 << k for k, b in enumerate(bits) if b))
-        out.label.append(label)
+        out.label.append(spans[j][2] + 1 if j < len(spans) and spans[j][0] < e else 0)
+        out.cut.append(cut)
         if i:
             out.chain.append((i - 1, i))
         linked = set()
@@ -133,7 +151,7 @@ class Field:
 
 
 def train_counts(docs: DataFrame) -> list:
-    """Tokens of all documents, counted by features, label and the labels around them."""
+    """Tokens of all documents, counted by features, label and the labels around them; hidden ones of which nothing is known are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -147,13 +165,15 @@ def train_counts(docs: DataFrame) -> list:
                     skip[i] |= 1 << t.label[k]
                     skip[k] |= 1 << t.label[i]
                 for i, (x, y) in enumerate(zip(t.features, t.label, strict=True)):
+                    if not y and (skip[i] > 1 or t.cut[i]):
+                        continue
                     key = (x, y, t.label[i - 1] if i else -1, skip[i])
                     count[key] = count.get(key, 0) + 1
             if count:
                 yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64()) for n, c in zip(("features", "label", "before", "skip", "n"), zip(*((*k, v) for k, v in count.items()), strict=True), strict=True)})
 
     counted = docs.select("text").mapInArrow(run, "features long, label long, before long, skip long, n long")
-    return counted.groupBy("features", "label", "before", "skip").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "features", "label", "before", "skip").limit(MOST_CELLS).collect()
+    return counted.groupBy("features", "label", "before", "skip").agg(F.sum("n").alias("n")).orderBy("features", "label", "before", "skip").collect()
 
 
 def fit(cells: list, steps: int = 400, rate: float = 0.3, decay: float = 1e-4) -> Field:
@@ -182,10 +202,13 @@ def fit(cells: list, steps: int = 400, rate: float = 0.3, decay: float = 1e-4) -
 
 
 def beliefs(t: Tokens, f: Field, iterations: int = ITERATIONS, tolerance: float = 1e-4) -> np.ndarray:
-    """Label beliefs of the tokens by loopy sum-product, damped; links are directed pairs in arrays."""
+    """Label beliefs of the tokens by loopy sum-product, damped; links are directed pairs in arrays. Tokens that the patterns found are clamped."""
     n, k = len(t.start), len(LABELS)
     x = ((np.array(t.features)[:, None] >> np.arange(N_FEATURES)) & 1).astype(float)
     own = x @ f.w.T
+    known = np.flatnonzero(t.label)
+    own[known] = CLAMP
+    own[known, np.array(t.label)[known]] = 0.0
     links = np.array(t.chain + t.skip, np.int64).reshape(-1, 2)
     if not len(links):
         b = np.exp(own - own.max(axis=1, keepdims=True))

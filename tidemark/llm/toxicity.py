@@ -2,8 +2,11 @@
 
 logit = w0 + sum_i w_i + sum_{i<j} <v_i, v_j> over the distinct terms of a document, so that two terms that are
 harmless alone can add up when they meet. Terms are runs of ASCII letters and digits and of non-ASCII bytes, ASCII
-case folded, hashed to 2**BITS places. Learnt by AdaGrad on a bounded sample; only terms whose share of documents differs
-between the labels by MIN_Z standard errors have weights, as chance pairs of rare terms would drown the rest.
+case folded, hashed to 2**BITS places. Learnt by AdaGrad on a bounded sample. As chance pairs of rare terms would drown the rest,
+a term has weights only if it tells the labels apart, alone or in a pair: if its share of documents differs between the labels by
+MIN_Z standard errors, or if in the documents that have both it and some other term the labels differ by PAIR_Z standard errors from what
+the terms that tell alone predict. All pairs of terms that PAIR_SHARE of the sample have are tried, so terms that are harmless
+alone, even without any trend of their own, are found by their meeting.
 
 Nulls: a null text is empty and scores as one; rows without label, or whose id is null, teach nothing but are scored.
 Repeated rows are scored each. No labels of one kind: every score is the share of label 1 among those known, 0 if there are
@@ -24,7 +27,7 @@ from pyspark.sql import types as T
 from .common import TERM, TERM_CODES, Words, table, texts
 from .samples import contract, labelled
 
-BITS, RANK, MIN_DOCS, MIN_Z = 26, 4, 3, 3.5
+BITS, RANK, MIN_DOCS, MIN_Z, PAIR_Z, PAIR_SHARE = 26, 4, 3, 3.5, 7.0, 0.01
 #: Labelled documents of each class that the model is fitted on, at most.
 PER_CLASS = 4000
 PARTS, HELD, THRESHOLD = 3, 1, 0.7
@@ -81,16 +84,56 @@ def telling(docs: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return names[keep], odds[keep]
 
 
-def fit(docs: list[np.ndarray], y: np.ndarray, rank: int = RANK, epochs: int = 15, rate: float = 0.3, decay: float = 1e-4, batch: int = 64, seed: int = 7) -> FactorizationMachine:
-    """docs: each one's distinct places. Single weights start at the terms' log odds; both labels weigh the same in the loss."""
+def interacting(docs: list[np.ndarray], names: np.ndarray, rest: np.ndarray, var: np.ndarray, block: int = 512) -> np.ndarray:
+    """Those of ``names`` that stand in a pair whose documents leave a rest of PAIR_Z standard errors: score tests of all pairs, by matrix products of blocks."""
+    numbers = [_numbers(names, d) for d in docs]
+    row, col = np.repeat(np.arange(len(docs)), [len(x) for x in numbers]), np.concatenate([*numbers, np.zeros(0, np.int64)])
+    x = np.zeros((len(docs), len(names)), np.float32)
+    x[row, col] = 1
+    keep = np.zeros(len(names), bool)
+    for a in range(0, len(names), block):
+        part = x[:, a : a + block]
+        z = np.abs((part * rest[:, None].astype(np.float32)).T @ x) / np.sqrt(np.maximum((part * var[:, None].astype(np.float32)).T @ x, 1e-9))
+        z[(part.T @ x) < MIN_DOCS] = 0
+        z[np.arange(part.shape[1]), a + np.arange(part.shape[1])] = 0
+        hit = z >= PAIR_Z
+        keep[a : a + block] |= hit.any(axis=1)
+        keep |= hit.any(axis=0)
+    return names[keep]
+
+
+def _numbers(names: np.ndarray, d: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(names, d)
+    return at[names[np.minimum(at, len(names) - 1)] == d] if len(names) else at[:0]
+
+
+def fit(docs: list[np.ndarray], y: np.ndarray, rank: int = RANK, **how) -> FactorizationMachine:
+    """docs: each one's distinct places. First with the terms that tell alone; then, on what those leave over, terms that tell in pairs join them."""
     share = float(y.mean()) if len(y) else 0.0
-    names, odds = telling(docs, y) if 0 < share < 1 else (np.zeros(0, np.int64), np.zeros(0))
-    if not len(names):
-        return FactorizationMachine(float(np.log((share + 1e-13) / (1 - share + 1e-13))), np.zeros(1, np.int64), np.zeros(1), np.zeros((1, rank)))
-    at = [np.searchsorted(names, d) for d in docs]
-    docs = [a[names[np.minimum(a, len(names) - 1)] == d] for a, d in zip(at, docs, strict=True)]
+    nothing = FactorizationMachine(float(np.log((share + 1e-13) / (1 - share + 1e-13))), np.zeros(1, np.int64), np.zeros(1), np.zeros((1, rank)))
+    if not 0 < share < 1:
+        return nothing
+    names, odds = telling(docs, y)
+    first = learn(docs, y, names, odds, rank, **how) if len(names) else nothing
+    place, seen = np.unique(np.concatenate(docs), return_counts=True)
+    often = place[seen >= max(MIN_DOCS, PAIR_SHARE * len(docs))]
+    numbers = [_numbers(first.names, d) for d in docs]
+    z = first.logits(np.repeat(np.arange(len(docs)), [len(x) for x in numbers]), np.concatenate(numbers), len(docs))
+    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    pairs = np.setdiff1d(interacting(docs, often, y - p, np.maximum(p * (1 - p), 0.02)), names)
+    if not len(pairs):
+        return first
+    every = np.concatenate([names, pairs])
+    order = np.argsort(every)
+    return learn(docs, y, every[order], np.concatenate([odds, np.zeros(len(pairs))])[order], rank, **how)
+
+
+def learn(docs: list[np.ndarray], y: np.ndarray, names: np.ndarray, start: np.ndarray, rank: int = RANK, epochs: int = 15, rate: float = 0.3, decay: float = 1e-4, batch: int = 64, seed: int = 7) -> FactorizationMachine:
+    """Single weights begin at ``start``; both labels weigh the same in the loss."""
+    share = float(y.mean())
+    docs = [_numbers(names, d) for d in docs]
     rng = np.random.default_rng(seed)
-    m = FactorizationMachine(0.0, names, odds, rng.normal(0, 0.01, (len(names), rank)))
+    m = FactorizationMachine(0.0, names, start.copy(), rng.normal(0, 0.01, (len(names), rank)))
     gw, gv, gb = np.full(len(names), 1e-6), np.full((len(names), rank), 1e-4), 1e-6
     weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
     order = np.arange(len(docs))

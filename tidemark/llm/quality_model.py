@@ -55,12 +55,9 @@ def units(data: np.ndarray, offs: np.ndarray) -> list[tuple[np.ndarray, np.ndarr
     return [grams, (words.starts, (1 << BITS) + (h >> np.uint64(64 - BITS)).astype(np.int64)), (words.starts[again], np.full(len(again), SAME))]
 
 
-def fit(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 10, rate: float = 60.0, seed: int = 5) -> tuple[np.ndarray, float]:
-    """docs: places and counts. Returns what each place adds to the logit (before averaging), and the bias."""
+def learn(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 10, rate: float = 60.0, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """docs: places and counts. Returns the vectors of all places, and the softmax's weights and biases of both labels."""
     size = SAME + 1
-    share = float(y.mean()) if len(y) else 0.0
-    if share in (0.0, 1.0):
-        return np.zeros(size, np.float32), 30.0 * (2 * share - 1)
     rng = np.random.default_rng(seed)
     e = rng.uniform(-1 / DIM, 1 / DIM, (size, DIM)).astype(np.float32)
     out, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
@@ -83,6 +80,15 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int =
             out -= 0.01 * lr * np.outer(p, hidden)
             bias -= 0.0005 * lr * p
             e[place] = own - lr * part[:, None] * back
+    return e, out, bias
+
+
+def fit(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, **how) -> tuple[np.ndarray, float]:
+    """What each place adds to the logit (before averaging), and the bias."""
+    share = float(y.mean()) if len(y) else 0.0
+    if share in (0.0, 1.0):
+        return np.zeros(SAME + 1, np.float32), 30.0 * (2 * share - 1)
+    e, out, bias = learn(docs, y, **how)
     return (e @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0])
 
 

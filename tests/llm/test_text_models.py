@@ -51,6 +51,69 @@ def test_a_pair_of_terms_tells_more_than_each():
     assert z[0] < 0 and z[1] < 0 and z[2] > 0 and np.linalg.norm(m.v[np.searchsorted(m.names, 1)]) > 0.1
 
 
+def test_terms_that_tell_only_by_their_meeting():
+    """Label 1 where just one of two terms occurs: neither alone, nor both, has any trend."""
+    rng = np.random.default_rng(1)
+    docs = [np.unique(np.concatenate([rng.integers(100, 160, 6), [1] * (k % 2), [2] * (k // 2 % 2)])).astype(np.int64) for k in range(1200)]
+    y = np.array([float(k % 2 != k // 2 % 2) for k in range(1200)])
+    assert not len(np.intersect1d(toxicity.telling(docs[:1000], y[:1000])[0], [1, 2]))
+    m = toxicity.fit(docs[:1000], y[:1000])
+    own = [toxicity._numbers(m.names, d) for d in docs[1000:]]
+    z = m.logits(np.repeat(np.arange(200), [len(x) for x in own]), np.concatenate(own), 200)
+    assert ((z > 0) == y[1000:]).mean() > 0.98
+    still = toxicity.fit(docs[:1000], rng.permutation(y[:1000]))  # labels without sense: no pair is taken for one that tells
+    assert not len(np.intersect1d(still.names, [1, 2]))
+
+
+def test_logits_equal_the_sum_over_pairs():
+    import itertools
+
+    rng = np.random.default_rng(2)
+    m = toxicity.FactorizationMachine(0.3, np.arange(9), rng.normal(size=9), rng.normal(size=(9, 4)))
+    docs = [rng.choice(9, k, replace=False) for k in (0, 1, 2, 5, 9)]
+    got = m.logits(np.repeat(np.arange(5), [len(d) for d in docs]), np.concatenate(docs), 5)
+    assert got == pytest.approx([0.3 + sum(m.w[i] for i in d) + sum(m.v[i] @ m.v[j] for i, j in itertools.combinations(d, 2)) for d in docs])
+
+
+def test_quality_equals_vectors_averaged_and_softmax(spark):
+    """Units cut out of the bytes one by one, their vectors averaged, the softmax of two labels."""
+    from tidemark.llm.common import hash_of
+
+    rng = np.random.default_rng(3)
+    rows = [(1, "a b b 12 x9é\n\tb b"), (2, ""), (3, None), (4, "ab"), (5, "Zw " * 40), (6, "ñ 日本 1 2 3"), (7, "a"), (7, "a b")]
+    known = [(np.unique(rng.integers(0, quality_model.SAME + 1, 40)), None) for _ in range(30)]
+    e, out, bias = quality_model.learn([(p, np.ones(len(p))) for p, _ in known], rng.integers(0, 2, 30))
+
+    def units(t):
+        b = [48 if 48 <= c < 58 else 32 if c in b" \t\n\r\v\f" else c for c in (t or "").encode()]
+        for x, y, z in zip(b, b[1:], b[2:], strict=False):
+            yield ((x << 16 | y << 8 | z) * 0x9E3779B1 % 2**32) >> (32 - quality_model.BITS)
+        before = None
+        for w in re.findall(r"[^\x20\x09-\x0D]+", t or ""):
+            yield (1 << quality_model.BITS) + (hash_of(w) >> (64 - quality_model.BITS))
+            if w == before:
+                yield quality_model.SAME
+            before = w
+
+    want = []
+    for i, t in rows:
+        own = list(units(t))
+        z = out @ (np.mean([e[u] for u in own], axis=0) if own else np.zeros(quality_model.DIM)) + bias
+        want.append((i, np.exp(z[1]) / np.exp(z).sum()))
+    model = ((e @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0]))
+    got = quality_model.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert sorted((r.doc_id, r.score) for r in got) == [(i, pytest.approx(p, abs=1e-5)) for i, p in sorted(want)]
+
+
+def test_samples_take_an_id_once(spark):
+    from tidemark.llm.samples import labelled
+
+    docs = spark.createDataFrame([(1, f"t{k % 3}", 0) for k in range(500)] + [(2, "b", 1), (3, "c", 1), (None, "d", 1)], "doc_id long, text string, y int")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (3, 1), (None, 1), (9, 1)], "doc_id long, quality int")
+    got = labelled(docs, labels, "quality", 1, 1, 10).collect()
+    assert sorted((r.doc_id, r.y) for r in got) == [(1, 1), (2, 0)]
+
+
 def base(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
@@ -76,10 +139,13 @@ def test_base_counts(spark):
     assert collections.Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got) == want
     assert not any(r.kept and r.base_failed for r in got)
     assert line_rules.judge(docs.limit(0), model).count() == 0
+    wide = docs.select("text", docs.doc_id.alias("n_words"), "doc_id", docs.text.alias("kept"))  # clashing names
+    assert collections.Counter(map(tuple, line_rules.judge(wide, model).collect())) == collections.Counter(map(tuple, got))
 
 
-def test_lines_part_clean_from_poor(spark):
-    docs, labels = (spark.read.parquet(f"{DATA}/sf0.01/{x}.parquet") for x in ("documents", "labels"))
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_lines_part_clean_from_poor(spark, size):
+    docs, labels = (spark.read.parquet(f"{DATA}/{size}/{x}.parquet") for x in ("documents", "labels"))
     got = line_rules.judge(docs, line_rules.train(docs, labels)).join(labels, "doc_id").where("not base_failed").toPandas()
     assert got[got.quality == 1].kept.mean() > 0.99 and got[got.quality == 0].kept.mean() < 0.2
 
@@ -94,7 +160,8 @@ def test_viterbi_and_gradient_by_enumeration():
     paths = list(itertools.product([0, 1], repeat=5))
     assert tuple(line_rules.viterbi(s, t).astype(int)) == max(paths, key=value)
     y = np.array([1, 0, 0, 1, 1])
-    dw, dt = line_rules.gradient(x, y, w, t)
+    _, dw, dt = line_rules.Chains([x[:2], x, x[:1]], [0, 1, 0]).value(np.concatenate([y[:2], y, y[:1]]), w, t)
+    assert line_rules.Chains([x], [1]).value(y, w, t)[0] == pytest.approx(value(y) - np.logaddexp.reduce([value(p) for p in paths]))
     like = lambda w, t: sum((x @ w)[i] for i in range(5) if y[i]) + sum(t[a, b] for a, b in zip(y, y[1:], strict=False)) - np.logaddexp.reduce([sum((x @ w)[i] for i in range(5) if p[i]) + sum(t[a, b] for a, b in zip(p, p[1:], strict=False)) for p in paths])
     for k in range(3):
         d = np.eye(3)[k] * 1e-6
@@ -110,7 +177,7 @@ def plain_spans(t):
     out = []
     for kind, p, ok in (
         ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s, d: True),
-        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s, d: all(int(x) <= 255 for x in s.split("."))),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s, d: all(len(y := x.lstrip("0")) < 4 and int(y or 0) <= 255 for x in s.split("."))),
         ("card", r"[0-9]([\x20-]?[0-9])+", lambda s, d: 16 <= len(d) <= 19 and luhn(d)),
         ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s, d: 8 <= len(d) <= 15),
     ):
@@ -118,7 +185,7 @@ def plain_spans(t):
     return out
 
 
-CASES = ["a.b@c.d.e, x@y", "1.2.3.4.5 300.1.1.1 0001.2.3.255", "4111 1111 1111 1111 4111-1111-1111-1112", "+1 (017) 555-7713 and +12 345", "é a@b.c ü 10.0.0.1", "a@b.c@d.e", "٣٣٣٣ 1٣.2.3.4", None, "", "9" * 20_000]
+CASES = ["a.b@c.d.e, x@y", "1.2.3.4.5 300.1.1.1 0001.2.3.255", "4111 1111 1111 1111 4111-1111-1111-1112", "+1 (017) 555-7713 and +12 345", "é a@b.c ü 10.0.0.1", "a@b.c@d.e", "a@b.c_@d.e a@b-.c. @x.y a@b a.b@c..d +@-.-", "0" * 5000 + ".1.1.1 1.2.3.256 1.2.3.0255", "1.2.3.4.5.6.7.8.9", "4111111111111111 4111111111111111 4111-1111-1111-1111-111", "+1 2 3 +12-34 (5) 67 89 ", "٣٣٣٣ 1٣.2.3.4", None, "", "9" * 20_000]
 
 
 def test_base_spans(spark):
@@ -129,6 +196,8 @@ def test_base_spans(spark):
     assert collections.Counter((r.doc_id, r.base_sha256, r.n_email, r.n_ip, r.n_card, r.n_phone) for r in got) == want
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert all(set(plain_spans(texts[r.doc_id])) <= set(r.spans.split(",")) for r in got if r.spans)
+    wide = docs.select("text", docs.doc_id.alias("spans"), "doc_id", docs.text.alias("n_ip"))  # clashing names
+    assert collections.Counter(map(tuple, pii.find(wide, field).collect())) == collections.Counter(map(tuple, got))
     assert pii.find(docs.limit(0), pii.fit(pii.train_counts(docs.limit(0)))).count() == 0
 
 
@@ -138,7 +207,7 @@ def test_a_number_in_full_pulls_its_short_form():
     full, short = "+1 (017) 555-7713", "017 555 7713"
     base = pii.base_spans(full + " x " + short)
     t = pii.tokens(full + " x " + short, base)
-    assert t.skip == [(0, 1)] and t.label == [4, 0]
+    assert t.skip == [(0, 1)] and t.label == [4, 0] and t.cut == [False, False]
     cells = [SimpleNamespace(features=x, label=y, before=-1, skip=0, n=n) for x, y, n in ((t.features[0], 4, 500), (t.features[1], 0, 12), (1, 0, 500))]
     field = pii.fit(cells)
     alone = pii.beliefs(pii.tokens(short, []), field)[0, 4]
@@ -151,7 +220,7 @@ def test_messages_equal_enumeration_on_a_tree():
 
     rng = np.random.default_rng(3)
     f = pii.Field(rng.normal(size=(5, pii.N_FEATURES)), rng.normal(size=(5, 5)), rng.normal(size=5))
-    t = pii.Tokens([0, 1, 2], [1, 2, 3], [3, 5, 9], [0, 0, 0], [(0, 1)], [(1, 2)])
+    t = pii.Tokens([0, 1, 2], [1, 2, 3], [3, 5, 9], [0, 0, 0], [False] * 3, [(0, 1)], [(1, 2)])
     x = ((np.array(t.features)[:, None] >> np.arange(pii.N_FEATURES)) & 1) @ f.w.T
     p = np.zeros((3, 5))
     for y in itertools.product(range(5), repeat=3):
@@ -159,3 +228,34 @@ def test_messages_equal_enumeration_on_a_tree():
         for i in range(3):
             p[i, y[i]] += v
     assert pii.beliefs(t, f, 200, 1e-12) == pytest.approx(p / p.sum(axis=1, keepdims=True), abs=1e-6)
+
+
+@pytest.mark.parametrize("unit", ["a", "0", "1.", "a@", "+1", "(", "a@b.c ", "+1 ", " 1", "a.", "1-", "w1 "])
+def test_spans_take_time_in_proportion_to_the_text(unit):
+    import time
+
+    for text in (unit * (2_000_000 // len(unit)), "x@" + unit * (2_000_000 // len(unit)) + "@"):
+        began = time.perf_counter()
+        pii.tokens(text, pii.base_spans(text))
+        assert time.perf_counter() - began < 20  # a quadratic pattern takes hours
+
+
+def test_the_field_on_the_table(spark):
+    """What it adds is right; and a number given in full is found again in a short form, by its skip link alone."""
+    import random
+
+    docs = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet").select("doc_id", "text")
+    field = pii.fit(pii.train_counts(docs))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    added = [(i, k, texts[i][s:e]) for i in texts for k, s, e in pii.added_spans(texts[i], pii.base_spans(texts[i]), field)]
+    assert len(added) >= 2 and all(k == 2 and len(t) == 16 and pii.luhn(t) for _, k, t in added)  # cards side by side, which the pattern drops
+    unlinked = pii.Field(field.w, field.chain, np.zeros(len(pii.LABELS)))
+    rng, n, linked, alone, other = random.Random(1), 0, 0, 0, 0
+    for t in texts.values():
+        phones = [t[s:e] for k, s, e in pii.base_spans(t) if k == 3]
+        if phones:
+            short = re.sub("[()]", "", phones[0][3:])
+            wrong = re.sub("[0-9]", lambda m: str(rng.randrange(10)), short)
+            hit = lambda x, f: any(k == 3 and (t + " call " + x + " now")[s:e] == x for k, s, e in pii.added_spans(t + " call " + x + " now", pii.base_spans(t + " call " + x + " now"), f))  # noqa: B023, E731
+            n, linked, alone, other = n + 1, linked + hit(short, field), alone + hit(short, unlinked), other + hit(wrong, field)
+    assert n > 100 and linked >= 0.95 * n and alone == 0 and other == 0

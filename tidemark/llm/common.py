@@ -8,6 +8,7 @@ a multi-byte character, so byte positions and words agree with what a regular ex
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,6 +20,10 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step takes at a time; a longer document is a step of its own.
 CHUNK = 1 << 20
+#: Bytes that are hashed at a time: the tables of powers have this length, however long a text or a word is.
+WINDOW = 1 << 17
+#: Bytes of a row group in tables that hold whole texts: what a writing task buffers.
+ROW_GROUP = 16 << 20
 #: A word as a Java / RE2 / Python pattern.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -28,9 +33,11 @@ _U = np.uint64
 # ---------------------------------------------------------------- shared storage
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder all executors see: ``spark.checkpoint.dir``. In local mode, where one process is all there is, a folder of our own if that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors see")
         at = getattr(shared_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
         shared_dir.own = at
     return at.rstrip("/")
@@ -43,7 +50,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage, survives the loss of executors."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -117,18 +124,42 @@ TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 TERM_CODES = np.where(TERM, CODES_LOWER, 0).astype(np.uint64)
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+@functools.cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
     def of(p: int) -> np.ndarray:
-        x = np.full(n, p, _U)
+        x = np.full(WINDOW, p, _U)
         x[0] = 1
         return np.multiply.accumulate(x)
 
     return of(_P), of(_P_INV)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(20, int(n).bit_length()))
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes [start, end), by the codes of its bytes and their places in the run.
+
+    Runs are in order and don't overlap; bytes between two runs must have code 0. A run longer than WINDOW is folded part by part.
+    """
+    out = np.zeros(len(starts), _U)
+    up, down = _powers()
+    i = 0
+    while i < len(starts):
+        base = int(starts[i])
+        j = int(np.searchsorted(ends, base + WINDOW, "right"))
+        if j > i:
+            x = codes[data[base : ends[j - 1]]]
+            x *= up[: len(x)]
+            at = starts[i:j] - base
+            out[i:j] = np.add.reduceat(x, at) * down[at]
+            i = j
+            continue
+        total, scale = 0, 1
+        for k in range(base, int(ends[i]), WINDOW):
+            x = codes[data[k : min(k + WINDOW, int(ends[i]))]]
+            total += int((x * up[: len(x)]).sum(dtype=_U)) * scale
+            scale = scale * pow(_P, WINDOW, 1 << 64) % (1 << 64)
+        out[i] = total % (1 << 64)
+        i += 1
+    return mix(out)
 
 
 class Words:
@@ -158,14 +189,7 @@ class Words:
 
     def hashes(self, lower: bool = False, codes: np.ndarray | None = None) -> np.ndarray:
         """A 64-bit hash of each word (ASCII letters folded if ``lower``), equal for equal words only, but for chance of 2**-64."""
-        if not len(self.starts):
-            return np.zeros(0, _U)
-        up, down = powers(len(self.data))
-        x = (codes if codes is not None else CODES_LOWER if lower else CODES)[self.data]
-        x *= up[: len(x)]
-        x = np.add.reduceat(x, self.starts)
-        x *= down[self.starts]
-        return mix(x)
+        return run_hashes(self.data, self.starts, self.ends, codes if codes is not None else CODES_LOWER if lower else CODES)
 
     def grams(self, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all windows of n words inside one document, and where each window's first word is."""

@@ -14,7 +14,7 @@ import re
 
 import numpy as np
 
-from .common import mix, powers
+from .common import mix, run_hashes
 
 _U = np.uint64
 _ODD = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x1c-\x1f]|<\|")
@@ -24,8 +24,8 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _PUNCT[[x for x in range(33, 127) if not chr(x).isalnum() and chr(x) != "'"]] = True
 _CODES = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
-#: Distinct parts that a worker keeps encoded.
-KEEP = 2_000_000
+#: Distinct parts, and ids of theirs, that a worker keeps encoded; it starts anew beyond.
+KEEP, KEEP_IDS = 400_000, 4_000_000
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -105,7 +105,7 @@ class Encoder:
         return keys[order], slot[order]
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.at) > KEEP:
+        if len(self.at) > KEEP or len(self.ids) > 2 * KEEP_IDS:
             self.clear()
         raw = data.tobytes()
         odd = np.zeros(len(offs) - 1, bool)
@@ -118,13 +118,8 @@ class Encoder:
             cut[1:] = (space[1:] & ~space[:-1]) | (_LETTER[data[:-1]] & _PUNCT[data[1:]])
             cut[offs[:-1][offs[:-1] < len(data)]] = True
             starts = np.flatnonzero(cut)
-            up, down = powers(len(data))
-            h = _CODES[data]
-            h *= up[: len(h)]
-            h = np.add.reduceat(h, starts)
-            h *= down[starts]
-            h = mix(h)
             ends = np.append(starts[1:], len(data))
+            h = run_hashes(data, starts, ends, _CODES)
             keep = ~odd[np.searchsorted(offs, starts, "right") - 1] if odd.any() else slice(None)
             starts, ends, h = starts[keep], ends[keep], h[keep]
         else:

@@ -11,14 +11,17 @@ from .common import learns
 def labelled(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int, per_class: int) -> DataFrame:
     """doc_id, text, y of at most ``per_class`` documents of each label, by the order of a hash of their ids.
 
-    Only rows that may be learnt from; null labels and ids are left out. The ids chosen are at most
-    2 * per_class rows, which bounds what is broadcast; repeated ids count once.
+    Only rows that may be learnt from; null labels and ids are left out, and so are ids that have both labels. The ids chosen
+    are at most 2 * per_class rows, which bounds what is broadcast. An id is one row however often it is in ``docs``:
+    the one with the smallest hash of its text.
     """
-    known = labels.select("doc_id", F.col(label).alias("y")).where(learns(parts, held) & F.col("doc_id").isNotNull())
+    known = labels.select("doc_id", F.col(label).alias("y")).where(learns(parts, held) & F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
+    one = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("_most")).where("y = _most").drop("_most")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    classes = [known.where(F.col("y") == y).dropDuplicates(["doc_id"]).orderBy(*order).limit(per_class) for y in (0, 1)]
+    classes = [one.where(F.col("y") == y).orderBy(*order).limit(per_class) for y in (0, 1)]
     chosen = F.broadcast(classes[0].unionByName(classes[1]))
-    return docs.select("doc_id", "text").join(chosen, "doc_id")
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min_by(F.struct("text"), F.xxhash64("text")).alias("t")).select("doc_id", F.col("t.text").alias("text"), "y")
 
 
 def contract(scored: DataFrame, parts: int, held: int, threshold: float) -> DataFrame:

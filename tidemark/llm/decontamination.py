@@ -5,6 +5,9 @@ with substituted tokens still meets under some mask. Training and benchmark hash
 two texts are compared on the hit's diagonal: any window of MIN_OVERLAP tokens and more, or of the whole item if that is
 shorter, in which at least 80 % match (a match counts 1, a mismatch -4, the sum is not negative) makes the pair contaminated.
 
+Diagonals are tried in order of their hits, until one has such a window: its best window is what is reported. A hash is one row of a
+text and one of an item, however often they repeat it, so repetitive texts and items meet in rows that grow with their lengths.
+
 A filter of fixed size (FILTER_BITS), built from all benchmark hashes by Spark's bitmap aggregate, is broadcast, so that
 only training hashes that may meet one are kept for the join; it grows with neither table. With a hit goes the part
 of its text that the longest item can reach, so documents are read once.
@@ -50,22 +53,36 @@ def seeds(h: np.ndarray, of: np.ndarray, mask: str, number: int) -> tuple[np.nda
     return mix(x), at
 
 
+def by_hash(of: np.ndarray, hashes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Owner and hash of each distinct (owner, hash), and its places in order, packed as 32-bit integers."""
+    order = np.lexsort((places, hashes, of))
+    of, hashes, places = of[order], hashes[order], places[order].astype("<i4")
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (hashes[1:] != hashes[:-1])
+    cuts = np.append(np.flatnonzero(new), len(of)).astype(np.int32) * np.int32(4)
+    packed = pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(places.tobytes())])
+    return of[new], hashes[new], packed
+
+
 def benchmark_hashes(items: DataFrame, masks: list[str]) -> DataFrame:
-    """hash, item_id, at."""
+    """hash, item_id, ats: a row for each distinct hash of an item, with all its places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, _, data, offs in texts(b):
                 h, of = tokens(data, offs)
+                found = []
                 for number, mask in enumerate(masks):
                     x, at = seeds(h, of, mask, number)
                     row = np.searchsorted(of, at, "right") - 1
                     if number >= len(MASKS):  # only items that are just as long
                         whole = np.diff(of)[row] == len(mask)
                         x, at, row = x[whole], at[whole], row[whole]
-                    yield pa.RecordBatch.from_pydict({"hash": pa.array(x.view(np.int64)), "item_id": b.column(0).take(pa.array(first + row)), "at": pa.array(at - of[row], pa.int32())})
+                    found.append((row, x, at - of[row]))
+                row, x, ats = by_hash(*(np.concatenate(c) for c in zip(*found, strict=True)))
+                yield pa.RecordBatch.from_pydict({"hash": pa.array(x.view(np.int64)), "item_id": b.column(0).take(pa.array(first + row)), "ats": ats})
 
-    return items.mapInArrow(run, "hash long, item_id long, at int")
+    return items.mapInArrow(run, "hash long, item_id long, ats binary")
 
 
 def benchmark_tokens(items: DataFrame) -> DataFrame:
@@ -110,6 +127,42 @@ def best_stretch(same: np.ndarray) -> tuple[int, int]:
     return int(start[top]), int(to[top])
 
 
+def diagonals(shared: list[tuple[np.ndarray, np.ndarray]], most: int = 1 << 20) -> np.ndarray:
+    """Distinct differences of places of a text and an item under the same hash; those with most hits first, then the smallest.
+
+    Where both repeat a hash so often that the pairs of places are more than ``most``, hits are counted by a convolution: its
+    work grows with the length of the text and the item, not with their product.
+    """
+    found, held = [], 0
+    values, hits = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def merge(more: np.ndarray, count: np.ndarray) -> None:
+        nonlocal values, hits
+        values, which = np.unique(np.concatenate([values, more]), return_inverse=True)
+        hits = np.bincount(which, np.concatenate([hits, count])).astype(np.int64)
+
+    for p, a in shared:
+        p, a = p.astype(np.int64), a.astype(np.int64)
+        if len(p) * len(a) <= most:
+            found.append((p[:, None] - a[None, :]).ravel())
+            held += len(found[-1])
+            if held > 4 * most:
+                merge(np.concatenate(found), np.ones(held, np.int64))
+                found, held = [], 0
+            continue
+        n, m = int(np.ptp(p)) + 1, int(np.ptp(a)) + 1
+        x, y = np.zeros(n), np.zeros(m)
+        x[p - p.min()] = 1
+        y[a.max() - a] = 1
+        size = 1 << (n + m - 1).bit_length()
+        count = np.rint(np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(y, size), size)[: n + m - 1]).astype(np.int64)
+        at = np.flatnonzero(count)
+        merge(at + int(p.min()) - int(a.max()), count[at])
+    if held:
+        merge(np.concatenate(found), np.ones(held, np.int64))
+    return values[np.lexsort((values, -hits))]
+
+
 def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     """A row per contaminated document and item: doc_id, text_key (a hash of the text), item_id, overlap, matched, start (token of the text)."""
     spark = docs.sparkSession
@@ -143,32 +196,33 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
                 order = np.argsort(at, kind="stable")
                 x, at = x[order], at[order]
                 row = np.searchsorted(of, at, "right") - 1
-                apart = np.flatnonzero((np.diff(at) > 2 * reach) | (np.diff(row) > 0)) + 1
-                lo, hi = np.concatenate([[0], apart]), np.concatenate([apart, [len(x)]])
+                apart = np.concatenate([[False], (np.diff(at) > 2 * reach) | (np.diff(row) > 0)])
+                lo = np.flatnonzero(np.concatenate([[True], apart[1:]]))
+                hi = np.append(lo[1:], len(x))
                 rows = row[lo]
                 start = np.maximum(of[rows], at[lo] - reach)
                 end = np.minimum(of[rows + 1], at[hi - 1] + reach)
-                cuts = pa.array(np.append(lo, len(x)), pa.int32())
+                part, x, places = by_hash(np.cumsum(apart), x, at - of[row])
+                cuts = pa.array(np.searchsorted(part, np.arange(len(lo) + 1)), pa.int32())
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": b.column(0).take(pa.array(first + rows)), "text_key": b.column(2).take(pa.array(first + rows)), "start": pa.array(start - of[rows], pa.int32()),
                     "tokens": pa.array([h[s:e].tobytes() for s, e in zip(start, end, strict=True)], pa.binary()),
-                    "hashes": pa.ListArray.from_arrays(cuts, pa.array(x.view(np.int64))), "places": pa.ListArray.from_arrays(cuts, pa.array(at - of[row], pa.int32())),
+                    "hashes": pa.ListArray.from_arrays(cuts, pa.array(x.view(np.int64))), "places": pa.ListArray.from_arrays(cuts, places),
                 })
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
-    parts = written(rows.mapInArrow(scan, "doc_id long, text_key long, start int, tokens binary, hashes array<long>, places array<int>").withColumn("part", F.xxhash64("doc_id", "text_key", "start")), "bench-parts")
-    hits = parts.select("part", F.explode(F.arrays_zip("hashes", "places")).alias("h")).select("part", F.col("h.hashes").alias("hash"), F.col("h.places").alias("place"))
-    # On a hash that very many documents share, adaptive execution splits this join's skewed side.
-    diagonals = hits.join(hashes, "hash").select("part", "item_id", (F.col("place") - F.col("at")).alias("diagonal")).distinct()
-    pairs = diagonals.groupBy("part", "item_id").agg(F.collect_list("diagonal").alias("diagonals"))
+    parts = written(rows.mapInArrow(scan, "doc_id long, text_key long, start int, tokens binary, hashes array<long>, places array<binary>").withColumn("part", F.xxhash64("doc_id", "text_key", "start")), "bench-parts")
+    hits = parts.select("part", F.explode(F.arrays_zip("hashes", "places")).alias("h")).select("part", F.col("h.hashes").alias("hash"), F.col("h.places").alias("places"))
+    # A row for each hash that a part and an item share, however often either repeats it. On a hash that very many documents
+    # share, adaptive execution splits this join's skewed side.
+    pairs = hits.join(hashes, "hash").groupBy("part", "item_id").agg(F.collect_list(F.struct("places", "ats")).alias("shared"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for i, (start, raw, item, diagonals) in enumerate(zip(*(b.column(k).to_pylist() for k in (3, 4, 5, 6)), strict=True)):
+            for i, (start, raw, item, shared) in enumerate(zip(*(b.column(k).to_pylist() for k in (3, 4, 5, 6)), strict=True)):
                 t, u = np.frombuffer(raw, _U), np.frombuffer(item, _U)
-                top = (0, 0, 0)
-                for d in sorted(diagonals):
+                for d in diagonals([(np.frombuffer(x["places"], "<i4"), np.frombuffer(x["ats"], "<i4")) for x in shared]).tolist():
                     a = d - start  # of the item's first token in t
                     lo, hi = max(0, -a), min(len(u), len(t) - a)
                     if hi <= lo:
@@ -176,14 +230,13 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
                     same = t[a + lo : a + hi] == u[lo:hi]
                     s, e = best_stretch(same)
                     if e - s >= min(MIN_OVERLAP, len(u)):
-                        top = max(top, (int(same[s:e].sum()), e - s, -(d + lo + s)))
-                if top[1]:
-                    out.append((i, *top))
+                        out.append((i, int(same[s:e].sum()), e - s, d + lo + s))
+                        break
             pick = b.select(["doc_id", "text_key", "item_id"]).take(pa.array([x[0] for x in out], pa.int64()))
-            yield pa.RecordBatch.from_pydict({n: pick.column(n) for n in ("doc_id", "text_key", "item_id")} | {"overlap": pa.array([x[2] for x in out], pa.int32()), "matched": pa.array([x[1] for x in out], pa.int32()), "start": pa.array([-x[3] for x in out], pa.int32())})
+            yield pa.RecordBatch.from_pydict({n: pick.column(n) for n in ("doc_id", "text_key", "item_id")} | {"overlap": pa.array([x[2] for x in out], pa.int32()), "matched": pa.array([x[1] for x in out], pa.int32()), "start": pa.array([x[3] for x in out], pa.int32())})
 
     both = pairs.join(parts.select("part", "doc_id", "text_key", "start", "tokens").dropDuplicates(["part"]), "part").join(known, "item_id")
-    verified = both.select("doc_id", "text_key", "item_id", "start", "tokens", "item", "diagonals").mapInArrow(verify, "doc_id long, text_key long, item_id long, overlap int, matched int, start int")
+    verified = both.select("doc_id", "text_key", "item_id", "start", "tokens", "item", "shared").mapInArrow(verify, "doc_id long, text_key long, item_id long, overlap int, matched int, start int")
     best = F.max(F.struct("matched", "overlap", (-F.col("start")).alias("s"))).alias("b")
     return verified.groupBy("doc_id", "text_key", "item_id").agg(best).select("doc_id", "text_key", "item_id", F.col("b.overlap").alias("overlap"), F.col("b.matched").alias("matched"), (-F.col("b.s")).alias("start"))
 
@@ -194,6 +247,11 @@ def op3_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that overlap no item, with all their columns."""
-    bad = overlaps(docs, items).select("doc_id", "text_key").distinct().withColumnsRenamed({"doc_id": "_bad_id", "text_key": "_bad_key"})
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad_id")) & (F.xxhash64("text") == F.col("_bad_key")), "left_anti")
+    """The rows of ``docs`` that overlap no item, with all their columns.
+
+    What is contaminated is a table of ids and hashes, so its size is known and Spark broadcasts it if it is small;
+    texts are shuffled only if it isn't.
+    """
+    bad = written(overlaps(docs, items).select("doc_id", "text_key").distinct(), "bench-bad").alias("b")
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key")).alias("o")
+    return own.join(bad, F.col("o.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("o.text_key") == F.col("b.text_key")), "left_anti").select("row.*")

@@ -414,13 +414,21 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Of each component the row with its smallest doc_id (then text hash) stays; of rows equal in doc_id and text, one. Texts without a shingle all stay."""
+    """Of each component the row with its smallest doc_id (then text hash) stays; of rows equal in doc_id and text, one. Texts without a shingle all stay.
+
+    What goes, and what is there more than once, are tables of ids and hashes: Spark broadcasts them if they are small.
+    Texts are shuffled only for rows that are there more than once.
+    """
     found = written(grouped(docs, words, percent), "jaccard-groups")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    pair = F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("text_key").alias("key")
     top = found.where("label IS NOT NULL").groupBy("label").agg(F.min(order).alias("top"))
-    gone = found.join(top, "label").where(order != F.col("top")).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text_key").alias("_key")).distinct()
-    own = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_key", F.xxhash64("text"))
-    return own.join(gone, ["_id", "_key"], "left_anti").dropDuplicates(["_id", "_key"]).drop("_id", "_key")
+    gone = written(found.join(top, "label").where(order != F.col("top")).select(*pair).distinct(), "jaccard-gone")
+    twice = written(found.select(*pair).groupBy("id", "key").count().where("count > 1").select("id", "key"), "jaccard-twice")
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("key"))
+    left = own.join(gone, ["id", "key"], "left_anti")
+    once = left.join(twice, ["id", "key"], "left_anti")
+    return once.unionByName(left.join(twice, ["id", "key"], "left_semi").dropDuplicates(["id", "key"])).select("row.*")
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -13,12 +13,13 @@ Nulls: a null text has size 0, a null source is a source of its own, a null doc_
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, table, written
 
 WEIGHTS = (3, 1, 2)
+SEED = "mix-1"
 #: Hexadecimal digits of a key that make its bucket: 4096 ranges of keys in each source.
 RANGE_DIGITS = 3
 
@@ -46,11 +47,17 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return final.select("source", "source_size", F.least(cap, F.coalesce(F.col("at_level") * F.col("weight"), cap)).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, seed: str = "mix-1", carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row, and the columns named in ``carry``."""
-    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+def key_of(seed: str) -> Column:
+    return F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+
+
+def placed(docs: DataFrame, weights: tuple[int, ...], share: float, most: int, seed: str, more: dict[str, Column]) -> DataFrame:
+    """doc_id, source, size, key, source_size, target, epochs (whole ones), left (words after them) and prefix (words of the source before the row); and ``more``.
+
+    Rows of a source are in order of key, doc_id, ``more``, size.
+    """
     sized = written(
-        docs.select(*carry, "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key")).withColumn("range", F.substring("key", 1, RANGE_DIGITS)),
+        docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key_of(seed).alias("key"), *(c.alias(n) for n, c in more.items())).withColumn("range", F.substring("key", 1, RANGE_DIGITS)),
         "mix-sized",
     )
     sums = sized.groupBy("source", "range").agg(F.sum("size").alias("in_range"))
@@ -58,29 +65,47 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     # At most 16 ** RANGE_DIGITS rows of each source here, whatever its number of documents.
     before = sums.withColumn("before", F.sum("in_range").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)))
     g, b = goal.alias("g"), before.alias("b")
-    placed = b.join(g, F.col("b.source").eqNullSafe(F.col("g.source"))).select(F.col("b.source").alias("s"), F.col("range").alias("r"), F.coalesce("before", F.lit(0)).alias("before"), "source_size", "target")
-    rows = sized.join(placed, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = b.join(g, F.col("b.source").eqNullSafe(F.col("g.source"))).select(F.col("b.source").alias("s"), F.col("range").alias("r"), F.coalesce("before", F.lit(0)).alias("before"), "source_size", "target")
+    rows = sized.join(ranges, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
+    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", *more, "size").rowsBetween(Window.unboundedPreceding, -1)
     prefix = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
-    left = budget - epochs * F.col("source_size") - prefix
-    taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))
-    return rows.select(*carry, "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return rows.select("doc_id", "source", "size", "key", "source_size", "target", epochs.alias("epochs"), (budget - epochs * F.col("source_size")).alias("left"), prefix.alias("prefix"), *more)
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, seed: str = SEED) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every row."""
+    taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("prefix")))
+    return placed(docs, weights, share, most, seed, {}).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
-def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
+def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, seed: str = SEED) -> DataFrame:
     """The mix as rows of ``docs``: each as often as the mix takes it.
 
     Documents stay whole, so a source may pass its budget by less than one document. Rows of size 0 stay as they are.
-    Rows that are equal in doc_id, source and text are alike and take what they take together.
+    Texts are not shuffled: a source's rows are taken up to one row, its cut, so a table with a row per source decides
+    on every document where it lies. Rows that are equal in doc_id, source and text are alike; if the cut falls among
+    such rows, they go through one of them, as often as they are taken together.
     """
-    row = F.md5(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("doc_id", "source", "text"))))
-    taken = mix(docs.withColumn("_row", row), weights, share, most, carry=("_row",))
-    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.ceil(F.col("taken") / F.col("size")))
-    often = taken.groupBy("_row").agg(F.sum(copies).cast("int").alias("_copies")).where("_copies > 0")
-    kept = docs.withColumn("_row", row).dropDuplicates(["_row"]).join(often, "_row")
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = written(placed(docs, weights, share, most, seed, {"text_key": F.xxhash64("text")}), "mix-placed")
+    at, in_ = F.struct("key", "text_key"), F.col("prefix") < F.col("left")
+    last = written(rows.groupBy("source").agg(F.max(F.when(in_, at)).alias("cut"), F.first("epochs").alias("epochs")), "mix-cuts")
+    a, c = rows.select("source", at.alias("at"), in_.alias("in_")).alias("a"), last.alias("c")
+    alike = a.join(c, F.col("a.source").eqNullSafe(F.col("c.source")) & (F.col("a.at") == F.col("c.cut"))).groupBy("a.source").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("in_"), 1)).alias("n_in"))
+    n = alike.alias("n")
+    ends = c.join(n, F.col("n.source").eqNullSafe(F.col("c.source")), "left")
+    cuts = written(ends.select(F.col("c.source").alias("source"), "cut", "epochs", F.coalesce("n.n", F.lit(0)).alias("n"), F.coalesce("n.n_in", F.lit(0)).alias("n_in")), "mix-cuts")
+
+    own = docs.select(F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("row"), "source", F.struct(key_of(seed).alias("key"), F.xxhash64("text").alias("text_key")).alias("at"), F.coalesce(F.col("text").rlike(WORD), F.lit(False)).alias("words"))
+    o, c = own.alias("o"), cuts.alias("c")
+    joined = o.join(c, F.col("o.source").eqNullSafe(F.col("c.source"))).select("row", "o.source", "at", "words", "cut", "epochs", "n", "n_in")
+    many = F.col("words") & F.coalesce(F.col("at") == F.col("cut"), F.lit(False)) & (F.col("n") > 1)
+    once = F.when(~F.col("words"), F.lit(1)).otherwise(F.col("epochs") + F.coalesce(F.col("at") <= F.col("cut"), F.lit(False)).cast("int"))
+    single = joined.where(~many).select("row", once.cast("int").alias("copies"))
+    group = joined.where(many).dropDuplicates(["source", "at"]).select("row", (F.col("n") * F.col("epochs") + F.col("n_in")).cast("int").alias("copies"))
+    kept = single.unionByName(group).where("copies > 0")
+    return kept.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op6_mixture(spark, sf_dir: str) -> DataFrame:
@@ -88,7 +113,7 @@ def op6_mixture(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
-def oracle(docs: str = "documents", seed: str = "mix-1") -> str:
+def oracle(docs: str = "documents", seed: str = SEED) -> str:
     """The same rows in DuckDB SQL."""
     return rf"""
 WITH sized AS (

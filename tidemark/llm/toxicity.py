@@ -194,7 +194,10 @@ def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
 
 def accepted(docs: DataFrame, model: FactorizationMachine, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below the threshold."""
-    return with_score(docs, model, "_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
+    name = "toxicity"
+    while name in docs.columns:
+        name += "_"
+    return with_score(docs, model, name).where(F.col(name) < threshold).drop(name)
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 import io
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -119,13 +119,73 @@ class TokenFile:
         return out
 
 
-def _store(path: str, raw: bytes) -> None:
-    """Put a file where all executors see it; written under a name of its own, so that a task run twice does no harm."""
+class StoredFile:
+    """A token file where it lies: opening it reads the heads of its parts, and a token one chunk, one block of a bitmap and one directory entry a level.
+
+    ``read(at, n)`` returns n bytes of the file from ``at``.
+    """
+
+    def __init__(self, read: Callable[[int, int], bytes]):
+        self.read = read
+        head = read(0, 20)
+        assert head[:8] == MAGIC, "not a token file"
+        self.n_docs, n_levels = struct.unpack_from("<QI", head, 8)
+        self.starts_at = 20 + 9 * self.n_docs
+        at, self.levels = self.starts_at + 8 * (self.n_docs + 1), []
+        for _ in range(n_levels):
+            chunks, bits, entries = struct.unpack("<QQQ", read(at, 24))
+            self.levels.append((at + 24, at + 24 + chunks, at + 24 + chunks + bits))
+            at += 24 + chunks + bits + 4 * entries
+        self.n_tokens = struct.unpack("<QQQ", read(self.levels[0][0] - 24, 24))[0]
+
+    def token(self, i: int) -> int:
+        """The i-th token of the file."""
+        if not 0 <= i < self.n_tokens:
+            raise IndexError(i)
+        value = shift = 0
+        for chunks, bits, directory in self.levels:
+            value |= self.read(chunks + i, 1)[0] << shift
+            block = i // BLOCK
+            own = int.from_bytes(self.read(bits + block * (BLOCK // 8), BLOCK // 8), "little")
+            if not own >> (i % BLOCK) & 1:
+                break
+            before = struct.unpack("<I", self.read(directory + 4 * block, 4))[0]
+            i, shift = before + (own & ((1 << i % BLOCK) - 1)).bit_count(), shift + 8
+        return value
+
+    def document(self, k: int) -> tuple[int, int]:
+        """[start, end) of the k-th document's tokens."""
+        return struct.unpack("<QQ", self.read(self.starts_at + 8 * k, 16))
+
+
+def open_file(path: str) -> StoredFile:
+    where, at = _at(path)
+    f = where.open_input_file(at)
+
+    def read(begin: int, n: int) -> bytes:
+        f.seek(begin)
+        return f.read(n)
+
+    return StoredFile(read)
+
+
+#: Names that Spark has for a store, by the name for it here; file, hdfs, viewfs, gs and s3 are the same.
+STORES = {"s3a": "s3", "s3n": "s3"}
+
+
+def _at(path: str) -> tuple:
     from pyarrow import fs
 
-    where, at = fs.FileSystem.from_uri(path.rpartition("/")[0])
+    scheme, sign, rest = path.partition("://")
+    return fs.FileSystem.from_uri(f"{STORES.get(scheme, scheme)}{sign}{rest}")
+
+
+def _store(path: str, raw: bytes) -> None:
+    """Put a file where all executors see it; written under a name of its own, so that a task run twice does no harm."""
+    folder, _, name = path.rpartition("/")
+    where, at = _at(folder)
     where.create_dir(at, recursive=True)
-    with where.open_output_stream(f"{at}/{path.rpartition('/')[2]}") as out:
+    with where.open_output_stream(f"{at}/{name}") as out:
         out.write(raw)
 
 
@@ -181,11 +241,9 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     """From the files: doc_id, start (tokens of all documents before it), n_tokens, tokens (little-endian 32-bit ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         for batch in batches:
             for path, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                where, at = fs.FileSystem.from_uri(path)
+                where, at = _at(path)
                 with where.open_input_stream(at) as f:
                     file = TokenFile.loads(f.read())
                 tokens, starts = file.tokens().astype("<u4"), file.starts.astype(np.int64)

@@ -42,6 +42,9 @@ def test_file_round_trip_and_access(n):
     f = tokenfile.TokenFile.loads(tokenfile.TokenFile.of(np.array([7, 8, 0]), np.array([1, 1, 0]), starts, tokens).dumps())
     assert f.tokens().tolist() == tokens.tolist() and f.starts.tolist() == starts.tolist() and f.known.tolist() == [1, 1, 0]
     assert [f.token(i) for i in range(n)] == tokens.tolist()
+    raw, took = tokenfile.TokenFile.of(np.array([7, 8, 0]), np.array([1, 1, 0]), starts, tokens).dumps(), []
+    stored = tokenfile.StoredFile(lambda at, k: (took.append(k), raw[at : at + k])[1])
+    assert [stored.token(i) for i in range(n)] == tokens.tolist() and max(took) <= 64 and [stored.document(k) for k in range(3)] == list(zip(starts.tolist(), starts[1:].tolist(), strict=False))
 
 
 def plain(rows, lib):
@@ -72,6 +75,10 @@ def test_small_files_make_the_same_rows(spark, lib):
 
     m = tokenfile.write_tokens(df, new_path(spark, "t"), encode.vocabulary(), file_tokens=500)
     assert m.count() > 10
+    row = m.orderBy("part", "seq").first()
+    stored = tokenfile.open_file(row.path)
+    first = tokenfile.read_tokens(m.where(m.path == row.path)).orderBy("start").first()
+    assert [stored.token(i) for i in range(*stored.document(0))] == np.frombuffer(first.tokens, "<u4").tolist()
     back = tokenfile.read_tokens(m).orderBy("start").collect()
     assert [(r.doc_id, r.start, r.n_tokens, zlib.crc32(r.tokens)) for r in back] == plain([tuple(r) for r in df.select("doc_id", "text").collect()], lib)
 

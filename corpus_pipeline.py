@@ -19,8 +19,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of the n-gram Jaccard join stays."""
-    return jaccard.one_of_each(docs)
+    """One document of each group of the n-gram Jaccard join, on five words and a similarity of 0.8, stays."""
+    return jaccard.one_of_each(docs, words=5, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ def spark():
 def cell(v):
     import math
 
-    if v is None or v != v or str(v) in ("NaT", "<NA>"):
+    if v is None or str(v) in ("NaT", "<NA>") or v != v:
         return None
     if isinstance(v, bool) or type(v).__name__ == "bool_":
         return bool(v)

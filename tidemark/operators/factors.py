@@ -96,14 +96,14 @@ def first_failed(gates: list[tuple[str, Column]], off: tuple[str, ...] = ()) ->
     return F.coalesce(*(F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in on), F.lit(None).cast("string"))
 
 
-def levels(low15: Column) -> dict[str, Column]:
-    """Stop, targets and the reason against a signal at the bar's close."""
+def levels(low15: Column, wild: float = 6.0, loss_band: tuple[float, float] = (0.5, 10.0)) -> dict[str, Column]:
+    """Stop, targets and the reason against a signal at the bar's close: an ATR of ``wild`` per cent and more, or a stop outside ``loss_band`` per cent."""
     c, a = F.col("close"), F.col("atr14")
     pct = a / c * 100
     stop = F.greatest(c - F.when(pct < 1.5, 2.0).otherwise(1.5) * a, low15 * 0.997)
     risk = c - stop
     loss = risk / c * 100
-    why = F.when(pct >= 6, "too_volatile").when((loss < 0.5) | (loss > 10), "stop_distance")
+    why = F.when(pct >= wild, "too_volatile").when((loss < loss_band[0]) | (loss > loss_band[1]), "stop_distance")
     return {"stop": stop, "target1": c + 2 * risk, "target2": c + 3 * risk, "reject": why}
 
 

@@ -54,6 +54,20 @@ def log_adv(n: int = 20):
     return F.log(F.percentile(F.when(t > 0, t), F.lit(0.5)).over(last(n)))
 
 
+def weekdays(first, last):
+    """Mondays to Fridays from one date to another, both included: whole weeks have five; the rest is counted from the first day's number in its week."""
+    span = F.datediff(last, first) + 1
+    rest, day = span % 7, F.weekday(first)
+    weekend = F.greatest(F.lit(0), F.least(day + rest, F.lit(7)) - F.greatest(day, F.lit(5))) + F.greatest(F.lit(0), day + rest - 12)
+    return F.floor(span / 7) * 5 + rest - weekend
+
+
+def quality(n, first, today, bad, last=None):
+    """Score of a history of n bars from ``first``: continuity, less malformed bars, halved if it is short, and if ``last`` is over five days ago."""
+    score = F.least(F.lit(1.0), n / F.greatest(F.lit(1.0), weekdays(first, today) * 0.94)) * (1 - bad / n) * F.when(n < 200, 0.5).otherwise(1.0)
+    return score if last is None else score * F.when(F.datediff(today, last) > 5, 0.5).otherwise(1.0)
+
+
 def trailing_beta(bars: DataFrame, bench: DataFrame, n: int = 252, least: int = 20) -> DataFrame:
     """beta: covariance over variance of daily returns on days that both have, over the last n such days."""
     both = bars.join(bench, "trade_date").withColumn("r", ratio(F.col("close"), F.lag("close").over(by())) - 1).withColumn("b", ratio(F.col("bench"), F.lag("bench").over(by())) - 1)

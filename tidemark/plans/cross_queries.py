@@ -129,14 +129,16 @@ def signal_levels(spark, sf) -> DataFrame:
     return ind.where("rn >= 60 AND atr14 IS NOT NULL AND close > 0").select(*KEYS, *(half_up(lv[c], 3).alias(c) for c in ("stop", "target1", "target2")), lv["reject"].alias("reject"))
 
 
-@query(f"""WITH {SQL_INDICATORS}, {SQL_BENCH}, br AS (SELECT trade_date, avg((close > ema50)::INT) * 100 AS breadth FROM ind WHERE ema50 IS NOT NULL GROUP BY trade_date),
+SQL_REGIME = f"""br AS (SELECT trade_date, avg((close > ema50)::INT) * 100 AS breadth FROM ind WHERE ema50 IS NOT NULL GROUP BY trade_date),
 bn AS (SELECT trade_date, bench, row_number() OVER (ORDER BY trade_date) AS rn, avg(bench) OVER (ORDER BY trade_date ROWS 199 PRECEDING) AS m FROM benchmark_days),
 be AS (SELECT trade_date, bench, rn, m AS ema FROM bn WHERE rn = 200 UNION ALL SELECT bn.trade_date, bn.bench, bn.rn, be.ema + (bn.bench - be.ema) * (2.0::DOUBLE / 201) FROM be JOIN bn ON bn.rn = be.rn + 1),
-c AS (SELECT trade_date, {r('(bench / lag(bench) OVER (ORDER BY trade_date) - 1) * 100', 2)} AS change, bench FROM benchmark_days)
-SELECT c.trade_date, change, {r('breadth', 2)} AS breadth, CASE WHEN ema IS NULL THEN 'SIDEWAYS' WHEN change <= -3 THEN 'CRASH' WHEN c.bench > ema AND {r('breadth', 2)} >= 55 THEN 'BULL' WHEN c.bench <= ema AND {r('breadth', 2)} <= 40 THEN 'BEAR' ELSE 'SIDEWAYS' END AS regime
-FROM c LEFT JOIN be USING (trade_date) LEFT JOIN br USING (trade_date)""")
-def market_regime(spark, sf) -> DataFrame:
-    """Regime of every date from the benchmark, its EMA 200 and breadth; there is no volatility index here."""
+bc AS (SELECT trade_date, {r('(bench / lag(bench) OVER (ORDER BY trade_date) - 1) * 100', 2)} AS change, bench FROM benchmark_days),
+rg AS (SELECT bc.trade_date, change, {r('breadth', 2)} AS breadth, CASE WHEN ema IS NULL THEN 'SIDEWAYS' WHEN change <= -3 THEN 'CRASH' WHEN bc.bench > ema AND {r('breadth', 2)} >= 55 THEN 'BULL' WHEN bc.bench <= ema AND {r('breadth', 2)} <= 40 THEN 'BEAR' ELSE 'SIDEWAYS' END AS regime
+FROM bc LEFT JOIN be USING (trade_date) LEFT JOIN br USING (trade_date))"""
+
+
+def regimes(spark, sf) -> DataFrame:
+    """trade_date, change, breadth, regime."""
     bars = bars_daily(spark, sf)
     m = benchmark(bars)
     one = Window.partitionBy(F.lit(0)).orderBy("trade_date")  # the calendar: a row per date
@@ -146,6 +148,12 @@ def market_regime(spark, sf) -> DataFrame:
     return x.select("trade_date", "change", "breadth", E.regime(F.col("change"), none, F.lit(0.0), F.col("bench"), F.col("ema200"), F.col("breadth")).alias("regime"))
 
 
+@query(f"WITH {SQL_INDICATORS}, {SQL_BENCH}, {SQL_REGIME} SELECT trade_date, change, breadth, regime FROM rg")
+def market_regime(spark, sf) -> DataFrame:
+    """Regime of every date from the benchmark, its EMA 200 and breadth; there is no volatility index here."""
+    return regimes(spark, sf)
+
+
 @query(f"""WITH {SQL_BARS}, {SQL_BENCH}, {SQL_SECTORS}, {_SQL_LABELS},
 a AS (SELECT instrument_id, trade_date, ln(median(CASE WHEN close * volume > 0 THEN close * volume END) OVER ({W} ROWS 19 PRECEDING)) AS a, ln(close) AS b FROM bars WHERE close > 0),
 j AS (SELECT instrument_id, l.trade_date, sector, fwd AS y, a, b FROM labels l JOIN a USING (instrument_id, trade_date) JOIN sectors USING (instrument_id) WHERE h = 5 AND fwd IS NOT NULL AND a IS NOT NULL),

@@ -48,12 +48,7 @@ def data_quality(spark, sf) -> DataFrame:
     good = (F.col("low") > 0) & (F.col("volume") >= 0) & (F.col("high") >= F.col("low")) & (F.col("high") >= F.greatest("open", "close")) & (F.col("low") <= F.least("open", "close"))
     g = b.groupBy("instrument_id").agg(F.count(F.lit(1)).alias("n"), F.min("trade_date").alias("d0"), F.max("trade_date").alias("d1"), F.sum((~good).cast("long")).alias("bad"))
     g = g.crossJoin(b.agg(F.max("trade_date").alias("today")))  # one row
-    span = F.datediff("today", "d0") + 1
-    # Whole weeks have five weekdays; the rest is counted from the first day's number in its week.
-    rest, first = span % 7, F.weekday("d0")
-    weekend = F.greatest(F.lit(0), F.least(first + rest, F.lit(7)) - F.greatest(first, F.lit(5))) + F.greatest(F.lit(0), first + rest - 12)
-    days = F.floor(span / 7) * 5 + rest - weekend
-    score = F.least(F.lit(1.0), F.col("n") / F.greatest(F.lit(1.0), days * 0.94)) * (1 - F.col("bad") / F.col("n")) * F.when(F.datediff("today", "d1") > 5, 0.5).otherwise(1.0) * F.when(F.col("n") < 200, 0.5).otherwise(1.0)
+    score = S.quality(F.col("n"), F.col("d0"), F.col("today"), F.col("bad"), F.col("d1"))
     return g.select("instrument_id", "n", "bad", half_up(score).alias("score"))
 
 

@@ -5,9 +5,9 @@ import struct
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import strings
 from tidemark.functions.strings import canonical_symbol, fallback_available, jaccard, matches_all, normal_title, number, title_tokens
 from tidemark.operators import asof, orders, titles
-from tidemark.operators.groups import components
 from tidemark.sources import files
 from tidemark.streaming import flows
 
@@ -69,14 +69,56 @@ def test_titles(spark):
     d = dt.date(2024, 1, 1)
     t = spark.createDataFrame([(1, "Acme wins big order today", d), (2, "Acme WINS big order, today!", d), (3, "Acme wins big order now", d + dt.timedelta(30)), (4, "", d), (5, "--", d), (6, "the", d), (7, "The", d)], "id long, title string, day date")
     p = titles.similar_pairs(t)
-    assert {(r.a, r.b) for r in p.collect()} == {(1, 2), (6, 7)}
-    kept = {r.id: r.kept for r in titles.accept_in_order(t, p, components(p)).collect()}
+    assert p.count() == 0 and {r.id: r.cls for r in titles.title_classes(t).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 6}
+    kept = {r.id: r.kept for r in titles.accept_in_order(t, p).collect()}
     assert kept == {1: True, 2: False, 3: True, 4: True, 5: True, 6: True, 7: False}
-    e = lambda x, b=None: one(spark, titles.event_type(F.lit(x), F.lit(b)))[0]
-    assert [e("Company bags order worth 5 crore"), e("Board Meeting on dividend"), e("x", "(LODR)-Credit Rating"), e(None)] == ["ORDER_WIN", "DIVIDEND", "RATING", "OTHER"]
+    e = lambda x, b=None: one(spark, *(titles.event_type(F.lit(x), F.lit(b))[k] for k in ("kind", "method")))
+    assert [e("Company bags order worth 5 crore"), e("Board Meeting on dividend"), e("x", "(LODR)-Credit Rating"), e(None), e("wins order", "Reg 30 (LODR)-Something new")] == [("ORDER_WIN", "keyword"), ("DIVIDEND", "keyword"), ("RATING_ACTION", "exchange-label"), ("OTHER", "none"), ("OTHER", "exchange-label")]
+    assert [e("Trading Window closure, insider trading rules")[0], e("Disclosure under insider trading rules")[0], e("Transfer of shares")[0], e("Sale of its subsidiary")[0]] == ["TRADING_WINDOW", "INSIDER_PLEDGE", "OTHER", "M_AND_A"]
     assert one(spark, titles.named_symbols(F.lit("Tata  Steel and Tata Power"), [("TS", "tata steel", None), ("T", "tata", "power"), ("N", "ata", None)]))[0] == ["TS", "T"]
 
 
+def test_titles_are_accepted_in_order(spark):
+    """Against the loop that compares each title with all accepted ones before it."""
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(25)]
+    base = [[rng.choice(words) for _ in range(6)] for _ in range(12)]
+    rows = []
+    for i in range(150):
+        w = list(rng.choice(base))
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            w[rng.randrange(6)] = rng.choice(words)
+        rows.append((i, " ".join(w) if i % 30 else "", dt.date(2024, 1, 1) + dt.timedelta(rng.randrange(12))))
+    want, accepted = {}, []
+    for i, text, day in sorted(rows, key=lambda r: (r[2], r[0])):
+        t = set(text.split())
+        alike = any(text and (text == u or len(t & v) >= 0.7 * len(t | v)) and abs((day - d).days) <= 3 for u, v, d in accepted)
+        want[i] = not alike
+        if not alike:
+            accepted.append((text, t, day))
+    assert not all(want.values())
+    df = spark.createDataFrame(rows, "id long, title string, day date")
+    assert {r.id: r.kept for r in titles.accept_in_order(df, titles.similar_pairs(df)).collect()} == want
+
+
+def test_domains_sectors_and_units(spark):
+    L = F.lit
+    domains = ("india.com", "economictimes.indiatimes.com")
+    of = lambda u: one(spark, strings.of_domains(strings.site(L(u)), domains))[0]
+    assert [of(u) for u in ("https://www.india.com/x", "http://auto.economictimes.indiatimes.com:443?q", "xindia.com", "https://a.co.in/", "in", "", "indiatimes.com")] == [True, True, False, True, True, False, False]
+    assert one(spark, strings.sector_name(L(" pharma ")), strings.sector_name(L(" Mining "))) == ("Healthcare", "Mining")
+    w = lambda x: one(spark, strings.western_units(L(x)))[0]
+    cases = {
+        "Rs 1,200 crore profit": "INR 12.00 billion profit", "₹450 crore order win": "INR 4.50 billion order win", "Rs. 45 cr penalty": "INR 450.00 million penalty", "5 lakh shares": "0.50 million shares",
+        "profit in crores": "profit in tens of millions", "lakhs of investors": "hundreds of thousands of investors", "PAT up 20% YoY": "net profit up 20% year-on-year", "margin down 150 bps QoQ": "margin down 150 basis points quarter-on-quarter",
+        "gross NPAs decline": "gross bad loans decline", "Q1FY26 results": "Q1 fiscal year 26 results", "guidance for FY 2027": "guidance for fiscal year 2027", "Pat said profits across sectors": "Pat said profits across sectors",
+        "  Rs   10 crore   PAT  ": "INR 100.00 million net profit", "2 crore and 3 lakh and 4 crore": "20.00 million and 0.30 million and 40.00 million", "": "",
+    }
+    assert {k: w(k) for k in cases} == cases
+
+
 def test_asof_edges(spark):
     L = spark.createDataFrame([(1, dt.date(2024, 1, 10)), (1, dt.date(2024, 1, 1)), (2, dt.date(2024, 1, 5))], "k long, at date")
     R = spark.createDataFrame([(1, dt.date(2024, 1, 10), 5.0), (1, dt.date(2024, 1, 2), 3.0)], "k long, d date, v double")

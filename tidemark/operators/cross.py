@@ -55,11 +55,33 @@ def series_summary(series: DataFrame, value: str, date: str, by: list, lags: int
     return arr.select(*by, F.col("n").alias("t_obs"), "mean", "sd", ir.alias("ir"), (ir * F.sqrt("n")).alias("t"), nw.alias("nw_t"))
 
 
+def quantiles(df: DataFrame, value: str, by: list[str], shares: dict[str, float]) -> DataFrame:
+    """by, and an exact quantile (between two values: in proportion) for each name in ``shares``.
+
+    Values are counted by ranges, on a scale of their logarithms; sums over ranges tell in which one a wanted rank lies, and only
+    the rows of those ranges are sorted. So no task holds a group's values, as an aggregate of percentiles does.
+    """
+    x = df.select(*by, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL").withColumn("_g", F.floor(F.signum("_v") * F.log1p(F.abs("_v")) * 64))
+    w = Window.partitionBy(*by)
+    per = x.groupBy(*by, "_g").agg(F.count(F.lit(1)).alias("_c"))  # a row per range
+    per = per.withColumn("_before", F.coalesce(F.sum("_c").over(w.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_n", F.sum("_c").over(w))
+    at = lambda p: (F.col("_n") - 1) * F.lit(float(p))
+    sides = F.array(*(F.struct(F.lit(k).alias("name"), f(at(p)).cast("long").alias("rank"), (at(p) - F.floor(at(p))).alias("part"), F.lit(i).alias("side")) for k, p in shares.items() for i, f in enumerate((F.floor, F.ceil))))
+    want = per.withColumn("_w", F.explode(sides)).where((F.col("_w.rank") >= F.col("_before")) & (F.col("_w.rank") < F.col("_before") + F.col("_c")))
+    want = want.groupBy(*by, "_g", "_before").agg(F.collect_list("_w").alias("_w"))  # at most two a share and group
+    rows = x.join(want, [*by, "_g"]).withColumn("_k", F.col("_before") + F.row_number().over(Window.partitionBy(*by, "_g").orderBy("_v")) - 1)
+    hit = rows.where(F.exists("_w", lambda z: z["rank"] == F.col("_k"))).withColumn("_w", F.explode("_w")).where("_w.rank = _k")
+    end = lambda k, i: F.max(F.when((F.col("_w.name") == k) & (F.col("_w.side") == i), F.col("_v")))
+    part = lambda k: F.max(F.when(F.col("_w.name") == k, F.col("_w.part")))
+    return hit.groupBy(*by).agg(*((end(k, 0) + (end(k, 1) - end(k, 0)) * part(k)).alias(k) for k in shares))
+
+
 def decile_returns(df: DataFrame, score: str, ret: str, weight: str | None, date: str, tie: str, buckets: int = 10) -> DataFrame:
     """decile, n, mean, weighted mean (rows with a weight), median: buckets per date, pooled over dates."""
     b = df.where(F.col(score).isNotNull() & F.col(ret).isNotNull()).withColumn("decile", bucket([score, tie], [date], buckets))
     w = F.col(weight) if weight else F.lit(1.0)
-    return b.groupBy("decile").agg(F.count(F.lit(1)).alias("n"), F.avg(ret).alias("mean"), ratio(F.sum(w * F.col(ret)), F.sum(F.when(w.isNotNull(), w))).alias("weighted"), F.percentile(ret, F.lit(0.5)).alias("median"))
+    sums = b.groupBy("decile").agg(F.count(F.lit(1)).alias("n"), F.avg(ret).alias("mean"), ratio(F.sum(w * F.col(ret)), F.sum(F.when(w.isNotNull(), w))).alias("weighted"))
+    return sums.join(quantiles(b, ret, ["decile"], {"median": 0.5}), "decile")
 
 
 def residuals(df: DataFrame, y: str, xs: tuple[str, str], sector: str, date: str, least: int = 20) -> DataFrame:

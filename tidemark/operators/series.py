@@ -69,11 +69,22 @@ def quality(n, first, today, bad, last=None):
 
 
 def trailing_beta(bars: DataFrame, bench: DataFrame, n: int = 252, least: int = 20) -> DataFrame:
-    """beta: covariance over variance of daily returns on days that both have, over the last n such days."""
+    """beta: covariance over variance of daily returns on days that both have, over the last n such days.
+
+    A frame's sums are running sums less those of n days before, so a row costs the same whatever n is; returns are taken
+    from their instrument's means first, which keeps the sums small.
+    """
     both = bars.join(bench, "trade_date").withColumn("r", ratio(F.col("close"), F.lag("close").over(by())) - 1).withColumn("b", ratio(F.col("bench"), F.lag("bench").over(by())) - 1)
     paired = both.where("r IS NOT NULL AND b IS NOT NULL")
-    enough = (F.count(F.lit(1)).over(last(n)) >= least) & (F.var_pop("b").over(last(n)) > 0)
-    return paired.withColumn("beta", F.when(enough, F.try_divide(F.covar_pop("r", "b").over(last(n)), F.var_pop("b").over(last(n)))))
+    own, run = Window.partitionBy("instrument_id"), by().rowsBetween(Window.unboundedPreceding, 0)
+    x = paired.withColumn("_r", F.col("r") - F.avg("r").over(own)).withColumn("_b", F.col("b") - F.avg("b").over(own)).withColumn("_n", F.least(F.row_number().over(by()), F.lit(n)))
+    sums = {"_s": F.sum("_r"), "_t": F.sum("_b"), "_st": F.sum(F.col("_r") * F.col("_b")), "_tt": F.sum(F.col("_b") * F.col("_b"))}
+    for name, c in sums.items():
+        x = x.withColumn(name, c.over(run))
+    for name in sums:
+        x = x.withColumn(f"{name}w", F.col(name) - F.coalesce(F.lag(name, n).over(by()), F.lit(0.0)))
+    cov, var = F.col("_stw") - F.col("_sw") * F.col("_tw") / F.col("_n"), F.col("_ttw") - F.col("_tw") * F.col("_tw") / F.col("_n")
+    return x.withColumn("beta", F.when((F.col("_n") >= least) & (var > 1e-12), cov / var)).drop("_r", "_b", "_n", *sums, *(f"{k}w" for k in sums))
 
 
 # ---------------------------------------------------------------- recursive indicators

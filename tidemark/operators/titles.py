@@ -2,54 +2,71 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import jaccard, normal_title, title_tokens
+from ..sources.shared import written
+
+
+def title_classes(titles: DataFrame) -> DataFrame:
+    """id, day, text, cls of titles (id, title, day): titles that are the same on a day are one class, named by its smallest id. A title without text is its own class."""
+    t = titles.select("id", "day", normal_title(F.col("title")).alias("text"))
+    first = t.where("text <> ''").groupBy("text", "day").agg(F.min("id").alias("cls"))
+    return t.join(first, ["text", "day"], "left").select("id", "day", "text", F.coalesce("cls", "id").alias("cls"))
 
 
 def similar_pairs(titles: DataFrame, least: float = 0.7, days: int = 3) -> DataFrame:
-    """a, b, similarity of titles (id, title, day) that are alike and at most ``days`` apart; a < b.
+    """a, b, similarity of classes of titles (id, title, day) that are alike and at most ``days`` apart; a < b. Copies are not expanded: see ``title_classes``.
 
     Candidates share a token of their prefixes in order of rising frequency (what is left of a title of n tokens when
     ceil(least * n) - 1 are taken away), within neighbouring day windows; equal titles without any token share their text.
-    Token frequencies are counted over all titles.
+    Token frequencies are counted over all classes.
     """
-    t = titles.select("id", "day", normal_title(F.col("title")).alias("text"), title_tokens(F.col("title")).alias("tokens"))
+    t = titles.select("id", "day", normal_title(F.col("title")).alias("text"), title_tokens(F.col("title")).alias("tokens")).where("text <> ''")
+    t = t.groupBy("text", "day").agg(F.min("id").alias("id"), F.first("tokens").alias("tokens"))
     each = t.select("id", F.explode("tokens").alias("w"))
     often = each.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     order = Window.partitionBy("id").orderBy("df", "w")
     ranked = each.join(often, "w").withColumn("k", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("id")))
     keys = ranked.where(F.col("k") <= F.col("n") - F.ceil(least * F.col("n")) + 1).select("id", "w")
-    blank = t.where((F.size("tokens") == 0) & (F.col("text") != "")).select("id", F.concat(F.lit("="), "text").alias("w"))
-    dated = keys.unionByName(blank).join(t.select("id", "day"), "id").withColumn("win", F.floor(F.unix_date("day") / days))
-    near = dated.select(F.col("id").alias("b"), "w", F.explode(F.array(F.col("win") - 1, F.col("win"), F.col("win") + 1)).alias("win"))
-    pairs = dated.withColumnRenamed("id", "a").join(near, ["w", "win"]).where("a < b").select("a", "b").distinct()
-    sides = [t.select(*(F.col(c).alias(f"{p}_{c}") for c in t.columns)) for p in "xy"]
-    both = pairs.join(sides[0], F.col("a") == F.col("x_id")).join(sides[1], F.col("b") == F.col("y_id")).where(F.abs(F.datediff("x_day", "y_day")) <= days)
+    blank = t.where(F.size("tokens") == 0).select("id", F.concat(F.lit("="), "text").alias("w"))
+    # Candidates carry their own text and tokens, so a pair is judged where it meets.
+    dated = keys.unionByName(blank).join(t, "id").withColumn("win", F.floor(F.unix_date("day") / days))
+    left = dated.select("w", "win", *(F.col(c).alias(f"x_{c}") for c in t.columns))
+    right = dated.select("w", F.explode(F.array(F.col("win") - 1, F.col("win"), F.col("win") + 1)).alias("win"), *(F.col(c).alias(f"y_{c}") for c in t.columns))
+    both = left.join(right, ["w", "win"]).where((F.col("x_id") < F.col("y_id")) & (F.abs(F.datediff("x_day", "y_day")) <= days))
     score = F.when(F.col("x_text") == F.col("y_text"), 1.0).otherwise(jaccard(F.col("x_tokens"), F.col("y_tokens")))
-    return both.select("a", "b", score.alias("similarity")).where(F.col("similarity") >= least)
+    return both.select(F.col("x_id").alias("a"), F.col("y_id").alias("b"), score.alias("similarity")).where(F.col("similarity") >= least).dropDuplicates(["a", "b"])
 
 
-def accept_in_order(titles: DataFrame, pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """id, kept: titles in order of (day, id) are kept unless alike to one kept before. groups: node, label of the pairs' components.
+def accept_in_order(titles: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id, kept: titles in order of (day, id) are kept unless alike to one kept before. pairs: of classes, as from ``similar_pairs``.
 
-    Only titles with a pair go to Python, a component at a time; a component is as large as one story's copies.
+    Of a class only the first title can be kept. A class is decided as soon as one before it that is alike is kept, or all
+    of those are dropped; a round decides all classes that can be, and what is left goes to the next. No class waits for more
+    than the chain of alike ones before it.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: set[int] = set()
-        rows = pdf.sort_values(["day", "id"])
-        for i, others in zip(rows["id"], rows["others"], strict=True):
-            if not kept.intersection(others):
-                kept.add(i)
-        return pd.DataFrame({"id": rows["id"], "kept": rows["id"].isin(kept)})
-
-    both = pairs.select("a", "b").union(pairs.select("b", "a"))
-    linked = both.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("others")).join(titles.select("id", "day"), "id").join(groups.withColumnRenamed("node", "id"), "id")
-    judged = linked.groupBy("label").applyInPandas(run, "id long, kept boolean")
-    return titles.select("id").join(judged, "id", "left").select("id", F.coalesce("kept", F.lit(True)).alias("kept"))
+    t = written(title_classes(titles), "titles-classes")
+    classes = t.where("id = cls").select("cls", "day")
+    before = lambda i, j: (F.col(f"{i}_day") < F.col(f"{j}_day")) | ((F.col(f"{i}_day") == F.col(f"{j}_day")) & (F.col(i) < F.col(j)))
+    dated = pairs.select("a", "b").join(classes.select(F.col("cls").alias("a"), F.col("day").alias("a_day")), "a").join(classes.select(F.col("cls").alias("b"), F.col("day").alias("b_day")), "b")
+    first = F.when(before("a", "b"), F.struct(F.col("a").alias("old"), F.col("b").alias("new"))).otherwise(F.struct(F.col("b").alias("old"), F.col("a").alias("new")))
+    open_ = written(dated.select(first.alias("e")).select("e.*"), "titles-edges")
+    dropped: list[DataFrame] = []
+    while open_.limit(1).count():
+        waits = open_.select(F.col("new").alias("old")).distinct()
+        # Of the older sides of edges, those that wait for nothing are kept: what is alike to them is dropped, with all its edges.
+        gone = written(open_.join(waits, "old", "left_anti").select(F.col("new").alias("cls")).distinct(), "titles-dropped")
+        dropped.append(gone)
+        open_ = written(open_.join(gone, open_.new == gone.cls, "left_anti").join(gone, F.col("old") == gone.cls, "left_anti"), "titles-edges")
+    out = t.select("id", (F.col("id") == F.col("cls")).alias("first"), "cls")
+    if not dropped:
+        return out.select("id", F.col("first").alias("kept"))
+    all_ = dropped[0]
+    for x in dropped[1:]:
+        all_ = all_.union(x)
+    return out.join(all_.withColumn("gone", F.lit(True)), "cls", "left").select("id", (F.col("first") & F.col("gone").isNull()).alias("kept"))
 
 
 def named_symbols(text: Column, aliases: list[tuple[str, str, str | None]]) -> Column:
@@ -64,28 +81,52 @@ def named_symbols(text: Column, aliases: list[tuple[str, str, str | None]]) -> C
     return F.array_distinct(F.filter(F.array(*hits), lambda v: v.isNotNull()))
 
 
-#: Kinds of filings by title, the first that fits. Rules are (kind, pattern).
-EVENT_RULES = (
-    ("RESULTS", r"(?i)financial result|quarterly result|unaudited|audited result"),
-    ("DIVIDEND", r"(?i)dividend"),
-    ("BUYBACK", r"(?i)buy-?back"),
-    ("BONUS_SPLIT", r"(?i)bonus issue|stock split|sub-?division"),
-    ("ORDER_WIN", r"(?i)(bag|receiv|secur|win|award)\w*\b.*\b(order|contract)|letter of (award|intent)"),
-    ("ACQUISITION", r"(?i)acqui|amalgamation|merger|takeover"),
-    ("RATING", r"(?i)credit rating|rating (re)?affirm|upgrade|downgrade"),
-    ("MANAGEMENT", r"(?i)appoint|resign|cessation|change in (director|management)"),
-    ("CAPITAL", r"(?i)preferential|rights issue|qip|allotment|debenture"),
-    ("LITIGATION", r"(?i)litigation|penalt|show cause|order passed"),
-    ("MEETING", r"(?i)board meeting|general meeting|postal ballot"),
-    ("INVESTOR", r"(?i)analyst|investor|conference call|transcript"),
+RULES_VERSION = "ev-1.1.0"
+# Kinds of filings by the exchange's own label, the first that fits.
+LABEL_RULES = (
+    (r"(?i)earnings call transcript|investor presentation|analyst ?\/ ?investor meet", "EARNINGS_CALL"),
+    (r"(?i)award_of_order|receipt_of_order|award of order|receipt of order", "ORDER_WIN"),
+    (r"(?i)credit rating", "RATING_ACTION"),
+    (r"(?i)acquisition|scheme of arrangement|amalgamation|merger|divestment|slump sale", "M_AND_A"),
+    (r"(?i)dividend", "DIVIDEND"),
+    (r"(?i)financial result|quarterly result", "EARNINGS_RESULT"),
+    (r"(?i)board meeting", "BOARD_MEETING"),
+    (r"(?i)change in management|change in directorate|cessation|appointment|resignation|key managerial", "MGMT_CHANGE"),
+    (r"(?i)allotment|issue of securities|fund ?rais|preferential issue|rights issue|buyback", "CAPITAL_ISSUE"),
+    (r"(?i)trading window", "TRADING_WINDOW"),
+    (r"(?i)pledge|encumbrance|insider|sast", "INSIDER_PLEDGE"),
+    (r"(?i)press release|media release|newspaper publication", "MEDIA_ROUTINE"),
+)
+# Kinds of filings by title where there is no label, the first that fits.
+TITLE_RULES = (
+    (r"(?i)\b(financial|integrated financial)s? (results?|for the (quarter|half|year))|\b(un)?audited (financial )?results?|quarterly results?", "EARNINGS_RESULT"),
+    (r"(?i)earnings call|con(ference)? ?call|investor (meet|presentation|conference)|analyst meet", "EARNINGS_CALL"),
+    (r"(?i)\b(letter of award|letter of intent|\bLOA\b|work order|receipt of order|bags? (an? )?order|wins? (an? )?(order|contract)|order (win|worth|received))", "ORDER_WIN"),
+    (r"(?i)credit rating|rating (action|upgrade|downgrade|revision)|\b(ICRA|CRISIL|CARE Ratings|India Ratings)\b", "RATING_ACTION"),
+    (r"(?i)acquisition|acquire[sd]?\b|scheme of arrangement|amalgamation|\bmerger\b|divestment|stake (sale|purchase)|(sale|transfer|disposal)[^.]{0,40}\b(subsidiary|SPV|undertaking|business|division|joint venture)\b", "M_AND_A"),
+    (r"(?i)\bdividend\b", "DIVIDEND"),
+    (r"(?i)board meeting|meeting of the board", "BOARD_MEETING"),
+    (r"(?i)trading window", "TRADING_WINDOW"),
+    (r"(?i)pledge|encumbrance|\bSAST\b|substantial acquisition of shares|insider trading", "INSIDER_PLEDGE"),
+    (r"(?i)change in (key managerial|management|directorate)|appointment of|resignation of|cessation of", "MGMT_CHANGE"),
+    (r"(?i)allotment|issue of securities|fund ?rais|preferential (issue|allotment)|rights issue|buyback|\bESOP\b", "CAPITAL_ISSUE"),
+    (r"(?i)press release|media release|newspaper publication", "MEDIA_ROUTINE"),
 )
 
 
-def event_type(title: Column, body: Column | None = None) -> Column:
-    """A label ``(LODR)-...`` in the body decides by its own words; else the title's; else OTHER."""
-    label = F.regexp_extract(F.coalesce(body, F.lit("")), r"\(LODR\)-([^\n<]+)", 1) if body is not None else F.lit("")
-    subject = F.when(label != "", label).otherwise(F.coalesce(title, F.lit("")))
-    out = F.lit("OTHER")
-    for kind, p in reversed(EVENT_RULES):
-        out = F.when(subject.rlike(p), kind).otherwise(out)
-    return out
+def _first_rule(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
+    return F.coalesce(*(F.when(text.rlike(p), kind) for p, kind in rules), F.lit(None).cast("string"))
+
+
+def exchange_label(body: Column) -> Column:
+    """The exchange's own label in a filing's body; null if there is none."""
+    return F.nullif(F.trim(F.regexp_extract(F.coalesce(body, F.lit("")), r"(?i)\(LODR\)\s*-\s*([^\n|]{2,80})", 1)), F.lit(""))
+
+
+def event_type(title: Column, body: Column | None = None) -> dict[str, Column]:
+    """kind, method (exchange-label, keyword, none), label and version of a filing. A label decides alone: one without a rule is OTHER, whatever the title says."""
+    label = exchange_label(body) if body is not None else F.lit(None).cast("string")
+    word = _first_rule(F.coalesce(title, F.lit("")), TITLE_RULES)
+    kind = F.when(label.isNotNull(), F.coalesce(_first_rule(label, LABEL_RULES), F.lit("OTHER"))).otherwise(F.coalesce(word, F.lit("OTHER")))
+    method = F.when(label.isNotNull(), "exchange-label").when(word.isNotNull(), "keyword").otherwise("none")
+    return {"kind": kind, "method": method, "label": label, "version": F.lit(RULES_VERSION)}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import half_up
 from ..functions.strings import fallback_available
 from ..operators import asof as A
+from ..operators import cross as X
 from ..operators import series as S
 from ..sources.market import SQL_BARS, SQL_BENCH, bars_daily, benchmark, table
 from .registry import query, r
@@ -49,7 +50,9 @@ def event_study(spark, sf) -> DataFrame:
     x = x.join(m.select(F.col("trade_date").alias("anchor_date"), F.col("bench").alias("p")), "anchor_date").join(m.select(F.col("trade_date").alias("d"), F.col("bench").alias("q")), "d").where("close > 0 AND p > 0 AND c IS NOT NULL")
     x = x.withColumn("excess", (F.col("c") - F.col("close")) / F.col("close") * 100 - (F.col("q") - F.col("p")) / F.col("p") * 100)
     n = F.count(F.lit(1))
-    return x.groupBy("event_type", "h").agg(n.alias("n"), half_up(F.avg("excess"), 3).alias("mean"), half_up(F.stddev_samp("excess") / F.sqrt(n), 3).alias("se"), half_up(F.avg((F.col("excess") > 0).cast("int")) * 100, 2).alias("hit_rate"), half_up(F.percentile("excess", F.lit(0.9)), 3).alias("p90"), half_up(F.percentile("excess", F.lit(0.1)), 3).alias("p10"))
+    g = x.groupBy("event_type", "h").agg(n.alias("n"), half_up(F.avg("excess"), 3).alias("mean"), half_up(F.stddev_samp("excess") / F.sqrt(n), 3).alias("se"), half_up(F.avg((F.col("excess") > 0).cast("int")) * 100, 2).alias("hit_rate"))
+    q = X.quantiles(x, "excess", ["event_type", "h"], {"p90": 0.9, "p10": 0.1})
+    return g.join(q, ["event_type", "h"]).select(*g.columns, half_up(F.col("p90"), 3).alias("p90"), half_up(F.col("p10"), 3).alias("p10"))
 
 
 _NEWS = """news AS (SELECT doc_id, source, CAST(DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER) AS DATE) AS seen, CASE quality WHEN 1 THEN 0.5::DOUBLE ELSE -0.75::DOUBLE END AS score, (doc_id % 10) / 10.0::DOUBLE AS neutral FROM documents JOIN labels USING (doc_id))"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up
 from ..functions.strings import STOP_WORDS, host, matches_all, normal_title, title_tokens
-from ..operators import groups, titles
+from ..operators import titles
 from ..operators import orders as O
 from ..sources.market import table
 from .registry import query, r
@@ -28,18 +28,26 @@ def normal_titles(spark, sf) -> DataFrame:
     return t.select("id", normal_title(F.col("title")).alias("norm"), F.size("k").cast("long").alias("n_tokens"), F.array_join("k", " ").alias("tokens"))
 
 
-@query(f"""WITH {_TITLES}, p AS (SELECT a.id AS a, b.id AS b, CASE WHEN a.text = b.text THEN 1.0::DOUBLE WHEN len(a.tokens) + len(b.tokens) = 0 THEN 0 ELSE len(list_intersect(a.tokens, b.tokens)) / len(list_distinct(list_concat(a.tokens, b.tokens)))::DOUBLE END AS s
-  FROM n a JOIN n b ON a.id < b.id AND abs(a.day - b.day) <= 3 WHERE a.text <> '' AND b.text <> '') SELECT a, b, {r('s')} AS similarity FROM p WHERE s >= 0.7""")
+_CLASSES = "c AS (SELECT min(id) AS id, day, text, any_value(tokens) AS tokens FROM n WHERE text <> '' GROUP BY text, day)"
+
+
+@query(f"""WITH {_TITLES}, {_CLASSES}, p AS (SELECT a.id AS a, b.id AS b, CASE WHEN a.text = b.text THEN 1.0::DOUBLE WHEN len(a.tokens) + len(b.tokens) = 0 THEN 0 ELSE len(list_intersect(a.tokens, b.tokens)) / len(list_distinct(list_concat(a.tokens, b.tokens)))::DOUBLE END AS s
+  FROM c a JOIN c b ON a.id < b.id AND abs(a.day - b.day) <= 3) SELECT a, b, {r('s')} AS similarity FROM p WHERE s >= 0.7""")
 def similar_titles(spark, sf) -> DataFrame:
+    """Pairs of classes of equal titles of a day that are alike; which title is in which class is ``title_classes``."""
     return titles.similar_pairs(title_rows(spark, sf)).select("a", "b", half_up(F.col("similarity")).alias("similarity"))
 
 
+@query(f"WITH {_TITLES}, {_CLASSES} SELECT n.id, coalesce(c.id, n.id) AS cls FROM n LEFT JOIN c USING (text, day)")
+def title_classes(spark, sf) -> DataFrame:
+    return titles.title_classes(title_rows(spark, sf)).select("id", "cls")
+
+
 @query()
 def accepted_titles(spark, sf) -> DataFrame:
     """Titles that stay when each is dropped that is alike to an accepted one before it."""
     t = title_rows(spark, sf)
-    p = titles.similar_pairs(t).checkpoint(eager=True) if spark.sparkContext.getCheckpointDir() else titles.similar_pairs(t)
-    return titles.accept_in_order(t, p, groups.components(p))
+    return titles.accept_in_order(t, titles.similar_pairs(t))
 
 
 _ALIASES = [("THE", "the", "of"), ("AND", "and", None), ("ON", "on the", None), ("DE", "de la", None), ("DER", "der", "die")]

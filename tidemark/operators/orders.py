@@ -51,3 +51,38 @@ def positions(fills: DataFrame, by: list[str]) -> DataFrame:
     marked = F.when(F.col("ltp") > 0, F.coalesce((F.col("ltp") - F.when(left > 0, entry).otherwise(exit_)) * left, F.lit(0.0))).otherwise(0.0)
     state = F.when((F.col("bq") + F.col("sq")) == 0, "PENDING").when(F.col("open") > 0, "WORKING").when(F.col("held") == 0, "CLOSED").otherwise("OPEN")
     return g.select(*by, "held", entry.alias("entry"), exit_.alias("exit"), realised.alias("realised"), marked.alias("marked"), state.alias("state"))
+
+
+# How often an order's price is moved, and how many of those may fail.
+MOST_CHASES, MOST_FAILURES = 25, 3
+WORKING = ("PENDING", "OPEN", "PARTIAL")
+
+
+def after_market(orders: DataFrame) -> DataFrame:
+    """Orders with what still works cancelled, and why."""
+    works = F.col("status").isin(*WORKING)
+    return orders.withColumn("reject_reason", F.when(works, "Cancelled: market closed").otherwise(F.col("reject_reason"))).withColumn("status", F.when(works, "CANCELLED").otherwise(F.col("status")))
+
+
+def to_poll() -> Column:
+    """At the broker and not done."""
+    return F.col("status").isin("OPEN", "PARTIAL") & F.col("broker_id").isNotNull()
+
+
+def to_chase(stale: Column) -> Column:
+    """To be polled, meant to be chased, not too often and not with too many failures, and not touched since ``stale``."""
+    return to_poll() & F.col("chase") & (F.col("attempts") < MOST_CHASES) & (F.col("failures") < MOST_FAILURES) & (F.coalesce("last_chase", "placed") < stale)
+
+
+def position_states(fills: DataFrame, position: str, leg: str) -> DataFrame:
+    """position, status (those marked for exit whose legs are all flat become CLOSED), shown.
+
+    fills: a leg's orders with quantity, is_entry, status; and position_status, leg_quantity, multiplier of their position and leg.
+    """
+    signed = F.when(F.col("status") == "COMPLETED", F.when(F.col("is_entry"), F.col("quantity")).otherwise(-F.col("quantity"))).otherwise(0.0)
+    target = F.when(F.col("position_status") == "OPEN", F.col("leg_quantity") * F.col("multiplier")).otherwise(0.0)
+    legs = fills.groupBy(position, leg, "position_status").agg(F.sum(signed).alias("held"), F.max(target).alias("target"), F.bool_or(F.col("status").isin(*WORKING)).alias("working"))
+    p = legs.groupBy(position, "position_status").agg(F.bool_and(F.col("held") == 0).alias("flat"), F.bool_or(F.col("held") != F.col("target")).alias("off"), F.bool_or("working").alias("working"))
+    marked = F.col("position_status") == "MARKED_FOR_EXIT"
+    shown = F.when(marked & ~F.col("flat"), "NOT_IN_SYNC").when((F.col("position_status") != "OPEN") & F.col("flat"), "EXITED").when(F.col("off") & F.col("working"), "IN_PROGRESS").when(F.col("off"), "NOT_IN_SYNC").otherwise("SYNCED")
+    return p.select(position, F.when(marked & F.col("flat"), "CLOSED").otherwise(F.col("position_status")).alias("status"), shown.alias("shown"))

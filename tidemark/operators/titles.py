@@ -81,6 +81,13 @@ def named_symbols(text: Column, aliases: list[tuple[str, str, str | None]]) -> C
     return F.array_distinct(F.filter(F.array(*hits), lambda v: v.isNotNull()))
 
 
+def names_any(text: Column, phrases: list[str]) -> Column:
+    """Whether any phrase stands in the text as words: one alternation."""
+    import re
+
+    return F.coalesce(text.rlike(r"(?i)(?<![a-z0-9])(?:" + "|".join(r"\s+".join(re.escape(w) for w in p.split()) for p in phrases) + r")(?![a-z0-9])"), F.lit(False))
+
+
 RULES_VERSION = "ev-1.1.0"
 # Kinds of filings by the exchange's own label, the first that fits.
 LABEL_RULES = (

@@ -165,3 +165,39 @@ def test_repeated_articles_are_dropped(spark, tmp_path):
     got = []
     flows.to_batches(flows.new_articles(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), ["url"]), lambda b, _: got.extend(r.url for r in b.collect()), str(tmp_path / "cp")).start().awaitTermination(120)
     assert sorted(got) == ["u", "v"]
+
+
+def test_hooks(spark):
+    from tidemark.operators import plugins as P
+
+    bars = spark.createDataFrame([(1, 10.0), (2, 90.0)], "id long, close double")
+    reg = P.Factors().add(P.ColumnFactor("half", lambda: F.col("close") / 2)).add(P.ColumnFactor("full", lambda: F.col("close")))
+    assert [tuple(r) for r in reg.evaluate(bars).orderBy("id").collect()] == [(1, 10.0, 5.0, 10.0, -0.9, -0.8), (2, 90.0, 45.0, 90.0, -0.1, 0.8)]
+    try:
+        reg.add(P.ColumnFactor("half", lambda: F.lit(1.0)))
+        raise AssertionError
+    except ValueError:
+        pass
+    stats = P.summarise(bars, [], lambda: F.col("close"), lambda: F.col("id"), {"dot": lambda s, y: F.sum(s * y), "n": lambda s, y: F.count(s)}).first()
+    assert tuple(stats) == (190.0, 2)
+
+
+def test_texts_are_scored_in_batches(spark):
+    from tidemark.operators import plugins as P
+
+    news = spark.createDataFrame([(k, t) for k, t in enumerate(["record profit", "fraud and loss", "gain loss", None, "plain"])], "id long, title string")
+    got = {r.id: (r.score, r.neutral) for r in P.scored(news, batch=2).collect()}
+    assert got == {0: (1.0, 1 / 3), 1: (-1.0, 1 / 3), 2: (0.0, 1 / 3), 3: (0.0, 1.0), 4: (0.0, 1.0)}
+
+    def broken():
+        def f(texts):
+            if "plain" in texts:
+                raise RuntimeError
+            return [(0.5, 0.0)] * len(texts)
+
+        return f
+
+    first = P.scored(news.coalesce(1), broken, "b-1", batch=1)
+    assert {r.id: r.score for r in first.collect()} == {0: 0.5, 1: 0.5, 2: 0.5, 3: 0.5, 4: None}
+    again = {r.id: (r.score, r.model) for r in P.scored(first, version="b-1").collect()}
+    assert again == {0: (0.5, "b-1"), 1: (0.5, "b-1"), 2: (0.5, "b-1"), 3: (0.5, "b-1"), 4: (0.0, "b-1")}

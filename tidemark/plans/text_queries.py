@@ -129,18 +129,19 @@ def order_checks(spark, sf) -> DataFrame:
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", why.alias("reason"), O.placement_rank(buy, out).alias("rank"))
 
 
-@query(f"""WITH f AS (SELECT o_custkey, l_quantity AS q, l_extendedprice / l_quantity AS p, {_BUY} AS buy, CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'P' THEN 'PARTIAL' ELSE 'OPEN' END AS st, p_retailprice AS ltp
+@query(f"""WITH f AS (SELECT o_custkey, l_partkey, l_quantity AS q, l_extendedprice / l_quantity AS p, {_BUY} AS buy, CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'P' THEN 'PARTIAL' ELSE 'OPEN' END AS st, p_retailprice AS ltp
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_quantity > 0),
-g AS (SELECT o_custkey, sum(CASE WHEN st = 'COMPLETED' THEN CASE WHEN buy THEN q ELSE -q END ELSE 0 END) AS held, coalesce(sum(q) FILTER (WHERE st <> 'OPEN' AND buy), 0) AS bq, coalesce(sum(q) FILTER (WHERE st <> 'OPEN' AND NOT buy), 0) AS sq,
-  sum(q * p) FILTER (WHERE st <> 'OPEN' AND buy) AS bv, sum(q * p) FILTER (WHERE st <> 'OPEN' AND NOT buy) AS sv, max(ltp) AS ltp, count(*) FILTER (WHERE st = 'OPEN') AS op FROM f GROUP BY o_custkey)
-SELECT o_custkey, held, {r('bv / nullif(bq, 0)', 3)} AS entry, {r('sv / nullif(sq, 0)', 3)} AS exit, {r('coalesce((sv / nullif(sq, 0) - bv / nullif(bq, 0)) * least(bq, sq), 0)', 2)} AS realised,
+g AS (SELECT o_custkey, l_partkey, sum(CASE WHEN st = 'COMPLETED' THEN CASE WHEN buy THEN q ELSE -q END ELSE 0 END) AS held, coalesce(sum(q) FILTER (WHERE st <> 'OPEN' AND buy), 0) AS bq, coalesce(sum(q) FILTER (WHERE st <> 'OPEN' AND NOT buy), 0) AS sq,
+  sum(q * p) FILTER (WHERE st <> 'OPEN' AND buy) AS bv, sum(q * p) FILTER (WHERE st <> 'OPEN' AND NOT buy) AS sv, max(ltp) AS ltp, count(*) FILTER (WHERE st = 'OPEN') AS op FROM f GROUP BY o_custkey, l_partkey)
+SELECT o_custkey, l_partkey, held, {r('bv / nullif(bq, 0)', 3)} AS entry, {r('sv / nullif(sq, 0)', 3)} AS exit, {r('coalesce((sv / nullif(sq, 0) - bv / nullif(bq, 0)) * least(bq, sq), 0)', 2)} AS realised,
  {r('CASE WHEN ltp > 0 THEN coalesce((ltp - CASE WHEN bq > sq THEN bv / nullif(bq, 0) ELSE sv / nullif(sq, 0) END) * (bq - sq), 0) ELSE 0 END', 2)} AS marked, CASE WHEN bq + sq = 0 THEN 'PENDING' WHEN op > 0 THEN 'WORKING' WHEN held = 0 THEN 'CLOSED' ELSE 'OPEN' END AS state FROM g""")
 def account_positions(spark, sf) -> DataFrame:
+    """Fills of an account in an instrument, marked with the instrument's own price."""
     li, o, p = (table(spark, sf, x) for x in ("lineitem", "orders", "part"))
     f = li.where("l_quantity > 0").join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
-    f = f.select("o_custkey", F.col("l_quantity").alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), (F.col("l_returnflag") != "R").alias("is_buy"), F.when(F.col("o_orderstatus") == "F", "COMPLETED").when(F.col("o_orderstatus") == "P", "PARTIAL").otherwise("OPEN").alias("status"), F.col("p_retailprice").alias("ltp"))
-    x = O.positions(f, ["o_custkey"])
-    return x.select("o_custkey", "held", half_up(F.col("entry"), 3).alias("entry"), half_up(F.col("exit"), 3).alias("exit"), half_up(F.col("realised"), 2).alias("realised"), half_up(F.col("marked"), 2).alias("marked"), "state")
+    f = f.select("o_custkey", "l_partkey", F.col("l_quantity").alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), (F.col("l_returnflag") != "R").alias("is_buy"), F.when(F.col("o_orderstatus") == "F", "COMPLETED").when(F.col("o_orderstatus") == "P", "PARTIAL").otherwise("OPEN").alias("status"), F.col("p_retailprice").alias("ltp"))
+    x = O.positions(f, ["o_custkey", "l_partkey"])
+    return x.select("o_custkey", "l_partkey", "held", half_up(F.col("entry"), 3).alias("entry"), half_up(F.col("exit"), 3).alias("exit"), half_up(F.col("realised"), 2).alias("realised"), half_up(F.col("marked"), 2).alias("marked"), "state")
 
 
 @query("""WITH s AS (SELECT DISTINCT p_brand, floor(p_retailprice / 5) * 5 AS strike FROM part), g AS (SELECT *, strike - lag(strike) OVER (PARTITION BY p_brand ORDER BY strike) AS gap FROM s),

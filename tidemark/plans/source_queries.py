@@ -194,6 +194,38 @@ def position_states(spark, sf) -> DataFrame:
     return O.position_states(fills.withColumnRenamed("l_quantity", "quantity"), "position", "leg")
 
 
+_MASTER = """WITH d AS (SELECT p_partkey AS k, p_size % 5 AS kind, p_brand AS name, p_retailprice AS v FROM part)
+SELECT CASE WHEN kind < 2 THEN 'NSE:N' || k || '-EQ' ELSE CASE kind WHEN 2 THEN 'NFO:N' ELSE 'NSE:N' END || k END AS id, CAST(k AS VARCHAR) AS token, CASE WHEN kind < 2 THEN 'N' || k || '-EQ' ELSE 'N' || k END AS symbol, name,
+  CASE WHEN kind = 2 THEN DATE '2026-01-29' END AS expiry, CASE WHEN kind = 2 THEN floor(v) ELSE 0 END AS strike, CASE WHEN kind = 0 THEN 1 ELSE 25 END AS lot, CASE WHEN kind < 2 THEN 0.05::DOUBLE ELSE 5 END AS tick, CASE kind WHEN 2 THEN 'OPTIDX' WHEN 3 THEN 'AMXIDX' ELSE 'EQ' END AS kind,
+  CASE WHEN kind < 2 THEN 'sector of ' || name END AS sector FROM d WHERE kind < 2 AND name IN (SELECT p_brand FROM part WHERE p_partkey % 7 > 3) OR kind IN (2, 3) AND name IN (SELECT p_brand FROM part WHERE p_partkey < 3)"""
+
+
+def _master(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """A dump made of the parts, and the universe of equities: some brands, and one that no dump has."""
+    p = table(spark, sf, "part")
+    k, kind = F.col("p_partkey").cast("string"), F.col("p_size") % 5
+    symbol = F.concat(F.lit("N"), k, F.when(kind < 2, "-EQ").otherwise(""))
+    line = F.to_json(F.struct(k.alias("token"), symbol.alias("symbol"), F.col("p_brand").alias("name"), F.when(kind == 2, "29JAN2026").otherwise("").alias("expiry"), F.when(kind == 2, (F.floor("p_retailprice") * 100).cast("string")).otherwise("0").alias("strike"), F.when(kind == 0, "0").otherwise("25").alias("lotsize"), F.lit("5").alias("tick_size"),
+                              F.when(kind == 2, "OPTIDX").when(kind == 3, "AMXIDX").when(kind == 4, "FUTIDX").otherwise("").alias("instrumenttype"), F.when(kind == 2, "NFO").otherwise("NSE").alias("exch_seg"), F.lit("1").alias("freeze_qty")))
+    listed = p.where("p_partkey % 7 > 3").select(F.col("p_brand").alias("name")).distinct().withColumn("sector", F.concat(F.lit("sector of "), "name"))
+    listed = listed.union(spark.createDataFrame([("NONE", "no sector")], "name string, sector string"))
+    indices = [r.p_brand for r in p.where("p_partkey < 3").select("p_brand").distinct().collect()]  # at most three names: the universe's setting
+    return files.instrument_master(p.select(line.alias("value")), indices, ["NFO", "BFO"], listed), listed
+
+
+@query(_MASTER)
+def instrument_rows(spark, sf) -> DataFrame:
+    """Indices, their options and the listed equities out of a broker's dump."""
+    return _master(spark, sf)[0]
+
+
+@query(f"SELECT 'NONE' AS name UNION ALL SELECT DISTINCT p_brand FROM part WHERE p_partkey % 7 > 3 AND p_brand NOT IN (SELECT name FROM ({_MASTER}) WHERE kind = 'EQ')")
+def unresolved_equities(spark, sf) -> DataFrame:
+    """Listed equities that the dump does not have."""
+    rows, listed = _master(spark, sf)
+    return files.unresolved(listed, rows).select("name")
+
+
 @query("SELECT o_custkey AS account, count(*) AS n FROM orders WHERE o_custkey % 4 = 0 AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 0) GROUP BY ALL")
 def unresolved_accounts(spark, sf) -> DataFrame:
     """Orders of a universe (every fourth account) whose account is not among those in good standing: what a report of unresolved names lists."""

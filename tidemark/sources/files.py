@@ -78,6 +78,33 @@ def first_seen(records: DataFrame, known: DataFrame) -> DataFrame:
     return one.select("url", "r.*").join(known.select("url"), "url", "left_anti")
 
 
+MASTER = "token string, symbol string, name string, expiry string, strike string, lotsize string, tick_size string, instrumenttype string, exch_seg string, freeze_qty string"
+
+
+def instrument_master(lines: DataFrame, indices: list[str], segments: list[str], equities: DataFrame) -> DataFrame:
+    """Instruments of the universe from a broker's dump (a JSON object a line): indices and their options, and the equities (name, sector).
+
+    Strikes are in hundredths; so are the ticks of equities only. An option's day of expiry is written 29JAN2026. What is not a number is null,
+    but for an equity's lot, which is 1.
+    """
+    x = lines.select(F.from_json("value", MASTER).alias("j")).where("j.symbol IS NOT NULL").select("j.*")
+    kind, num = F.coalesce("instrumenttype", F.lit("")), lambda c: F.col(c).try_cast("double")
+    index = F.col("name").isin(indices) & ((kind == "AMXIDX") | ((kind == "OPTIDX") & F.col("exch_seg").isin(segments)))
+    equity = (F.col("exch_seg") == "NSE") & (kind == "") & F.col("symbol").endswith("-EQ")
+    x = x.join(equities.select("name", "sector", F.lit(True).alias("_listed")), "name", "left").withColumn("_eq", equity & F.coalesce("_listed", F.lit(False))).where(index | F.col("_eq"))
+    eq = F.col("_eq")
+    return x.select(
+        F.concat_ws(":", "exch_seg", "symbol").alias("id"), "token", "symbol", "name", F.when(~eq, F.try_to_date(F.initcap("expiry"), "ddMMMyyyy")).alias("expiry"), F.when(eq, 0.0).otherwise(num("strike") / 100).alias("strike"),
+        F.when(eq, F.coalesce(F.nullif(num("lotsize"), F.lit(0.0)), F.lit(1.0))).otherwise(num("lotsize")).alias("lot"), F.when(eq, num("tick_size") / 100).otherwise(num("tick_size")).alias("tick"),
+        F.when(eq, "EQ").otherwise(kind).alias("kind"), F.when(eq, F.col("sector")).alias("sector"),
+    )
+
+
+def unresolved(equities: DataFrame, master: DataFrame) -> DataFrame:
+    """Equities of the universe that the dump does not have: renamed or no longer listed."""
+    return equities.join(master.where("kind = 'EQ'").select("name"), "name", "left_anti")
+
+
 TICK = "instrument_token string, ltp double, volume long, bid double, ask double"
 
 

@@ -6,7 +6,7 @@ section of its first byte; "end", of its last byte; "most", the one with most of
 So the counts of a document's sections add up to its tokens.
 
 Sections are the lines of a text, each with the newline that ends it (so they cover the text), or what
-``sections`` returns. Nulls: a null text is empty and has the one section 0 with no token; doc_id may be null.
+``sections`` returns, or the columns of a row (``tokens_by_field``). Nulls: a null text is empty and has the one section 0 with no token; doc_id may be null.
 Repeated rows each give their sections. An empty table gives no rows; other columns are not read.
 """
 
@@ -36,6 +36,27 @@ def lines(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def tokens_by_section(docs: DataFrame, vocab: str, rule: str = "start", sections: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] = lines) -> DataFrame:
     """A row per section: its characters [start, end), its tokens, and how many of those cross one of its boundaries."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _attributed(rows, vocab, rule, lambda data, offs, _: sections(data, offs))
+
+
+def tokens_by_field(docs: DataFrame, fields: list[str], vocab: str, rule: str = "start", joint: str = "\n") -> DataFrame:
+    """The same with a section per column in ``fields``: the document is their texts in order, each but the last with ``joint``
+    behind it, and is encoded whole. A null field is empty: a section of its joint alone. The section is the field's number."""
+    texts_ = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) if k == len(fields) - 1 else F.concat(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit(joint)) for k, c in enumerate(fields)]
+    sizes = [F.octet_length(t) for t in texts_]
+    starts = F.array(*(sum(sizes[:k], F.lit(0)).cast("long") for k in range(len(fields))))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.concat(*texts_).alias("text"), starts.alias("starts"))
+
+    def sections(data: np.ndarray, offs: np.ndarray, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        own = batch.column(2).flatten().to_numpy()
+        row = np.repeat(np.arange(len(offs) - 1), len(fields))
+        return own + offs[row], row
+
+    return _attributed(rows, vocab, rule, sections)
+
+
+def _attributed(rows: DataFrame, vocab: str, rule: str, sections: Callable[[np.ndarray, np.ndarray, pa.RecordBatch], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     if rule not in ("start", "end", "most"):
         raise ValueError(f"no such rule: {rule}")
 
@@ -48,7 +69,7 @@ def tokens_by_section(docs: DataFrame, vocab: str, rule: str = "start", sections
                 size = enc.n_bytes[ids]
                 end = np.cumsum(size)
                 begin = end - size
-                cut, row = sections(data, offs)
+                cut, row = sections(data, offs, batch.slice(at, n))
                 first = np.searchsorted(row, np.arange(n))
                 a, b = np.searchsorted(cut, begin, "right") - 1, np.searchsorted(cut, end - 1, "right") - 1
                 to = {"start": a, "end": b}.get(rule)
@@ -68,7 +89,7 @@ def tokens_by_section(docs: DataFrame, vocab: str, rule: str = "start", sections
                     "n_crossing": pa.array(crossing, pa.int64()),
                 })
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(run, SCHEMA)
 
 
 def _most(cut: np.ndarray, begin: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -5,13 +5,19 @@ container has a path of generalised tags and classes (digits to one sign, at mos
 the path of its best one. Votes are counted per host in Spark; every page is then extracted anew from the path that won on its host,
 or from its own best one where the page has no container of that path.
 
+The host's pages also vote on what lies inside: a path whose text comes again on other pages (pages with another main text, so
+that copies of a page are one voter) is boilerplate whatever its name, if it does so for half of LEAST_VOTERS voters and more. Some
+names (MAYBE_NAMES: notices, banners and the like) are boilerplate unless as many voters show that their text differs from page to page.
+
 Text: character references decoded, white space inside a block to one space, blocks joined by one space in page order.
+Elements below DEPTH are part of the one there, for paths; what is never main text is left out at any depth.
 Nulls: null html is empty; a page without text gives "" and 0; a null url is a host of its own. Repeated rows give a row each,
 and vote each. Ties of votes: the higher sum of scores, then the smaller path. Empty table: no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -24,8 +30,8 @@ from .common import table, written
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object textarea select title".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript template iframe textarea select title annotation annotation-xml".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr object svg text tspan math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mstyle mover munder munderover semantics".split())
 #: Opening one of these ends an open p.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -33,13 +39,16 @@ CONTAINERS = frozenset("body main article section div td".split())
 
 NEVER_TAGS = frozenset("nav aside footer form button dialog menu head".split())
 NEVER_NAMES = re.compile(
-    r"(?:^|[-_ ])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscri\w+|signup|login|search|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|widget|related|recommend\w*|share|sharing|social|comments?|commentlist|disqus|respond|replies|reply|footer|foot|header|masthead|toolbar|pagination|pager|copyright|legal)(?:$|[-_ ])",
+    r"(?:^|[-_ ])(?:ads?|advert\w*|adsense|sponsor\w*|cookies?|consent|gdpr|popup|modal|newsletter|subscri\w+|signup|login|search|nav|navbar|navigation|menu|breadcrumbs?|sidebar|related|recommend\w*|share|sharing|social|comments?|commentlist|disqus|footer|masthead|pagination|pager)(?:$|[-_ ])",
     re.I,
 )
+MAYBE_NAMES = re.compile(r"(?:^|[-_ ])(?:banner|promo\w*|notices?|alert|side|widget|respond|replies|reply|foot|header|toolbar|copyright|legal)(?:$|[-_ ])", re.I)
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 #: Elements below this depth are taken as part of the one there, as browsers do: bounds paths and walks up.
 DEPTH = 512
+#: Pages of different main text that must have a path before they decide whether it is boilerplate.
+LEAST_VOTERS = 4
 # Possessive: a tag that doesn't end is given up after one pass.
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>?", re.S)
 _STRAY = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
@@ -49,41 +58,48 @@ _DIGITS = re.compile(r"[0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "path", "never", "parent", "chars", "link", "blocks", "first", "depth")
+    __slots__ = ("tag", "path", "never", "maybe", "parent", "depth")
 
-    def __init__(self, tag: str, path: str, never: bool, parent: Node | None, first: int):
-        self.tag, self.path, self.never, self.parent, self.first = tag, path, never, parent, first
+    def __init__(self, tag: str, path: str, never: bool, maybe: bool, parent: Node | None):
+        self.tag, self.path, self.never, self.maybe, self.parent = tag, path, never, maybe, parent
         self.depth = parent.depth + 1 if parent else 0
-        self.chars = self.link = self.blocks = 0
 
 
-def _open(tag: str, attrs: str, parent: Node, first: int) -> Node:
-    a = {k.lower(): (x or y or z) for k, x, y, z in _ATTR.findall(attrs)} if attrs.strip() else {}
-    names = f"{a.get('class', '')} {a.get('id', '')}"
+def _attributes(attrs: str) -> dict[str, str]:
+    return {k.lower(): (x or y or z) for k, x, y, z in _ATTR.findall(attrs)} if attrs.strip() else {}
+
+
+def _never(tag: str, a: dict[str, str], parent: Node) -> bool:
     inside = "/article" in parent.path or "/main" in parent.path
-    never = (
+    return (
         parent.never or tag in NEVER_TAGS or tag == "header" and not inside or a.get("role", "").lower() in NEVER_ROLES
         or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
-        or tag not in ("html", "body", "article", "main") and NEVER_NAMES.search(names) is not None
+        or tag not in ("html", "body", "article", "main") and NEVER_NAMES.search(f"{a.get('class', '')} {a.get('id', '')}") is not None
     )
+
+
+def _open(tag: str, attrs: str, parent: Node) -> Node:
+    a = _attributes(attrs)
+    maybe = tag not in ("html", "body", "article", "main") and bool(a) and MAYBE_NAMES.search(f"{a.get('class', '')} {a.get('id', '')}") is not None
     classes = ".".join(sorted(_DIGITS.sub("#", c) for c in a.get("class", "").split())[:2])
-    return Node(tag, f"{parent.path}/{tag}{'.' + classes if classes else ''}", never, parent, first)
+    return Node(tag, f"{parent.path}/{tag}{'.' + classes if classes else ''}", _never(tag, a, parent), maybe, parent)
 
 
 def parse(page: str) -> tuple[list[tuple[str, Node, bool]], list[Node]]:
     """Pieces of text with the node each is in and whether a block begins before it; and the containers."""
-    root = Node("", "", False, None, 0)
-    at, node, pieces, containers, fresh, links, deeper = 0, root, [], [], True, 0, 0
+    root = Node("", "", False, False, None)
+    at, node, pieces, containers, fresh = 0, root, [], [], True
+    # Open elements below DEPTH, how many of each tag, and how many were open when text was muted (0: it is not).
+    deep: list[str] = []
+    n_deep: dict[str, int] = {}
+    muted = 0
 
     def text(s: str) -> None:
         nonlocal fresh
         if s:
             s = html.unescape(s) if "&" in s else s
-            if not node.never:
+            if not node.never and not muted:
                 pieces.append((s, node, fresh))
-                n = len(s) - s.count(" ")
-                node.chars += n
-                node.link += n if links else 0
                 fresh = False
 
     while b := _BEGINS.search(page, at):
@@ -100,8 +116,12 @@ def parse(page: str) -> tuple[list[tuple[str, Node, bool]], list[Node]]:
         if tag not in INLINE:
             fresh = True
         if m[1]:
-            if deeper and tag not in VOID:
-                deeper -= 1
+            if n_deep.get(tag):
+                while True:
+                    n_deep[last := deep.pop()] -= 1
+                    if last == tag:
+                        break
+                muted = muted if len(deep) >= muted else 0
                 continue
             up = node
             while up is not root and up.tag != tag:
@@ -110,21 +130,16 @@ def parse(page: str) -> tuple[list[tuple[str, Node, bool]], list[Node]]:
                     break
                 up = up.parent
             if up is not root:
-                while node is not up:
-                    links -= node.tag == "a"
-                    node = node.parent
-                links -= node.tag == "a"
-                node = node.parent
+                node = up.parent
+                deep, n_deep, muted = [], {}, 0
             continue
-        if tag in ENDS_P or tag in SIBLINGS:
+        if not deep and (tag in ENDS_P or tag in SIBLINGS):
             ends = SIBLINGS.get(tag, ()) + (("p",) if tag in ENDS_P else ())
             up = node
             while up is not root and up.tag not in ends and (up.tag in INLINE or up.tag == "p"):
                 up = up.parent
             if up.tag in ends:
-                while node is not up.parent:
-                    links -= node.tag == "a"
-                    node = node.parent
+                node = up.parent
         if tag in VOID or m[3].rstrip().endswith("/") and tag not in RAW:
             continue
         if tag in RAW:
@@ -132,12 +147,11 @@ def parse(page: str) -> tuple[list[tuple[str, Node, bool]], list[Node]]:
             at = end.end() if end else len(page)
             continue
         if node.depth >= DEPTH:
-            deeper += 1
+            deep.append(tag)
+            n_deep[tag] = n_deep.get(tag, 0) + 1
+            muted = muted or (len(deep) if _never(tag, _attributes(m[3]), node) else 0)
             continue
-        node = _open(tag, m[3], node, len(pieces))
-        links += tag == "a"
-        if tag == "p":
-            node.blocks += 1
+        node = _open(tag, m[3], node)
         if tag in CONTAINERS and not node.never:
             containers.append(node)
     text(page[at:])
@@ -153,9 +167,12 @@ def best(pieces: list, containers: list[Node]) -> tuple[Node | None, float]:
         n, up, weight = len(s.strip()), node, 1.0
         if not n:
             continue
-        linked = False
+        linked = maybe = False
         while up is not None:
             linked |= up.tag == "a"
+            maybe |= up.maybe
+            if maybe:  # what may be boilerplate speaks for no container
+                break
             if id(up) in score:
                 score[id(up)] += (-0.5 if linked else 1.0) * n * weight
                 weight *= 0.5 if up.tag != "section" else 0.9
@@ -166,45 +183,96 @@ def best(pieces: list, containers: list[Node]) -> tuple[Node | None, float]:
     return (top, score[id(top)]) if score[id(top)] > 0 else (None, 0.0)
 
 
-def blocks(pieces: list, inside: list[Node]) -> str:
-    keep = set(map(id, inside))
+def blocks(pieces: list, inside: list[Node], drop: frozenset[str] = frozenset(), keep: frozenset[str] = frozenset()) -> str:
+    """Text of the pieces inside, without paths in ``drop`` and without what may be boilerplate, unless its path is in ``keep``."""
+    wanted = dict.fromkeys(map(id, inside), True)
     out: list[str] = []
     own: list[str] = []
     for s, node, fresh in pieces:
-        up = node
-        while up is not None and id(up) not in keep:
+        up, walked = node, []
+        while up is not None and id(up) not in wanted:
+            walked.append(up)
+            if up.path in drop or up.maybe and up.path not in keep:
+                up = None
+                break
             up = up.parent
-        if up is None:
-            continue
+        found = up is not None and wanted[id(up)]
+        for x in walked:  # each element is judged once
+            wanted[id(x)] = found
         if fresh and own:
             out.append("".join(own))
             own = []
-        own.append(s)
+        if found:
+            own.append(s)
     if own:
         out.append("".join(own))
     return " ".join(" ".join(x.split()) for x in out if x.strip())
 
 
+def parts(pieces: list, top: Node) -> tuple[int, dict[str, tuple[int, bool]]]:
+    """A hash of the text of a container; and of that of each path inside it that has a class, with whether its name says it may be boilerplate.
+
+    Only what a class sets apart is up for votes: plain headings and paragraphs are the text itself.
+    """
+    found: dict[str, tuple[int, bool]] = {}
+    total = 0
+    below: dict[int, list[Node]] = {id(top): []}
+    for s, node, _ in pieces:
+        up, walked = node, []
+        while up is not None and id(up) not in below:
+            walked.append(up)
+            up = up.parent
+        if up is None:
+            continue
+        own = below[id(up)]
+        for x in reversed(walked):
+            own = below[id(x)] = [*own, x] if "." in x.path.rpartition("/")[2] else own
+        if text := " ".join(s.split()):
+            h = int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little")
+            total = (total * 31 + h) % 2**63
+            for x in own:
+                found[x.path] = (found.get(x.path, (0, False))[0] * 31 + h) % 2**63, x.maybe
+    return total, found
+
+
 def _host() -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
 def winners(pages: DataFrame) -> DataFrame:
-    """host, win: the path with most votes of the host's pages. Votes are summed before they are shuffled."""
+    """host, win (the path with most votes of the host's pages), drop and keep (paths inside that are boilerplate, or are not in spite of their name).
+
+    Votes of a batch are summed before they are shuffled; a page's vote on what lies inside is a row a path, without its text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             votes: dict[tuple[str, str], list[float]] = {}
+            inner: dict[tuple, None] = {}
             for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                top, score = best(*parse(page or ""))
+                pieces, containers = parse(page or "")
+                top, score = best(pieces, containers)
                 if top is not None:
                     v = votes.setdefault((host, top.path), [0, 0.0])
                     v[0] += 1
                     v[1] += score
-            yield pa.RecordBatch.from_pydict({"host": pa.array([k[0] for k in votes], pa.string()), "path": pa.array([k[1] for k in votes], pa.string()), "n": pa.array([v[0] for v in votes.values()], pa.int64()), "score": pa.array([round(v[1]) for v in votes.values()], pa.int64())})
-
-    votes = pages.select(_host().alias("host"), "html").mapInArrow(run, "host string, path string, n long, score long").groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("score").alias("score"))
-    return votes.groupBy("host").agg(F.min(F.struct((-F.col("n")).alias("n"), (-F.col("score")).alias("s"), "path")).alias("w")).select("host", F.col("w.path").alias("win"))
+                    main, found = parts(pieces, top)
+                    inner |= dict.fromkeys((host, path, h, main, maybe) for path, (h, maybe) in found.items())
+            yield pa.RecordBatch.from_pydict({
+                "host": pa.array([k[0] for k in votes] + [k[0] for k in inner], pa.string()), "path": pa.array([k[1] for k in votes] + [k[1] for k in inner], pa.string()),
+                "n": pa.array([v[0] for v in votes.values()] + [None] * len(inner), pa.int64()), "score": pa.array([round(v[1]) for v in votes.values()] + [None] * len(inner), pa.int64()),
+                "part": pa.array([None] * len(votes) + [k[2] for k in inner], pa.int64()), "main": pa.array([None] * len(votes) + [k[3] for k in inner], pa.int64()), "maybe": pa.array([None] * len(votes) + [k[4] for k in inner], pa.bool_()),
+            })
+
+    cast = written(pages.select(_host().alias("host"), "html").mapInArrow(run, "host string, path string, n long, score long, part long, main long, maybe boolean"), "host-votes")
+    votes = cast.where("n IS NOT NULL").groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("score").alias("score"))
+    won = votes.groupBy("host").agg(F.min(F.struct((-F.col("n")).alias("n"), (-F.col("score")).alias("s"), "path")).alias("w")).select("host", F.col("w.path").alias("win"))
+    # A text of a path counts the pages of different main text that have it: one page and its copies are one voter.
+    same = cast.where("n IS NULL").groupBy("host", "path", "part", "main").agg(F.bool_or("maybe").alias("maybe")).groupBy("host", "path", "part").agg(F.count(F.lit(1)).alias("m"), F.bool_or("maybe").alias("maybe"))
+    paths = same.groupBy("host", "path").agg(F.bool_or("maybe").alias("maybe"), F.sum("m").alias("voters"), F.sum(F.when(F.col("m") > 1, F.col("m")).otherwise(0)).alias("again")).where(F.col("voters") >= LEAST_VOTERS)
+    again = 2 * F.col("again") >= F.col("voters")
+    sides = paths.groupBy("host").agg(F.collect_list(F.when(again, F.col("path"))).alias("drop"), F.collect_list(F.when(~again & F.col("maybe"), F.col("path"))).alias("keep"))
+    return won.join(sides, "host", "left")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -214,13 +282,14 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found, paths = [], []
-            for page, win in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for page, win, drop, keep in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
+                drop, keep = frozenset(drop or ()), frozenset(keep or ())
                 pieces, containers = parse(page or "")
                 own = [c for c in containers if c.path == win]
                 if not own:
                     top, _ = best(pieces, containers)
                     own = [top] if top is not None else []
-                text = blocks(pieces, own)
+                text = blocks(pieces, own, drop, keep)
                 if not own and not containers:  # a fragment without any container
                     text = blocks(pieces, [n for _, n, _ in pieces])
                 found.append(text)
@@ -229,7 +298,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     # Spark broadcasts the winners if the table as written is small, and else joins by shuffle with its skew handling.
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", _host().alias("host"))
-    joined = rows.join(won, "host", "left").select("page_id", "url", "html", "win")
+    joined = rows.join(won, "host", "left").select("page_id", "url", "html", "win", "drop", "keep")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long, path string")
 
 

@@ -8,9 +8,6 @@ a multi-byte character, so byte positions and words agree with what a regular ex
 from __future__ import annotations
 
 import functools
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,44 +15,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_path, shared_dir, written  # noqa: F401
+
 #: Bytes of text that one numpy step takes at a time; a longer document is a step of its own.
 CHUNK = 1 << 20
 #: Bytes that are hashed at a time: the tables of powers have this length, however long a text or a word is.
 WINDOW = 1 << 17
-#: Bytes of a row group in tables that hold whole texts: what a writing task buffers.
-ROW_GROUP = 16 << 20
 #: A word as a Java / RE2 / Python pattern.
 WORD = r"[^\x20\x09-\x0D]+"
 
 _U = np.uint64
 
 
-# ---------------------------------------------------------------- shared storage
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``. In local mode, where one process is all there is, a folder of our own if that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors see")
-        at = getattr(shared_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        shared_dir.own = at
-    return at.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage, survives the loss of executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Stands for a null doc_id where ids are compared.
+NO_ID = -(1 << 63)
+#: Bits of the bitmap that ``parted`` broadcasts: 512 rows of 4 KB at most, however many keys there are.
+PARTED_BITS = 24
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def parted(rows: DataFrame, some: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """rows whose keys (never null) are surely not in ``some``, and those whose keys may be: by a bitmap of fixed size, so that only the latter,
+    with what they carry, need a shuffle to be checked."""
+    place = (F.shiftrightunsigned(F.xxhash64(*keys), 64 - PARTED_BITS) + 1).alias("_place")
+    bits = some.select(place).groupBy(F.bitmap_bucket_number("_place").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bits"))
+    x = rows.select("*", place).withColumn("_bucket", F.bitmap_bucket_number("_place")).join(F.broadcast(bits), "_bucket", "left")
+    at = F.bitmap_bit_position("_place")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    x = x.select(*rows.columns, F.coalesce(F.bit_get(byte, (at % 8).cast("int")) == 1, F.lit(False)).alias("_maybe"))
+    return x.where("NOT _maybe").drop("_maybe"), x.where("_maybe").drop("_maybe")
 
 
 # ---------------------------------------------------------------- Arrow batches

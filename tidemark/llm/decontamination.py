@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TERM, TERM_CODES, Words, mix, table, texts, written
+from .common import NO_ID, TERM, TERM_CODES, Words, mix, parted, table, texts, written
 
 MASKS = ("11101101", "1101011001", "1011001101", "110010100011")
 MIN_OVERLAP, MISMATCH = 13, 4
@@ -247,11 +247,9 @@ def op3_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that overlap no item, with all their columns.
-
-    What is contaminated is a table of ids and hashes, so its size is known and Spark broadcasts it if it is small;
-    texts are shuffled only if it isn't.
-    """
-    bad = written(overlaps(docs, items).select("doc_id", "text_key").distinct(), "bench-bad").alias("b")
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key")).alias("o")
-    return own.join(bad, F.col("o.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("o.text_key") == F.col("b.text_key")), "left_anti").select("row.*")
+    """The rows of ``docs`` that overlap no item, with all their columns. Texts are shuffled only for rows that may be contaminated."""
+    key = [F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("text_key").alias("key")]
+    bad = written(overlaps(docs, items).select(*key).distinct(), "bench-bad")
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("key"))
+    sure, maybe = parted(own, bad, ["id", "key"])
+    return sure.unionByName(maybe.join(bad, ["id", "key"], "left_anti")).select("row.*")

@@ -4,16 +4,19 @@ A document's set is its distinct shingles of ``words`` words (the whole sequence
 Two sets link when 100 * intersection >= ``percent`` * union; op7's are WORDS and PERCENT. Exact for all pairs of different sets, but for chance of 64-bit hashes:
 
 1. Equal sets are one class, known by a hash of the set; from here on a class is one record however many copies it has.
-2. Tokens get one order for all sets: a fixed quarter of the hash space first, by document frequency (counted by one shuffle
+2. Tokens get one order for all sets: a fixed part of the hash space first, by document frequency (counted by one shuffle
    over all documents), then the rest likewise, then the frequent class (FREQUENT of all documents and more), counted before in one pass.
-   A set whose first quarter alone holds its prefix sends only that quarter.
-3. Linked sets share g + 1 tokens of prefixes that are extended by g. If one of those is rare, its single-token key finds
-   the pair. If all are frequent, two fall into one of g hash groups, so the pairs of frequent tokens within each group, the
+   A set whose first part alone holds its prefix sends only that part.
+3. Linked sets share g + 1 tokens of prefixes that are extended by g. If one of those is rare (RARE sets and less have it), its single-token
+   key finds the pair. If none is, two fall into one of g hash groups, so the pairs of the other tokens within each group, the
    2-token combinations, are keys as well. A token of frequency 1 meets nothing and needs no key.
 4. Classes under one key are compared with the key's hub (the class with the fewest tokens of its own), which takes as many pairs as
-   rows; what is linked to the hub needs no comparison among itself. Where more than one component is left around a hub, its
-   members are compared in blocks of at most BLOCK sets, by one matrix product per pair of blocks, the linked ones against the
-   others and the others among themselves.
+   rows; what is linked to the hub needs no comparison among itself. Other members are compared in blocks of at most BLOCK sets, by one
+   matrix product per pair of blocks: those near the hub against the others, and the others among themselves.
+   Members of one component need no comparison, so each is compared with one hub first, and with others only if that leaves them apart.
+   All this is done on parities first, a bit per hash bucket and about as many buckets as tokens: two sets differ in at least as many
+   tokens as their parities in bits, so no link is lost, and what is not alike falls out at a 64th of the bytes of sets. For what is left
+   the sets are fetched and compared exactly, with the hub, and in blocks where more than one component is around it.
 5. Components of all links; a document's component is the smallest doc_id of its classes.
 
 Nulls: a null text is empty: no shingle, its own component, as is every empty text. A null doc_id stays null and never names a component
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, table, texts, written
+from .common import NO_ID, Words, mix, parted, table, texts, written
 from .components import components
 
 #: Share of documents from which a token is of the frequent class, at least FREQUENT_LEAST of them. Bounds the class: no more tokens than mean set size / FREQUENT.
@@ -37,11 +40,11 @@ FREQUENT, FREQUENT_LEAST = 0.0025, 32
 #: Documents of a piece in which a token is reported to that count, at least.
 LOCAL_LEAST = 4
 BLOCK = 192
+#: Sets that have a token, up to which it is a key of its own; more common ones are keys in combinations only.
+RARE = 32
 FILTER_BITS = 24
 #: Shingle length and share of op7; other callers name their own.
 WORDS, PERCENT = 3, 90
-#: Stands for a null doc_id where ids are compared.
-NO_ID = -(1 << 63)
 _U = np.uint64
 
 
@@ -92,9 +95,55 @@ def groups(n: int, percent: int = PERCENT) -> int:
     return 1 << max(0, (needed(n, percent) // 4).bit_length() - 1)
 
 
-def first(tokens: np.ndarray) -> np.ndarray:
-    """Whether tokens are in the quarter of the hash space that is counted first."""
-    return (mix(tokens) & _U(3)) == 0
+def first(tokens: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Whether tokens are in the part of the hash space that is counted first: nearly twice what prefixes take of a set, in sixteenths."""
+    return (mix(tokens) & _U(15)) < _U(min(16, max(4, -(-29 * (100 - percent) // 100))))
+
+
+def parity(s: np.ndarray) -> bytes:
+    """Of a set, whether each bucket of its hashes holds an odd number of them; buckets are a power of two, as many as tokens or more."""
+    buckets = max(64, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s & _U(buckets - 1)).astype(np.int64), minlength=buckets) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(differ, n, m, percent: int = PERCENT):
+    """Whether sets of n and m tokens that differ in so many tokens and more can link."""
+    return differ * (100 + percent) <= (n + m) * (100 - percent)
+
+
+def differ(a: bytes, b: bytes) -> int:
+    """Bits in which two parities differ; the longer one is folded to the length of the other, which keeps it a parity."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, k = int.from_bytes(a, "little"), 8 * len(a)
+    while k > 8 * len(b):
+        k //= 2
+        x = (x >> k) ^ (x & ((1 << k) - 1))
+    return (x ^ int.from_bytes(b, "little")).bit_count()
+
+
+def close_in_block(n: np.ndarray, side: np.ndarray, bits: list[bytes], percent: int = PERCENT, columns: int = 8192) -> np.ndarray:
+    """Which members have another one, of another side, that they may link with by their parities; side -1 is a side of one's own."""
+    out = np.zeros(len(n), bool)
+    length = np.array([8 * len(b) for b in bits])
+    rows = {int(k): np.flatnonzero(length == k) for k in np.unique(length)}
+    flat = {k: np.unpackbits(np.frombuffer(b"".join(bits[i] for i in at), np.uint8), bitorder="little").reshape(len(at), k) for k, at in rows.items()}
+    for k, at in rows.items():
+        own = flat[k]
+        for k2 in (k, 2 * k):
+            if k2 not in rows:
+                continue
+            other, at2 = flat[k2], rows[k2]
+            if k2 > k:
+                other = other[:, :k] ^ other[:, k:]
+            dot = np.zeros((len(at), len(at2)), np.float32)
+            for c in range(0, k, columns):
+                dot += (1 - 2 * own[:, c : c + columns].astype(np.float32)) @ (1 - 2 * other[:, c : c + columns].astype(np.float32)).T
+            hit = may_link(((k - dot) / 2).astype(np.int64), n[at][:, None], n[at2][None, :], percent) & ((side[at][:, None] != side[at2][None, :]) | (side[at] == -1)[:, None]) & (at[:, None] != at2[None, :])
+            out[at] |= hit.any(axis=1)
+            out[at2] |= hit.any(axis=0)
+    return out
 
 
 # ---------------------------------------------------------------- passes over the texts
@@ -129,7 +178,7 @@ def _frequent(summaries: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _token_rows(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: int, percent: int) -> DataFrame:
-    """Rows (token, sig) of each set, and one (sig, sig, info): size, rare tokens sent of the first quarter and of the rest, frequent tokens in order."""
+    """Rows (token, sig) of each set, and one (sig, sig, info): size, rare tokens sent of the first part and of the rest, frequent tokens in order, parity."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +195,7 @@ def _token_rows(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words:
                     at = np.minimum(np.searchsorted(common, s), max(len(common) - 1, 0))
                     often = common[at] == s if len(common) else np.zeros(len(s), bool)
                     rare = s[~often]
-                    early = first(rare)
+                    early = first(rare, percent)
                     sent, rest, most = rare[early], 0, np.zeros(0, _U)
                     if len(sent) < length:
                         rest = len(rare) - len(sent)
@@ -157,7 +206,7 @@ def _token_rows(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words:
                         sent_all = sent
                     keys += [sent_all.view(np.int64), np.array([sig], np.int64)]
                     sigs.append(np.full(len(sent_all) + 1, sig, np.int64))
-                    infos += [None] * len(sent_all) + [np.concatenate([np.array([len(s), len(sent), rest], _U), most]).tobytes()]
+                    infos += [None] * len(sent_all) + [np.concatenate([np.array([len(s), len(sent), rest, len(most)], _U), most]).tobytes() + parity(s)]
                 if keys:
                     yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys)), "sig": pa.array(np.concatenate(sigs)), "info": pa.array(infos, pa.binary())})
                 if len(done) > 500_000:
@@ -205,22 +254,24 @@ def _shared_tokens(rows: DataFrame) -> DataFrame:
 
 def prefix_keys(n: int, early: int, rest: int, most: np.ndarray, shared: np.ndarray, df: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
     """Keys of one set, and how many of the tokens it sent are its own alone. shared: its rare tokens of frequency 2 and more."""
-    order = np.lexsort((shared, df, ~first(shared)))
-    shared = shared[order]
-    in_first = int(first(shared).sum())
-    parts = [(early - in_first, shared[:in_first]), (rest - (len(shared) - in_first), shared[in_first:])]
+    early_ones = first(shared, percent)
+    order = np.lexsort((shared, df, ~early_ones))
+    shared, count = shared[order], df[order]
+    in_first = int(early_ones.sum())
+    parts = [(early - in_first, 0, in_first), (rest - (len(shared) - in_first), in_first, len(shared))]
     keys = []
     for g in {groups(overlap(n, percent), percent), groups(n, percent)}:
-        left, rare = needed(n, percent) + g, []
-        for own, tokens in parts:
+        left, picked = needed(n, percent) + g, []
+        for own, start, end in parts:
             left -= own
-            take = tokens[: max(left, 0)]
-            rare.append(take)
-            left -= len(take)
+            picked.append(np.arange(start, min(end, start + max(left, 0))))
+            left -= len(picked[-1])
             if left <= 0:
                 break
-        keys.append(mix(np.concatenate(rare)))
-        often = most[: max(left, 0)]
+        at = np.concatenate(picked)
+        alone = count[at] <= RARE
+        keys.append(mix(shared[at[alone]]))
+        often = np.concatenate([shared[at[~alone]], most[: max(left, 0)]])
         if len(often) > 1:
             group = (often % _U(g)).astype(np.int64)
             for k in np.unique(group):
@@ -231,7 +282,7 @@ def prefix_keys(n: int, early: int, rest: int, most: np.ndarray, shared: np.ndar
 
 
 def _index(shared: DataFrame, percent: int) -> DataFrame:
-    """key, sig, n, own for every set that has keys."""
+    """key, sig, n, own for every set that has keys; and a row of its parity (bits), without a key."""
     grouped = shared.groupBy("sig").agg(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("token", "df"))).alias("t"), F.max("info").alias("info"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,19 +291,22 @@ def _index(shared: DataFrame, percent: int) -> DataFrame:
             cut = np.asarray(t.offsets)
             flat = t.values
             token, df = np.asarray(flat.field(0)).view(_U), np.asarray(flat.field(1))
-            keys, count, sizes, owns = [], [], [], []
+            keys, count, sizes, owns, bits = [], [], [], [], []
             for i, raw in enumerate(infos.to_pylist()):
-                info = np.frombuffer(raw, _U)
-                n, early, rest = map(int, info[:3])
-                k, own = prefix_keys(n, early, rest, info[3:], token[cut[i] : cut[i + 1]], df[cut[i] : cut[i + 1]], percent)
+                n, early, rest, n_most = map(int, np.frombuffer(raw, _U, 4))
+                k, own = prefix_keys(n, early, rest, np.frombuffer(raw, _U, n_most, 32), token[cut[i] : cut[i + 1]], df[cut[i] : cut[i + 1]], percent)
                 keys.append(k)
                 count.append(len(k))
                 sizes.append(n)
                 owns.append(own)
+                bits.append(raw[32 + 8 * n_most :])
             repeat = lambda x: np.repeat(np.array(x, np.int64), count)
-            yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys).view(np.int64)), "sig": pa.array(repeat(sigs)), "n": pa.array(repeat(sizes)), "own": pa.array(repeat(owns))})
+            total = int(np.sum(count))
+            yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys).view(np.int64)), "sig": pa.array(repeat(sigs)), "n": pa.array(repeat(sizes)), "own": pa.array(repeat(owns)), "bits": pa.nulls(total, pa.binary())})
+            some = np.flatnonzero(count)
+            yield pa.RecordBatch.from_pydict({"key": pa.nulls(len(some), pa.int64()), "sig": pa.array(sigs[some]), "n": pa.array(np.array(sizes)[some]), "own": pa.array(np.array(owns)[some]), "bits": pa.array([bits[i] for i in some], pa.binary())})
 
-    return grouped.select("sig", "t", "info").mapInArrow(run, "key long, sig long, n long, own long")
+    return grouped.select("sig", "t", "info").mapInArrow(run, "key long, sig long, n long, own long, bits binary")
 
 
 # ---------------------------------------------------------------- sets of candidates, and their links
@@ -310,11 +364,14 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     out.append(i)
             yield pa.RecordBatch.from_arrays([b.column(k).take(pa.array(out, pa.int64())) for k in (0, 1)], ["hub", "sig"])
 
-    both = pairs.join(sets, "sig").join(sets.select(F.col("sig").alias("hub"), F.col("set").alias("hub_set")), "hub")
+    # Only sets that are in a pair are shuffled; the list of those is broadcast by Spark if it is small.
+    own = sets.join(pairs.select("sig").distinct(), "sig", "left_semi")
+    hubs = sets.select(F.col("sig").alias("hub"), F.col("set").alias("hub_set")).join(pairs.select("hub").distinct(), "hub", "left_semi")
+    both = pairs.join(own, "sig").join(hubs, "hub")
     return both.select("hub", "sig", "set", "hub_set").mapInArrow(run, "hub long, sig long")
 
 
-def links_in_block(sig: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT, columns: int = 8192) -> list[tuple[int, int]]:
+def links_in_block(sig: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT, columns: int = 8192) -> list[tuple[int, int]]:
     """Links between different components that join them up (not all of them): sets as rows of a 0/1 matrix over the tokens that two sets and more have."""
     size = np.array([len(s) for s in sets])
     row = np.repeat(np.arange(len(sets)), size)
@@ -331,7 +388,7 @@ def links_in_block(sig: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: li
         m = np.zeros((len(sets), columns), np.float32)
         m[row[lo:hi], col[lo:hi] - start] = 1
         common += m @ m.T
-    hit = linked(common.astype(np.int64), size[:, None], size[None, :], percent) & (comp[:, None] != comp[None, :]) & ~(side[:, None] & side[None, :])
+    hit = linked(common.astype(np.int64), size[:, None], size[None, :], percent) & (comp[:, None] != comp[None, :])
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -349,19 +406,14 @@ def links_in_block(sig: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: li
     return out
 
 
-def _rest(members: DataFrame, links: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among the members of hubs around which several components are left. members: hub, sig without the hub itself."""
-    named = members.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("label", "sig")).drop("label")
-    near = links.select("hub", "sig", F.lit(True).alias("side"))
-    named = named.join(near, ["hub", "sig"], "left").withColumn("side", F.coalesce("side", F.lit(False)))
-    # All on the near side are in the hub's component; one member that is not near, of another component than some other member, is work.
-    per = named.groupBy("hub").agg(F.sum(F.col("side").cast("long")).alias("n_near"), F.sum((~F.col("side")).cast("long")).alias("n_far"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-    work = written(per.where("c0 <> c1 AND n_far > 0 AND n_near + n_far > 1"), "jaccard-work")
+def _dealt(rows: DataFrame) -> DataFrame:
+    """hub, kind, i, j, and what ``rows`` (hub, sig, side, n_near, n_far and more) carry: members of a hub in pairs of blocks, so that
+    any two that are not both on the near side meet in one. A small group is one block."""
     blocks = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1)).cast("int")
-    rows = named.join(work, "hub").withColumn("k_far", blocks("n_far")).withColumn("k_near", blocks("n_near"))
+    rows = rows.withColumn("k_far", blocks("n_far")).withColumn("k_near", blocks("n_near"))
     spot = F.pmod(F.xxhash64("sig"), F.when(F.col("side"), F.col("k_near")).otherwise(F.col("k_far"))).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    # Block pairs: ("f", i, j) of far blocks i <= j; ("n", i, j) of near block i and far block j. Small groups are one block.
+    # Block pairs: ("f", i, j) of far blocks i <= j; ("n", i, j) of near block i and far block j.
     alone = F.col("n_near") + F.col("n_far") <= BLOCK
     far_far = F.transform(every("k_far"), lambda j: F.struct(F.lit("f").alias("kind"), F.least(j, F.col("spot")).alias("i"), F.greatest(j, F.col("spot")).alias("j")))
     near_far = F.transform(every("k_near"), lambda i: F.struct(F.lit("n").alias("kind"), i.alias("i"), F.col("spot").alias("j")))
@@ -369,16 +421,68 @@ def _rest(members: DataFrame, links: DataFrame, labels: DataFrame, sets: DataFra
     whole = F.array(F.struct(F.lit("w").alias("kind"), F.lit(0).alias("i"), F.lit(0).alias("j")))
     far = F.when(F.col("n_near") > 0, F.concat(far_far, near_far)).otherwise(far_far)
     pairs = F.when(alone, whole).when(F.col("side"), near).otherwise(far)
-    dealt = rows.withColumn("spot", spot).select("hub", "sig", "comp", "side", F.explode(F.array_distinct(pairs)).alias("b")).select("hub", "sig", "comp", "side", "b.*")
+    more = [c for c in rows.columns if c not in ("n_near", "n_far", "k_near", "k_far")]
+    return rows.withColumn("spot", spot).select(*more, F.explode(F.array_distinct(pairs)).alias("b")).select(*more, "b.*")
+
+
+def _sides(members: DataFrame, near: DataFrame) -> DataFrame:
+    """members with side: whether (hub, sig) is in ``near``."""
+    return members.join(near.select("hub", "sig", F.lit(True).alias("side")), ["hub", "sig"], "left").withColumn("side", F.coalesce("side", F.lit(False)))
+
+
+def _close(members: DataFrame, parities: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """By parities: (hub, sig) of members that may link with the hub; and of those that may link with another member though not both with the hub."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m, x, y = (b.column(k).to_pylist() for k in (2, 3, 4, 5))
+            keep = [i for i in range(len(n)) if may_link(differ(x[i], y[i]), n[i], m[i], percent)]
+            yield pa.RecordBatch.from_arrays([b.column(k).take(pa.array(keep, pa.int64())) for k in (0, 1)], ["hub", "sig"])
+
+    def block(t: pa.Table) -> pa.Table:
+        keep = close_in_block(np.asarray(t["n"]), np.where(np.asarray(t["side"]), 0, -1), t["bits"].to_pylist(), percent)
+        return t.select(["hub", "sig"]).filter(pa.array(keep))
+
+    fits = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
+    own = parities.select("sig", "bits")
+    both = members.where(fits).join(own, "sig").join(own.select(F.col("sig").alias("hub"), F.col("bits").alias("hub_bits")), "hub")
+    near = written(both.select("hub", "sig", "n", "hub_n", "bits", "hub_bits").mapInArrow(pairs, "hub long, sig long"), "jaccard-near")
+    named = _sides(members.select("hub", "sig", "n"), near)
+    per = named.groupBy("hub").agg(F.sum(F.col("side").cast("long")).alias("n_near"), F.sum((~F.col("side")).cast("long")).alias("n_far")).where("n_far > 0 AND n_near + n_far > 1")
+    dealt = _dealt(named.join(per, "hub")).join(own, "sig")
+    found = dealt.select("hub", "kind", "i", "j", "sig", "n", "side", "bits").groupBy("hub", "kind", "i", "j").applyInArrow(block, "hub long, sig long")
+    return near, written(found.distinct(), "jaccard-close")
+
+
+def _in_components(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """hub, sig, comp, side of members: the component, and whether it is the hub's."""
+    of = lambda df, c, name: df.join(labels.select(F.col("node").alias(c), F.col("label").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
+    named = of(of(members.select("hub", "sig"), "sig", "comp"), "hub", "hub_comp")
+    return named.select("hub", "sig", "comp", (F.col("comp") == F.col("hub_comp")).alias("side"))
+
+
+def _rest(members: DataFrame, labels: DataFrame, parities: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among the members of hubs around which several components are left. members: hub, sig without the hub itself.
+
+    Blocks are compared by parities first, across components only; sets go to blocks only for members that have a partner by these.
+    """
+    named = _in_components(members, labels)
+    # A member that is not in the hub's component, of another one than some other member, is work.
+    per = named.groupBy("hub").agg(F.sum(F.col("side").cast("long")).alias("n_near"), F.sum((~F.col("side")).cast("long")).alias("n_far"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    work = written(per.where("c0 <> c1 AND n_far > 0 AND n_near + n_far > 1").select("hub", "n_near", "n_far"), "jaccard-work")
+
+    def alike(t: pa.Table) -> pa.Table:
+        keep = close_in_block(np.asarray(t["n"]), np.unique(np.asarray(t["comp"]), return_inverse=True)[1], t["bits"].to_pylist(), percent)
+        return t.select(["hub", "kind", "i", "j", "sig", "comp"]).filter(pa.array(keep))
 
     def run(t: pa.Table) -> pa.Table:
         sig, once = np.unique(np.asarray(t["sig"]), return_index=True)
-        comp, side = np.asarray(t["comp"])[once], np.asarray(t["side"])[once]
-        raw = t["set"].take(pa.array(once)).to_pylist()
-        found = links_in_block(sig, comp, side, [np.frombuffer(x, _U) for x in raw], percent)
+        found = links_in_block(sig, np.asarray(t["comp"])[once], [np.frombuffer(x, _U) for x in t["set"].take(pa.array(once)).to_pylist()], percent)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    return dealt.join(sets, "sig").select("hub", "kind", "i", "j", "sig", "comp", "side", "set").groupBy("hub", "kind", "i", "j").applyInArrow(run, "a long, b long")
+    dealt = _dealt(named.join(work, "hub")).join(parities.select("sig", "n", "bits"), "sig").select("hub", "kind", "i", "j", "sig", "comp", "n", "bits")
+    left = written(dealt.groupBy("hub", "kind", "i", "j").applyInArrow(alike, "hub long, kind string, i int, j int, sig long, comp long"), "jaccard-alike")
+    return left.join(sets, "sig").select("hub", "kind", "i", "j", "sig", "comp", "set").groupBy("hub", "kind", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def grouped(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -390,16 +494,24 @@ def grouped(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     frequent = _frequent(summaries, per_doc.count())
 
     index = written(_index(_shared_tokens(_token_rows(docs, frequent, words, percent)), percent), "jaccard-index")
-    hubs = index.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("own", "sig", "n")).alias("h")).where("m > 1").select("key", F.col("h.sig").alias("hub"), F.col("h.n").alias("hub_n"))
-    members = written(index.join(hubs, "key").where("sig <> hub").select("hub", "sig", "n", "hub_n").distinct(), "jaccard-members")
-    wanted = members.select("sig").union(members.select("hub")).distinct().join(classes, "sig").select("sig", F.coalesce("id", F.lit(NO_ID)).alias("id"))
+    keys, parities = index.where("key IS NOT NULL"), index.where("key IS NULL")
+    hubs = keys.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("own", "sig", "n")).alias("h")).where("m > 1").select("key", F.col("h.sig").alias("hub"), F.col("h.n").alias("hub_n"))
+    members = written(keys.join(hubs, "key").where("sig <> hub").select("hub", "sig", "n", "hub_n").distinct(), "jaccard-members")
+    near, more = _close(members, parities, percent)
+    kept = near.union(more).distinct()
+    wanted = kept.select("sig").union(near.select("hub")).distinct().join(classes, "sig").select("sig", F.coalesce("id", F.lit(NO_ID)).alias("id"))
     sets = written(_sets_of(docs, written(wanted, "jaccard-wanted"), words), "jaccard-candidates")
-    fits = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
-    links = written(_compare(members.where(fits).select("hub", "sig"), sets, percent), "jaccard-links")
+    # Each member with the hub that most members may link with: as many pairs as members. Of the other pairs, those are compared that this leaves apart.
+    weight = near.groupBy("hub").agg(F.count(F.lit(1)).alias("m"))
+    first_hub = written(near.join(weight, "hub").groupBy("sig").agg(F.max_by("hub", F.struct("m", "hub")).alias("hub")).select("hub", "sig"), "jaccard-near")
+    links = written(_compare(first_hub, sets, percent), "jaccard-links")
     labels = components(links.select(F.col("hub").alias("a"), F.col("sig").alias("b")))
-    more = written(_rest(members.select("hub", "sig"), links, labels, sets, percent), "jaccard-links")
-    if more.limit(1).count():
-        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
+    apart = written(_in_components(near, labels).where("NOT side").select("hub", "sig").join(first_hub, ["hub", "sig"], "left_anti"), "jaccard-near")
+    steps = [lambda: _compare(apart, sets, percent).select(F.col("hub").alias("a"), F.col("sig").alias("b")), lambda: _rest(kept, labels, parities, sets, percent)]
+    for step in steps:
+        more = written(step(), "jaccard-links")
+        if more.limit(1).count():
+            labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
 
     named = classes.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "id", F.coalesce("label", "sig").alias("label"))
     smallest = named.groupBy("label").agg(F.min("id").alias("component_id"))
@@ -416,19 +528,18 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Of each component the row with its smallest doc_id (then text hash) stays; of rows equal in doc_id and text, one. Texts without a shingle all stay.
 
-    What goes, and what is there more than once, are tables of ids and hashes: Spark broadcasts them if they are small.
-    Texts are shuffled only for rows that are there more than once.
+    What goes, and what is there more than once, are tables of ids and hashes. Texts are shuffled only for rows that may be in them.
     """
     found = written(grouped(docs, words, percent), "jaccard-groups")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     pair = F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("text_key").alias("key")
-    top = found.where("label IS NOT NULL").groupBy("label").agg(F.min(order).alias("top"))
-    gone = written(found.join(top, "label").where(order != F.col("top")).select(*pair).distinct(), "jaccard-gone")
+    top = found.where("label IS NOT NULL").groupBy("label").agg(F.min(order).alias("top")).select(F.coalesce("top.doc_id", F.lit(NO_ID)).alias("id"), F.col("top.text_key").alias("key"))
+    # By id and hash, not by label: a group may hold a large part of all rows.
+    gone = written(found.where("label IS NOT NULL").select(*pair).distinct().join(top, ["id", "key"], "left_anti"), "jaccard-gone")
     twice = written(found.select(*pair).groupBy("id", "key").count().where("count > 1").select("id", "key"), "jaccard-twice")
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("key"))
-    left = own.join(gone, ["id", "key"], "left_anti")
-    once = left.join(twice, ["id", "key"], "left_anti")
-    return once.unionByName(left.join(twice, ["id", "key"], "left_semi").dropDuplicates(["id", "key"])).select("row.*")
+    sure, maybe = parted(own, gone.unionByName(twice), ["id", "key"])
+    return sure.unionByName(maybe.join(gone, ["id", "key"], "left_anti").dropDuplicates(["id", "key"])).select("row.*")
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -51,6 +51,29 @@ def test_the_host_s_path_wins_over_a_page_s_own(spark):
     assert got[9] == "a brief note"
 
 
+def test_votes_on_what_lies_inside(spark):
+    """On a host a class whose text comes again is boilerplate whatever its name; one whose text differs is not, though its name may say so. One page's copies are one voter."""
+    page = '<body><article><h1>same title</h1><div class="x9 box">read more of us</div><div class="alert">warning of day {i}</div><p>' + "text {i} and so on " * 20 + "</p></article></body>"
+    rows = [(i, "http://h/", page.format(i=i)) for i in range(5)] + [(10 + i, "http://few/", page.format(i=7)) for i in range(6)] + [(20, "http://one/", page.format(i=8))]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    body = lambda i: f"text {i} and so on " * 19 + f"text {i} and so on"
+    assert [got[i] for i in range(5)] == [f"same title warning of day {i} {body(i)}" for i in range(5)]
+    assert got[10] == got[15] == f"same title read more of us {body(7)}" and got[20] == f"same title read more of us {body(8)}"
+
+
+def test_formulas_drawings_and_deep_pages(spark):
+    deep = "<div>" * 3000
+    rows = [
+        (1, "<article><p>It is <math><mi>x</mi><mo>+</mo><mn>1</mn><annotation>x+1</annotation></math> here <svg><title>t</title><text>drawn</text></svg> and <object data=a>instead</object>.</p></article>"),
+        (2, "<article>" + deep + "<p>low down</p><nav>menu <b>deep</b></nav><div class=ad><div>buy <p>this</div> now</div> end" + "</div>" * 3000 + "<p>after</p></article>"),
+        (3, "<article>" + "<div><b>y</b>" * 20_000 + "</article>"),
+        (4, "<article><p>" + "word " * 1_000_000 + "</p></article>"),
+    ]
+    got = {r.page_id: r for r in pages.extract(spark.createDataFrame([(i, None, h) for i, h in rows], "page_id long, url string, html string")).collect()}
+    assert got[1].text == "It is x+1 here drawn and instead."
+    assert got[2].text == "low down end after" and got[3].text == " ".join(["y"] * 20_000) and got[4].n_chars == 4_999_999
+
+
 # ---------------------------------------------------------------- mixing
 
 def test_mixture_equals_sql(spark, duck):
@@ -184,6 +207,16 @@ def test_one_of_each_at_0_8(spark):
     assert [r.doc_id for r in jaccard.one_of_each(docs, words=5, percent=80).collect()] == [1] and jaccard.one_of_each(docs).count() == 2
 
 
+def test_rows_are_parted_by_a_bitmap(spark):
+    from tidemark.llm.common import parted
+
+    rows = spark.range(20_000).selectExpr("id", "id % 7 AS key", "'t' AS row")
+    some = rows.where("id % 50 = 3").select("id", "key")
+    sure, maybe = parted(rows, some, ["id", "key"])
+    assert maybe.join(some, ["id", "key"], "left_semi").count() == some.count() and sure.count() + maybe.count() == 20_000 and maybe.count() < some.count() + 20
+    assert parted(rows, some.limit(0), ["id", "key"])[1].count() == 0 and sure.columns == rows.columns
+
+
 def test_one_of_each(spark):
     w = " ".join(f"w{i}" for i in range(40))
     rows = [(7, w, 1), (4, w + " x", 2), (4, w + " x", 2), (None, w, 3), (2, None, 4), (None, "q", 5), (None, "q", 6)]
@@ -215,6 +248,29 @@ def test_prefixes_share_a_key():
             assert len(np.intersect1d(*keys))
 
 
+def test_parities_lose_no_link():
+    """Parities never differ in more bits than sets in tokens; pairs and blocks agree; what is not alike falls out."""
+    rng = np.random.default_rng(7)
+    for percent in (80, 90):
+        base = rng.integers(1, 2**63, 3000).astype(np.uint64)
+        sets = []
+        for _ in range(60):
+            n = int(rng.choice([70, 100, 120, 130, 600, 1100]))
+            own = rng.integers(1, 2**63, int(rng.integers(0, n // 4))).astype(np.uint64)
+            sets.append(np.unique(np.concatenate([base[: n - len(own)] if rng.random() < 0.7 else rng.integers(1, 2**63, n).astype(np.uint64), own])))
+        n, bits, side = np.array([len(s) for s in sets]), [jaccard.parity(s) for s in sets], rng.choice([-1, -1, 0, 1], 60)
+        want, may = np.zeros(60, bool), np.zeros((60, 60), bool)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                d = jaccard.differ(bits[i], bits[j])
+                assert d <= len(a) + len(b) - 2 * len(np.intersect1d(a, b))
+                may[i, j] = i != j and (side[i] != side[j] or side[i] == -1) and jaccard.may_link(d, n[i], n[j], percent)
+                if may[i, j] and len(bits[i]) in (len(bits[j]), 2 * len(bits[j]), len(bits[j]) / 2):
+                    want[i] = True
+                assert i == j or not jaccard.linked(len(np.intersect1d(a, b)), n[i], n[j], percent) or jaccard.may_link(d, n[i], n[j], percent)
+        assert (jaccard.close_in_block(n, side, bits, percent) == want).all() and 0 < want.sum() < 60
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 20)] + [(50, 40), (40, 50), (60, 60), (100, 30), (30, 50)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

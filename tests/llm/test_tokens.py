@@ -111,3 +111,44 @@ def test_a_crossing_token_follows_the_rule(spark):
     df = spark.createDataFrame([(1, "hello there")], "doc_id long, text string")
     by = {rule: [(r.n_tokens, r.n_crossing) for r in attribution.tokens_by_section(df, encode.vocabulary(), rule, cut).orderBy("section").collect()] for rule in ("start", "end", "most")}
     assert by == {"start": [(1, 1), (1, 0)], "end": [(0, 0), (2, 1)], "most": [(1, 1), (1, 0)]}
+
+
+def test_fields(spark, lib):
+    """Tokens of columns that are one document; empty and null fields, clashing names, repeats."""
+    rows = [(1, "Title here", "the body\nof it", 5), (2, None, "x", None), (3, "", "", 0), (3, "", "", 0), (None, "é ü", None, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, section string, start int")
+    got = {}
+    for r in attribution.tokens_by_field(df, ["text", "section", "start"], encode.vocabulary()).collect():
+        got.setdefault(r.doc_id, []).append((r.section, r.start, r.end, r.n_tokens))
+    for i, *fields in rows:
+        parts = [("" if x is None else str(x)) + ("\n" if k < 2 else "") for k, x in enumerate(fields)]
+        ends = np.cumsum([len(p) for p in parts]).tolist()
+        own = sorted(set(got[i]))
+        assert [x[:3] for x in own] == [(k, e - len(p), e) for k, (p, e) in enumerate(zip(parts, ends, strict=True))]
+        assert sum(x[3] for x in own) == len(lib("".join(parts)).ids)
+    assert len(got[3]) == 6 and attribution.tokens_by_field(df.limit(0), ["text"], encode.vocabulary()).count() == 0
+
+
+def test_a_very_long_text_in_every_operator(spark):
+    """One text of 64 MB among short ones: each operator gives its rows for it."""
+    from pyspark.sql import functions as F
+    from tidemark.llm import decontamination, jaccard, line_rules, pii, quality_model, toxicity
+
+    words = " ".join(f"w{k * 7919 % 30011}" for k in range(1500))
+    long = spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit(words + "\n"), (64 << 20) // len(words)).alias("text"))
+    docs = long.union(spark.createDataFrame([(1, "a short one"), (2, words)], "doc_id long, text string"))
+    n = (64 << 20) // len(words)
+    model = np.zeros(quality_model.SAME + 1, np.float32), 0.5
+    assert quality_model.score(docs, model).count() == 3
+    machine = toxicity.fit([np.array([1, 2]), np.array([3])] * 20, np.array([1.0, 0.0] * 20))
+    assert toxicity.score(docs, machine).count() == 3
+    got = {r.doc_id: r for r in line_rules.judge(docs, (np.zeros(len(line_rules.FEATURES)), np.zeros((2, 2)))).collect()}
+    assert got[0].n_words == 1500 * n and got[0].n_dup_lines == n - 1 and got[0].base_failed
+    assert pii.find(docs, pii.fit([])).count() == 3
+    found = {r.doc_id: r.component_id for r in jaccard.join(docs).collect()}
+    assert found == {0: 0, 1: 1, 2: 0}  # the long one repeats the words of the third
+    items = spark.createDataFrame([(5, " ".join(words.split()[100:120]))], "item_id long, text string")
+    assert {(r.doc_id, r.matched) for r in decontamination.overlaps(docs, items).collect()} == {(0, 20), (2, 20)}
+    ids = {r.doc_id: r.n_tokens for r in tokenfile.token_digest(docs).collect()}
+    sections = {r.doc_id: r.n for r in attribution.tokens_by_section(docs, encode.vocabulary()).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()}
+    assert ids == {k: v + 1 for k, v in sections.items()} and ids[0] > 10_000_000

@@ -7,6 +7,7 @@ a multi-byte character, so byte positions and words agree with what a regular ex
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Callable, Iterator
 
@@ -25,6 +26,7 @@ WINDOW = 1 << 17
 WORD = r"[^\x20\x09-\x0D]+"
 
 _U = np.uint64
+_LIBC = ctypes.CDLL(None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +57,13 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+def release() -> None:
+    """Hand freed memory back to the system: a worker is used again from stage to stage, and would keep the most it ever held."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def texts(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Pieces of a batch of about ``most`` bytes: first row, rows, bytes, offsets (rows + 1, from 0). Null: empty."""
     col = batch.column(batch.schema.get_field_index(column))
@@ -73,6 +82,7 @@ def texts(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK) -> Ite
         to = max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1)
         yield at, to - at, data[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
         at = to
+    release()
 
 
 def ids_of(batch: pa.RecordBatch, column: str = "doc_id") -> pa.Array:

@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CHUNK, new_path, table, texts
+from .common import CHUNK, new_path, release, table, texts
 from .encode import encoder, vocabulary
 
 MAGIC = b"TMDAC001"
 BLOCK = 512
 #: Tokens after which a task closes a file: bounds what a task holds.
-FILE_TOKENS = 4_000_000
+FILE_TOKENS = 2_000_000
 
 
 class Level:
@@ -207,6 +207,7 @@ def write_tokens(docs: DataFrame, path: str, vocab: str, end_id: int = 0, file_t
             _store(name, TokenFile.of(*(np.concatenate([x[k] for x in held]) for k in (0, 1)), starts, np.concatenate([x[3] for x in held])).dumps())
             row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "path": [name], "n_tokens": pa.array([int(starts[-1])], pa.int64())})
             seq, held, count = seq + 1, [], 0
+            release()
             return row
 
         from pyspark import TaskContext
@@ -247,6 +248,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 with where.open_input_stream(at) as f:
                     file = TokenFile.loads(f.read())
                 tokens, starts = file.tokens().astype("<u4"), file.starts.astype(np.int64)
+                own = tokens
                 for k in range(0, len(file.doc_ids), 2000):
                     s = starts[k : k + 2001]
                     own = tokens[s[0] : s[-1]]
@@ -256,6 +258,8 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                         "n_tokens": pa.array(np.diff(s), pa.int64()),
                         "tokens": pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(s) - 1, [None, pa.py_buffer((s - s[0]) * 4), pa.py_buffer(own.tobytes())]).cast(pa.binary()),
                     })
+                del file, tokens, starts, own
+                release()
 
     # One row per file, so the running sum is over as many rows as there are files, not documents.
     w = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import attribution, decontamination, jaccard, line_rules, mixing, pages, pii, quality_model, tokenfile, toxicity
+from . import attribution, decontamination, jaccard, line_rules, mixing, pages, pii, quality_model, sharding, tokenfile, toxicity
 
 QUERIES = {
     "op1_personal_data": pii.op1_personal_data,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_token_files": tokenfile.op9_token_files,
     "op10_section_tokens": attribution.op10_section_tokens,
+    "op11_sharding": sharding.op11_sharding,
 }
 
-ORACLE_SQL = {"op6_mixture": mixing.oracle()}
+ORACLE_SQL = {"op6_mixture": mixing.oracle(), "op11_sharding": sharding.oracle()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import attribution, conversations, decontamination, jaccard, line_rules, mixing, pages, pii, quality_model, sharding, tokenfile, toxicity
+from . import attribution, conversations, decontamination, jaccard, line_rules, mixing, pages, pii, quality_model, runs, sharding, tokenfile, toxicity
 
 QUERIES = {
     "op1_personal_data": pii.op1_personal_data,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_files": tokenfile.op9_token_files,
     "op10_section_tokens": attribution.op10_section_tokens,
     "op11_sharding": sharding.op11_sharding,
+    "op12_runs": runs.op12_runs,
     "op13_conversations": conversations.op13_conversations,
 }
 

@@ -74,6 +74,44 @@ def test_formulas_drawings_and_deep_pages(spark):
     assert got[2].text == "low down end after" and got[3].text == " ".join(["y"] * 20_000) and got[4].n_chars == 4_999_999
 
 
+def test_names_decide_nothing_for_good(spark):
+    """Inside an article a block stays unless its whole name says what it is, votes and links can overrule that, and tags and roles are final."""
+    body = "<p>" + "the text of page {i} goes on " * 12 + "</p>"
+    one = "<article>" + body + '<div class="related-work">earlier work {i}</div><div class="search">we search {i}</div><div class="share">a share of {i}</div><section id="comments-on-policy">policy {i}</section><div class="share-links"><a href=x>tweet</a></div><div class="comments">nice {i}</div><div class="ad-slot">buy {i}</div></article>'
+    many = '<body><div class="ad">' + body + "</div><nav>menu</nav></body>"
+    rows = [(0, "http://one/", one.format(i=0))] + [(10 + i, "http://many/", one.format(i=i)) for i in range(6)] + [(20 + i, "http://ad/", many.format(i=i)) for i in range(6)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    text = lambda i: " ".join([f"the text of page {i} goes on"] * 12)
+    for page, i in [(0, 0)] + [(10 + i, i) for i in range(6)]:
+        assert got[page] == f"{text(i)} earlier work {i} we search {i} a share of {i} policy {i}"
+
+
+def test_votes_equal_a_plain_count(spark):
+    """The winning paths, and what the votes drop and keep, counted page by page."""
+    got = {r.host: (r.win, sorted(r["drop"] or []), sorted(r.keep or [])) for r in pages.winners(spark.read.parquet(f"{DATA}/sf0.01/pages.parquet")).collect()}
+    votes, seen, kinds = collections.defaultdict(dict), collections.defaultdict(set), {}
+    for r in spark.read.parquet(f"{DATA}/sf0.01/pages.parquet").collect():
+        host = re.match("https?://([^/:]+)", r.url)[1].lower()
+        pieces, containers = pages.parse(r.html)
+        top, score = pages.best(pieces, containers)
+        if top is None:
+            continue
+        n, s = votes[host].get(top.path, (0, 0))
+        votes[host][top.path] = n + 1, s + score
+        main, found = pages.parts(pieces, top)
+        for path, (h, maybe, _) in found.items():
+            seen[host, path].add((h, main))
+            kinds[host, path] = maybe
+    want = {h: (min(v, key=lambda p: (-v[p][0], -round(v[p][1]), p)), [], []) for h, v in votes.items()}
+    for (host, path), x in sorted(seen.items()):
+        times = collections.Counter(h for h, _ in x)
+        if len(x) >= pages.LEAST_VOTERS:
+            again = 2 * sum(n for n in times.values() if n > 1) >= len(x)
+            if again or kinds[host, path]:
+                want[host][1 if again else 2].append(path)
+    assert got == want
+
+
 # ---------------------------------------------------------------- mixing
 
 def test_mixture_equals_sql(spark, duck):

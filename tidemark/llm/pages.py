@@ -6,8 +6,11 @@ the path of its best one. Votes are counted per host in Spark; every page is the
 or from its own best one where the page has no container of that path.
 
 The host's pages also vote on what lies inside: a path whose text comes again on other pages (pages with another main text, so
-that copies of a page are one voter) is boilerplate whatever its name, if it does so for half of LEAST_VOTERS voters and more. Some
-names (MAYBE_NAMES: notices, banners and the like) are boilerplate unless as many voters show that their text differs from page to page.
+that copies of a page are one voter) is boilerplate whatever its name, if it does so for half of LEAST_VOTERS voters and more. Names
+decide nothing for good: a NOTICE or a block of LINKS is kept where as many voters show that its text differs from page to page, an
+advert or reader comments (ASIDE, whose text differs anyway) where it is half of the main text on half of them. On a host with
+fewer voters a NOTICE or an ASIDE goes, a block of LINKS goes if half of its text is inside links. Tags, roles and hidden
+attributes alone (NEVER_TAGS, NEVER_ROLES) are final.
 
 Text: character references decoded, white space inside a block to one space, blocks joined by one space in page order.
 Elements below DEPTH are part of the one there, for paths; what is never main text is left out at any depth.
@@ -17,6 +20,7 @@ and vote each. Ties of votes: the higher sum of scores, then the smaller path. E
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html
 import re
@@ -38,11 +42,14 @@ SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 CONTAINERS = frozenset("body main article section div td".split())
 
 NEVER_TAGS = frozenset("nav aside footer form button dialog menu head".split())
-NEVER_NAMES = re.compile(
-    r"(?:^|[-_ ])(?:ads?|advert\w*|adsense|sponsor\w*|cookies?|consent|gdpr|popup|modal|newsletter|subscri\w+|signup|login|search|nav|navbar|navigation|menu|breadcrumbs?|sidebar|related|recommend\w*|share|sharing|social|comments?|commentlist|disqus|footer|masthead|pagination|pager)(?:$|[-_ ])",
-    re.I,
-)
-MAYBE_NAMES = re.compile(r"(?:^|[-_ ])(?:banner|promo\w*|notices?|alert|side|widget|respond|replies|reply|foot|header|toolbar|copyright|legal)(?:$|[-_ ])", re.I)
+#: Names of classes and ids, by what they say of a block. A name counts if it is made of these words and LAYOUT alone: "comments-list" does, "comments-on-policy" doesn't.
+NOTICES = "banner promo promos promotion notice notices alert alerts side widget respond replies reply foot header toolbar copyright legal"
+LINKS = "search nav navbar navigation menu breadcrumb breadcrumbs related recommend recommended recommendations share sharing social login signup masthead pagination pager subscribe subscription"
+APART = "ad ads advert adverts advertisement advertising adsense sponsor sponsored cookie cookies consent gdpr popup modal newsletter sidebar comment comments commentlist disqus footer"
+LAYOUT = "box list block area section container wrapper wrap bar top bottom left right main inner outer item items unit slot panel row col column content body group links link buttons button form tags # site page post article text small large full"
+NOTICE, LINK, ASIDE = 1, 2, 3
+_SAYS = {w: k for k, words in ((NOTICE, NOTICES), (LINK, LINKS), (ASIDE, APART)) for w in words.split()}
+_LAYOUT = frozenset(LAYOUT.split())
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 #: Elements below this depth are taken as part of the one there, as browsers do: bounds paths and walks up.
@@ -60,7 +67,7 @@ _DIGITS = re.compile(r"[0-9]+")
 class Node:
     __slots__ = ("tag", "path", "never", "maybe", "parent", "depth")
 
-    def __init__(self, tag: str, path: str, never: bool, maybe: bool, parent: Node | None):
+    def __init__(self, tag: str, path: str, never: bool, maybe: int, parent: Node | None):
         self.tag, self.path, self.never, self.maybe, self.parent = tag, path, never, maybe, parent
         self.depth = parent.depth + 1 if parent else 0
 
@@ -74,20 +81,35 @@ def _never(tag: str, a: dict[str, str], parent: Node) -> bool:
     return (
         parent.never or tag in NEVER_TAGS or tag == "header" and not inside or a.get("role", "").lower() in NEVER_ROLES
         or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
-        or tag not in ("html", "body", "article", "main") and NEVER_NAMES.search(f"{a.get('class', '')} {a.get('id', '')}") is not None
     )
 
 
+@functools.lru_cache(1 << 12)
+def says(names: str) -> int:
+    """What the names of a block say it may be: 0 (nothing), NOTICE, LINK or ASIDE, the highest that any says."""
+    most = 0
+    for name in _DIGITS.sub("#", names).lower().split():
+        words = [w for w in re.split("[-_]+|(?<=[a-z])(?=#)", name) if w]
+        kinds = [_SAYS.get(w, 0) for w in words if w not in _LAYOUT]
+        if kinds and min(kinds):
+            most = max(most, *kinds)
+    return most
+
+
+def _maybe(tag: str, a: dict[str, str]) -> int:
+    return says(f"{a.get('class', '')} {a.get('id', '')}") if a and tag not in ("html", "body", "article", "main") else 0
+
+
 def _open(tag: str, attrs: str, parent: Node) -> Node:
     a = _attributes(attrs)
-    maybe = tag not in ("html", "body", "article", "main") and bool(a) and MAYBE_NAMES.search(f"{a.get('class', '')} {a.get('id', '')}") is not None
+    maybe = _maybe(tag, a)
     classes = ".".join(sorted(_DIGITS.sub("#", c) for c in a.get("class", "").split())[:2])
     return Node(tag, f"{parent.path}/{tag}{'.' + classes if classes else ''}", _never(tag, a, parent), maybe, parent)
 
 
 def parse(page: str) -> tuple[list[tuple[str, Node, bool]], list[Node]]:
     """Pieces of text with the node each is in and whether a block begins before it; and the containers."""
-    root = Node("", "", False, False, None)
+    root = Node("", "", False, 0, None)
     at, node, pieces, containers, fresh = 0, root, [], [], True
     # Open elements below DEPTH, how many of each tag, and how many were open when text was muted (0: it is not).
     deep: list[str] = []
@@ -149,7 +171,7 @@ def parse(page: str) -> tuple[list[tuple[str, Node, bool]], list[Node]]:
         if node.depth >= DEPTH:
             deep.append(tag)
             n_deep[tag] = n_deep.get(tag, 0) + 1
-            muted = muted or (len(deep) if _never(tag, _attributes(m[3]), node) else 0)
+            muted = muted or (len(deep) if _never(tag, a := _attributes(m[3]), node) or _maybe(tag, a) in (NOTICE, ASIDE) else 0)
             continue
         node = _open(tag, m[3], node)
         if tag in CONTAINERS and not node.never:
@@ -167,10 +189,10 @@ def best(pieces: list, containers: list[Node]) -> tuple[Node | None, float]:
         n, up, weight = len(s.strip()), node, 1.0
         if not n:
             continue
-        linked = maybe = False
+        linked, maybe = False, False
         while up is not None:
             linked |= up.tag == "a"
-            maybe |= up.maybe
+            maybe |= up.maybe > 0
             if maybe:  # what may be boilerplate speaks for no container
                 break
             if id(up) in score:
@@ -183,16 +205,35 @@ def best(pieces: list, containers: list[Node]) -> tuple[Node | None, float]:
     return (top, score[id(top)]) if score[id(top)] > 0 else (None, 0.0)
 
 
+def linked(pieces: list) -> set[int]:
+    """Blocks named as links (their ids) of which half of the text and more is inside links."""
+    size: dict[int, list[int]] = {}
+    for s, node, _ in pieces:
+        n = len(s.strip())
+        in_link, up, seen = False, node, []
+        while n and up is not None:
+            in_link |= up.tag == "a"
+            if up.maybe == LINK:
+                seen.append((id(up), in_link))
+            up = up.parent
+        for x, inside in seen:
+            t = size.setdefault(x, [0, 0])
+            t[0] += n
+            t[1] += n * inside
+    return {x for x, (n, m) in size.items() if 2 * m >= n}
+
+
 def blocks(pieces: list, inside: list[Node], drop: frozenset[str] = frozenset(), keep: frozenset[str] = frozenset()) -> str:
     """Text of the pieces inside, without paths in ``drop`` and without what may be boilerplate, unless its path is in ``keep``."""
     wanted = dict.fromkeys(map(id, inside), True)
+    of_links = linked(pieces)
     out: list[str] = []
     own: list[str] = []
     for s, node, fresh in pieces:
         up, walked = node, []
         while up is not None and id(up) not in wanted:
             walked.append(up)
-            if up.path in drop or up.maybe and up.path not in keep:
+            if up.path in drop or up.maybe and up.path not in keep and (up.maybe != LINK or id(up) in of_links):
                 up = None
                 break
             up = up.parent
@@ -209,13 +250,13 @@ def blocks(pieces: list, inside: list[Node], drop: frozenset[str] = frozenset(),
     return " ".join(" ".join(x.split()) for x in out if x.strip())
 
 
-def parts(pieces: list, top: Node) -> tuple[int, dict[str, tuple[int, bool]]]:
-    """A hash of the text of a container; and of that of each path inside it that has a class, with whether its name says it may be boilerplate.
+def parts(pieces: list, top: Node) -> tuple[int, dict[str, tuple[int, int, bool]]]:
+    """A hash of the text of a container; and of that of each path inside it that has a class or a telling name, with what its name says and whether it is half of the text and more.
 
-    Only what a class sets apart is up for votes: plain headings and paragraphs are the text itself.
+    Only what a class or a name sets apart is up for votes: plain headings and paragraphs are the text itself.
     """
-    found: dict[str, tuple[int, bool]] = {}
-    total = 0
+    found: dict[str, list[int]] = {}
+    total = size = 0
     below: dict[int, list[Node]] = {id(top): []}
     for s, node, _ in pieces:
         up, walked = node, []
@@ -226,13 +267,14 @@ def parts(pieces: list, top: Node) -> tuple[int, dict[str, tuple[int, bool]]]:
             continue
         own = below[id(up)]
         for x in reversed(walked):
-            own = below[id(x)] = [*own, x] if "." in x.path.rpartition("/")[2] else own
+            own = below[id(x)] = [*own, x] if x.maybe or "." in x.path.rpartition("/")[2] else own
         if text := " ".join(s.split()):
             h = int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little")
-            total = (total * 31 + h) % 2**63
+            total, size = (total * 31 + h) % 2**63, size + len(text)
             for x in own:
-                found[x.path] = (found.get(x.path, (0, False))[0] * 31 + h) % 2**63, x.maybe
-    return total, found
+                y = found.setdefault(x.path, [0, x.maybe, 0])
+                y[0], y[2] = (y[0] * 31 + h) % 2**63, y[2] + len(text)
+    return total, {path: (h, maybe, 2 * n >= size) for path, (h, maybe, n) in found.items()}
 
 
 def _host() -> F.Column:
@@ -257,21 +299,23 @@ def winners(pages: DataFrame) -> DataFrame:
                     v[0] += 1
                     v[1] += score
                     main, found = parts(pieces, top)
-                    inner |= dict.fromkeys((host, path, h, main, maybe) for path, (h, maybe) in found.items())
+                    inner |= dict.fromkeys((host, path, h, main, maybe, most) for path, (h, maybe, most) in found.items())
             yield pa.RecordBatch.from_pydict({
                 "host": pa.array([k[0] for k in votes] + [k[0] for k in inner], pa.string()), "path": pa.array([k[1] for k in votes] + [k[1] for k in inner], pa.string()),
                 "n": pa.array([v[0] for v in votes.values()] + [None] * len(inner), pa.int64()), "score": pa.array([round(v[1]) for v in votes.values()] + [None] * len(inner), pa.int64()),
-                "part": pa.array([None] * len(votes) + [k[2] for k in inner], pa.int64()), "main": pa.array([None] * len(votes) + [k[3] for k in inner], pa.int64()), "maybe": pa.array([None] * len(votes) + [k[4] for k in inner], pa.bool_()),
+                "part": pa.array([None] * len(votes) + [k[2] for k in inner], pa.int64()), "main": pa.array([None] * len(votes) + [k[3] for k in inner], pa.int64()), "maybe": pa.array([None] * len(votes) + [k[4] for k in inner], pa.int64()), "most": pa.array([None] * len(votes) + [k[5] for k in inner], pa.bool_()),
             })
 
-    cast = written(pages.select(_host().alias("host"), "html").mapInArrow(run, "host string, path string, n long, score long, part long, main long, maybe boolean"), "host-votes")
+    cast = written(pages.select(_host().alias("host"), "html").mapInArrow(run, "host string, path string, n long, score long, part long, main long, maybe long, most boolean"), "host-votes")
     votes = cast.where("n IS NOT NULL").groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("score").alias("score"))
     won = votes.groupBy("host").agg(F.min(F.struct((-F.col("n")).alias("n"), (-F.col("score")).alias("s"), "path")).alias("w")).select("host", F.col("w.path").alias("win"))
     # A text of a path counts the pages of different main text that have it: one page and its copies are one voter.
-    same = cast.where("n IS NULL").groupBy("host", "path", "part", "main").agg(F.bool_or("maybe").alias("maybe")).groupBy("host", "path", "part").agg(F.count(F.lit(1)).alias("m"), F.bool_or("maybe").alias("maybe"))
-    paths = same.groupBy("host", "path").agg(F.bool_or("maybe").alias("maybe"), F.sum("m").alias("voters"), F.sum(F.when(F.col("m") > 1, F.col("m")).otherwise(0)).alias("again")).where(F.col("voters") >= LEAST_VOTERS)
+    what = [F.max("maybe").alias("maybe"), F.bool_or("most").cast("int").alias("most")]
+    same = cast.where("n IS NULL").groupBy("host", "path", "part", "main").agg(*what).groupBy("host", "path", "part").agg(F.count(F.lit(1)).alias("m"), F.max("maybe").alias("maybe"), F.sum("most").alias("most"))
+    paths = same.groupBy("host", "path").agg(F.max("maybe").alias("maybe"), F.sum("most").alias("most"), F.sum("m").alias("voters"), F.sum(F.when(F.col("m") > 1, F.col("m")).otherwise(0)).alias("again")).where(F.col("voters") >= LEAST_VOTERS)
     again = 2 * F.col("again") >= F.col("voters")
-    sides = paths.groupBy("host").agg(F.collect_list(F.when(again, F.col("path"))).alias("drop"), F.collect_list(F.when(~again & F.col("maybe"), F.col("path"))).alias("keep"))
+    differs = ~again & F.when(F.col("maybe") == ASIDE, 2 * F.col("most") >= F.col("voters")).otherwise(F.col("maybe") > 0)
+    sides = paths.groupBy("host").agg(F.collect_list(F.when(again, F.col("path"))).alias("drop"), F.collect_list(F.when(differs, F.col("path"))).alias("keep"))
     return won.join(sides, "host", "left")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,12 +69,26 @@ def breadth(df: DataFrame) -> DataFrame:
     return df.where("ema50 IS NOT NULL").groupBy("trade_date").agg((F.avg(F.when(F.col("close") > F.col("ema50"), 1.0).otherwise(0.0)) * 100).alias("breadth"))
 
 
-def regime(change: Column, vix: Column, atr_pct: Column, close: Column, ema200: Column, wide: Column) -> Column:
-    """CRASH, HIGH_VOL, BULL, BEAR or SIDEWAYS of a date; SIDEWAYS while history is short. Arguments are rounded by the caller."""
+@dataclasses.dataclass(frozen=True)
+class RegimeBounds:
+    """Per cent, but for the two of the volatility index. The defaults are for an index that moves by one per cent a day."""
+
+    crash_drop: float = 3.0
+    crash_vix: float = 30.0
+    high_vix: float = 20.0
+    high_atr: float = 2.0
+    bull_breadth: float = 55.0
+    bear_breadth: float = 40.0
+
+
+def regime(change: Column, vix: Column, atr_pct: Column, close: Column, ema200: Column, wide: Column, bounds: RegimeBounds = RegimeBounds()) -> Column:
+    """CRASH, HIGH_VOL, BULL, BEAR or SIDEWAYS of a date; SIDEWAYS while history is short. The ATR counts only where there is no volatility
+    index (null). Arguments are rounded by the caller: change and ATR to 2 places, breadth to 1. No ATR counts as 0, no change as none."""
+    above = close > ema200
     return (
-        F.when(ema200.isNull(), "SIDEWAYS").when((change <= -3) | F.coalesce(vix >= 30, F.lit(False)), "CRASH")
-        .when(F.coalesce(vix >= 20, F.lit(False)) | (vix.isNull() & (atr_pct >= 2)), "HIGH_VOL")
-        .when((close > ema200) & (wide >= 55), "BULL").when((close <= ema200) & (wide <= 40), "BEAR").otherwise("SIDEWAYS")
+        F.when(ema200.isNull(), "SIDEWAYS").when((change <= -bounds.crash_drop) | F.coalesce(vix >= bounds.crash_vix, F.lit(False)), "CRASH")
+        .when(F.coalesce(vix >= bounds.high_vix, F.lit(False)) | (vix.isNull() & (F.coalesce(atr_pct, F.lit(0.0)) >= bounds.high_atr)), "HIGH_VOL")
+        .when(above & (wide >= bounds.bull_breadth), "BULL").when(~above & (wide <= bounds.bear_breadth), "BEAR").otherwise("SIDEWAYS")
     )
 
 

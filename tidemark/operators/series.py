@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import percent_change, ratio
+from .recurrence import affine_scan
 
 def by():
     """An instrument's bars in order."""
@@ -143,6 +144,44 @@ def indicators(bars: DataFrame) -> DataFrame:
     return out.select(*bars.columns, *(F.nanvl(F.col(x), F.lit(None).cast("double")).alias(x) for x in INDICATORS))
 
 
+#: The averages that the indicators are made of: MACD's two, three of closes, Wilder's of gains, losses and true ranges; MACD's signal comes last.
+_EMAS, _WILDERS, _SIGNAL = (12, 26, 20, 50, 200), ("gain", "loss", "range"), 9
+_WILDER = 14
+
+
+_BEFORE = "coalesce(x.prev.close, x.close)"
+_INPUTS = {"gain": f"greatest(x.close - {_BEFORE}, 0D)", "loss": f"greatest({_BEFORE} - x.close, 0D)", "range": f"greatest(x.high - x.low, abs(x.high - {_BEFORE}), abs(x.low - {_BEFORE}))"}
+
+
+def _indicator_step(s, adds: bool) -> list[str]:
+    """One bar of all averages. While a seed is gathered an average adds up its share of the mean, then it decays."""
+    def average(i: int, p: int, value: str, first: int, alpha: float) -> str:
+        seed, later = (f" + {value} / {p}D", f" + {value} * {alpha!r}D") if adds else ("", "")
+        return f"if(x.n < {first}, 0D, if(x.n < {first + p}, {s(i)}{seed}, {s(i)} * {1 - alpha!r}D{later}))"
+
+    out = [average(i, p, "x.close", 1, 2 / (p + 1)) for i, p in enumerate(_EMAS)]
+    out += [average(len(_EMAS) + i, _WILDER, f"x._{w}", 2, 1 / _WILDER) for i, w in enumerate(_WILDERS)]
+    slow, alpha, last = _EMAS[1], 2 / (_SIGNAL + 1), s(len(out))
+    return [*out, f"if(x.n < {slow}, 0D, {last} * if(x.n < {slow + _SIGNAL}, 1D, {1 - alpha!r}D) + (({out[0]}) - ({out[1]})) * if(x.n < {slow + _SIGNAL}, {1 / _SIGNAL!r}D, {alpha!r}D))"]
+
+
+def indicators_scan(bars: DataFrame) -> DataFrame:
+    """The same as ``indicators`` without a group an instrument and without Python: one scan, in which a history of any length is many tasks.
+
+    For a market of many names with short histories the groups are cheaper.
+    """
+    last = len(_EMAS) + len(_WILDERS)
+    x = affine_scan(bars, "instrument_id", "trade_date", F.unix_date("trade_date"), _INPUTS, _indicator_step, [(0, last), (1, last), *((i,) for i in range(2, last + 1))])
+    v, n = (lambda i: F.col("state")[i]), F.col("n")
+    gain, loss, range_ = (len(_EMAS) + i for i in range(3))
+    rsi_ = F.when(v(loss) == 0, 100.0).otherwise(100 - 100 / (1 + v(gain) / v(loss)))
+    found = {
+        **{f"ema{p}": F.when(n >= p, v(_EMAS.index(p))) for p in (20, 50, 200)}, "rsi14": F.when(n > _WILDER, rsi_), "macd": F.when(n >= _EMAS[1], v(0) - v(1)),
+        "macd_signal": F.when(n >= _EMAS[1] + _SIGNAL - 1, v(range_ + 1)), "atr14": F.when(n > _WILDER, v(range_)),
+    }
+    return x.select(*bars.columns, *(found[k].alias(k) for k in INDICATORS))
+
+
 def fnv1a(s: str) -> int:
     """32-bit FNV-1a of the characters' codes."""
     h = 0x811C9DC5

@@ -10,6 +10,7 @@ from ..operators import cross as X
 from ..operators import factors as E
 from ..operators import series as S
 from ..sources.market import SQL_BARS, SQL_BENCH, SQL_MONTHS, SQL_SECTORS, bars_daily, bars_monthly, benchmark, sectors
+from ..sources.shared import written
 from .registry import query, r
 from .series_queries import _SQL_LABELS, KEYS, SQL_INDICATORS, W, labels_of
 
@@ -90,11 +91,10 @@ f AS (SELECT *, CASE WHEN ema200 IS NULL THEN 0 ELSE 25 * (close > ema20)::INT +
 FACTORS = ("trend", "momentum", "rs", "srs", "vol", "calm")
 
 
-def factor_panel(spark, sf) -> DataFrame:
-    """All factors on every bar: one shuffle by instrument for the series, one by date for the cross-section."""
-    bars = bars_daily(spark, sf)
-    ind = S.indicators(bars)
-    x = E.relative_strength(ind, benchmark(bars)).withColumn("r60", S.lookback_return(60))
+def factor_panel(spark, sf, ind: DataFrame | None = None) -> DataFrame:
+    """All factors on every bar of ``with_indicators``: one shuffle by instrument for the series, one by date for the cross-section."""
+    ind = with_indicators(spark, sf) if ind is None else ind
+    x = E.relative_strength(ind, benchmark(bars_of(ind))).withColumn("r60", S.lookback_return(60))
     x = x.withColumn("trend", E.trend()).withColumn("momentum", E.momentum()).withColumn("vol", E.volume()).withColumn("calm", E.volatility())
     return E.sector_strength(x.join(sectors(spark, sf), "instrument_id"), "r60")
 
@@ -129,28 +129,43 @@ def signal_levels(spark, sf) -> DataFrame:
     return ind.where("rn >= 60 AND atr14 IS NOT NULL AND close > 0").select(*KEYS, *(half_up(lv[c], 3).alias(c) for c in ("stop", "target1", "target2")), lv["reject"].alias("reject"))
 
 
-SQL_REGIME = f"""br AS (SELECT trade_date, avg((close > ema50)::INT) * 100 AS breadth FROM ind WHERE ema50 IS NOT NULL GROUP BY trade_date),
-bn AS (SELECT trade_date, bench, row_number() OVER (ORDER BY trade_date) AS rn, avg(bench) OVER (ORDER BY trade_date ROWS 199 PRECEDING) AS m FROM benchmark_days),
-be AS (SELECT trade_date, bench, rn, m AS ema FROM bn WHERE rn = 200 UNION ALL SELECT bn.trade_date, bn.bench, bn.rn, be.ema + (bn.bench - be.ema) * (2.0::DOUBLE / 201) FROM be JOIN bn ON bn.rn = be.rn + 1),
-bc AS (SELECT trade_date, {r('(bench / lag(bench) OVER (ORDER BY trade_date) - 1) * 100', 2)} AS change, bench FROM benchmark_days),
-rg AS (SELECT bc.trade_date, change, {r('breadth', 2)} AS breadth, CASE WHEN ema IS NULL THEN 'SIDEWAYS' WHEN change <= -3 THEN 'CRASH' WHEN bc.bench > ema AND {r('breadth', 2)} >= 55 THEN 'BULL' WHEN bc.bench <= ema AND {r('breadth', 2)} <= 40 THEN 'BEAR' ELSE 'SIDEWAYS' END AS regime
-FROM bc LEFT JOIN be USING (trade_date) LEFT JOIN br USING (trade_date))"""
+# The mean of these bars moves by tens of per cent a day and a quarter of the names is over its mean: bounds at which every regime holds on days of sf0.01.
+BOUNDS = E.RegimeBounds(crash_drop=55.0, high_atr=72.0, bull_breadth=24.0, bear_breadth=22.0)
+SQL_REGIME = f"""br AS (SELECT trade_date, {r('avg((close > ema50)::INT) * 100', 1)} AS breadth FROM ind WHERE ema50 IS NOT NULL GROUP BY trade_date),
+bn AS (SELECT *, abs(bench - before) AS tr, avg(bench) OVER (ORDER BY trade_date ROWS 199 PRECEDING) AS m, avg(abs(bench - before)) OVER (ORDER BY trade_date ROWS 13 PRECEDING) AS ma
+  FROM (SELECT trade_date, bench, row_number() OVER (ORDER BY trade_date) AS rn, lag(bench) OVER (ORDER BY trade_date) AS before FROM benchmark_days)),
+be AS (SELECT rn, NULL::DOUBLE AS ema, NULL::DOUBLE AS atr FROM bn WHERE rn = 1 UNION ALL
+  SELECT bn.rn, CASE WHEN bn.rn = 200 THEN bn.m WHEN bn.rn > 200 THEN be.ema + (bn.bench - be.ema) * (2.0::DOUBLE / 201) END, CASE WHEN bn.rn = 15 THEN bn.ma WHEN bn.rn > 15 THEN (be.atr * 13 + bn.tr) / 14 END FROM be JOIN bn ON bn.rn = be.rn + 1),
+bc AS (SELECT trade_date, bench, ema, {r('(bench - coalesce(before, bench)) / coalesce(before, bench) * 100', 2)} AS change, CASE WHEN bench > 0 THEN {r('coalesce(atr, 0) / bench * 100', 2)} ELSE 0 END AS atr_pct FROM bn JOIN be USING (rn)),
+rg AS (SELECT bc.trade_date, change, breadth, atr_pct, CASE WHEN ema IS NULL THEN 'SIDEWAYS' WHEN change <= -{BOUNDS.crash_drop} THEN 'CRASH' WHEN atr_pct >= {BOUNDS.high_atr} THEN 'HIGH_VOL'
+  WHEN bc.bench > ema AND breadth >= {BOUNDS.bull_breadth} THEN 'BULL' WHEN bc.bench <= ema AND breadth <= {BOUNDS.bear_breadth} THEN 'BEAR' ELSE 'SIDEWAYS' END AS regime FROM bc LEFT JOIN br USING (trade_date))"""
 
 
-def regimes(spark, sf) -> DataFrame:
-    """trade_date, change, breadth, regime."""
-    bars = bars_daily(spark, sf)
-    m = benchmark(bars)
+def with_indicators(spark, sf) -> DataFrame:
+    """Bars with INDICATORS, as a table: what factors, regimes and the stack read, so that bars and series are made once a query."""
+    return written(S.indicators(bars_daily(spark, sf)), "indicators")
+
+
+def bars_of(ind: DataFrame) -> DataFrame:
+    return ind.drop(*S.INDICATORS)
+
+
+def regimes(spark, sf, ind: DataFrame | None = None) -> DataFrame:
+    """trade_date, change, breadth, atr_pct, regime. ind: ``with_indicators``. There is no volatility index here; the benchmark has closes only."""
+    ind = with_indicators(spark, sf) if ind is None else ind
+    m = benchmark(bars_of(ind))
     one = Window.partitionBy(F.lit(0)).orderBy("trade_date")  # the calendar: a row per date
-    e = S.indicators(m.select(F.lit(0).alias("instrument_id"), "trade_date", *(F.col("bench").alias(c) for c in ("high", "low", "close")))).select("trade_date", F.col("close").alias("bench"), "ema200")
-    x = e.withColumn("change", half_up((ratio(F.col("bench"), F.lag("bench").over(one)) - 1) * 100, 2)).join(E.breadth(S.indicators(bars)), "trade_date", "left").withColumn("breadth", half_up(F.col("breadth"), 2))
-    none = F.lit(None).cast("double")
-    return x.select("trade_date", "change", "breadth", E.regime(F.col("change"), none, F.lit(0.0), F.col("bench"), F.col("ema200"), F.col("breadth")).alias("regime"))
+    e = S.indicators(m.select(F.lit(0).alias("instrument_id"), "trade_date", *(F.col("bench").alias(c) for c in ("high", "low", "close"))))
+    before = F.coalesce(F.lag("close").over(one), F.col("close"))
+    x = e.select("trade_date", F.col("close").alias("bench"), "ema200", half_up((F.col("close") - before) / before * 100, 2).alias("change"), F.when(F.col("close") > 0, half_up(F.coalesce("atr14", F.lit(0.0)) / F.col("close") * 100, 2)).otherwise(0.0).alias("atr_pct"))
+    x = x.join(E.breadth(ind), "trade_date", "left").withColumn("breadth", half_up(F.col("breadth"), 1))
+    of_day = E.regime(F.col("change"), F.lit(None).cast("double"), F.col("atr_pct"), F.col("bench"), F.col("ema200"), F.col("breadth"), BOUNDS)
+    return x.select("trade_date", "change", "breadth", "atr_pct", of_day.alias("regime"))
 
 
-@query(f"WITH {SQL_INDICATORS}, {SQL_BENCH}, {SQL_REGIME} SELECT trade_date, change, breadth, regime FROM rg")
+@query(f"WITH {SQL_INDICATORS}, {SQL_BENCH}, {SQL_REGIME} SELECT trade_date, change, breadth, atr_pct, regime FROM rg")
 def market_regime(spark, sf) -> DataFrame:
-    """Regime of every date from the benchmark, its EMA 200 and breadth; there is no volatility index here."""
+    """Regime of every date from the benchmark's fall, its ATR, its EMA 200 and breadth."""
     return regimes(spark, sf)
 
 

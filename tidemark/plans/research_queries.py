@@ -11,7 +11,7 @@ from ..operators import factors as E
 from ..operators import series as S
 from ..operators import titles
 from ..sources.market import SQL_BARS, SQL_BENCH, SQL_SECTORS, bars_daily, benchmark, sectors, table
-from .cross_queries import _F, SQL_REGIME, factor_panel, regimes
+from .cross_queries import _F, SQL_REGIME, bars_of, factor_panel, regimes, with_indicators
 from .registry import query, r
 from .series_queries import _H, _SQL_LABELS, KEYS, SQL_INDICATORS, W, labels_of
 from .strategy_queries import _SUBJECTS
@@ -31,12 +31,13 @@ SELECT subject, label, h, regime, days, {r('s1 / days / 1000', 4)} AS mean, CASE
 @query(_GRID)
 def measurement_grid(spark, sf) -> DataFrame:
     """Daily rank correlation of every factor with every label over every horizon, over all days and by regime: all cells are rows of one pass."""
-    bars = bars_daily(spark, sf)
-    p = factor_panel(spark, sf).where("ema200 IS NOT NULL").select(*KEYS, *(half_up(F.col(s), 3).alias(s) for s in _SUBJECTS))
+    ind = with_indicators(spark, sf)
+    bars = bars_of(ind)
+    p = factor_panel(spark, sf, ind).where("ema200 IS NOT NULL").select(*KEYS, *(half_up(F.col(s), 3).alias(s) for s in _SUBJECTS))
     lab = labels_of(bars).where("fwd IS NOT NULL").select(*KEYS, "h", half_up(F.col("fwd")).alias("raw"), half_up(F.col("fwd") - F.col("mkt")).alias("excess"))
     long = p.join(lab, list(KEYS)).unpivot([*KEYS, "h", *_SUBJECTS], ["raw", "excess"], "label", "y").where("y IS NOT NULL")
     ic = X.spearman(long.unpivot([*KEYS, "h", "label", "y"], list(_SUBJECTS), "subject", "score"), "score", "y", ["subject", "label", "h", "trade_date"])
-    both = ic.join(regimes(spark, sf).select("trade_date", "regime"), "trade_date").select("subject", "label", "h", F.floor(F.col("ic") * 1000 + 0.5).alias("k"), F.explode(F.array("regime", F.lit("ALL"))).alias("regime"))
+    both = ic.join(regimes(spark, sf, ind).select("trade_date", "regime"), "trade_date").select("subject", "label", "h", F.floor(F.col("ic") * 1000 + 0.5).alias("k"), F.explode(F.array("regime", F.lit("ALL"))).alias("regime"))
     # Correlations have three places, so sums over thousandths are exact in any order.
     g = both.groupBy("subject", "label", "h", "regime").agg(F.count(F.lit(1)).alias("days"), F.sum("k").cast("double").alias("s1"), F.sum(F.col("k") * F.col("k")).cast("double").alias("s2"))
     n, s1, s2 = F.col("days"), F.col("s1"), F.col("s2")

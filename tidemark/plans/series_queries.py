@@ -145,6 +145,12 @@ def indicators(spark, sf) -> DataFrame:
     return S.indicators(bars_daily(spark, sf)).select(*KEYS, *(half_up(F.col(x)).alias(x) for x in S.INDICATORS))
 
 
+@query(f"WITH {SQL_INDICATORS} SELECT instrument_id, trade_date, {', '.join(f'{r(x)} AS {x}' for x in S.INDICATORS)} FROM ind")
+def indicator_scan(spark, sf) -> DataFrame:
+    """The same numbers as a scan over blocks of bars."""
+    return S.indicators_scan(bars_daily(spark, sf)).select(*KEYS, *(half_up(F.col(x)).alias(x) for x in S.INDICATORS))
+
+
 @query(f"""WITH {SQL_BARS}, x AS (SELECT *, lag(close) OVER ({W}) AS c1 FROM bars), d AS (SELECT trade_date, avg(close / c1 - 1) AS m FROM x WHERE c1 > 0 GROUP BY trade_date),
 bh AS (SELECT instrument_id, (arg_max(close, trade_date) - arg_min(close, trade_date)) / arg_min(close, trade_date) * 100 AS r FROM bars GROUP BY instrument_id HAVING arg_min(close, trade_date) > 0)
 SELECT {r('sum(ln(1 + m))', 2)} AS equal_weight_log, (SELECT {r('avg(r)', 2)} FROM bh) AS buy_and_hold FROM d""")

@@ -13,7 +13,7 @@ from ..operators import factors as E
 from ..operators import series as S
 from ..operators import strategy as P
 from ..sources.market import SQL_BARS, SQL_SECTORS, bars_daily, sectors, table
-from .cross_queries import _F, SQL_REGIME, factor_panel, regimes
+from .cross_queries import _F, SQL_REGIME, bars_of, factor_panel, regimes, with_indicators
 from .registry import query, r
 from .series_queries import KEYS, W
 
@@ -133,8 +133,9 @@ pg AS (SELECT *, CASE WHEN regime = 'BULL' THEN 'bull-pullback:' || CASE WHEN NO
 
 def stack(spark, sf) -> DataFrame:
     """Every bar with its factors, regime, fundamental and sentiment, composite and the first gate of the production stack that fails."""
-    bars = bars_daily(spark, sf)
-    p = factor_panel(spark, sf).join(regimes(spark, sf).select("trade_date", F.col("regime")), "trade_date", "left").withColumn("regime", F.coalesce("regime", F.lit("SIDEWAYS")))
+    ind = with_indicators(spark, sf)
+    bars = bars_of(ind)
+    p = factor_panel(spark, sf, ind).join(regimes(spark, sf, ind).select("trade_date", F.col("regime")), "trade_date", "left").withColumn("regime", F.coalesce("regime", F.lit("SIDEWAYS")))
     p = p.join(fundamentals(spark, sf, bars).select(*KEYS, "fundamental"), list(KEYS)).join(sentiments(spark, sf, bars).select(*KEYS, "sentiment"), list(KEYS), "left")
     p = P.momentum_bars(p.withColumn("sentiment", F.coalesce("sentiment", F.lit(50.0))))
     p = p.withColumn("technical", E.composite(P.PRODUCTION_WEIGHTS)).withColumn("composite", half_up(F.col("technical"), 2))
@@ -218,7 +219,8 @@ def ranked_candidates(spark, sf) -> DataFrame:
 SELECT regime, count(*) AS n, {r('count(*) FILTER (WHERE net > 0) / count(*)::DOUBLE * 100', 2)} AS win_rate, {r('avg(net)', 2)} AS expectancy FROM t JOIN rg USING (trade_date) WHERE net IS NOT NULL GROUP BY regime""")
 def regime_metrics(spark, sf) -> DataFrame:
     """What 5-bar trades earn, by the regime of the day they are decided on."""
-    t = bars_daily(spark, sf).where("close > 0").select(*KEYS, half_up(S.forward_return(5), 2).alias("net")).where("net IS NOT NULL").join(regimes(spark, sf).select("trade_date", "regime"), "trade_date")
+    ind = with_indicators(spark, sf)
+    t = bars_of(ind).where("close > 0").select(*KEYS, half_up(S.forward_return(5), 2).alias("net")).where("net IS NOT NULL").join(regimes(spark, sf, ind).select("trade_date", "regime"), "trade_date")
     m = t.groupBy("regime").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("net") > 0).cast("double")).alias("w"), F.avg("net").alias("e"))
     return m.select("regime", "n", half_up(F.col("w") * 100, 2).alias("win_rate"), half_up(F.col("e"), 2).alias("expectancy"))
 
@@ -234,8 +236,9 @@ ic AS (SELECT subject, trade_date, floor(CASE WHEN n * sxx > sx * sx AND n * syy
 SELECT subject, coalesce(regime, 'ALL') AS regime, count(*) AS days, {r('avg(ic)', 3)} AS mean FROM (SELECT subject, trade_date, ic, rg.regime FROM ic JOIN rgx rg USING (trade_date)) GROUP BY GROUPING SETS ((subject), (subject, regime))""".replace("lg AS (", SQL_REGIME + ", rgx AS (SELECT trade_date, regime FROM rg), lg AS (", 1))
 def conditioning(spark, sf) -> DataFrame:
     """Daily rank correlation of each factor with the next five bars, over all days and by regime; all subjects in one pass."""
-    p = factor_panel(spark, sf).withColumn("fwd", S.forward_return(5)).where("fwd IS NOT NULL AND ema200 IS NOT NULL").select(*KEYS, "fwd", *(half_up(F.col(s), 3).alias(s) for s in _SUBJECTS))
+    ind = with_indicators(spark, sf)
+    p = factor_panel(spark, sf, ind).withColumn("fwd", S.forward_return(5)).where("fwd IS NOT NULL AND ema200 IS NOT NULL").select(*KEYS, "fwd", *(half_up(F.col(s), 3).alias(s) for s in _SUBJECTS))
     long = p.unpivot([*KEYS, "fwd"], list(_SUBJECTS), "subject", "score")
-    ic = X.spearman(long, "score", "fwd", ["subject", "trade_date"]).join(regimes(spark, sf).select("trade_date", "regime"), "trade_date")
+    ic = X.spearman(long, "score", "fwd", ["subject", "trade_date"]).join(regimes(spark, sf, ind).select("trade_date", "regime"), "trade_date")
     both = ic.select("subject", "ic", F.explode(F.array("regime", F.lit("ALL"))).alias("regime"))
     return both.groupBy("subject", "regime").agg(F.count(F.lit(1)).alias("days"), half_up(F.avg("ic"), 3).alias("mean"))

@@ -207,7 +207,7 @@ def test_a_number_in_full_pulls_its_short_form():
     full, short = "+1 (017) 555-7713", "017 555 7713"
     base = pii.base_spans(full + " x " + short)
     t = pii.tokens(full + " x " + short, base)
-    assert t.skip == [(0, 1)] and t.label == [4, 0] and t.cut == [False, False]
+    assert t.skip.tolist() == [[0, 1]] and list(t.label) == [4, 0] and list(t.cut) == [False, False]
     cells = [SimpleNamespace(features=x, label=y, before=-1, skip=0, n=n) for x, y, n in ((t.features[0], 4, 500), (t.features[1], 0, 12), (1, 0, 500))]
     field = pii.fit(cells)
     alone = pii.beliefs(pii.tokens(short, []), field)[0, 4]
@@ -240,6 +240,31 @@ def test_spans_take_time_in_proportion_to_the_text(unit):
         assert time.perf_counter() - began < 20  # a quadratic pattern takes hours
 
 
+def test_memory_of_a_text_full_of_numbers():
+    """Six megabytes of different ten-digit numbers, each a token: a few hundred bytes a token at most, with interpreter and text."""
+    import subprocess
+    import sys
+
+    code = """
+import random, resource
+from tidemark.llm import pii
+rng = random.Random(1)
+text = " ".join(str(rng.randrange(10**9, 10**10)) for _ in range(550_000))
+pii.added_spans(text, pii.base_spans(text), pii.fit([]))
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)"""
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=600).stdout) < 350
+
+
+def test_messages_in_blocks_of_any_size(monkeypatch):
+    text = " ".join(f"+1 (017) 555-{i % 40:04d} and 017 555 {i % 60:04d}, 10.0.0.{i % 9}" for i in range(120))
+    rng = np.random.default_rng(4)
+    f = pii.Field(rng.normal(size=(5, pii.N_FEATURES)), rng.normal(size=(5, 5)) / 4, rng.normal(size=5) / 4)
+    t = pii.tokens(text, pii.base_spans(text)[::2])
+    whole = pii.beliefs(t, f, 300, 1e-7)
+    monkeypatch.setattr(pii, "BLOCK", 7)
+    assert len(t.skip) > 100 and np.abs(pii.beliefs(t, f, 300, 1e-7) - whole).max() < 1e-4
+
+
 def test_the_field_on_the_table(spark):
     """What it adds is right; and a number given in full is found again in a short form, by its skip link alone."""
     import random

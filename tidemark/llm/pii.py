@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -86,13 +87,15 @@ N_FEATURES = 17
 
 @dataclass
 class Tokens:
-    start: list[int]
-    end: list[int]
-    features: list[int]  # a bit each
-    label: list[int]  # by the patterns
-    cut: list[bool]
-    chain: list[tuple[int, int]]
-    skip: list[tuple[int, int]]
+    """Columns, some forty bytes a token: a text may be nothing but numbers."""
+
+    start: array
+    end: array
+    features: array  # a bit each
+    label: array  # by the patterns
+    cut: array
+    chain: list[tuple[int, int]] | None  # links of neighbours; None: all
+    skip: np.ndarray  # links of two tokens each
 
 
 def candidates(text: str) -> Iterator[tuple[int, int, str, bool]]:
@@ -106,8 +109,8 @@ def candidates(text: str) -> Iterator[tuple[int, int, str, bool]]:
 
 def tokens(text: str, base: list[tuple[int, int, int]]) -> Tokens:
     """The field of one text. Skip links tie a token to the last one with its key: as many links as tokens, not pairs."""
-    out = Tokens([], [], [], [], [], [], [])
-    same: dict[str, int] = {}
+    out = Tokens(array("q"), array("q"), array("q"), array("b"), array("b"), None, np.zeros((0, 2), np.int64))
+    whole, tail, mails = array("q"), array("q"), array("b")  # hashes of what a token shares with others
     spans = sorted((s, e, k) for k, s, e in base)
     j = 0
     for s, e, word, cut in candidates(text):
@@ -130,14 +133,22 @@ def tokens(text: str, base: list[tuple[int, int, int]]) -> Tokens:
         out.features.append(sum(1 << k for k, b in enumerate(bits) if b))
         out.label.append(spans[j][2] + 1 if j < len(spans) and spans[j][0] < e else 0)
         out.cut.append(cut)
-        if i:
-            out.chain.append((i - 1, i))
-        linked = set()
-        for key in ((word.lower(),) if mail else (d, "~" + d[-SIMILAR:])):
-            if key in same:
-                linked.add(same[key])
-            same[key] = i
-        out.skip += [(x, i) for x in linked]
+        whole.append(hash(word.lower() if mail else d))
+        tail.append(hash((i, 0)) if mail else hash(d[-SIMILAR:]))
+        mails.append(mail)
+    before = [_last_with(np.frombuffer(k, np.int64)) for k in (whole, tail)]
+    before[1][(before[1] == before[0]) | (np.frombuffer(mails, np.int8) > 0)] = -1
+    ends = [np.flatnonzero(x >= 0) for x in before]
+    out.skip = np.concatenate([np.stack([x[e], e], 1) for x, e in zip(before, ends, strict=True)])
+    return out
+
+
+def _last_with(keys: np.ndarray) -> np.ndarray:
+    """For each key the last place before it with the same one; -1 if there is none."""
+    out = np.full(len(keys), -1)
+    order = np.argsort(keys, kind="stable")
+    again = keys[order[1:]] == keys[order[:-1]]
+    out[order[1:][again]] = order[:-1][again]
     return out
 
 
@@ -156,14 +167,15 @@ def train_counts(docs: DataFrame) -> list:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             count: dict[tuple[int, int, int, int], int] = {}
-            for text in b.column(0).to_pylist():
+            for text in (x.as_py() for x in b.column(0)):
                 if not text or not _HINT.search(text):
                     continue
                 t = tokens(text, base_spans(text))
-                skip = [0] * len(t.start)  # labels at skip links, a bit each
-                for i, k in t.skip:
-                    skip[i] |= 1 << t.label[k]
-                    skip[k] |= 1 << t.label[i]
+                skip = np.zeros(len(t.start), np.int64)  # labels at skip links, a bit each
+                bit = 1 << np.frombuffer(t.label, np.int8).astype(np.int64)
+                for one, other in (t.skip.T, t.skip.T[::-1]):
+                    np.bitwise_or.at(skip, one, bit[other])
+                skip = array("q", skip.tobytes())
                 for i, (x, y) in enumerate(zip(t.features, t.label, strict=True)):
                     if not y and (skip[i] > 1 or t.cut[i]):
                         continue
@@ -201,48 +213,93 @@ def fit(cells: list, steps: int = 400, rate: float = 0.3, decay: float = 1e-4) -
     return field
 
 
+#: Tokens or links whose messages are worked out at a time.
+BLOCK = 1 << 15
+
+
 def beliefs(t: Tokens, f: Field, iterations: int = ITERATIONS, tolerance: float = 1e-4) -> np.ndarray:
-    """Label beliefs of the tokens by loopy sum-product, damped; links are directed pairs in arrays. Tokens that the patterns found are clamped."""
+    """Label beliefs of the tokens by loopy sum-product, damped. Tokens that the patterns found are clamped.
+
+    A token keeps two messages, from its neighbours, and a skip link two, as floats of four bytes; they are renewed in place by blocks.
+    """
     n, k = len(t.start), len(LABELS)
-    x = ((np.array(t.features)[:, None] >> np.arange(N_FEATURES)) & 1).astype(float)
-    own = x @ f.w.T
-    known = np.flatnonzero(t.label)
-    own[known] = CLAMP
-    own[known, np.array(t.label)[known]] = 0.0
-    links = np.array(t.chain + t.skip, np.int64).reshape(-1, 2)
-    if not len(links):
-        b = np.exp(own - own.max(axis=1, keepdims=True))
-        return b / b.sum(axis=1, keepdims=True)
-    table = np.concatenate([np.repeat(f.chain[None], len(t.chain), 0), np.repeat(np.diag(f.skip)[None], len(t.skip), 0)])
-    src = np.concatenate([links[:, 0], links[:, 1]])
-    dst = np.concatenate([links[:, 1], links[:, 0]])
-    table = np.concatenate([table, table.transpose(0, 2, 1)])
-    back = np.concatenate([np.arange(len(links), 2 * len(links)), np.arange(len(links))])
-    m = np.zeros((len(src), k))
-    for _ in range(iterations):
-        total = own.copy()
-        np.add.at(total, dst, m)
-        out = (total[src] - m[back])[:, :, None] + table
-        top = out.max(axis=1, keepdims=True)
-        new = np.log(np.exp(out - top).sum(axis=1)) + top[:, 0]
-        new -= new.max(axis=1, keepdims=True)
-        change = np.abs(new - m).max()
-        m = 0.5 * m + 0.5 * new
+    kinds, of = np.unique(np.asarray(t.features, np.int64), return_inverse=True)
+    weights = ((kinds[:, None] >> np.arange(N_FEATURES)) & 1).astype(float) @ f.w.T
+    label = np.asarray(t.label, np.int64)
+    near = np.ones(n, bool) if t.chain is None else np.isin(np.arange(n), [i for i, _ in t.chain])  # linked to the next
+    near[-1:] = False
+    links = np.asarray(t.skip, np.int64).reshape(-1, 2)
+    linked, place = np.unique(links, return_inverse=True)
+    place = place.reshape(-1, 2)
+    before, after, over = (np.zeros((m, k), np.float32) for m in (n, n, len(links)))  # messages from the one before, the one after, the first of a link
+    back = np.zeros_like(over)  # and from the second
+    with_links = np.full(n, -1, np.int32)
+    with_links[linked] = np.arange(len(linked))
+    forth, chain = np.exp(f.chain), np.exp(f.chain.T)
+    equal = np.expm1(f.skip)
+
+    def own(at: np.ndarray) -> np.ndarray:
+        out = weights[of[at]]
+        known = np.flatnonzero(label[at])
+        out[known] = CLAMP
+        out[known, label[at][known]] = 0.0
+        return out
+
+    def total(at: np.ndarray, gathered: np.ndarray) -> np.ndarray:
+        out = own(at) + before[at] + after[at]
+        here = with_links[at]
+        out[here >= 0] += gathered[here[here >= 0]]
+        return out
+
+    def gather() -> np.ndarray:
+        out = np.zeros((len(linked), k))
+        np.add.at(out, place[:, 1], over)
+        np.add.at(out, place[:, 0], back)
+        return out
+
+    def sent(x: np.ndarray, through: np.ndarray | None) -> np.ndarray:
+        """Normalised messages of tokens with the totals x: through the table of the chain, or that of skip links (None)."""
+        e = np.exp(x - x.max(axis=1, keepdims=True))
+        new = np.log(e @ through if through is not None else e.sum(axis=1, keepdims=True) + e * equal)
+        return new - new.max(axis=1, keepdims=True)
+
+    for _ in range(iterations if n else 0):
+        change = 0.0
+        gathered = gather()
+        for a in range(0, n, BLOCK):
+            at = np.arange(a, min(a + BLOCK, n))
+            x = total(at, gathered)
+            for messages, step, table in ((before, 1, forth), (after, -1, chain)):
+                ok = near[at] if step == 1 else np.append(near[a - 1] if a else False, near[at[:-1]])
+                new = sent((x - (after if step == 1 else before)[at])[ok], table)
+                to = at[ok] + step
+                change = max(change, float(np.abs(new - messages[to]).max(initial=0)))
+                messages[to] = 0.5 * messages[to] + 0.5 * new
+        for a in range(0, len(links), BLOCK):
+            x, y = links[a : a + BLOCK].T
+            part = slice(a, a + BLOCK)
+            there, here = sent(total(x, gathered) - back[part], None), sent(total(y, gathered) - over[part], None)
+            change = max(change, float(np.abs(there - over[part]).max(initial=0)), float(np.abs(here - back[part]).max(initial=0)))
+            over[part], back[part] = 0.5 * over[part] + 0.5 * there, 0.5 * back[part] + 0.5 * here
         if change < tolerance:
             break
-    total = own.copy()
-    np.add.at(total, dst, m)
-    b = np.exp(total - total.max(axis=1, keepdims=True))
-    return b / b.sum(axis=1, keepdims=True)
+    out, gathered = np.zeros((n, k), np.float32), gather()
+    for a in range(0, n, BLOCK):
+        at = np.arange(a, min(a + BLOCK, n))
+        x = total(at, gathered)
+        b = np.exp(x - x.max(axis=1, keepdims=True))
+        out[at] = b / b.sum(axis=1, keepdims=True)
+    return out
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], f: Field) -> list[tuple[int, int, int]]:
     t = tokens(text, base)
-    if not any(v == 0 for v in t.label):
+    if all(t.label):
         return []
     b = beliefs(t, f)
     best = b[:, 1:].argmax(axis=1)
-    return [(int(best[i]), t.start[i], t.end[i]) for i in range(len(t.start)) if t.label[i] == 0 and b[i, best[i] + 1] >= BELIEF]
+    sure = np.flatnonzero((np.asarray(t.label) == 0) & (b[np.arange(len(b)), best + 1] >= BELIEF))
+    return [(int(best[i]), t.start[i], t.end[i]) for i in sure]
 
 
 _HINT = re.compile(r"[0-9@]")
@@ -255,7 +312,7 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
         join = lambda x: ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in x)
         for b in batches:
             rows: dict[str, list] = {n: [] for n in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")}
-            for text in b.column(1).to_pylist():
+            for text in (x.as_py() for x in b.column(1)):
                 base, more = [], []
                 if text and _HINT.search(text):
                     base = base_spans(text)

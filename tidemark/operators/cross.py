@@ -33,14 +33,14 @@ def spearman(df: DataFrame, x: str, y: str, by: list, least: int = 5, dp: int |
     return s.select(*by, "n", (half_up(ic, dp) if dp is not None else ic).alias("ic"))
 
 
-def series_summary(series: DataFrame, value: str, date: str, by: list, lags: int | None = None) -> DataFrame:
-    """by, t_obs, mean, sd, ir, t, nw_t: Newey-West with Bartlett weights; lags by the rule of thumb unless given.
+def series_summary(series: DataFrame, value: str, date: str, by: list, lags: int | str | None = None) -> DataFrame:
+    """by, t_obs, mean, sd, ir, t, nw_t: Newey-West with Bartlett weights; lags by the rule of thumb unless given, as a number or as a column of ``by``.
 
     Lags count the dates in the series. One group is one series of a value a date.
     """
     w = Window.partitionBy(*by)
     base = series.withColumn("_m", F.avg(value).over(w)).withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_d", F.col(value) - F.col("_m"))
-    rule = F.greatest(F.lit(1), F.floor(4 * F.pow(F.col("_n") / 100, F.lit(2 / 9)))) if lags is None else F.lit(lags)
+    rule = F.greatest(F.lit(1), F.floor(4 * F.pow(F.col("_n") / 100, F.lit(2 / 9)))) if lags is None else F.col(lags) if isinstance(lags, str) else F.lit(lags)
     base = base.withColumn("_l", rule.cast("int")).withColumn("_i", F.row_number().over(w.orderBy(date)))
     arr = base.groupBy(*by).agg(F.first("_n").alias("n"), F.first("_m").alias("mean"), F.first("_l").alias("l"), F.stddev_samp(value).alias("sd"), F.sort_array(F.collect_list(F.struct("_i", "_d"))).alias("a"))
     d = F.transform("a", lambda x: x["_d"])
@@ -90,7 +90,8 @@ def residuals(df: DataFrame, y: str, xs: tuple[str, str], sector: str, date: str
     Null where the cross-section has fewer than ``least`` rows, no more rows than parameters, or the equations are singular.
     """
     d, s = Window.partitionBy(date), Window.partitionBy(date, sector)
-    have = df.where(F.col(y).isNotNull() & F.col(xs[0]).isNotNull() & F.col(xs[1]).isNotNull())
+    # Dealt by date once: a sector of a date is where its date is.
+    have = df.where(F.col(y).isNotNull() & F.col(xs[0]).isNotNull() & F.col(xs[1]).isNotNull()).repartition(date)
     for name, col in (("_y", y), ("_a", xs[0]), ("_b", xs[1])):
         have = have.withColumn(name, F.col(col) - F.avg(col).over(s))
     tot = {n: F.sum(F.col(p) * F.col(q)).over(d) for n, p, q in (("aa", "_a", "_a"), ("ab", "_a", "_b"), ("bb", "_b", "_b"), ("ay", "_a", "_y"), ("by", "_b", "_y"))}

@@ -11,37 +11,77 @@ from ..operators import factors as E
 from ..operators import series as S
 from ..operators import titles
 from ..sources.market import SQL_BARS, SQL_BENCH, SQL_SECTORS, bars_daily, benchmark, sectors, table
-from .cross_queries import _F, SQL_REGIME, bars_of, factor_panel, regimes, with_indicators
+from ..sources.shared import written
+from .cross_queries import _F
 from .registry import query, r
 from .series_queries import _H, _SQL_LABELS, KEYS, SQL_INDICATORS, W, labels_of
-from .strategy_queries import _SUBJECTS
+from .strategy_queries import _STACK, _SUBJECTS, stack
 
-_GRID = f"""{_F}, {SQL_REGIME}, {_SQL_LABELS},
-sc AS ({" UNION ALL ".join(f"SELECT instrument_id, trade_date, '{s}' AS subject, {r(s, 3)} AS score FROM f WHERE ema200 IS NOT NULL" for s in _SUBJECTS)}),
-ll AS (SELECT instrument_id, trade_date, h, 'raw' AS label, {r('fwd')} AS y FROM labels WHERE fwd IS NOT NULL UNION ALL SELECT instrument_id, trade_date, h, 'excess', {r('fwd - mkt')} FROM labels WHERE fwd IS NOT NULL AND mkt IS NOT NULL),
-gr AS (SELECT subject, label, h, sc.trade_date, score, y FROM sc JOIN ll ON ll.instrument_id = sc.instrument_id AND ll.trade_date = sc.trade_date),
-rk AS (SELECT subject, label, h, trade_date, rank() OVER (PARTITION BY subject, label, h, trade_date ORDER BY score) + (count(*) OVER (PARTITION BY subject, label, h, trade_date, score) - 1) / 2 AS x, rank() OVER (PARTITION BY subject, label, h, trade_date ORDER BY y) + (count(*) OVER (PARTITION BY subject, label, h, trade_date, y) - 1) / 2 AS y FROM gr),
-su AS (SELECT subject, label, h, trade_date, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * y) AS sxy, sum(x * x) AS sxx, sum(y * y) AS syy FROM rk GROUP BY ALL HAVING count(*) >= 5),
-ic AS (SELECT subject, label, h, trade_date, floor(CASE WHEN n * sxx > sx * sx AND n * syy > sy * sy THEN (n * sxy - sx * sy) / (sqrt(n * sxx - sx * sx) * sqrt(n * syy - sy * sy)) ELSE 0 END * 1e3 + 0.5) / 1e3 AS ic FROM su),
-ix AS (SELECT subject, label, h, trade_date, CAST(floor(ic * 1000 + 0.5) AS BIGINT) AS k, unnest(['ALL', regime]) AS regime FROM ic JOIN (SELECT trade_date, regime FROM rg) USING (trade_date)),
-iy AS (SELECT subject, label, h, regime, count(*) AS days, CAST(sum(k) AS DOUBLE) AS s1, CAST(sum(k * k) AS DOUBLE) AS s2 FROM ix GROUP BY ALL)
-SELECT subject, label, h, regime, days, {r('s1 / days / 1000', 4)} AS mean, CASE WHEN days > 1 THEN {r('sqrt((s2 - s1 * s1 / days) / (days - 1)) / 1000', 3)} END AS sd FROM iy"""
+LEAST, LEAST_DECILES = 10, 20
+_NINE = (*_SUBJECTS, "fundamental", "sentiment", "composite")
+_SCORES = {s: r(f"pg.{s}", 3) if s in _SUBJECTS else f"pg.{s}" for s in _NINE}
+_CELLS = f"""{_STACK}, {_SQL_LABELS},
+rt AS (SELECT instrument_id, b.trade_date, close / nullif(lag(close) OVER w, 0) - 1 AS r, bench / nullif(lag(bench) OVER w, 0) - 1 AS b FROM bars b JOIN benchmark_days USING (trade_date) WINDOW w AS (PARTITION BY instrument_id ORDER BY b.trade_date)),
+bt AS (SELECT instrument_id, trade_date, count(*) OVER w AS n, {r('covar_pop(r, b) OVER w / nullif(var_pop(b) OVER w, 0)')} AS b FROM rt WHERE r IS NOT NULL AND b IS NOT NULL WINDOW w AS ({W} ROWS 251 PRECEDING)),
+la AS (SELECT instrument_id, trade_date, ln(median(CASE WHEN close * volume > 0 THEN close * volume END) OVER ({W} ROWS 19 PRECEDING)) AS a FROM bars),
+cx AS (SELECT pg.instrument_id, pg.trade_date, pg.sector, pg.regime, {", ".join(f"{v} AS {k}" for k, v in _SCORES.items())}, la.a, CASE WHEN bt.n >= 20 THEN bt.b END AS b, h, fwd, mkt FROM pg JOIN labels l ON l.instrument_id = pg.instrument_id AND l.trade_date = pg.trade_date
+  LEFT JOIN la ON la.instrument_id = pg.instrument_id AND la.trade_date = pg.trade_date LEFT JOIN bt ON bt.instrument_id = pg.instrument_id AND bt.trade_date = pg.trade_date WHERE ema200 IS NOT NULL AND fwd IS NOT NULL),
+cc AS (SELECT *, fwd - avg(fwd) OVER s AS cy, a - avg(a) OVER s AS ca, b - avg(b) OVER s AS cb FROM cx WHERE a IS NOT NULL AND b IS NOT NULL WINDOW s AS (PARTITION BY trade_date, h, sector)),
+ct AS (SELECT trade_date, h, count(*) AS n, count(DISTINCT sector) + 2 AS p, sum(ca * ca) AS aa, sum(ca * cb) AS ab, sum(cb * cb) AS bb, sum(ca * cy) AS ay, sum(cb * cy) AS bq FROM cc GROUP BY ALL),
+cl AS (SELECT cx.*, 'raw' AS label, {r('fwd')} AS y FROM cx UNION ALL SELECT cx.*, 'excess', {r('fwd - mkt')} FROM cx WHERE mkt IS NOT NULL
+  UNION ALL SELECT cc.* EXCLUDE (cy, ca, cb), 'residual', {r('cy - (ay * bb - bq * ab) / (aa * bb - ab * ab) * ca - (bq * aa - ay * ab) / (aa * bb - ab * ab) * cb', 2)} FROM cc JOIN ct USING (trade_date, h) WHERE n >= 20 AND n > p AND aa * bb - ab * ab > 1e-12),
+gr AS (SELECT instrument_id, trade_date, regime, label, h, a, y, unnest([{", ".join(f"'{s}'" for s in _NINE)}]) AS subject, unnest([{", ".join(f"CAST({s} AS DOUBLE)" for s in _NINE)}]) AS score FROM cl)"""
+_GRID = f"""{_CELLS},
+rk AS (SELECT subject, label, h, trade_date, regime, rank() OVER (PARTITION BY subject, label, h, trade_date ORDER BY score) + (count(*) OVER (PARTITION BY subject, label, h, trade_date, score) - 1) / 2 AS x, rank() OVER (PARTITION BY subject, label, h, trade_date ORDER BY y) + (count(*) OVER (PARTITION BY subject, label, h, trade_date, y) - 1) / 2 AS y FROM gr WHERE score IS NOT NULL),
+su AS (SELECT subject, label, h, trade_date, any_value(regime) AS regime, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * y) AS sxy, sum(x * x) AS sxx, sum(y * y) AS syy FROM rk GROUP BY subject, label, h, trade_date HAVING count(*) >= {LEAST}),
+ic AS (SELECT subject, label, h, trade_date, floor(CASE WHEN n * sxx > sx * sx AND n * syy > sy * sy THEN (n * sxy - sx * sy) / (sqrt(n * sxx - sx * sx) * sqrt(n * syy - sy * sy)) ELSE 0 END * 1e3 + 0.5) AS ic, unnest(['ALL', regime]) AS regime FROM su),
+d AS (SELECT *, row_number() OVER c AS i, ic - avg(ic) OVER (PARTITION BY subject, label, h, regime) AS e FROM ic WHERE regime <> 'CRASH' WINDOW c AS (PARTITION BY subject, label, h, regime ORDER BY trade_date)),
+s AS (SELECT subject, label, h, regime, count(*) AS days, avg(ic) AS mean, stddev_samp(ic) AS sd, sum(e * e) AS s0 FROM d GROUP BY ALL),
+ge AS (SELECT subject, label, h, regime, list(e ORDER BY i) AS v FROM d GROUP BY ALL),
+gl AS (SELECT subject, label, h, regime, list_sum([2 * (1 - l / (h + 1)) * list_sum([v[i] * v[i + l] FOR i IN range(1, len(v) - l + 1)]) FOR l IN range(1, least(h, len(v) - 1) + 1)]) AS sl FROM ge)
+SELECT subject, label, h, regime, days, {r('mean / 1000')} AS mean, {r('sd / 1000', 3)} AS sd, {r('mean / nullif(sd, 0)', 3)} AS ir, {r('mean / nullif(sd, 0) * sqrt(days)', 2)} AS t,
+  {r('CASE WHEN s0 + coalesce(sl, 0) > 1e-12 THEN mean / sqrt((s0 + coalesce(sl, 0)) / days / days) ELSE 0 END', 2)} AS nw_t, CASE WHEN regime = 'ALL' THEN mean >= 20 AND CASE WHEN s0 + coalesce(sl, 0) > 1e-12 THEN mean / sqrt((s0 + coalesce(sl, 0)) / days / days) ELSE 0 END >= 3 END AS clears
+FROM s JOIN gl USING (subject, label, h, regime)"""
+
+
+def cells(spark, sf) -> DataFrame:
+    """What is measured, in long form: a row a name, date, subject (eight factors and the composite), label (raw, excess, residual) and horizon, with the date's regime."""
+    p = stack(spark, sf)
+    bars = p.select(*KEYS, "open", "high", "low", "close", "volume")
+    p = p.where("ema200 IS NOT NULL").select(*KEYS, "sector", "regime", *(half_up(F.col(s), 3).alias(s) if s in _SUBJECTS else F.col(s).cast("double").alias(s) for s in _NINE))
+    lab = labels_of(bars).where("fwd IS NOT NULL")
+    beta = S.trailing_beta(bars, benchmark(bars)).where("beta IS NOT NULL").select(*KEYS, half_up(F.col("beta")).alias("b"))
+    x = p.join(lab, list(KEYS)).join(bars.select(*KEYS, S.log_adv().alias("a")), list(KEYS), "left").join(beta, list(KEYS), "left")
+    x = written(x, "cells")
+    res = X.residuals(x.withColumn("at", F.struct("trade_date", "h")), "fwd", ("a", "b"), "sector", "at").where("residual IS NOT NULL")
+    keep = [*KEYS, "regime", "h", "a", *_NINE]
+    labelled = x.select(*keep, half_up(F.col("fwd")).alias("raw"), half_up(F.col("fwd") - F.col("mkt")).alias("excess")).unpivot(keep, ["raw", "excess"], "label", "y")
+    labelled = labelled.unionByName(res.select(*keep, F.lit("residual").alias("label"), half_up(F.col("residual"), 2).alias("y"))).where("y IS NOT NULL")
+    return labelled.unpivot([*KEYS, "regime", "h", "a", "label", "y"], list(_NINE), "subject", "score")
 
 
 @query(_GRID)
 def measurement_grid(spark, sf) -> DataFrame:
-    """Daily rank correlation of every factor with every label over every horizon, over all days and by regime: all cells are rows of one pass."""
-    ind = with_indicators(spark, sf)
-    bars = bars_of(ind)
-    p = factor_panel(spark, sf, ind).where("ema200 IS NOT NULL").select(*KEYS, *(half_up(F.col(s), 3).alias(s) for s in _SUBJECTS))
-    lab = labels_of(bars).where("fwd IS NOT NULL").select(*KEYS, "h", half_up(F.col("fwd")).alias("raw"), half_up(F.col("fwd") - F.col("mkt")).alias("excess"))
-    long = p.join(lab, list(KEYS)).unpivot([*KEYS, "h", *_SUBJECTS], ["raw", "excess"], "label", "y").where("y IS NOT NULL")
-    ic = X.spearman(long.unpivot([*KEYS, "h", "label", "y"], list(_SUBJECTS), "subject", "score"), "score", "y", ["subject", "label", "h", "trade_date"])
-    both = ic.join(regimes(spark, sf, ind).select("trade_date", "regime"), "trade_date").select("subject", "label", "h", F.floor(F.col("ic") * 1000 + 0.5).alias("k"), F.explode(F.array("regime", F.lit("ALL"))).alias("regime"))
-    # Correlations have three places, so sums over thousandths are exact in any order.
-    g = both.groupBy("subject", "label", "h", "regime").agg(F.count(F.lit(1)).alias("days"), F.sum("k").cast("double").alias("s1"), F.sum(F.col("k") * F.col("k")).cast("double").alias("s2"))
-    n, s1, s2 = F.col("days"), F.col("s1"), F.col("s2")
-    return g.select("subject", "label", "h", "regime", "days", half_up(s1 / n / 1000, 4).alias("mean"), F.when(n > 1, half_up(F.sqrt(F.try_divide(s2 - s1 * s1 / n, n - 1)) / 1000, 3)).alias("sd"))
+    """Daily rank correlation of nine subjects with three labels over six horizons, over all days and by regime, with Newey-West's t at h lags and whether a cell clears the bar: all cells are rows of one pass."""
+    ic = X.spearman(cells(spark, sf), "score", "y", ["subject", "label", "h", "trade_date", "regime"], least=LEAST)
+    both = ic.select("subject", "label", "h", "trade_date", F.floor(F.col("ic") * 1000 + 0.5).cast("double").alias("ic"), F.explode(F.array("regime", F.lit("ALL"))).alias("regime")).where("regime <> 'CRASH'")
+    # Correlations have three places: as whole thousandths their sums are exact in any order.
+    s = X.series_summary(both, "ic", "trade_date", ["subject", "label", "h", "regime"], lags="h")
+    bar = F.when(F.col("regime") == "ALL", (F.col("mean") >= 20) & (F.col("nw_t") >= 3))
+    return s.select("subject", "label", "h", "regime", F.col("t_obs").alias("days"), half_up(F.col("mean") / 1000).alias("mean"), half_up(F.col("sd") / 1000, 3).alias("sd"), half_up(F.col("ir"), 3).alias("ir"), *(half_up(F.col(c), 2).alias(c) for c in ("t", "nw_t")), bar.alias("clears"))
+
+
+@query(f"""{_CELLS}, de AS (SELECT *, floor((row_number() OVER w - 1) * 10 / count(*) OVER c) AS decile, count(*) OVER c AS names FROM gr WHERE score IS NOT NULL
+  WINDOW w AS (PARTITION BY subject, label, h, trade_date ORDER BY score, instrument_id), c AS (PARTITION BY subject, label, h, trade_date)),
+dx AS (SELECT subject, label, h, unnest(['ALL', regime]) AS regime, CAST(decile AS BIGINT) AS decile, y, a FROM de WHERE names >= {LEAST_DECILES})
+SELECT subject, label, h, regime, decile, count(*) AS n, {r('CAST(sum(CAST(floor(y * 10000 + 0.5) AS BIGINT)) AS DOUBLE) / count(*) / 10000', 2)} AS mean, {r('sum(exp(a) * y) / sum(exp(a))', 2)} AS weighted FROM dx WHERE regime <> 'CRASH' GROUP BY ALL""")
+def measurement_deciles(spark, sf) -> DataFrame:
+    """What each tenth of a subject's names is followed by, per cell of the grid: means of names, and by turnover."""
+    date = ["subject", "label", "h", "trade_date"]
+    x = cells(spark, sf).where("score IS NOT NULL").withColumn("decile", X.bucket(["score", "instrument_id"], date, 10)).withColumn("names", F.count(F.lit(1)).over(Window.partitionBy(*date))).where(F.col("names") >= LEAST_DECILES)
+    x = x.select("subject", "label", "h", F.explode(F.array("regime", F.lit("ALL"))).alias("regime"), "decile", "y", F.exp("a").alias("w")).where("regime <> 'CRASH'")
+    g = x.groupBy("subject", "label", "h", "regime", "decile").agg(F.count(F.lit(1)).alias("n"), half_up(F.sum(F.floor(F.col("y") * 10000 + 0.5)).cast("double") / F.count(F.lit(1)) / 10000, 2).alias("mean"), half_up(F.try_divide(F.sum(F.col("w") * F.col("y")), F.sum("w")), 2).alias("weighted"))
+    return g
 
 
 @query(f"""WITH {SQL_BARS}, {SQL_BENCH}, {SQL_SECTORS}, {_SQL_LABELS},

@@ -12,14 +12,16 @@ A filter of fixed size (FILTER_BITS), built from all benchmark hashes by Spark's
 only training hashes that may meet one are kept for the join; it grows with neither table. With a hit goes the part
 of its text that the longest item can reach, so documents are read once.
 
-Tokens are runs of ASCII letters and digits and of non-ASCII bytes, ASCII case folded. Items shorter than the masks have
-a mask of their own length, so they are found whole. Nulls: null texts and items have no token and meet nothing; a null
+Tokens are runs of ASCII letters and digits and of non-ASCII bytes, ASCII case folded. Items of less than MIN_OVERLAP tokens have
+masks of their own length: with s substitutions allowed they are cut into s + 2 blocks, and each pair of blocks is a mask, so that
+one mask misses all substituted places wherever they are. Nulls: null texts and items have no token and meet nothing; a null
 item_id is left out. A null doc_id is carried as such; repeated rows (equal doc_id and text) give one row. Empty tables: no rows.
 Other columns are not read.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,14 @@ FILTER_BITS = 24
 _U = np.uint64
 
 
+def short_masks(n: int) -> list[str]:
+    """Masks of an item of n tokens, of which one fifth may be substituted: all pairs of its blocks."""
+    cuts = np.linspace(0, n, n // 5 + 3).round().astype(int) if n >= 5 else [0, n]
+    parts = list(itertools.pairwise(cuts))
+    chosen = itertools.combinations(parts, 2) if len(parts) > 1 else [parts]
+    return ["".join("1" if any(a <= i < b for a, b in two) else "0" for i in range(n)) for two in chosen]
+
+
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of a piece, and where each text's begin."""
     words = Words(data, offs, TERM)
@@ -169,10 +179,9 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL")
     known = written(benchmark_tokens(items).where(F.length("item") > 0), "bench-items")
     lengths = known.select((F.length("item") / 8).cast("int").alias("n"))
-    span = min(map(len, MASKS))
-    short = sorted(r.n for r in lengths.where(F.col("n") < span).distinct().collect())
+    short = sorted(r.n for r in lengths.where(F.col("n") < MIN_OVERLAP).distinct().collect())
     reach = (lengths.agg(F.max("n")).first()[0] or 0) + max(map(len, MASKS))
-    masks = [*MASKS, *("1" * n for n in short)]
+    masks = [*MASKS, *(m for n in short for m in short_masks(n))]
     hashes = written(benchmark_hashes(items, masks), "bench-hashes")
     shared = spark.sparkContext.broadcast(hash_filter(hashes))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up, ratio
+from ..sources.shared import written
 
 
 def bucket(order: list, partition: list, buckets: int) -> Column:
@@ -78,7 +79,9 @@ def quantiles(df: DataFrame, value: str, by: list[str], shares: dict[str, float]
 
 def decile_returns(df: DataFrame, score: str, ret: str, weight: str | None, date: str, tie: str, buckets: int = 10) -> DataFrame:
     """decile, n, mean, weighted mean (rows with a weight), median: buckets per date, pooled over dates."""
+    # Written once: sums, counts of ranges and the rows of the ranges that a median lies in are all read from it.
     b = df.where(F.col(score).isNotNull() & F.col(ret).isNotNull()).withColumn("decile", bucket([score, tie], [date], buckets))
+    b = written(b.select("decile", ret, *([weight] if weight else [])), "deciles")
     w = F.col(weight) if weight else F.lit(1.0)
     sums = b.groupBy("decile").agg(F.count(F.lit(1)).alias("n"), F.avg(ret).alias("mean"), ratio(F.sum(w * F.col(ret)), F.sum(F.when(w.isNotNull(), w))).alias("weighted"))
     return sums.join(quantiles(b, ret, ["decile"], {"median": 0.5}), "decile")

@@ -11,6 +11,7 @@ from ..operators import asof as A
 from ..operators import cross as X
 from ..operators import series as S
 from ..sources.market import SQL_BARS, SQL_BENCH, bars_daily, benchmark, table
+from ..sources.shared import written
 from .registry import query, r
 from .series_queries import KEYS, W
 
@@ -41,7 +42,7 @@ x AS ({" UNION ALL ".join(f"SELECT event_type, {h} AS h, (c{h} - close) / close
 @query(f"""WITH {_OUT} SELECT event_type, h, count(*) AS n, {r('avg(excess)', 3)} AS mean, {r('stddev_samp(excess) / sqrt(count(*))', 3)} AS se, {r('avg((excess > 0)::INT) * 100', 2)} AS hit_rate, {r('quantile_cont(excess, 0.9)', 3)} AS p90, {r('quantile_cont(excess, 0.1)', 3)} AS p10 FROM x GROUP BY ALL""")
 def event_study(spark, sf) -> DataFrame:
     """Excess return after events, from the first close after each, by kind of event and horizon."""
-    b = bars_daily(spark, sf)
+    b = written(bars_daily(spark, sf), "bars")
     o = b.select(*KEYS, "close", *(F.lead(c, h).over(S.by()).alias(f"{c[0]}{h}") for h in (1, 5, 10) for c in ("close", "trade_date")))
     cols = ["close", *(f"{c}{h}" for h in (1, 5, 10) for c in "ct")]
     a = A.first_after(events_on_bars(spark, sf), o, "instrument_id", "at", "trade_date", cols)
@@ -49,6 +50,7 @@ def event_study(spark, sf) -> DataFrame:
     m = benchmark(b)
     x = x.join(m.select(F.col("trade_date").alias("anchor_date"), F.col("bench").alias("p")), "anchor_date").join(m.select(F.col("trade_date").alias("d"), F.col("bench").alias("q")), "d").where("close > 0 AND p > 0 AND c IS NOT NULL")
     x = x.withColumn("excess", (F.col("c") - F.col("close")) / F.col("close") * 100 - (F.col("q") - F.col("p")) / F.col("p") * 100)
+    x = written(x.select("event_type", "h", "excess"), "event-returns")
     n = F.count(F.lit(1))
     g = x.groupBy("event_type", "h").agg(n.alias("n"), half_up(F.avg("excess"), 3).alias("mean"), half_up(F.stddev_samp("excess") / F.sqrt(n), 3).alias("se"), half_up(F.avg((F.col("excess") > 0).cast("int")) * 100, 2).alias("hit_rate"))
     q = X.quantiles(x, "excess", ["event_type", "h"], {"p90": 0.9, "p10": 0.1})

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashes import unit
 from ..functions.numbers import half_up, ratio
 from ..operators import ablation
 from ..operators import cross as X
+from ..operators import factors as E
 from ..operators import resampling
 from ..operators import series as S
 from ..operators import strategy as P
@@ -15,7 +17,7 @@ from ..sources.market import bars_daily
 from .cross_queries import _IC, _PANEL, monthly_panel
 from .registry import query, r
 from .series_queries import KEYS, W
-from .strategy_queries import _SIGNALS, _STACK, signals, stack
+from .strategy_queries import _ALLOCATED, _SIGNALS, _STACK, signals, stack
 
 REGIMES = ("BULL", "BEAR", "SIDEWAYS", "HIGH_VOL", "CRASH")
 FUNDAMENTAL_LEVELS, SENTIMENT_LEVELS = (40, 45, 50, 55), (40, 45, 48, 50, 55)
@@ -106,3 +108,33 @@ def ic_interval(spark, sf) -> DataFrame:
     d = resampling.replicates(ic, "series", "trade_date", [], ["k"], REPS, BLOCK, 12345).withColumn("m", F.col("k") / F.col("size") / 1000)
     own = ic.groupBy("series").agg(F.count(F.lit(1)).alias("n"), half_up(F.sum("k") / F.count(F.lit(1)) / 1000).alias("mean"))
     return own.join(resampling.interval(d, ["series"], "m"), "series").select("series", "n", "mean", half_up(F.col("low")).alias("low"), half_up(F.col("high")).alias("high"))
+
+
+_RANKS = ("composite", "random", "sentiment", "srs", "fundamental", "calm", "tight-stop", "agreement")
+_FNV = "list_reduce(list_prepend(CAST(2166136261 AS BIGINT), [CAST(ord(z) AS BIGINT) FOR z IN string_split(concat(s.instrument_id, '|', strftime(s.trade_date, '%Y-%m-%d')), '')]), lambda a, b: (xor(a, b) * 16777619) & 4294967295) / 4294967296.0::DOUBLE"
+
+
+@query(f"""{_SIGNALS}, rs8 AS (SELECT s.instrument_id, s.trade_date, s.composite, {_FNV} AS random, pg.sentiment, pg.srs, pg.fundamental, pg.calm, -((s.entry - s.stop) / s.entry) * 100 AS tight,
+  {r('greatest(0, least(1, 1 - list_aggregate([pg.trend, pg.momentum, pg.rs, pg.vol], ' + chr(39) + 'stddev_pop' + chr(39) + ') / 50))')} AS agreement FROM sg2 s JOIN pg ON pg.instrument_id = s.instrument_id AND pg.trade_date = s.trade_date),
+rl AS (SELECT instrument_id, trade_date, unnest([{", ".join(f"'{k}'" for k in _RANKS)}]) AS rank_key, unnest([composite, random, sentiment, srs, fundamental, calm, tight, agreement]) AS score FROM rs8)
+SELECT instrument_id, trade_date, rank_key, row_number() OVER (PARTITION BY trade_date, rank_key ORDER BY score DESC, instrument_id) AS place FROM rl""")
+def slot_ranks(spark, sf) -> DataFrame:
+    """The order of each day's signals for its slots under the eight keys; the random one is a hash of name and day. Ties: the smaller name."""
+    x = signals(spark, sf, ("sentiment", "srs", "fundamental", "calm", half_up(E.agreement(list(P.AGREEING))).alias("agreement")))
+    name = F.concat_ws("|", F.col("instrument_id").cast("string"), F.date_format("trade_date", "yyyy-MM-dd"))
+    scores = {"composite": F.col("composite"), "random": unit(name), "tight-stop": -((F.col("entry") - F.col("stop")) / F.col("entry")) * 100}
+    long = x.select(*KEYS, F.explode(F.array(*(F.struct(F.lit(k).alias("rank_key"), (scores[k] if k in scores else F.col(k)).cast("double").alias("score")) for k in _RANKS))).alias("x")).select(*KEYS, "x.*")
+    return long.select(*KEYS, "rank_key", F.row_number().over(Window.partitionBy("trade_date", "rank_key").orderBy(F.desc("score"), "instrument_id")).cast("long").alias("place"))
+
+
+@query(f"""{_ALLOCATED}, {_NET}, av2 AS (SELECT CASE WHEN v IS NOT NULL THEN v WHEN b4 >= 2 THEN 'position-limit' WHEN NOT fits THEN 'sector-cap' ELSE 'taken' END AS verdict, {_K} AS k FROM aw JOIN ne ON ne.instrument_id = aw.instrument_id AND ne.trade_date = aw.trade_date WHERE net IS NOT NULL),
+am2 AS (SELECT count(*) FILTER (WHERE verdict = 'taken') AS taken, count(*) FILTER (WHERE verdict = 'position-limit') AS skipped, coalesce(sum(k) FILTER (WHERE verdict = 'taken'), 0) AS a, coalesce(sum(k) FILTER (WHERE verdict = 'position-limit'), 0) AS b FROM av2)
+SELECT taken, skipped, {r('a / greatest(taken, 1)::DOUBLE / 100', 3)} AS taken_mean, {r('b / greatest(skipped, 1)::DOUBLE / 100', 3)} AS skipped_mean, {r('a / greatest(taken, 1)::DOUBLE / 100 - b / greatest(skipped, 1)::DOUBLE / 100', 3)} AS edge FROM am2""")
+def slot_regret(spark, sf) -> DataFrame:
+    """What signals that got a slot earned in five bars, against those that the day's slots ran out for; a side without signals counts as 0."""
+    net = bars_daily(spark, sf).select(*KEYS, half_up(S.forward_return(5), 2).alias("net")).where("net IS NOT NULL")
+    x = P.allocate(signals(spark, sf), "trade_date", "composite", "instrument_id").join(net, list(KEYS)).select("verdict", F.floor(F.col("net") * 100 + 0.5).alias("k"))
+    taken, skipped = F.col("verdict").isNull(), F.col("verdict") == "position-limit"
+    s = x.agg(*(F.count(F.when(c, 1)).alias(f"n_{n}") for n, c in (("t", taken), ("s", skipped))), *(F.coalesce(F.sum(F.when(c, F.col("k"))), F.lit(0)).alias(f"k_{n}") for n, c in (("t", taken), ("s", skipped))))
+    mean = lambda n: F.col(f"k_{n}") / F.greatest(F.col(f"n_{n}"), F.lit(1)) / 100
+    return s.select(F.col("n_t").alias("taken"), F.col("n_s").alias("skipped"), half_up(mean("t"), 3).alias("taken_mean"), half_up(mean("s"), 3).alias("skipped_mean"), half_up(mean("t") - mean("s"), 3).alias("edge"))

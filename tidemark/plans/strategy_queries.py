@@ -173,8 +173,8 @@ co AS (SELECT instrument_id, min(trade_date) AS trade_date FROM ok GROUP BY inst
 sg2 AS (SELECT ok.instrument_id, ok.trade_date, sector, regime, composite, close AS entry, stop, close + 2 * (close - stop) AS target1, atr_pct FROM ok JOIN co ON co.instrument_id = ok.instrument_id AND co.trade_date = ok.trade_date)"""
 
 
-def signals(spark, sf) -> DataFrame:
-    """Raw signals: all gates, quality of the history as of the day, levels, then no second one within five days of an accepted one."""
+def signals(spark, sf, more: tuple = ()) -> DataFrame:
+    """Raw signals: all gates, quality of the history as of the day, levels, then no second one within five days of an accepted one. ``more``: further columns."""
     p = stack(spark, sf)
     run = S.by().rowsBetween(Window.unboundedPreceding, 0)
     n, d0 = F.row_number().over(S.by()), F.min("trade_date").over(run)
@@ -183,7 +183,7 @@ def signals(spark, sf) -> DataFrame:
     lv = E.levels(F.min("low").over(S.last(15)), WILD, LOSS_BAND)
     p = p.withColumn("stop", lv["stop"]).withColumn("target1", lv["target1"]).withColumn("reject", lv["reject"]).withColumn("atr_pct", F.col("atr14") / F.col("close") * 100)
     ok = p.where(F.col("failed").isNull() & F.col("ema200").isNotNull() & (F.col("quality") >= LEAST_QUALITY) & F.col("reject").isNull())
-    return ok.join(P.cooled(ok, "instrument_id", "trade_date"), list(KEYS)).select(*KEYS, "sector", "regime", "composite", F.col("close").alias("entry"), "stop", "target1", "atr_pct")
+    return ok.join(P.cooled(ok, "instrument_id", "trade_date"), list(KEYS)).select(*KEYS, "sector", "regime", "composite", F.col("close").alias("entry"), "stop", "target1", "atr_pct", *more)
 
 
 @query(f"{_SIGNALS} SELECT instrument_id, trade_date, sector, regime, composite, {r('entry', 3)} AS entry, {r('stop', 3)} AS stop, {r('target1', 3)} AS target1 FROM sg2")
@@ -191,11 +191,14 @@ def raw_signals(spark, sf) -> DataFrame:
     return signals(spark, sf).select(*KEYS, "sector", "regime", "composite", *(half_up(F.col(c), 3).alias(c) for c in ("entry", "stop", "target1")))
 
 
-@query(f"""{_SIGNALS}, az AS (SELECT *, CASE WHEN entry > stop THEN least(floor(2000 / (entry - stop)), floor(100000 / entry)) ELSE 0 END AS q0 FROM sg2),
+_ALLOCATED = f"""{_SIGNALS}, az AS (SELECT *, CASE WHEN entry > stop THEN least(floor(2000 / (entry - stop)), floor(100000 / entry)) ELSE 0 END AS q0 FROM sg2),
 aq AS (SELECT *, CAST(CASE WHEN atr_pct >= 3 AND atr_pct < 6 THEN floor(q0 * 0.75::DOUBLE) ELSE q0 END AS BIGINT) AS qty FROM az),
 ax AS (SELECT *, CASE WHEN qty < 1 THEN 'sizing' WHEN qty * (target1 - entry) < 3 * {r('qty * entry', 2)} * 0.25::DOUBLE / 100 THEN 'cost-drag' END AS v FROM aq),
 ay AS (SELECT *, v IS NULL AND (sector IS NULL OR sum((v IS NULL)::INT) OVER (PARTITION BY trade_date, sector ORDER BY composite DESC, instrument_id ROWS UNBOUNDED PRECEDING) <= 1) AS fits FROM ax),
-aw AS (SELECT *, coalesce(sum(fits::INT) OVER (PARTITION BY trade_date ORDER BY composite DESC, instrument_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b4 FROM ay)
+aw AS (SELECT *, coalesce(sum(fits::INT) OVER (PARTITION BY trade_date ORDER BY composite DESC, instrument_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b4 FROM ay)"""
+
+
+@query(f"""{_ALLOCATED}
 SELECT instrument_id, trade_date, qty, CASE WHEN v IS NOT NULL THEN v WHEN b4 >= 2 THEN 'position-limit' WHEN NOT fits THEN 'sector-cap' END AS verdict FROM aw""")
 def allocated_signals(spark, sf) -> DataFrame:
     """Size and verdict of each raw signal against the others of its day."""

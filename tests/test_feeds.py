@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import ingest, titles
+from tidemark.operators import folds, ingest, titles
 from tidemark.sources import company_pages as C
 from tidemark.streaming import alerts, flows
 
@@ -133,3 +133,24 @@ def test_waits_between_tries():
     with mock.patch.object(alerts.F, "col"):
         out = alerts.sent(Rows(), send, sleep=waited.append)[0]
     assert waited == [1.0, 2.0] and not out.ok[0] and out.attempts[0] == 3
+
+
+@pytest.mark.parametrize(("total", "n", "warmup", "embargo", "first"), [(50, 3, 5, 4, 20), (9, 3, 5, 0, 5), (7, 3, 5, 0, 6), (50, 1, 0, 60, 61), (30, 4, 0, 2, 3)])
+def test_folds_by_place(spark, total, n, warmup, embargo, first):
+    days = [dt.date(2024, 1, 1) + dt.timedelta(3 * i) for i in range(total)]
+    calendar = spark.createDataFrame([(d,) for d in days], "trade_date date")
+
+    def window(a, b):
+        own = days[a:b]
+        return (own[0], own[-1], len(own)) if own else (None, None, 0)
+
+    for got, at, size, ok in ((folds.expanding(calendar, n, warmup, embargo), warmup + (total - warmup) // (n + 1), (total - warmup) // (n + 1), True), (folds.anchored(calendar, n, first, warmup, embargo), first, (total - first) // n, first > warmup + embargo)):
+        want = [(i + 1, *window(warmup, max(warmup, at + size * i - embargo)), *window(at + size * i, total if i == n - 1 else at + size * (i + 1))) for i in range(n)] if ok and size > 0 else []
+        assert [tuple(r) for r in got.orderBy("fold").collect()] == want
+
+
+def test_the_cut_of_a_day_reaches_the_scan(spark):
+    from tidemark.sources.market import bars_daily
+
+    plan = bars_daily(spark, "/root/testdata/sf0.001", "1995-06-30")._jdf.queryExecution().toString()
+    assert "LessThan(l_shipdate" in plan

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Words that titles are compared without.
@@ -16,6 +16,13 @@ def canonical_symbol(s: Column) -> Column:
     return F.regexp_replace(F.upper(F.trim(s)), "-(EQ|BE|BZ|SM|ST)$", "")
 
 
+def by_canonical_symbol(rows: DataFrame, symbol: str, order: list[str]) -> DataFrame:
+    """The first row, by ``order``, of each canonical symbol, with ``canonical`` and ``collisions``: how many more rows have it. Null symbols are one."""
+    x = rows.withColumn("canonical", canonical_symbol(F.col(symbol)))
+    w = Window.partitionBy("canonical")
+    return x.withColumn("collisions", F.count(F.lit(1)).over(w) - 1).withColumn("_k", F.row_number().over(w.orderBy(*order))).where("_k = 1").drop("_k")
+
+
 def normal_title(s: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(s, F.lit(""))), "[^a-z0-9&]+", " "), " +", " "))
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import ingest
+from ..functions.numbers import half_up
+from ..functions.strings import by_canonical_symbol
+from ..operators import folds, ingest
 from ..sources import company_pages as C
-from ..sources.market import table
-from .registry import query
+from ..sources.market import SQL_BARS, SQL_MONTHS, bars_daily, bars_monthly, table
+from .registry import query, r
 
 _QUARTERS = """SELECT l_suppkey AS instrument_id, CAST(last_day(CAST(date_trunc('quarter', l_shipdate) AS DATE) + INTERVAL 2 MONTH) AS DATE) AS period_end, floor(sum(l_extendedprice)) AS sales, sum(l_quantity) AS eps,
   sum(CASE WHEN l_returnflag = 'R' THEN -3 ELSE 1 END * l_quantity) AS net_profit FROM lineitem GROUP BY ALL"""
@@ -63,3 +65,34 @@ def ingest_reports(spark, sf) -> DataFrame:
     s = g.join(d, "day").select("run", "source", F.when(n % 3 == 0, "HTTP 503").alias("error"), F.floor(n % 4 / 2).alias("parsed"), F.timestamp_add("HOUR", F.lit(8), F.date_sub("day", (n % 5).cast("int")).cast("timestamp")).alias("newest"))
     x = ingest.source_alerts(s, d.select("run", "fetched_at", "degraded"))
     return x.select(F.col("run").cast("long").alias("run"), "status", F.array_join("alerts", "|").alias("alerts"), F.array_join("new_alerts", "|").alias("new_alerts"))
+
+
+@query(f"WITH {SQL_BARS} SELECT instrument_id, trade_date, {r('open')} AS open, {r('close')} AS close, volume FROM bars WHERE trade_date <= DATE '1995-06-30'")
+def bars_as_of(spark, sf) -> DataFrame:
+    """Bars up to a day; what was traded later is not read from row groups that hold nothing else."""
+    b = bars_daily(spark, sf, "1995-06-30")
+    return b.select("instrument_id", "trade_date", half_up(F.col("open")).alias("open"), half_up(F.col("close")).alias("close"), "volume")
+
+
+@query("""WITH x AS (SELECT p_partkey, p_brand || CASE p_partkey % 4 WHEN 0 THEN '-EQ' WHEN 1 THEN '-BE' WHEN 2 THEN '-XX' ELSE '' END AS symbol FROM part), y AS (SELECT *, regexp_replace(upper(trim(symbol)), '-(EQ|BE|BZ|SM|ST)$', '') AS canonical FROM x)
+SELECT canonical, min(p_partkey) AS first, count(*) - 1 AS collisions FROM y GROUP BY canonical""")
+def symbol_collisions(spark, sf) -> DataFrame:
+    """Listings that are one name without their series: the first one stands, the others are reported."""
+    key = F.col("p_partkey") % 4
+    x = table(spark, sf, "part").select("p_partkey", F.concat("p_brand", F.when(key == 0, "-EQ").when(key == 1, "-BE").when(key == 2, "-XX").otherwise("")).alias("symbol"))
+    return by_canonical_symbol(x, "symbol", ["p_partkey"]).select("canonical", F.col("p_partkey").alias("first"), "collisions")
+
+
+_FOLD = "min(trade_date) FILTER (WHERE {t}) AS train_from, max(trade_date) FILTER (WHERE {t}) AS train_to, count(*) FILTER (WHERE {t}) AS train_days, min(trade_date) FILTER (WHERE {e}) AS test_from, max(trade_date) FILTER (WHERE {e}) AS test_to, count(*) FILTER (WHERE {e}) AS test_days".format(
+    t="i >= 12 AND i < greatest(12, b - 2)", e="i >= b AND (i < b + size OR fold = 4)"
+)
+
+
+@query(f"""WITH {SQL_BARS}, {SQL_MONTHS}, c AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) - 1 AS i, count(*) OVER () AS total FROM (SELECT DISTINCT trade_date FROM months)),
+k AS (SELECT 'expanding' AS kind, c.*, CAST(floor((total - 12) / 5) AS BIGINT) AS size, 12 + CAST(floor((total - 12) / 5) AS BIGINT) * f.range AS b, f.range AS fold FROM c, range(1, 5) f
+  UNION ALL SELECT 'anchored', c.*, CAST(floor((total - 40) / 4) AS BIGINT), 40 + CAST(floor((total - 40) / 4) AS BIGINT) * (f.range - 1), f.range FROM c, range(1, 5) f)
+SELECT kind, CAST(fold AS INTEGER) AS fold, {_FOLD} FROM k GROUP BY kind, fold""")
+def fold_windows(spark, sf) -> DataFrame:
+    """Four folds of months of each kind, after a year of warm-up and with two months of embargo; the anchored ones test from the 41st month on."""
+    c = bars_monthly(bars_daily(spark, sf)).select("trade_date").distinct()
+    return folds.expanding(c, 4, 12, 2).withColumn("kind", F.lit("expanding")).unionByName(folds.anchored(c, 4, 40, 12, 2).withColumn("kind", F.lit("anchored")))

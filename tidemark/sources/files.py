@@ -152,7 +152,6 @@ def write_report(df: DataFrame, path: str, order: list[str]) -> None:
 
 def append_run(df: DataFrame, path: str, run_id: str) -> None:
     """Rows of one run, once: a run that is written again replaces its own partition only."""
-    df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").partitionBy("run_id").parquet(path)
+    df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 

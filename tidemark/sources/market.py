@@ -13,11 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bars_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """instrument_id, trade_date, open, high, low, close, volume. One shuffle, summed before it."""
+def bars_daily(spark: SparkSession, sf_dir: str, as_of: str | None = None) -> DataFrame:
+    """instrument_id, trade_date, open, high, low, close, volume. One shuffle, summed before it. ``as_of``: up to this day, which is asked of the scan."""
     price = F.col("l_extendedprice") / F.col("l_quantity")
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity > 0").select(F.col("l_suppkey").alias("instrument_id"), F.to_date("l_shipdate").alias("trade_date"), price.alias("p"), order.alias("o"), "l_quantity")
+    raw = table(spark, sf_dir, "lineitem").where("l_quantity > 0")
+    if as_of is not None:
+        raw = raw.where(F.col("l_shipdate") < F.lit(as_of).cast("date") + F.expr("interval 1 day"))
+    rows = raw.select(F.col("l_suppkey").alias("instrument_id"), F.to_date("l_shipdate").alias("trade_date"), price.alias("p"), order.alias("o"), "l_quantity")
     return rows.groupBy("instrument_id", "trade_date").agg(
         F.min_by("p", "o").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "o").alias("close"), F.sum("l_quantity").alias("volume")
     )

@@ -201,3 +201,53 @@ def test_texts_are_scored_in_batches(spark):
     assert {r.id: r.score for r in first.collect()} == {0: 0.5, 1: 0.5, 2: 0.5, 3: 0.5, 4: None}
     again = {r.id: (r.score, r.model) for r in P.scored(first, version="b-1").collect()}
     assert again == {0: (0.5, "b-1"), 1: (0.5, "b-1"), 2: (0.5, "b-1"), 3: (0.5, "b-1"), 4: (0.0, "b-1")}
+
+
+def test_announcement_shapes(spark):
+    xml = '<X><table id="1"><HEADLINE> </HEADLINE><NEWSSUB>Sub &lt;1&gt;</NEWSSUB><SLONGNAME>Abc</SLONGNAME></table><Table><MORE>no headline</MORE></Table></X>'
+    rows = [
+        (1, ' [{"NEWSSUB":"S","HEADLINE":"","DT_TM":"x","ATTACHMENTNAME":"a.pdf","MORE":null}, 7]'), (2, xml), (3, "<rss><item><title>T</title><guid>http://g</guid></item></rss>"),
+        (4, None), (5, ""), (6, '{"Table":null}'), (7, '{"Other":1}'), (8, "{bad"), (9, '"No Record Found!"'), (10, "<Table>"),
+    ]
+    got = [tuple(r) for r in files.announcements(spark.createDataFrame(rows, "id int, payload string")).orderBy("id").collect()]
+    assert got == [(1, None, "S", "S", files.ATTACHMENTS + "a.pdf", None), (2, None, "Sub <1>", "Abc — Sub <1>", "", None), (3, None, "T", None, "http://g", None)]
+    assert files.announcements(spark.createDataFrame([], "id int, payload string")).count() == 0
+
+
+def test_failed_windows_are_not_empty_ones(spark):
+    ok = '{"articles":[{"url":" u ","title":"Up 2 , 200 % &amp; more","seendate":" 20240229T235959Z "},{"url":"v","title":"x","seendate":"20230229T000000Z"},{"url":"w","title":"x","seendate":"20240101T239900Z"},{"url":3,"title":"x","seendate":"20240101T000000Z"},5,null]}'
+    rows = [(1, ok), (2, "{}"), (3, '{"articles":[]}'), (4, "<html>"), (5, None), (6, '"text"'), (7, ""), (8, '{"articles":{"a":1}}'), (9, "[1]")]
+    x = spark.createDataFrame(rows, "win int, payload string")
+    assert [tuple(r) for r in files.archive_windows(x).orderBy("win").collect()] == [(1, "ok", 6), (2, "empty", 0), (3, "empty", 0), (4, "failed", 0), (5, "failed", 0), (6, "empty", 0), (7, "failed", 0), (8, "empty", 0), (9, "empty", 0)]
+    got = [tuple(r) for r in files.archive_articles(x, latency_minutes=15).collect()]
+    assert got == [(1, "u", "Up 2, 200% & more", "", dt.datetime(2024, 2, 29, 23, 59, 59), dt.datetime(2024, 3, 1, 0, 14, 59))]
+
+
+def test_first_seen_by_source(spark):
+    t = dt.datetime(2024, 1, 1)
+    r = spark.createDataFrame([("a", "u", "x", t), ("b", "u", "y", t), ("b", "u", "z", t + dt.timedelta(1)), ("b", "v", "q", None)], "source string, url string, title string, seen timestamp")
+    known = spark.createDataFrame([("a", "u")], "source string, url string")
+    assert sorted((x.source, x.url, x.title) for x in files.first_seen(r, known, ("source", "url")).collect()) == [("b", "u", "y"), ("b", "v", "q")]
+
+
+def test_ticks_against_one_by_one(spark):
+    import random
+
+    rng, frames, want = random.Random(3), [], []
+    for n in [*rng.choices(range(40, 380), k=150), 51, 74, 75, 166, 167, 347]:
+        raw = bytearray(rng.randbytes(n))
+        if n >= 51:
+            struct.pack_into("<q", raw, 43, rng.randrange(-(10**9), 10**9))
+        raw[2:27] = f"t{n}\0".encode().ljust(25, b"\0")[: len(raw[2:27])]
+        for k in range(10):
+            if len(raw) >= 167 + 20 * k:
+                struct.pack_into("<hqq", raw, 147 + 20 * k, rng.choice([0, 1, 1, 2]), rng.choice([0, -1, 5]), rng.choice([0, -3, 100 + k]))
+        frames.append((bytes(raw),))
+        if n >= 51:
+            ltp, side = struct.unpack_from("<q", raw, 43)[0] / 100, {}
+            for at in range(147, len(raw) - 19, 20):
+                s, q, p = struct.unpack_from("<hqq", raw, at)
+                if at < 347 and q > 0 and p > 0:
+                    side.setdefault(s, p / 100)
+            want.append((f"t{n}", ltp, struct.unpack_from("<q", raw, 67)[0] if n >= 75 else 0, side.get(1, ltp), side.get(0, ltp)))
+    assert sorted(tuple(r) for r in files.ticks(spark.createDataFrame(frames, "frame binary")).collect()) == sorted(want)

@@ -41,7 +41,50 @@ def announcement_rows(spark, sf) -> DataFrame:
     """Announcements in JSON; the sentence for "none" and a broken payload give nothing."""
     row = F.to_json(F.struct(F.array(F.struct(F.col("c_name").alias("SLONGNAME"), F.when(F.col("c_custkey") % 2 == 0, " more ").otherwise("").alias("MORE"), F.concat(F.lit("H &amp; "), "c_mktsegment").alias("HEADLINE"), F.lit("2024-01-05T10:00:00").alias("NEWS_DT"), F.col("c_custkey").cast("string").alias("SCRIP_CD"))).alias("Table")))
     payload = F.when(F.col("c_custkey") % 7 == 0, '"No Record Found!"').when(F.col("c_custkey") % 7 == 1, "{broken").otherwise(row)
-    return files.announcements(table(spark, sf, "customer").select(payload.alias("payload")))
+    return files.announcements(table(spark, sf, "customer").select(payload.alias("payload"))).select("scrip", "title", "body", "published")
+
+
+@query(f"""SELECT c_custkey AS id, CASE WHEN c_custkey % 5 <> 4 THEN CAST(c_custkey AS VARCHAR) END AS scrip, CASE WHEN c_custkey % 5 = 4 THEN c_name ELSE 'A & ' || c_mktsegment END AS title,
+  CASE WHEN c_custkey % 5 <> 4 THEN c_name || CASE WHEN c_custkey % 5 = 0 THEN '' WHEN c_custkey % 5 = 1 THEN ' — A & ' || c_mktsegment ELSE ' — more' END END AS body,
+  CASE WHEN c_custkey % 5 = 4 THEN 'http://x/' || c_custkey WHEN c_custkey % 3 = 0 THEN '{files.ATTACHMENTS}' || c_custkey || '.pdf' ELSE '' END AS url, CASE WHEN c_custkey % 4 > 0 THEN TIMESTAMP '2024-01-05 10:00:00' END AS published
+FROM customer WHERE c_custkey % 7 > 1""")
+def announcement_feeds(spark, sf) -> DataFrame:
+    """Announcements in all their shapes: a table or an array in JSON, rows in XML, plain feeds; fields under their other names, stamps that are none, windows without any."""
+    k, key = F.col("c_custkey") % 5, F.col("c_custkey").cast("string")
+    at, file = F.when(F.col("c_custkey") % 4 > 0, "2024-01-05T10:00:00").otherwise("soon"), F.when(F.col("c_custkey") % 3 == 0, F.concat(key, F.lit(".pdf"))).otherwise(" ")
+    title = F.concat(F.lit("A &amp; "), "c_mktsegment")
+    row = lambda head, when, *more: F.struct(F.col("c_name").alias("SLONGNAME"), title.alias(head), at.alias(when), key.alias("SCRIP_CD"), file.alias("ATTACHMENTNAME"), *more)
+    tag = lambda name, v: F.concat(F.lit(f"<{name}>"), v, F.lit(f"</{name}>"))
+    xml = lambda head, t: F.concat(F.lit('<NewDataSet>\n<Table diffgr:id="1">'), tag("slongname", F.col("c_name")), tag(head, title), tag("MORE", F.lit(" <b>more</b> ")), tag("DT_TM", at), tag("SCRIP_CD", key), tag(t, file), F.lit("</Table></NewDataSet>"))
+    rss = F.concat(F.lit("<rss><item>"), tag("title", F.col("c_name")), tag("link", F.concat(F.lit("http://x/"), key)), tag("pubDate", at), F.lit("</item></rss>"))
+    shape = F.when(k == 0, F.to_json(F.struct(F.array(row("HEADLINE", "NEWS_DT")).alias("Table")))).when(k == 1, F.to_json(F.array(row("NEWSSUB", "DissemDT")))).when(k == 2, xml("HEADLINE", "ATTACHMENTNAME")).when(k == 3, xml("NEWS_SUB", "AttachmentName")).otherwise(rss)
+    payload = F.when(F.col("c_custkey") % 7 == 0, '"No Record Found!"').when(F.col("c_custkey") % 7 == 1, "[broken").otherwise(F.concat(F.lit("\n "), shape))
+    return files.announcements(table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), payload.alias("payload")))
+
+
+def _archive(spark, sf) -> DataFrame:
+    """win, payload: a user's events as an archive would list them; every fifth window is an error page, every seventh holds nothing."""
+    e, bad = table(spark, sf, "events"), F.col("event_id") % 11
+    stamp = F.when(bad == 1, "20240230T000000Z").when(bad == 2, "20240105T240000Z").when(bad == 3, "2024-01-05").otherwise(F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'"))
+    quoted = lambda v: F.concat(F.lit('"'), v, F.lit('"'))
+    article = F.concat(F.lit('{"url":'), F.when(bad == 4, "7").otherwise(quoted(F.concat(F.lit(" u"), F.col("event_id").cast("string")))), F.lit(',"title":'), F.when(bad == 5, quoted(F.lit("  "))).otherwise(quoted(F.concat("event_type", F.lit(" , "), F.col("user_id").cast("string"), F.lit(" %")))),
+                       F.lit(',"seendate":'), quoted(stamp), F.when(bad == 6, F.lit(',"domain":null')).otherwise(',"domain":"x.in"'), F.lit("}"))
+    g = e.groupBy(F.col("user_id").alias("win")).agg(F.array_join(F.sort_array(F.collect_list(article)), ",").alias("a"))
+    payload = F.when(F.col("win") % 5 == 0, "<html>Please limit requests</html>").when(F.col("win") % 7 == 0, F.when(F.col("win") % 2 == 0, "{}").otherwise('{"articles":[]}')).otherwise(F.concat(F.lit('{"articles":['), "a", F.lit("]}")))
+    return g.select("win", payload.alias("payload"))
+
+
+@query("SELECT user_id AS win, CASE WHEN user_id % 5 = 0 THEN 'failed' WHEN user_id % 7 = 0 THEN 'empty' ELSE 'ok' END AS status, CAST(CASE WHEN user_id % 5 = 0 OR user_id % 7 = 0 THEN 0 ELSE count(*) END AS INTEGER) AS articles FROM events GROUP BY user_id")
+def archive_window_states(spark, sf) -> DataFrame:
+    """A window that failed is told from one in which nothing was published."""
+    return files.archive_windows(_archive(spark, sf))
+
+
+@query("""SELECT user_id AS win, 'u' || event_id AS url, event_type || ', ' || user_id || '%' AS title, CASE WHEN event_id % 11 = 6 THEN '' ELSE 'x.in' END AS domain, date_trunc('second', ts) AS published, date_trunc('second', ts) + INTERVAL 15 MINUTE AS available_at
+FROM events WHERE user_id % 5 > 0 AND user_id % 7 > 0 AND event_id % 11 NOT IN (1, 2, 3, 4, 5)""")
+def archive_window_articles(spark, sf) -> DataFrame:
+    """Articles of the windows with the moment from which research may know them; impossible days, numbers for addresses and empty titles are left out."""
+    return files.archive_articles(_archive(spark, sf), latency_minutes=15)
 
 
 @query("SELECT 'u' || event_id % 500 AS url, 'click.in' AS domain, arg_min(title, (seen, title)) AS title, min(seen) AS seen FROM (SELECT *, 'E ' || user_id || ', x' AS title, date_trunc('second', ts) AS seen FROM events) WHERE event_id % 500 >= 100 AND event_type = 'click' GROUP BY 1")
@@ -68,6 +111,19 @@ def tick_frames(spark, sf) -> DataFrame:
     return files.ticks(e.select(frame.alias("frame")))
 
 
+@query("""WITH p AS (SELECT *, CAST(floor(value * 100 + 0.5) AS BIGINT) + 1000 AS paise FROM events WHERE value >= 0)
+SELECT CAST(user_id AS VARCHAR) AS instrument_token, paise / 100 AS ltp, event_id AS volume, CASE WHEN event_id % 3 > 0 THEN (paise - 5) / 100 ELSE (paise - 15) / 100 END AS bid, CASE WHEN event_id % 4 = 0 THEN paise / 100 ELSE (paise + 5) / 100 END AS ask FROM p""")
+def tick_depth(spark, sf) -> DataFrame:
+    """Binary ticks with depth: the first level of a side that has a quantity counts; where no seller has a price, the last one does."""
+    e = table(spark, sf, "events").where("value >= 0").withColumn("paise", F.floor(F.col("value") * 100 + 0.5).cast("long") + 1000)
+    token, n = F.rpad(F.hex(F.col("user_id").cast("string").cast("binary")), 50, "0"), F.col("event_id")
+    level = lambda side, quantity, price: F.concat(F.lit(side), _little_endian(quantity), _little_endian(price), F.lit("0000"))
+    buy, sell = "0100", "0000"
+    depth = F.concat(level(buy, n % 3, F.col("paise") - 5), level(buy, F.lit(10), F.col("paise") - 15), level(sell, F.lit(3), F.when(n % 4 == 0, F.lit(0).cast("long")).otherwise(F.col("paise") + 5)))
+    frame = F.unhex(F.concat(F.lit("0000"), token, F.lit("00" * 16), _little_endian(F.col("paise")), F.lit("00" * 16), _little_endian(n), F.lit("00" * 72), depth))
+    return files.ticks(e.select(frame.alias("frame")))
+
+
 @query("""WITH s AS (SELECT CAST(p_size % 4 AS VARCHAR) AS label, p_brand AS symbol, max(p_type) AS sector FROM part WHERE p_partkey % 3 > 0 GROUP BY ALL), f AS (SELECT symbol, arg_max(sector, label) AS sector, list(label) AS own FROM s GROUP BY symbol)
 SELECT symbol, sector, (SELECT min(label) FROM (SELECT DISTINCT label FROM s) l WHERE label > '0' AND NOT list_contains(own, label)) AS exit_label FROM f WHERE list_contains(own, '0')""")
 def snapshot_cohort(spark, sf) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,14 +57,84 @@ def feed_items(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     return out.where("title IS NOT NULL AND link IS NOT NULL")
 
 
-ANNOUNCEMENTS = "Table array<struct<SLONGNAME:string,MORE:string,HEADLINE:string,NEWS_DT:string,SCRIP_CD:string>>"
+# Names that a field of an announcement goes by, the first one that is filled counts.
+ANNOUNCEMENT_FIELDS = {"headline": ("HEADLINE", "NEWSSUB", "NEWS_SUB"), "file": ("ATTACHMENTNAME",), "at": ("NEWS_DT", "DissemDT", "News_submission_dt", "DT_TM"), "company": ("SLONGNAME",), "detail": ("MORE", "NEWSSUB"), "scrip": ("SCRIP_CD",)}
+ATTACHMENTS = "https://www.bseindia.com/xml-data/corpfiling/AttachLive/"
 
 
 def announcements(payloads: DataFrame, payload: str = "payload") -> DataFrame:
-    """Exchange announcements from JSON payloads; the sentence for "none" and broken JSON give no rows."""
-    x = payloads.select(F.explode(F.from_json(payload, ANNOUNCEMENTS)["Table"]).alias("t")).select("t.*")
-    body = F.concat_ws(" — ", F.nullif(F.trim("SLONGNAME"), F.lit("")), F.nullif(F.trim("MORE"), F.lit("")))
-    return x.select(F.col("SCRIP_CD").alias("scrip"), clean_markup(F.coalesce("HEADLINE", F.lit(""))).alias("title"), body.alias("body"), F.try_to_timestamp("NEWS_DT").alias("published"))
+    """scrip, title, body, url, published of exchange announcements; other columns are kept.
+
+    A payload is JSON (an object with ``Table``, or an array of rows), XML with ``<Table>`` rows, or else a feed, whose items have neither
+    scrip nor body. The sentence for "none", broken JSON and rows without a headline give nothing; a stamp that is no date gives null.
+    """
+    others = [c for c in payloads.columns if c != payload]
+    head = F.substring(F.ltrim(F.regexp_replace(payload, r"^\s+", "")), 1, 1)
+    v = F.try_parse_json(payload)
+    in_json = F.when(head == "{", F.try_variant_get(v, "$.Table", "array<variant>")).when(head == "[", F.try_variant_get(v, "$", "array<variant>"))
+    in_xml = F.regexp_extract_all(F.col(payload), F.lit(r"(?is)<Table(?:\s[^>]*)?>(.*?)</Table>"), 1)
+    x = payloads.select(*others, F.col(payload).alias("_p"), F.coalesce(head.isin("{", "[", '"'), F.lit(False)).alias("_json"), in_json.alias("_rows"), in_xml.alias("_blocks"))
+
+    def filled(names: tuple[str, ...], get) -> Column:
+        return F.coalesce(*(F.when(F.trim(get(n)) != "", get(n)) for n in names), F.lit(""))
+
+    def fields(get) -> Column:
+        return F.struct(*(filled(names, get).alias(k) for k, names in ANNOUNCEMENT_FIELDS.items()))
+
+    # Numbers are no texts, but they are codes.
+    string = lambda row, n: F.when((F.schema_of_variant(F.try_variant_get(row, f"$.{n}", "variant")) == "STRING") | F.lit(n in ANNOUNCEMENT_FIELDS["scrip"]), F.try_variant_get(row, f"$.{n}", "string"))
+    of_json = F.transform("_rows", lambda row: fields(lambda n: string(row, n)))
+    of_xml = F.transform("_blocks", lambda b: fields(lambda n: F.regexp_extract(b, rf"(?is)<{n}(?:\s[^>]*)?>(.*?)</{n}>", 1)))
+    rows = x.select(*others, F.explode(F.when(F.col("_json"), of_json).otherwise(of_xml)).alias("r"))
+    text = lambda k: F.nullif(clean_markup(F.col(f"r.{k}")), F.lit(""))
+    rows = rows.select(
+        *others, text("scrip").alias("scrip"), text("headline").alias("title"), F.nullif(F.concat_ws(" — ", text("company"), text("detail")), F.lit("")).alias("body"),
+        F.coalesce(F.concat(F.lit(ATTACHMENTS), text("file")), F.lit("")).alias("url"), F.try_to_timestamp(text("at")).alias("published"),
+    ).where("title IS NOT NULL")
+    feeds = feed_items(x.where(~F.col("_json") & (F.size("_blocks") == 0)).select(*others, F.col("_p").alias(payload)), payload)
+    feeds = feeds.select(*others, F.lit(None).cast("string").alias("scrip"), "title", F.lit(None).cast("string").alias("body"), F.col("link").alias("url"), F.try_to_timestamp("published").alias("published"))
+    return rows.unionByName(feeds)
+
+
+def _stamp(s: Column) -> Column:
+    """20240105T101500Z as a time; null if it is not written so, names no day of the calendar, or leaves its day."""
+    m = F.trim(s)
+    part = lambda at: F.substring(m, at, 2).try_cast("int")
+    seconds = part(10) * 3600 + part(12) * 60 + part(14)
+    day = F.try_to_timestamp(F.substring(m, 1, 8), F.lit("yyyyMMdd"))
+    return F.when(m.rlike(r"^[0-9]{8}T[0-9]{6}Z$") & (seconds < 86400), F.timestamp_add("SECOND", seconds, day))
+
+
+def _articles(payload: Column) -> tuple[Column, Column]:
+    """The payload as a variant (null: no JSON), and its list of articles as variants."""
+    v = F.try_parse_json(payload)
+    return v, F.try_variant_get(v, "$.articles", "array<variant>")
+
+
+def archive_windows(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """``payloads`` with status instead of the payload: failed (it is no JSON: an error page, a notice), empty (JSON without articles) or ok, and how many articles were listed."""
+    v, listed = _articles(F.col(payload))
+    n = F.coalesce(F.size(listed), F.lit(0))
+    n = F.when(n < 0, 0).otherwise(n)
+    return payloads.withColumn("status", F.when(v.isNull(), "failed").when(n == 0, "empty").otherwise("ok")).withColumn("articles", n).drop(payload)
+
+
+def archive_articles(payloads: DataFrame, payload: str = "payload", latency_minutes: int = 0) -> DataFrame:
+    """url, title, domain, published, available_at of the articles of archive windows; other columns are kept.
+
+    An article needs an address, a title and a stamp that are strings and say something; the domain is empty if it is no string.
+    ``available_at``, what research may go by, is the stamp and ``latency_minutes``.
+    """
+    others = [c for c in payloads.columns if c != payload]
+    x = payloads.select(*others, F.explode(_articles(F.col(payload))[1]).alias("_a"))
+
+    def text(name: str) -> Column:
+        it = F.try_variant_get("_a", f"$.{name}", "variant")
+        return F.when(F.schema_of_variant(it) == "STRING", F.try_variant_get("_a", f"$.{name}", "string"))
+
+    title = F.trim(F.regexp_replace(F.regexp_replace(clean_markup(text("title")), r"\s+([,.:;!?%])", "$1"), r"\s+", " "))
+    x = x.select(*others, F.regexp_replace(text("url"), r"^\s+|\s+$", "").alias("url"), title.alias("title"), F.coalesce(text("domain"), F.lit("")).alias("domain"), _stamp(text("seendate")).alias("published"))
+    return x.where("url <> '' AND title <> '' AND published IS NOT NULL").withColumn("available_at", F.timestamp_add("MINUTE", F.lit(latency_minutes), F.col("published")))
 
 
 def archive_records(lines: DataFrame) -> DataFrame:
@@ -72,10 +143,10 @@ def archive_records(lines: DataFrame) -> DataFrame:
     return x.select("url", F.lower("domain").alias("domain"), F.trim(F.regexp_replace("title", r"\s+([,.;:!?])", "$1")).alias("title"), F.try_to_timestamp("date", F.lit("yyyyMMdd'T'HHmmssX")).alias("seen"))
 
 
-def first_seen(records: DataFrame, known: DataFrame) -> DataFrame:
-    """Records whose url is not known yet, each url once, the earliest."""
-    one = records.groupBy("url").agg(F.min_by(F.struct(*[c for c in records.columns if c != "url"]), F.struct(F.coalesce(F.col("seen"), F.lit("9999-12-31").cast("timestamp")), "title")).alias("r"))
-    return one.select("url", "r.*").join(known.select("url"), "url", "left_anti")
+def first_seen(records: DataFrame, known: DataFrame, keys: tuple[str, ...] = ("url",)) -> DataFrame:
+    """Records whose ``keys`` (url, or source and url) are not known yet, each once, the earliest."""
+    one = records.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in records.columns if c not in keys]), F.struct(F.coalesce(F.col("seen"), F.lit("9999-12-31").cast("timestamp")), "title")).alias("r"))
+    return one.select(*keys, "r.*").join(known.select(*keys), list(keys), "left_anti")
 
 
 MASTER = "token string, symbol string, name string, expiry string, strike string, lotsize string, tick_size string, instrumenttype string, exch_seg string, freeze_qty string"
@@ -108,29 +179,40 @@ def unresolved(equities: DataFrame, master: DataFrame) -> DataFrame:
 TICK = "instrument_token string, ltp double, volume long, bid double, ask double"
 
 
+def _number(data: np.ndarray, start: np.ndarray, size: np.ndarray, at: int, kind: str) -> np.ndarray:
+    """The little-endian number at ``at`` of each frame; 0 where the frame ends before it."""
+    width = np.dtype(kind).itemsize
+    there = size >= at + width
+    where = np.where(there, start + at, 0)[:, None] + np.arange(width)
+    return np.where(there, np.ascontiguousarray(data[where]).view(kind)[:, 0], 0)
+
+
 def ticks(frames: DataFrame, frame: str = "frame") -> DataFrame:
-    """Binary little-endian ticks: token at 2..27, price / 100 at 43, volume at 67, best five from 147 in steps of 20. A side without depth falls back to the price."""
-    import struct
+    """Binary little-endian ticks: token at 2..27, price / 100 at 43, volume at 67, best five of two sides from 147 in steps of 20 (side, quantity, price).
+
+    A side's price is its first level with a quantity and a price, in the order of the frame; a side without one falls back to the price.
+    Frames under 51 bytes and null ones give nothing. The fields of a batch's frames are read together, column by column.
+    """
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            out = []
-            for raw in pdf[frame]:
-                if raw is None or len(raw) < 51:
-                    continue
-                token = raw[2:27].split(b"\0")[0].decode("ascii", "replace").strip()
-                ltp = struct.unpack_from("<q", raw, 43)[0] / 100
-                volume = struct.unpack_from("<q", raw, 67)[0] if len(raw) >= 75 else 0
-                sides: dict[int, float] = {}
-                for k in range(10):
-                    at = 147 + 20 * k
-                    if len(raw) < at + 20:
-                        break
-                    side, quantity, price = struct.unpack_from("<hqq", raw, at)
-                    if quantity > 0 and price > 0 and side not in sides:
-                        sides[side] = price / 100
-                out.append((token, ltp, volume, sides.get(1, ltp), sides.get(0, ltp)))
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in TICK.split(", ")])
+            raw = [bytes(x) for x in pdf[frame] if x is not None and len(x) >= 51]
+            size = np.array([len(x) for x in raw], np.int64)
+            start = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64) if len(raw) else size
+            data = np.frombuffer(b"".join(raw) + bytes(8), np.uint8)
+            ltp = _number(data, start, size, 43, "<i8") / 100
+            best = {0: ltp.copy(), 1: ltp.copy()}
+            open_ = {0: np.ones(len(raw), bool), 1: np.ones(len(raw), bool)}
+            for k in range(10):
+                at = 147 + 20 * k
+                side, quantity, price = (_number(data, start, size, at + d, t) for d, t in ((0, "<i2"), (2, "<i8"), (10, "<i8")))
+                fits = (size >= at + 20) & (quantity > 0) & (price > 0)
+                for s in (0, 1):
+                    hit = fits & (side == s) & open_[s]
+                    best[s][hit] = price[hit] / 100
+                    open_[s] &= ~hit
+            token = [x[2:27].split(b"\0")[0].decode("ascii", "replace").strip() for x in raw]
+            yield pd.DataFrame({"instrument_token": pd.Series(token, dtype=object), "ltp": ltp, "volume": _number(data, start, size, 67, "<i8"), "bid": best[1], "ask": best[0]})
 
     return frames.select(frame).mapInPandas(run, TICK)
 

@@ -4,9 +4,10 @@ logit = w0 + sum_i w_i + sum_{i<j} <v_i, v_j> over the distinct terms of a docum
 harmless alone can add up when they meet. Terms are runs of ASCII letters and digits and of non-ASCII bytes, ASCII
 case folded, hashed to 2**BITS places. Learnt by AdaGrad on a bounded sample. As chance pairs of rare terms would drown the rest,
 a term has weights only if it tells the labels apart, alone or in a pair: if its share of documents differs between the labels by
-MIN_Z standard errors, or if in the documents that have both it and some other term the labels differ by PAIR_Z standard errors from what
-the terms that tell alone predict. All pairs of terms that PAIR_SHARE of the sample have are tried, so terms that are harmless
-alone, even without any trend of their own, are found by their meeting.
+MIN_Z standard errors, or if the labels of the documents that have both it and some other term are, by Hoeffding's bound, too far from what
+the terms that tell alone predict to be met once by chance among all pairs (CHANCE). Every pair of terms is judged, however rare: a pair
+is tried unless a bound shows that no pair of its term can pass. Terms that are harmless alone, even without any trend of their own, are so
+found by their meeting.
 
 Nulls: a null text is empty and scores as one; rows without label, or whose id is null, teach nothing but are scored.
 Repeated rows are scored each. No labels of one kind: every score is the share of label 1 among those known, 0 if there are
@@ -27,7 +28,9 @@ from pyspark.sql import types as T
 from .common import TERM, TERM_CODES, Words, table, texts
 from .samples import contract, labelled
 
-BITS, RANK, MIN_DOCS, MIN_Z, PAIR_Z, PAIR_SHARE = 26, 4, 3, 3.5, 7.0, 0.01
+BITS, RANK, MIN_DOCS, MIN_Z = 26, 4, 3, 3.5
+#: How many pairs chance may let through, of all pairs of terms; predictions are held to be no surer than SURE.
+CHANCE, SURE = 0.01, 0.99
 #: Labelled documents of each class that the model is fitted on, at most.
 PER_CLASS = 4000
 PARTS, HELD, THRESHOLD = 3, 1, 0.7
@@ -84,24 +87,62 @@ def telling(docs: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return names[keep], odds[keep]
 
 
-def interacting(docs: list[np.ndarray], names: np.ndarray, rest: np.ndarray, var: np.ndarray, block: int = 512) -> np.ndarray:
-    """Those of ``names`` that stand in a pair whose documents leave a rest of PAIR_Z standard errors: score tests of all pairs, by matrix products of blocks."""
-    numbers = [_numbers(names, d) for d in docs]
-    row, col = np.repeat(np.arange(len(docs)), [len(x) for x in numbers]), np.concatenate([*numbers, np.zeros(0, np.int64)])
-    x = np.zeros((len(docs), len(names)), np.float32)
-    x[row, col] = 1
+def interacting(docs: list[np.ndarray], y: np.ndarray, p: np.ndarray, block: int = 512) -> np.ndarray:
+    """Places that stand in a pair whose documents' labels chance does not explain; ``p``: what is predicted for each document.
+
+    With n documents that have both terms, k of label 1 and q predicted for them on average, chance has a k as far off with a probability of
+    exp(-n KL(k / n, q)) at most, whatever the single predictions are. That exponent is at most the sum of (y - p)^2 / (p (1 - p)) over the
+    documents of either term, and n of one label bring it to n log(1 / (1 - SURE)) at most: terms below are left out, which loses no pair.
+    The rest meet in blocks of ``block`` terms, by matrix products over the documents.
+    """
+    p = np.clip(p, 1 - SURE, SURE)
+    place = np.concatenate([*docs, np.zeros(0, np.int64)])
+    row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    names, which = np.unique(place, return_inverse=True)
+    least = np.log(max(len(names), 2) ** 2 / 2 / CHANCE)
+    ones = np.bincount(which, y[row], len(names))
+    most = np.maximum(ones, np.bincount(which, minlength=len(names)) - ones) * -np.log(1 - SURE)
+    may = (np.bincount(which, ((y - p) ** 2 / (p * (1 - p)))[row], len(names)) >= least) & (most >= least)
+    number = np.cumsum(may) - 1
+    row, col, names = row[may[which]], number[which[may[which]]], names[may]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    edge = np.searchsorted(col, np.arange(0, len(names) + block, block))
+
+    def part(k: int) -> np.ndarray:
+        x = np.zeros((len(docs), min(block, len(names) - k * block)), np.float32)
+        x[row[edge[k] : edge[k + 1]], col[edge[k] : edge[k + 1]] - k * block] = 1
+        return x
+
     keep = np.zeros(len(names), bool)
-    for a in range(0, len(names), block):
-        part = x[:, a : a + block]
-        z = np.abs((part * rest[:, None].astype(np.float32)).T @ x) / np.sqrt(np.maximum((part * var[:, None].astype(np.float32)).T @ x, 1e-9))
-        z[(part.T @ x) < MIN_DOCS] = 0
-        z[np.arange(part.shape[1]), a + np.arange(part.shape[1])] = 0
-        hit = z >= PAIR_Z
-        keep[a : a + block] |= hit.any(axis=1)
-        keep |= hit.any(axis=0)
+    for i in range(len(edge) - 1):
+        left = part(i)
+        sides = np.concatenate([left, left * y[:, None].astype(np.float32), left * p[:, None].astype(np.float32)], axis=1).T.copy()
+        for j in range(i, len(edge) - 1):
+            n, k, q = np.split((sides @ (left if i == j else part(j))).astype(float), 3)
+            if i == j:
+                np.fill_diagonal(n, 0)
+            some = np.flatnonzero(n.ravel())
+            n, k, q = (v.ravel()[some] for v in (n, k, q))
+            share, want = k / n, np.clip(q / n, 1 - SURE, SURE)
+            far = n * (share * np.log(np.maximum(share, 1e-12) / want) + (1 - share) * np.log(np.maximum(1 - share, 1e-12) / (1 - want)))
+            hit = some[far >= least]
+            width = min(block, len(names) - j * block)
+            keep[i * block + hit // width] = keep[j * block + hit % width] = True
     return names[keep]
 
 
+def calibrated(z: np.ndarray, y: np.ndarray, rounds: int = 25) -> np.ndarray:
+    """Probabilities of label 1 from logits that were learnt with both labels weighing the same: a slope and an intercept fitted by Newton's method."""
+    x = np.stack([np.ones(len(z)), z - z.mean()], axis=1)
+    c = np.array([np.log(y.mean() / (1 - y.mean())), 0.0])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
+        v = np.maximum(p * (1 - p), 1e-6)
+        c = c + np.clip(np.linalg.solve((x * v[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (y - p)), -1, 1)
+    return 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
+
+
 def _numbers(names: np.ndarray, d: np.ndarray) -> np.ndarray:
     at = np.searchsorted(names, d)
     return at[names[np.minimum(at, len(names) - 1)] == d] if len(names) else at[:0]
@@ -115,12 +156,9 @@ def fit(docs: list[np.ndarray], y: np.ndarray, rank: int = RANK, **how) -> Facto
         return nothing
     names, odds = telling(docs, y)
     first = learn(docs, y, names, odds, rank, **how) if len(names) else nothing
-    place, seen = np.unique(np.concatenate(docs), return_counts=True)
-    often = place[seen >= max(MIN_DOCS, PAIR_SHARE * len(docs))]
     numbers = [_numbers(first.names, d) for d in docs]
     z = first.logits(np.repeat(np.arange(len(docs)), [len(x) for x in numbers]), np.concatenate(numbers), len(docs))
-    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    pairs = np.setdiff1d(interacting(docs, often, y - p, np.maximum(p * (1 - p), 0.02)), names)
+    pairs = np.setdiff1d(interacting(docs, y, calibrated(z, y)), names)
     if not len(pairs):
         return first
     every = np.concatenate([names, pairs])

@@ -65,6 +65,47 @@ def test_terms_that_tell_only_by_their_meeting():
     assert not len(np.intersect1d(still.names, [1, 2]))
 
 
+def test_rare_terms_that_tell_only_by_their_meeting():
+    """As above, with terms that 0.7 % of the documents have."""
+    rng = np.random.default_rng(4)
+    n = 6000
+    docs, y = [], []
+    for k in range(n):
+        own = {0: [1], 1: [2], 2: [1, 2]}.get(k % 286, [])
+        y.append(float(len(own) == 1) if own else float(rng.random() < 0.5))
+        docs.append(np.unique(np.concatenate([rng.integers(100, 160, 6), own])).astype(np.int64))
+    y = np.array(y)
+    has = [sum(t in d for d in docs) / n for t in (1, 2)]
+    assert max(has) < 0.008
+    assert set(toxicity.interacting(docs, y, np.full(n, 0.5))) == {1, 2}
+    m = toxicity.fit(docs, y)
+    own = [toxicity._numbers(m.names, np.array(d)) for d in ([1], [2], [1, 2])]
+    z = m.logits(np.repeat(np.arange(3), [len(x) for x in own]), np.concatenate(own), 3)
+    assert z[0] > 0 and z[1] > 0 and z[2] < 0
+
+
+def test_pairs_equal_all_pairs_one_by_one():
+    """The bounds lose no pair: every pair of terms judged on its own documents."""
+    import itertools
+
+    rng = np.random.default_rng(6)
+    docs = [np.unique(rng.integers(0, 40, 8) ** 2 // 40) for _ in range(400)]
+    y = np.array([float({3, 7} <= set(d) or {0, 12} <= set(d) or rng.random() < 0.05) for d in docs])
+    p = rng.random(400) * 0.3
+    q = np.clip(p, 1 - toxicity.SURE, toxicity.SURE)
+    terms = sorted(set(np.concatenate(docs)))
+    least, want = np.log(len(terms) ** 2 / 2 / toxicity.CHANCE), set()
+    for a, b in itertools.combinations(terms, 2):
+        own = np.array([a in d and b in d for d in docs])
+        if own.any():
+            k, w = y[own].mean(), q[own].mean()
+            far = own.sum() * sum(u * np.log(u / v) for u, v in ((k, w), (1 - k, 1 - w)) if u > 0)
+            want |= {a, b} if far >= least else set()
+    for block in (4, 7, 512):
+        assert set(toxicity.interacting(docs, y, p, block)) == want
+    assert len(want) >= 4 and not len(toxicity.interacting([np.zeros(0, np.int64)] * 3, y[:3], p[:3]))
+
+
 def test_logits_equal_the_sum_over_pairs():
     import itertools
 
@@ -170,6 +211,49 @@ def test_viterbi_and_gradient_by_enumeration():
     assert dt[0, 1] == pytest.approx((like(w, t + d) - like(w, t - d)) / 2e-6, abs=1e-4)
 
 
+def test_a_chain_that_goes_on_is_given_its_first_label():
+    """Two chains that share line 2: the second one explains lines 3 and 4 given the label of line 2; value by all paths, gradient by differences."""
+    import itertools
+
+    rng = np.random.default_rng(8)
+    x, w, t, y = rng.normal(size=(5, 3)), rng.normal(size=3), rng.normal(size=(2, 2)), (1, 0, 1, 1, 0)
+
+    def like(w, t):
+        def score(p, a, b):
+            return sum((x @ w)[i] for i in range(a, b) if p[i - a]) + sum(t[u, v] for u, v in zip(p, p[1:], strict=False))
+
+        out = 0.0
+        for a, b, given in ((0, 3, False), (2, 5, True)):
+            paths = [p for p in itertools.product([0, 1], repeat=3) if not given or p[0] == y[a]]
+            out += score(y[a:b], a, b) - np.logaddexp.reduce([score(p, a, b) for p in paths])
+        return out
+
+    chains = line_rules.Chains([x[:3], x[2:]], [1, 1], [False, True])
+    v, dw, dt = chains.value(np.array([*y[:3], *y[2:]]), w, t)
+    assert v == pytest.approx(like(w, t))
+    for k in range(3):
+        d = np.eye(3)[k] * 1e-6
+        assert dw[k] == pytest.approx((like(w + d, t) - like(w - d, t)) / 2e-6, abs=1e-4)
+    for a, b in itertools.product([0, 1], repeat=2):
+        d = np.zeros((2, 2))
+        d[a, b] = 1e-6
+        assert dt[a, b] == pytest.approx((like(w, t + d) - like(w, t - d)) / 2e-6, abs=1e-4)
+
+
+def test_transitions_between_chains_are_learnt(monkeypatch):
+    """Documents cut every 64 lines teach nearly the field that uncut ones do."""
+    rng = np.random.default_rng(9)
+    k = len(line_rules.FEATURES)
+    docs = [(rng.random((rng.integers(1, 200), k)) < (0.3 + 0.3 * (i % 2))).astype(float) for i in range(60)]
+    for d in docs:
+        d[:, 0] = 1
+    y, fields = np.arange(60) % 2, []
+    for cut in (64, 10_000):
+        monkeypatch.setattr(line_rules, "CHAIN", cut)
+        fields.append(line_rules.fit(docs, y)[1])
+    assert np.abs(fields[0] - fields[1]).max() < 0.2
+
+
 def plain_spans(t):
     def luhn(d):
         return sum(x if k % 2 == 0 else sum(divmod(2 * x, 10)) for k, x in enumerate(map(int, reversed(d)))) % 10 == 0

@@ -23,7 +23,7 @@ from .samples import labelled
 
 #: Labelled documents of each class that the field is fitted on, at most.
 PER_CLASS = 1500
-#: Lines of a chain in training.
+#: Transitions of a chain in training; a longer document goes on in another chain, given the label of the line that both share.
 CHAIN = 64
 MIN_WORDS, MAX_REPEAT_PERCENT, MIN_SHARE = 50, 50, 0.5
 
@@ -134,10 +134,12 @@ def viterbi(s: np.ndarray, t: np.ndarray) -> np.ndarray:
 class Chains:
     """Sequences of lines for training, all in step t at once: the longest first, so that those still going are a prefix."""
 
-    def __init__(self, x: list[np.ndarray], weight: list[float]):
+    def __init__(self, x: list[np.ndarray], weight: list[float], given: list[bool] | None = None):
         self.order = np.argsort([-len(v) for v in x], kind="stable")
         self.length = np.array([len(x[i]) for i in self.order])
         self.weight = np.array([weight[i] for i in self.order])
+        #: Chains whose first label is given, so that it explains what follows and is not explained itself.
+        self.given = np.array(given, bool)[self.order] if given is not None else np.zeros(len(x), bool)
         self.steps = int(self.length.max())
         self.going = np.searchsorted(-self.length, -np.arange(self.steps), "left")  # sequences longer than t
         #: Row and step of each line, in the order of ``x`` put together.
@@ -146,12 +148,15 @@ class Chains:
         self.x = np.concatenate(x)
 
     def value(self, y: np.ndarray, w: np.ndarray, t: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Weighted log-likelihood of the labels ``y`` (of all lines), and its gradient, by forward-backward."""
+        """Weighted log-likelihood of the labels ``y`` (of all lines), under those that are given, and its gradient, by forward-backward."""
         n, go = len(self.length), self.going
         s = np.zeros((self.steps, n))
         s[self.step, self.seq] = self.x @ w
         f, b = np.zeros((self.steps, 2, n)), np.zeros((self.steps, 2, n))
+        label = np.zeros((self.steps, n), np.int8)
+        label[self.step, self.seq] = y
         f[0, 1] = s[0]
+        f[0, 1 - label[0, self.given], np.flatnonzero(self.given)] = -1e9
         for k in range(1, self.steps):
             m = go[k]
             for c in (0, 1):
@@ -167,8 +172,6 @@ class Chains:
         row_weight = self.weight[self.seq]
         p = np.exp(f[self.step, 1, self.seq] + b[self.step, 1, self.seq] - z[self.seq])
         dw = self.x.T @ (row_weight * (y - p))
-        label = np.zeros((self.steps, n), np.int8)
-        label[self.step, self.seq] = y
         value = float((row_weight * y) @ s[self.step, self.seq] - self.weight @ z)
         dt = np.zeros((2, 2))
         for k in range(1, self.steps):
@@ -209,20 +212,23 @@ def climb(value, start: np.ndarray, tolerance: float = 1e-5, most: int = 200) ->
 def fit(docs: list[np.ndarray], y: np.ndarray, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """docs: the features of each one's lines. Returns weights and transitions.
 
-    Both labels weigh the same, and so do all documents of a label, whatever their length; long documents are chains of
-    CHAIN lines each, so that every line counts and the work grows with the lines.
+    Both labels weigh the same, and so do all documents of a label, whatever their length. Long documents are chains of CHAIN
+    transitions each, the next one given the last label of the one before, so that every line and every transition counts
+    once, those between chains too, and the work grows with the lines.
     """
     k = len(FEATURES)
     if len(np.unique(y)) < 2:
         return np.where(np.arange(k) == 0, 30.0, 0.0), np.zeros((2, 2))
     share = np.bincount(y)
-    parts = [(i, a) for i, x in enumerate(docs) for a in range(0, len(x), CHAIN)]
-    chains = Chains([docs[i][a : a + CHAIN] for i, a in parts], [0.5 / share[y[i]] / len(docs[i]) for i, _ in parts])
+    parts = [(i, a) for i, x in enumerate(docs) for a in range(0, max(len(x) - 1, min(len(x), 1)), CHAIN)]
+    first = np.cumsum([0, *map(len, docs)])
+    line = np.concatenate([np.arange(first[i] + a, min(first[i] + a + CHAIN + 1, first[i + 1])) for i, a in parts])
+    chains = Chains([docs[i][a : a + CHAIN + 1] for i, a in parts], [0.5 / share[y[i]] / len(docs[i]) for i, _ in parts], [a > 0 for _, a in parts])
     label = np.repeat(y, [len(x) for x in docs])
 
     def solve(transitions: bool, start: np.ndarray) -> np.ndarray:
         def value(p: np.ndarray) -> tuple[float, np.ndarray]:
-            v, dw, dt = chains.value(label, p[:k], p[k:].reshape(2, 2))
+            v, dw, dt = chains.value(label[line], p[:k], p[k:].reshape(2, 2))
             return v - 0.5 * decay * float(p @ p), np.concatenate([dw, dt.ravel() * transitions]) - decay * p
 
         return climb(value, start)

@@ -21,7 +21,7 @@ def query(sql: str | None = None):
     return add
 
 
-MODULES = ("series_queries", "cross_queries", "asof_queries", "text_queries", "sim_queries", "strategy_queries", "source_queries", "research_queries", "evaluation_queries", "feed_queries", "bitemporal_queries")
+MODULES = ("series_queries", "cross_queries", "asof_queries", "text_queries", "sim_queries", "strategy_queries", "source_queries", "research_queries", "evaluation_queries", "feed_queries", "bitemporal_queries", "master_queries")
 
 
 def _load() -> None:

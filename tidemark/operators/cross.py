@@ -29,9 +29,14 @@ def spearman(df: DataFrame, x: str, y: str, by: list, least: int = 5, dp: int |
     """
     r = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_x", mid_rank(x, by)).withColumn("_y", mid_rank(y, by))
     s = r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("_x").alias("sx"), F.sum("_y").alias("sy"), F.sum(F.col("_x") * F.col("_y")).alias("sxy"), F.sum(F.col("_x") * F.col("_x")).alias("sxx"), F.sum(F.col("_y") * F.col("_y")).alias("syy")).where(F.col("n") >= least)
+    return s.select(*by, "n", rank_correlation(dp).alias("ic"))
+
+
+def rank_correlation(dp: int | None = 3) -> Column:
+    """From n and sums of ranks; 0 where a side does not vary."""
     vx, vy = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"), F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
     ic = F.when((vx > 0) & (vy > 0), (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.sqrt(vx) * F.sqrt(vy))).otherwise(F.lit(0.0))
-    return s.select(*by, "n", (half_up(ic, dp) if dp is not None else ic).alias("ic"))
+    return half_up(ic, dp) if dp is not None else ic
 
 
 def series_summary(series: DataFrame, value: str, date: str, by: list, lags: int | str | None = None) -> DataFrame:

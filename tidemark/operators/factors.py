@@ -51,7 +51,7 @@ def relative_strength(bars: DataFrame, bench: DataFrame, n: int = 60, scale: flo
     """Adds rs: 50 + 50 * excess over the benchmark's own last n bars / scale, within 0 and 100; 0 without history."""
     one = Window.partitionBy(F.lit(0)).orderBy("trade_date")  # the calendar: a row per date
     b = bench.withColumn("_b", F.when(F.lag("bench", n).over(one) > 0, (F.col("bench") - F.lag("bench", n).over(one)) / F.lag("bench", n).over(one) * 100)).select("trade_date", "_b")
-    x = bars.withColumn("_r", lookback_return(n)).join(b, "trade_date", "left")
+    x = bars.withColumn("_r", lookback_return(n)).join(F.broadcast(b), "trade_date", "left")
     return x.withColumn("rs", F.coalesce(50 + 50 * clamp((F.col("_r") - F.col("_b")) / scale, -1, 1), F.lit(0.0))).drop("_r", "_b")
 
 

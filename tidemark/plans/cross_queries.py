@@ -10,7 +10,7 @@ from ..operators import cross as X
 from ..operators import factors as E
 from ..operators import series as S
 from ..sources.market import SQL_BARS, SQL_BENCH, SQL_MONTHS, SQL_SECTORS, bars_daily, bars_monthly, benchmark, sectors
-from ..sources.shared import written
+from ..sources.shared import dealt, deals
 from .registry import query, r
 from .series_queries import _SQL_LABELS, KEYS, SQL_INDICATORS, W, labels_of
 
@@ -91,12 +91,12 @@ f AS (SELECT *, CASE WHEN ema200 IS NULL THEN 0 ELSE 25 * (close > ema20)::INT +
 FACTORS = ("trend", "momentum", "rs", "srs", "vol", "calm")
 
 
-def factor_panel(spark, sf, ind: DataFrame | None = None) -> DataFrame:
-    """All factors on every bar of ``with_indicators``: one shuffle by instrument for the series, one by date for the cross-section."""
+def factor_panel(spark, sf, ind: DataFrame | None = None, along=lambda x: x) -> DataFrame:
+    """All factors on every bar of ``with_indicators``: the series are there by instrument, one shuffle by date makes the cross-sections. ``along``: what else is taken along the series."""
     ind = with_indicators(spark, sf) if ind is None else ind
     x = E.relative_strength(ind, benchmark(bars_of(ind))).withColumn("r60", S.lookback_return(60))
     x = x.withColumn("trend", E.trend()).withColumn("momentum", E.momentum()).withColumn("vol", E.volume()).withColumn("calm", E.volatility())
-    return E.sector_strength(x.join(sectors(spark, sf), "instrument_id"), "r60")
+    return E.sector_strength(along(x).join(sectors(spark, sf), "instrument_id").repartition("trade_date"), "r60")
 
 
 @query(_F + f" SELECT instrument_id, trade_date, {', '.join(f'{r(c, 3)} AS {c}' for c in FACTORS)} FROM f")
@@ -141,9 +141,10 @@ rg AS (SELECT bc.trade_date, change, breadth, atr_pct, CASE WHEN ema IS NULL THE
   WHEN bc.bench > ema AND breadth >= {BOUNDS.bull_breadth} THEN 'BULL' WHEN bc.bench <= ema AND breadth <= {BOUNDS.bear_breadth} THEN 'BEAR' ELSE 'SIDEWAYS' END AS regime FROM bc LEFT JOIN br USING (trade_date))"""
 
 
-def with_indicators(spark, sf) -> DataFrame:
-    """Bars with INDICATORS, as a table: what factors, regimes and the stack read, so that bars and series are made once a query."""
-    return written(S.indicators(bars_daily(spark, sf)), "indicators")
+def with_indicators(spark, sf, bars: DataFrame | None = None) -> DataFrame:
+    """Bars with INDICATORS, as a table dealt by instrument: what factors, regimes and the stack read, so that bars and series are made once a query."""
+    bars = bars_daily(spark, sf) if bars is None else bars
+    return dealt(S.indicators(bars.repartition(deals(spark), "instrument_id")), "indicators", "instrument_id")
 
 
 def bars_of(ind: DataFrame) -> DataFrame:

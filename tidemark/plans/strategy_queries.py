@@ -10,9 +10,11 @@ from ..functions.strings import fallback_available
 from ..operators import asof as A
 from ..operators import cross as X
 from ..operators import factors as E
+from ..operators import grid as G
 from ..operators import series as S
 from ..operators import strategy as P
 from ..sources.market import SQL_BARS, SQL_SECTORS, bars_daily, sectors, table
+from ..sources.shared import deals, written
 from .cross_queries import _F, SQL_REGIME, bars_of, factor_panel, regimes, with_indicators
 from .registry import query, r
 from .series_queries import KEYS, W
@@ -131,13 +133,26 @@ pg AS (SELECT *, CASE WHEN regime = 'BULL' THEN 'bull-pullback:' || CASE WHEN NO
     WHEN NOT coalesce(hist > 0, false) THEN 'macd-bullish' WHEN NOT coalesce(c > e2, false) THEN 'price-above-ema20' WHEN NOT coalesce(rsi BETWEEN 35 AND 68, false) THEN 'rsi-band' WHEN fundamental < 50 THEN 'fundamental-floor' WHEN sentiment < 50 THEN 'sentiment-factor-floor' END END AS failed FROM pb)"""
 
 
-def stack(spark, sf) -> DataFrame:
-    """Every bar with its factors, regime, fundamental and sentiment, composite and the first gate of the production stack that fails."""
-    ind = with_indicators(spark, sf)
-    bars = bars_of(ind)
-    p = factor_panel(spark, sf, ind).join(regimes(spark, sf, ind).select("trade_date", F.col("regime")), "trade_date", "left").withColumn("regime", F.coalesce("regime", F.lit("SIDEWAYS")))
-    p = p.join(fundamentals(spark, sf, bars).select(*KEYS, "fundamental"), list(KEYS)).join(sentiments(spark, sf, bars).select(*KEYS, "sentiment"), list(KEYS), "left")
-    p = P.momentum_bars(p.withColumn("sentiment", F.coalesce("sentiment", F.lit(50.0))))
+def known_bars(spark, sf) -> DataFrame:
+    """Daily bars with ttm and before (earnings known on the day) and sentiment, all found along an instrument's rows: one shuffle, no join of bars with bars."""
+    bars = bars_daily(spark, sf)
+    said = sentiments(spark, sf, bars).select("instrument_id", F.col("trade_date").alias("_t"), F.lit(2).alias("_side"), F.col("sentiment").alias("_sent"))
+    held = P.known_quarters(quarters(spark, sf), "instrument_id").select("instrument_id", F.col("usable_from").alias("_t"), F.lit(0).alias("_side"), F.struct("state.ttm", "state.before").alias("_v"))
+    u = bars.select("*", F.col("trade_date").alias("_t"), F.lit(1).alias("_side")).unionByName(held, allowMissingColumns=True).unionByName(said, allowMissingColumns=True)
+    w = Window.partitionBy("instrument_id").orderBy("_t", "_side")
+    u = u.repartition(deals(spark), "instrument_id").withColumn("_lv", F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # What is said of a day comes right after its bar.
+    said_of = F.when((F.lead("_t").over(w) == F.col("_t")) & (F.lead("_side").over(w) == 2), F.lead("_sent").over(w))
+    return u.withColumn("sentiment", said_of).where("_side = 1").select(*bars.columns, F.col("_lv.ttm").alias("ttm"), F.col("_lv.before").alias("before"), "sentiment")
+
+
+def stack(spark, sf, along=lambda x: x, ind: DataFrame | None = None) -> DataFrame:
+    """Every bar with its factors, regime, fundamental and sentiment, composite and the first gate of the production stack that fails. ``along``: what else is taken along an instrument's bars."""
+    ind = with_indicators(spark, sf, known_bars(spark, sf)) if ind is None else ind
+    p = factor_panel(spark, sf, ind, lambda x: along(P.momentum_bars(x.where("trade_date IS NOT NULL"))))
+    # A row a date.
+    p = p.join(F.broadcast(regimes(spark, sf, ind).select("trade_date", "regime")), "trade_date", "left").withColumn("regime", F.coalesce("regime", F.lit("SIDEWAYS")))
+    p = P.fundamental(p.withColumn("pe", P.price_earnings(F.col("close"), F.col("ttm")))).withColumn("sentiment", F.coalesce("sentiment", F.lit(50.0)))
     p = p.withColumn("technical", E.composite(P.PRODUCTION_WEIGHTS)).withColumn("composite", half_up(F.col("technical"), 2))
     return p.withColumn("failed", P.production_failure())
 
@@ -174,16 +189,20 @@ sg2 AS (SELECT ok.instrument_id, ok.trade_date, sector, regime, composite, close
 
 
 def signals(spark, sf, more: tuple = ()) -> DataFrame:
-    """Raw signals: all gates, quality of the history as of the day, levels, then no second one within five days of an accepted one. ``more``: further columns."""
-    p = stack(spark, sf)
+    """Raw signals: all gates, quality of the history as of the day, levels, then no second one within five days of an accepted one. ``more``: further columns, net (what the next five bars earn) among them."""
     run = S.by().rowsBetween(Window.unboundedPreceding, 0)
     n, d0 = F.row_number().over(S.by()), F.min("trade_date").over(run)
     bad = F.sum(((F.col("low") > 0) & (F.col("volume") >= 0) & (F.col("high") >= F.col("low"))).cast("int") * -1 + 1).over(run)
-    p = p.withColumn("n", n).withColumn("quality", half_up(S.quality(F.col("n"), d0, F.col("trade_date"), bad)))
-    lv = E.levels(F.min("low").over(S.last(15)), WILD, LOSS_BAND)
-    p = p.withColumn("stop", lv["stop"]).withColumn("target1", lv["target1"]).withColumn("reject", lv["reject"]).withColumn("atr_pct", F.col("atr14") / F.col("close") * 100)
+    def along(x: DataFrame) -> DataFrame:
+        x = x.withColumn("n", n).withColumn("d0", d0).withColumn("bad", bad).withColumn("low15", F.min("low").over(S.last(15))).withColumn("net", half_up(S.forward_return(5), 2))
+        return x.withColumn("quality", half_up(S.quality(F.col("n"), F.col("d0"), F.col("trade_date"), F.col("bad"))))
+
+    lv = E.levels(F.col("low15"), WILD, LOSS_BAND)
+    p = stack(spark, sf, along).withColumn("stop", lv["stop"]).withColumn("target1", lv["target1"]).withColumn("reject", lv["reject"]).withColumn("atr_pct", F.col("atr14") / F.col("close") * 100)
     ok = p.where(F.col("failed").isNull() & F.col("ema200").isNotNull() & (F.col("quality") >= LEAST_QUALITY) & F.col("reject").isNull())
-    return ok.join(P.cooled(ok, "instrument_id", "trade_date"), list(KEYS)).select(*KEYS, "sector", "regime", "composite", F.col("close").alias("entry"), "stop", "target1", "atr_pct", *more)
+    # Written: what passes is a small part of the bars, and is read twice.
+    ok = written(ok.select(*KEYS, "sector", "regime", "composite", F.col("close").alias("entry"), "stop", "target1", "atr_pct", *more), "passed")
+    return ok.join(P.cooled(ok, "instrument_id", "trade_date"), list(KEYS))
 
 
 @query(f"{_SIGNALS} SELECT instrument_id, trade_date, sector, regime, composite, {r('entry', 3)} AS entry, {r('stop', 3)} AS stop, {r('target1', 3)} AS target1 FROM sg2")
@@ -223,7 +242,7 @@ SELECT regime, count(*) AS n, {r('count(*) FILTER (WHERE net > 0) / count(*)::DO
 def regime_metrics(spark, sf) -> DataFrame:
     """What 5-bar trades earn, by the regime of the day they are decided on."""
     ind = with_indicators(spark, sf)
-    t = bars_of(ind).where("close > 0").select(*KEYS, half_up(S.forward_return(5), 2).alias("net")).where("net IS NOT NULL").join(regimes(spark, sf, ind).select("trade_date", "regime"), "trade_date")
+    t = bars_of(ind).where("close > 0").select(*KEYS, half_up(S.forward_return(5), 2).alias("net")).where("net IS NOT NULL").join(F.broadcast(regimes(spark, sf, ind).select("trade_date", "regime")), "trade_date")
     m = t.groupBy("regime").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("net") > 0).cast("double")).alias("w"), F.avg("net").alias("e"))
     return m.select("regime", "n", half_up(F.col("w") * 100, 2).alias("win_rate"), half_up(F.col("e"), 2).alias("expectancy"))
 
@@ -240,8 +259,8 @@ SELECT subject, coalesce(regime, 'ALL') AS regime, count(*) AS days, {r('avg(ic)
 def conditioning(spark, sf) -> DataFrame:
     """Daily rank correlation of each factor with the next five bars, over all days and by regime; all subjects in one pass."""
     ind = with_indicators(spark, sf)
-    p = factor_panel(spark, sf, ind).withColumn("fwd", S.forward_return(5)).where("fwd IS NOT NULL AND ema200 IS NOT NULL").select(*KEYS, "fwd", *(half_up(F.col(s), 3).alias(s) for s in _SUBJECTS))
-    long = p.unpivot([*KEYS, "fwd"], list(_SUBJECTS), "subject", "score")
-    ic = X.spearman(long, "score", "fwd", ["subject", "trade_date"]).join(regimes(spark, sf, ind).select("trade_date", "regime"), "trade_date")
+    p = factor_panel(spark, sf, ind, lambda x: x.withColumn("fwd", S.forward_return(5))).where("fwd IS NOT NULL AND ema200 IS NOT NULL AND trade_date IS NOT NULL").select(*KEYS, "fwd", *(half_up(F.col(s), 3).alias(s) for s in _SUBJECTS))
+    ic = G.rank_sums(p, _SUBJECTS, {("fwd", 5): "fwd"}, "trade_date", "instrument_id", 5).select("subject", "trade_date", X.rank_correlation().alias("ic"))
+    ic = ic.join(F.broadcast(regimes(spark, sf, ind).select("trade_date", "regime")), "trade_date")
     both = ic.select("subject", "ic", F.explode(F.array("regime", F.lit("ALL"))).alias("regime"))
     return both.groupBy("subject", "regime").agg(F.count(F.lit(1)).alias("days"), half_up(F.avg("ic"), 3).alias("mean"))

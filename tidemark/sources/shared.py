@@ -32,3 +32,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def deals(spark: SparkSession) -> int:
+    """How many parts a key's rows are dealt into by ``dealt``."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def dealt(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``written`` in buckets of ``key``, so that windows, groups and joins by ``key`` alone read it without a shuffle.
+
+    ``df`` comes dealt by ``repartition(deals(spark), key)``, which makes a bucket the file of one task.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table = re.sub(r"\W", "_", path.rsplit("/", 1)[-1])
+    df.write.option("parquet.block.size", ROW_GROUP).option("path", path).bucketBy(deals(spark), key).saveAsTable(table)
+    return spark.table(table)

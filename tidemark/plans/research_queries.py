@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import half_up
+from ..functions.numbers import half_up, percent_change
 from ..operators import cross as X
 from ..operators import factors as E
+from ..operators import grid as G
 from ..operators import series as S
 from ..operators import titles
 from ..sources.market import SQL_BARS, SQL_BENCH, SQL_SECTORS, bars_daily, benchmark, sectors, table
-from ..sources.shared import written
-from .cross_queries import _F
+from .cross_queries import _F, bars_of, with_indicators
 from .registry import query, r
-from .series_queries import _H, _SQL_LABELS, KEYS, SQL_INDICATORS, W, labels_of
-from .strategy_queries import _STACK, _SUBJECTS, stack
+from .series_queries import _H, _SQL_LABELS, KEYS, SQL_INDICATORS, W
+from .strategy_queries import _STACK, _SUBJECTS, known_bars, stack
 
 LEAST, LEAST_DECILES = 10, 20
 _NINE = (*_SUBJECTS, "fundamental", "sentiment", "composite")
@@ -44,26 +44,29 @@ SELECT subject, label, h, regime, days, {r('mean / 1000')} AS mean, {r('sd / 100
 FROM s JOIN gl USING (subject, label, h, regime)"""
 
 
+_LABELS = {("raw", h): f"fwd{h}" for h in _H} | {("excess", h): f"excess{h}" for h in _H}
+
+
 def cells(spark, sf) -> DataFrame:
-    """What is measured, in long form: a row a name, date, subject (eight factors and the composite), label (raw, excess, residual) and horizon, with the date's regime."""
-    p = stack(spark, sf)
-    bars = p.select(*KEYS, "open", "high", "low", "close", "volume")
-    p = p.where("ema200 IS NOT NULL").select(*KEYS, "sector", "regime", *(half_up(F.col(s), 3).alias(s) if s in _SUBJECTS else F.col(s).cast("double").alias(s) for s in _NINE))
-    lab = labels_of(bars).where("fwd IS NOT NULL")
-    beta = S.trailing_beta(bars, benchmark(bars)).where("beta IS NOT NULL").select(*KEYS, half_up(F.col("beta")).alias("b"))
-    x = p.join(lab, list(KEYS)).join(bars.select(*KEYS, S.log_adv().alias("a")), list(KEYS), "left").join(beta, list(KEYS), "left")
-    x = written(x, "cells")
-    res = X.residuals(x.withColumn("at", F.struct("trade_date", "h")), "fwd", ("a", "b"), "sector", "at").where("residual IS NOT NULL")
-    keep = [*KEYS, "regime", "h", "a", *_NINE]
-    labelled = x.select(*keep, half_up(F.col("fwd")).alias("raw"), half_up(F.col("fwd") - F.col("mkt")).alias("excess")).unpivot(keep, ["raw", "excess"], "label", "y")
-    labelled = labelled.unionByName(res.select(*keep, F.lit("residual").alias("label"), half_up(F.col("residual"), 2).alias("y"))).where("y IS NOT NULL")
-    return labelled.unpivot([*KEYS, "regime", "h", "a", "label", "y"], list(_NINE), "subject", "score")
+    """What is measured: a row a name and date with the subjects (eight factors and the composite), raw and excess labels of every horizon, and what the residual one is found from. All of it is taken along a name's bars, then dealt by date once."""
+    ind = with_indicators(spark, sf, known_bars(spark, sf))
+
+    def along(x: DataFrame) -> DataFrame:
+        x = x.join(F.broadcast(benchmark(bars_of(ind))), "trade_date", "left")
+        ahead = lambda c, k: F.lead(c, k).over(S.by())
+        for h in _H:
+            x = x.withColumn(f"fwd{h}", S.forward_return(h)).withColumn(f"excess{h}", half_up(F.col(f"fwd{h}") - percent_change(ahead("bench", 1 + h), ahead("bench", 1))))
+        return S.with_beta(x.withColumn("a", S.log_adv())).withColumn("b", half_up(F.col("beta")))
+
+    p = stack(spark, sf, along, ind).where("ema200 IS NOT NULL")
+    scores = (half_up(F.col(s), 3).alias(s) if s in _SUBJECTS else F.col(s).cast("double").alias(s) for s in _NINE)
+    return p.select(*KEYS, "sector", "regime", *scores, "a", "b", *_LABELS.values())
 
 
 @query(_GRID)
 def measurement_grid(spark, sf) -> DataFrame:
     """Daily rank correlation of nine subjects with three labels over six horizons, over all days and by regime, with Newey-West's t at h lags and whether a cell clears the bar: all cells are rows of one pass."""
-    ic = X.spearman(cells(spark, sf), "score", "y", ["subject", "label", "h", "trade_date", "regime"], least=LEAST)
+    ic = G.rank_sums(cells(spark, sf), _NINE, _LABELS, "trade_date", "instrument_id", LEAST, ["regime"], ("a", "b", "sector")).withColumn("ic", X.rank_correlation())
     both = ic.select("subject", "label", "h", "trade_date", F.floor(F.col("ic") * 1000 + 0.5).cast("double").alias("ic"), F.explode(F.array("regime", F.lit("ALL"))).alias("regime")).where("regime <> 'CRASH'")
     # Correlations have three places: as whole thousandths their sums are exact in any order.
     s = X.series_summary(both, "ic", "trade_date", ["subject", "label", "h", "regime"], lags="h")
@@ -77,10 +80,9 @@ dx AS (SELECT subject, label, h, unnest(['ALL', regime]) AS regime, CAST(decile
 SELECT subject, label, h, regime, decile, count(*) AS n, {r('CAST(sum(CAST(floor(y * 10000 + 0.5) AS BIGINT)) AS DOUBLE) / count(*) / 10000', 2)} AS mean, {r('sum(exp(a) * y) / sum(exp(a))', 2)} AS weighted FROM dx WHERE regime <> 'CRASH' GROUP BY ALL""")
 def measurement_deciles(spark, sf) -> DataFrame:
     """What each tenth of a subject's names is followed by, per cell of the grid: means of names, and by turnover."""
-    date = ["subject", "label", "h", "trade_date"]
-    x = cells(spark, sf).where("score IS NOT NULL").withColumn("decile", X.bucket(["score", "instrument_id"], date, 10)).withColumn("names", F.count(F.lit(1)).over(Window.partitionBy(*date))).where(F.col("names") >= LEAST_DECILES)
-    x = x.select("subject", "label", "h", F.explode(F.array("regime", F.lit("ALL"))).alias("regime"), "decile", "y", F.exp("a").alias("w")).where("regime <> 'CRASH'")
-    g = x.groupBy("subject", "label", "h", "regime", "decile").agg(F.count(F.lit(1)).alias("n"), half_up(F.sum(F.floor(F.col("y") * 10000 + 0.5)).cast("double") / F.count(F.lit(1)) / 10000, 2).alias("mean"), half_up(F.try_divide(F.sum(F.col("w") * F.col("y")), F.sum("w")), 2).alias("weighted"))
+    x = G.bucket_sums(cells(spark, sf), _NINE, _LABELS, "trade_date", "instrument_id", LEAST_DECILES, "a", ["regime"], ("a", "b", "sector"))
+    x = x.withColumn("regime", F.explode(F.array("regime", F.lit("ALL")))).where("regime <> 'CRASH'")
+    g = x.groupBy("subject", "label", "h", "regime", "decile").agg(F.sum("n").alias("n"), half_up(F.sum("k").cast("double") / F.sum("n") / 10000, 2).alias("mean"), half_up(F.try_divide(F.sum("wy"), F.sum("w")), 2).alias("weighted"))
     return g
 
 
@@ -95,9 +97,8 @@ SELECT instrument_id, trade_date, {r('cy - (ay * bb - bq * ab) / (aa * bb - ab *
 def residuals_on_beta(spark, sf) -> DataFrame:
     """5-bar labels less what size, beta and sector explain on each date."""
     bars = bars_daily(spark, sf)
-    a = bars.select(*KEYS, S.log_adv().alias("a"))
-    b = S.trailing_beta(bars, benchmark(bars)).where("beta IS NOT NULL").select(*KEYS, half_up(F.col("beta")).alias("b"))
-    j = labels_of(bars, (5,)).where("fwd IS NOT NULL").join(a, list(KEYS)).join(b, list(KEYS)).join(sectors(spark, sf), "instrument_id")
+    x = bars.join(F.broadcast(benchmark(bars)), "trade_date").withColumn("fwd", S.forward_return(5)).withColumn("a", S.log_adv())
+    j = S.with_beta(x).where("fwd IS NOT NULL").withColumn("b", half_up(F.col("beta"))).join(sectors(spark, sf), "instrument_id").select(*KEYS, "sector", "fwd", "a", "b")
     return X.residuals(j, "fwd", ("a", "b"), "sector", "trade_date").where("residual IS NOT NULL").select(*KEYS, half_up(F.col("residual"), 2).alias("residual"))
 
 

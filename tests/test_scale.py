@@ -45,3 +45,11 @@ def test_sums_of_a_date_equal_the_long_form(spark):
     tenths = G.bucket_sums(df, ["s"], ys, "d", "instrument_id", 20, "a").where("h = 1")
     want = df.where("s IS NOT NULL AND y1 IS NOT NULL").withColumn("k", X.bucket(["s", "instrument_id"], ["d"], 10)).groupBy("d", "k").agg(F.count(F.lit(1)).alias("n")).join(df.where("s IS NOT NULL AND y1 IS NOT NULL").groupBy("d").count().where("count >= 20"), "d")
     assert {(r.d, r.decile, r.n) for r in tenths.collect()} == {(r.d, r.k, r.n) for r in want.collect()}
+
+
+def test_signals_are_made_once(spark):
+    from tidemark.plans import evaluation_queries as Q
+
+    for q, most in ((Q.expectancy_interval, 12), (Q.slot_ranks, 3), (Q.slot_regret, 4)):
+        by = shuffles(q(spark, SF))
+        assert len(by) <= most, (q.__name__, by)

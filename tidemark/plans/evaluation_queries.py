@@ -13,7 +13,7 @@ from ..operators import factors as E
 from ..operators import resampling
 from ..operators import series as S
 from ..operators import strategy as P
-from ..sources.market import bars_daily
+from ..sources.shared import written
 from .cross_queries import _IC, _PANEL, monthly_panel
 from .registry import query, r
 from .series_queries import KEYS, W
@@ -64,7 +64,7 @@ gc AS ({" UNION ALL ".join(f"SELECT '{c}' AS config, count(*) AS n, count(*) FIL
 SELECT config, n, CASE WHEN n > 0 THEN {r('wins / n::DOUBLE * 100', 2)} END AS win_rate, CASE WHEN n > 0 THEN {r('(gain - loss) / n::DOUBLE / 100', 3)} END AS expectancy, CASE WHEN loss > 0 THEN {r('gain / loss::DOUBLE', 3)} END AS profit_factor FROM gc""")
 def gate_outcomes(spark, sf) -> DataFrame:
     """Five-bar outcomes under every ablation of a gate, level of a floor and override of a regime, all read from one count of the bars."""
-    p = stack(spark, sf).withColumn("net", half_up(S.forward_return(5), 2)).where("ema200 IS NOT NULL")
+    p = stack(spark, sf, lambda x: x.withColumn("net", half_up(S.forward_return(5), 2))).where("ema200 IS NOT NULL")
     cube = ablation.outcome_cube(p, "regime", gates(), "net")
     return ablation.outcomes(cube, ablation.configurations(spark, list(gates()), masks()))
 
@@ -74,9 +74,7 @@ REPS, BLOCK, SEED = 400, 20, 20260722
 
 def ledger(spark, sf) -> DataFrame:
     """series (ALL and the regime), instrument_id, trade_date, k (what a signal earned in five bars, in hundredths of a per cent)."""
-    s = signals(spark, sf).select(*KEYS, "regime")
-    net = bars_daily(spark, sf).select(*KEYS, half_up(S.forward_return(5), 2).alias("net")).where("net IS NOT NULL")
-    x = s.join(net, list(KEYS)).select(*KEYS, F.explode(F.array(F.lit("ALL"), F.col("regime"))).alias("series"), F.floor(F.col("net") * 100 + 0.5).alias("k"))
+    x = signals(spark, sf, ("net",)).where("net IS NOT NULL").select(*KEYS, F.explode(F.array(F.lit("ALL"), F.col("regime"))).alias("series"), F.floor(F.col("net") * 100 + 0.5).alias("k"))
     return x.select("series", *KEYS, F.greatest("k", F.lit(0)).alias("gain"), F.greatest(-F.col("k"), F.lit(0)).alias("loss"))
 
 
@@ -89,7 +87,7 @@ SELECT series, any_value(n) AS n, any_value({r('ot.expectancy', 3)}) AS expectan
   any_value({r('ot.pf', 3)}) AS profit_factor, {r('quantile_cont(sv.pf, 0.025)', 3)} AS pf_low, {r('quantile_cont(sv.pf, 0.975)', 3)} AS pf_high FROM sv JOIN ot USING (series) GROUP BY series""")
 def expectancy_interval(spark, sf) -> DataFrame:
     """Expectancy and profit factor of the signals' five-bar trades with 95 % intervals, of all and by regime. A resample without a loss has no profit factor."""
-    rows = ledger(spark, sf)
+    rows = written(ledger(spark, sf), "ledger")
     d = resampling.replicates(rows, "series", "trade_date", ["instrument_id"], ["gain", "loss"], REPS, BLOCK, SEED)
     pf = lambda g, l: ratio(g, F.nullif(l, F.lit(0)))  # noqa: E731, E741
     d = d.select("series", ((F.col("gain") - F.col("loss")) / F.col("size") / 100).alias("e"), pf(F.col("gain"), F.col("loss")).alias("p"))
@@ -132,8 +130,7 @@ am2 AS (SELECT count(*) FILTER (WHERE verdict = 'taken') AS taken, count(*) FILT
 SELECT taken, skipped, {r('a / greatest(taken, 1)::DOUBLE / 100', 3)} AS taken_mean, {r('b / greatest(skipped, 1)::DOUBLE / 100', 3)} AS skipped_mean, {r('a / greatest(taken, 1)::DOUBLE / 100 - b / greatest(skipped, 1)::DOUBLE / 100', 3)} AS edge FROM am2""")
 def slot_regret(spark, sf) -> DataFrame:
     """What signals that got a slot earned in five bars, against those that the day's slots ran out for; a side without signals counts as 0."""
-    net = bars_daily(spark, sf).select(*KEYS, half_up(S.forward_return(5), 2).alias("net")).where("net IS NOT NULL")
-    x = P.allocate(signals(spark, sf), "trade_date", "composite", "instrument_id").join(net, list(KEYS)).select("verdict", F.floor(F.col("net") * 100 + 0.5).alias("k"))
+    x = P.allocate(signals(spark, sf, ("net",)), "trade_date", "composite", "instrument_id").where("net IS NOT NULL").select("verdict", F.floor(F.col("net") * 100 + 0.5).alias("k"))
     taken, skipped = F.col("verdict").isNull(), F.col("verdict") == "position-limit"
     s = x.agg(*(F.count(F.when(c, 1)).alias(f"n_{n}") for n, c in (("t", taken), ("s", skipped))), *(F.coalesce(F.sum(F.when(c, F.col("k"))), F.lit(0)).alias(f"k_{n}") for n, c in (("t", taken), ("s", skipped))))
     mean = lambda n: F.col(f"k_{n}") / F.greatest(F.col(f"n_{n}"), F.lit(1)) / 100

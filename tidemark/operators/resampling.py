@@ -36,7 +36,8 @@ def replicates(rows: DataFrame, series: str, date: str, tie: list[str], values:
     sizes = written(x.groupBy("_s").agg(F.count(F.lit(1)).alias("size"), *(F.sum(v).alias(f"all_{v}") for v in values)), "resampled-sizes")
 
     pieces = sizes.select("_s", "size", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("replicate")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(PIECE).cast("long"))).alias("from"))
-    places = pieces.repartition(deals(rows.sparkSession), "_s", "replicate", "from")  # by number: a piece is a short row that becomes thousands.select("_s", "size", "replicate", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + PIECE, F.col("size")) - 1)).alias("t"))
+    # Dealt by number: a piece is a short row that becomes thousands.
+    places = pieces.repartition(deals(rows.sparkSession), "_s", "replicate", "from").select("_s", "size", "replicate", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + PIECE, F.col("size")) - 1)).alias("t"))
     starts = places.where((F.col("t") == 0) | (_drawn(seed, 0) % block == 0)).withColumn("at", _drawn(seed, 1) % F.col("size"))
     next_ = F.lead("t", 1).over(Window.partitionBy("_s", "replicate").orderBy("t"))
     ends = starts.withColumn("end", F.col("at") + F.coalesce(next_, F.col("size")) - F.col("t"))

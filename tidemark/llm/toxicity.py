@@ -31,6 +31,8 @@ from .samples import contract, labelled
 BITS, RANK, MIN_DOCS, MIN_Z = 26, 4, 3, 3.5
 #: How many pairs chance may let through, of all pairs of terms; predictions are held to be no surer than SURE.
 CHANCE, SURE = 0.01, 0.99
+#: Pairs that meet at once, and how many multiplications of a product take the time of one.
+MEETINGS, DENSE_GAIN = 1 << 22, 900
 #: Labelled documents of each class that the model is fitted on, at most.
 PER_CLASS = 4000
 PARTS, HELD, THRESHOLD = 3, 1, 0.7
@@ -87,13 +89,61 @@ def telling(docs: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return names[keep], odds[keep]
 
 
+def _products(row: np.ndarray, col: np.ndarray, size: int, y: np.ndarray, p: np.ndarray, fewest: float, block: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs of terms, and of the documents that have both: how many, how many of label 1, the sum of p. By products of blocks of terms. Pairs with fewer than ``fewest`` documents may be left out."""
+    edge = np.searchsorted(col, np.arange(0, size + block, block))
+
+    def part(k: int) -> np.ndarray:
+        x = np.zeros((len(y), min(block, size - k * block)), np.float32)
+        x[row[edge[k] : edge[k + 1]], col[edge[k] : edge[k + 1]] - k * block] = 1
+        return x
+
+    for i in range(len(edge) - 1):
+        left = part(i)
+        sides = np.concatenate([left, left * y[:, None].astype(np.float32), left * p[:, None].astype(np.float32)], axis=1).T.copy()
+        for j in range(i, len(edge) - 1):
+            n, k, q = np.split((sides @ (left if i == j else part(j))).astype(float), 3)
+            if i == j:
+                np.fill_diagonal(n, 0)
+            some = np.flatnonzero((n.ravel() > 0) & (n.ravel() >= fewest))
+            width = n.shape[1]
+            yield (i * block + some // width, j * block + some % width, *(v.ravel()[some] for v in (n, k, q)))
+
+
+def _met(row: np.ndarray, col: np.ndarray, size: int, y: np.ndarray, p: np.ndarray, fewest: float, block: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The same, document by document: each term with the later terms of its documents, some terms at a time. ``col`` is sorted."""
+    order = np.argsort(row, kind="stable")
+    terms_of, start = col[order], np.searchsorted(row[order], np.arange(len(y) + 1))
+    length = np.diff(start)
+    first = np.searchsorted(col, np.arange(size + 1))
+    cost = np.concatenate([[0], np.cumsum(length[row])])[first]  # meetings before each term
+    lo = 0
+    while lo < size:
+        hi = int(max(lo + 1, min(np.searchsorted(cost, cost[lo] + MEETINGS, "right") - 1, lo + MEETINGS // size, size)))
+        d = row[first[lo] : first[hi]]
+        n = length[d]
+        at = np.repeat(start[d] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        a, b, d = np.repeat(col[first[lo] : first[hi]], n), terms_of[at], np.repeat(d, n)
+        later = b > a
+        key, d = (a[later] - lo) * size + b[later], d[later]
+        n = np.bincount(key, minlength=(hi - lo) * size)
+        often = (n > 0) & (n >= fewest)
+        some = np.flatnonzero(often)
+        if len(some):
+            mine = often[key]
+            place, d = np.searchsorted(some, key[mine]), d[mine]
+            yield lo + some // size, some % size, n[some].astype(float), np.bincount(place, y[d], len(some)), np.bincount(place, p[d], len(some))
+        lo = hi
+
+
 def interacting(docs: list[np.ndarray], y: np.ndarray, p: np.ndarray, block: int = 512) -> np.ndarray:
     """Places that stand in a pair whose documents' labels chance does not explain; ``p``: what is predicted for each document.
 
     With n documents that have both terms, k of label 1 and q predicted for them on average, chance has a k as far off with a probability of
     exp(-n KL(k / n, q)) at most, whatever the single predictions are. That exponent is at most the sum of (y - p)^2 / (p (1 - p)) over the
     documents of either term, and n of one label bring it to n log(1 / (1 - SURE)) at most: terms below are left out, which loses no pair.
-    The rest meet in blocks of ``block`` terms, by matrix products over the documents.
+    The rest meet by matrix products of blocks of ``block`` terms over the documents, or document by document, whichever costs less: where a few
+    documents are mispredicted, all their terms are left, and most of those are rare.
     """
     p = np.clip(p, 1 - SURE, SURE)
     place = np.concatenate([*docs, np.zeros(0, np.int64)])
@@ -107,28 +157,15 @@ def interacting(docs: list[np.ndarray], y: np.ndarray, p: np.ndarray, block: int
     row, col, names = row[may[which]], number[which[may[which]]], names[may]
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
-    edge = np.searchsorted(col, np.arange(0, len(names) + block, block))
-
-    def part(k: int) -> np.ndarray:
-        x = np.zeros((len(docs), min(block, len(names) - k * block)), np.float32)
-        x[row[edge[k] : edge[k + 1]], col[edge[k] : edge[k + 1]] - k * block] = 1
-        return x
-
     keep = np.zeros(len(names), bool)
-    for i in range(len(edge) - 1):
-        left = part(i)
-        sides = np.concatenate([left, left * y[:, None].astype(np.float32), left * p[:, None].astype(np.float32)], axis=1).T.copy()
-        for j in range(i, len(edge) - 1):
-            n, k, q = np.split((sides @ (left if i == j else part(j))).astype(float), 3)
-            if i == j:
-                np.fill_diagonal(n, 0)
-            some = np.flatnonzero(n.ravel())
-            n, k, q = (v.ravel()[some] for v in (n, k, q))
-            share, want = k / n, np.clip(q / n, 1 - SURE, SURE)
-            far = n * (share * np.log(np.maximum(share, 1e-12) / want) + (1 - share) * np.log(np.maximum(1 - share, 1e-12) / (1 - want)))
-            hit = some[far >= least]
-            width = min(block, len(names) - j * block)
-            keep[i * block + hit // width] = keep[j * block + hit % width] = True
+    per = np.bincount(row, minlength=len(docs)).astype(float)
+    # A matrix product costs documents times terms squared, pairs met document by document the squares of the documents' terms.
+    meet = _met if (per**2).sum() * DENSE_GAIN < len(docs) * float(len(names)) ** 2 else _products
+    for a, b, n, k, q in meet(row, col, len(names), y, p, least / -np.log(1 - SURE), block):
+        share, want = k / n, np.clip(q / n, 1 - SURE, SURE)
+        far = n * (share * np.log(np.maximum(share, 1e-12) / want) + (1 - share) * np.log(np.maximum(1 - share, 1e-12) / (1 - want)))
+        hit = far >= least
+        keep[a[hit]] = keep[b[hit]] = True
     return names[keep]
 
 

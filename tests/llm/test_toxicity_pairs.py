@@ -27,3 +27,17 @@ def test_many_rare_terms_do_not_cost_their_square(monkeypatch):
     docs = [np.concatenate([[0], np.arange(1 + 9 * (i // 8), 10 + 9 * (i // 8))]) for i in range(4000)]
     y = np.tile([0.0] * 8 + [1.0] * 8, 250)
     T.interacting(docs, y, np.where(np.arange(4000) % 2, 0.01, 0.99))
+
+
+def test_the_fit_takes_a_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    docs = [np.unique(rng.integers(0, 40_000, 600)).astype(np.int32) for _ in range(1500)]
+    y = (np.arange(1500) % 2).astype(float)
+    tracemalloc.start()
+    T.interacting(docs, y, np.where(np.arange(1500) % 50 == 0, 1 - y, y))
+    T.telling(docs, y)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 120e6, most

@@ -32,7 +32,7 @@ BITS, RANK, MIN_DOCS, MIN_Z = 26, 4, 3, 3.5
 #: How many pairs chance may let through, of all pairs of terms; predictions are held to be no surer than SURE.
 CHANCE, SURE = 0.01, 0.99
 #: Pairs that meet at once, and how many multiplications of a product take the time of one.
-MEETINGS, DENSE_GAIN = 1 << 22, 900
+MEETINGS, DENSE_GAIN = 1 << 19, 900
 #: Labelled documents of each class that the model is fitted on, at most.
 PER_CLASS = 4000
 PARTS, HELD, THRESHOLD = 3, 1, 0.7
@@ -76,12 +76,21 @@ class FactorizationMachine:
         return out
 
 
+def _counts(docs: list[np.ndarray], *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct places, sorted, in how many documents each is, and the sums of each of ``values`` over those documents. Document by document: no array but one of a place's own size is as long as the sample."""
+    place = np.concatenate([*docs, np.zeros(0, np.int32)])
+    place.sort()
+    names = place[np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])[: len(place)])]
+    del place
+    out = np.zeros((1 + len(values), len(names)))
+    for d, *v in zip(docs, *values, strict=True):
+        out[:, np.searchsorted(names, d)] += np.array([1.0, *v])[:, None]
+    return names.astype(np.int64), *out
+
+
 def telling(docs: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places whose share of documents differs between the labels by MIN_Z standard errors, and the log odds that each one speaks for label 1 with."""
-    place = np.concatenate(docs)
-    label = np.repeat(y, [len(d) for d in docs])
-    names, which = np.unique(place, return_inverse=True)
-    seen, ones = np.bincount(which), np.bincount(which, label)
+    names, seen, ones = _counts(docs, y)
     share = y.mean()
     z = (ones - seen * share) / np.sqrt(seen * share * (1 - share) * np.maximum(1 - seen / len(y), 1e-9))
     odds = np.log((ones + 0.5) / (y.sum() + 1)) - np.log((seen - ones + 0.5) / (len(y) - y.sum() + 1))
@@ -100,7 +109,10 @@ def _products(row: np.ndarray, col: np.ndarray, size: int, y: np.ndarray, p: np.
 
     for i in range(len(edge) - 1):
         left = part(i)
-        sides = np.concatenate([left, left * y[:, None].astype(np.float32), left * p[:, None].astype(np.float32)], axis=1).T.copy()
+        sides = np.empty((3, left.shape[1], len(y)), np.float32)
+        for side, v in zip(sides, (1, y, p), strict=True):
+            np.multiply(left.T, np.float32(v), out=side)
+        sides = sides.reshape(-1, len(y))
         for j in range(i, len(edge) - 1):
             n, k, q = np.split((sides @ (left if i == j else part(j))).astype(float), 3)
             if i == j:
@@ -146,15 +158,13 @@ def interacting(docs: list[np.ndarray], y: np.ndarray, p: np.ndarray, block: int
     documents are mispredicted, all their terms are left, and most of those are rare.
     """
     p = np.clip(p, 1 - SURE, SURE)
-    place = np.concatenate([*docs, np.zeros(0, np.int64)])
-    row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    names, which = np.unique(place, return_inverse=True)
+    names, seen, ones, off = _counts(docs, y, (y - p) ** 2 / (p * (1 - p)))
     least = np.log(max(len(names), 2) ** 2 / 2 / CHANCE)
-    ones = np.bincount(which, y[row], len(names))
-    most = np.maximum(ones, np.bincount(which, minlength=len(names)) - ones) * -np.log(1 - SURE)
-    may = (np.bincount(which, ((y - p) ** 2 / (p * (1 - p)))[row], len(names)) >= least) & (most >= least)
-    number = np.cumsum(may) - 1
-    row, col, names = row[may[which]], number[which[may[which]]], names[may]
+    names = names[(off >= least) & (np.maximum(ones, seen - ones) * -np.log(1 - SURE) >= least)]
+    numbers = [_numbers(names, d) for d in docs]
+    row = np.repeat(np.arange(len(docs)), [len(x) for x in numbers])
+    col = np.concatenate([*numbers, np.zeros(0, np.int64)])
+    del numbers
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
     keep = np.zeros(len(names), bool)
@@ -245,7 +255,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
 
     rows = labelled(docs, labels, label, parts, held, per_class).select(F.col("doc_id").cast("long"), "text", F.col("y").cast("int")).mapInArrow(run, "doc_id long, y int, places binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.places))
-    return fit([np.frombuffer(r.places, "<i4").astype(np.int64) for r in rows], np.array([r.y for r in rows], float))
+    return fit([np.frombuffer(r.places, "<i4") for r in rows], np.array([r.y for r in rows], float))
 
 
 def with_score(docs: DataFrame, model: FactorizationMachine, name: str = "score") -> DataFrame:

@@ -91,3 +91,38 @@ def test_split_moves_what_came_before(spark):
     b = spark.createDataFrame([(1, dt.date(2024, 1, 1 + i), p, p, p, p, 10.0) for i, p in enumerate([100.0, 100.0, 50.0])], "instrument_id long, trade_date date, open double, high double, low double, close double, volume double")
     got = M.split_adjusted(b).orderBy("trade_date").collect()
     assert [r.close for r in got] == pytest.approx([50, 50, 50]) and [r.volume for r in got] == pytest.approx([20, 20, 10])
+
+
+def test_the_book_is_read_once_in_order(spark):
+    rng = np.random.default_rng(4)
+    d0 = np.datetime64("2024-01-01")
+    rows = []
+    for c in "ab":
+        for k in range(120):
+            e = int(rng.integers(0, 60))
+            rows.append((c, k, *(str(d0 + x) for x in (e - 1, e, e + int(rng.integers(0, 9)))), float(rng.normal(0, 5))))
+    done = spark.createDataFrame(rows, "config string, instrument_id long, s string, e string, x string, net double").selectExpr("config", "instrument_id", "date(s) AS signal_date", "date(e) AS entry_date", "date(x) AS exit_date", "net", "'time' AS reason")
+    want = []
+    for c in "ab":
+        money, held = 100_000.0, []
+        own = sorted((r[3], r[1], r[4], r[5]) for r in rows if r[0] == c)
+        for d in sorted({r[0] for r in own} | {r[2] for r in own}):
+            taken = skipped = 0
+            for _, _, out, net in (r for r in own if r[0] == d):
+                size = min(money, 0.2 * (money + sum(h[1] for h in held)))
+                if len(held) < 5 and size > 0:
+                    held.append((out, size, net))
+                    money, taken = money - size, taken + 1
+                else:
+                    skipped += 1
+            for h in [h for h in held if h[0] <= d]:
+                money = round(money + h[1] * (1 + h[2] / 100), 2)
+                held.remove(h)
+            want.append((c, d, money + sum(h[1] for h in held), money, 5 - len(held), taken, skipped))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        book = M.book(done)
+        assert sorted((r[0], str(r[1]), *r[2:]) for r in book.collect()) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroups" not in book._jdf.queryExecution().executedPlan().toString()  # which would hold a configuration whole

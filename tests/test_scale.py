@@ -26,6 +26,25 @@ def test_the_stack_deals_bars_once(spark):
     assert by.count("trade_date") <= 4 and by.count("instrument_id") <= 1 and len(by) <= 5, by
 
 
+def test_known_bars_are_made_where_their_line_items_lie(spark):
+    by = [re.sub(r"#\d+L?", "", x) for x in shuffles(strategy_queries.known_bars(spark, SF))]
+    assert not [x for x in by if "trade_date" in x or "_w" in x], by
+
+
+def test_news_along_rows_equal_news_joined(spark):
+    known, bars = strategy_queries.known_bars(spark, SF), strategy_queries.bars_daily(spark, SF)
+    want = {(r.instrument_id, r.trade_date): r.sentiment for r in strategy_queries.sentiments(spark, SF, bars).collect()}
+    got = {(r.instrument_id, r.trade_date): r.sentiment for r in known.where("sentiment IS NOT NULL").collect()}
+    assert got == want and len(set(got.values())) > 1
+
+
+def test_rounded_labels_move_as_whole_numbers(spark):
+    """Rounded labels go to their date as whole numbers."""
+    plan = research_queries.cells(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    moved = plan[plan.index("RepartitionByExpression [trade_date") :].split("\n")[1]
+    assert all(re.search(rf"excess{h}#\d+L", moved) for h in (1, 63)), moved
+
+
 def test_cells_are_as_wide_as_a_bar(spark):
     c = research_queries.cells(spark, SF)
     assert c.groupBy("instrument_id", "trade_date").count().where("count > 1").count() == 0

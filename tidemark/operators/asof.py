@@ -49,6 +49,16 @@ def sentiment(pairs: DataFrame, by: list[str], age: Column, score: Column, neutr
     return g.select(*by, "articles", mean.alias("mean"), F.coalesce(50 + 50 * mean, F.lit(50.0)).alias("score"), "newest")
 
 
+def sentiment_of(articles: Column, age, score, neutral, least: int = 3, half_life: float = 7.0) -> Column:
+    """The score of ``sentiment`` from an array of articles; null where there is none. age, score, neutral: of an article."""
+    clip = lambda c, lo: F.greatest(F.lit(lo), F.least(F.lit(1.0), c))
+    weight = lambda x: F.pow(F.lit(0.5), age(x) / half_life) * clip(1 - neutral(x), 0.0)
+    total = lambda f: F.aggregate(articles, F.lit(0.0), lambda s, x: s + f(x))
+    w = total(weight)
+    mean = F.when(w > 0, total(lambda x: weight(x) * clip(score(x), -1.0)) / w)
+    return F.when(F.size(articles) >= least, F.coalesce(50 + 50 * mean, F.lit(50.0))).when(F.size(articles) > 0, 50.0)
+
+
 def trailing_quarters(quarters: DataFrame, dates: DataFrame, key: str) -> DataFrame:
     """key, as_of, known, eps4, eps4_before, days_since: of the 8 latest quarters whose results were out before the date. dates: key, as_of."""
     j = dates.join(quarters, key).where(F.col("available_at") < F.col("as_of"))

@@ -142,9 +142,9 @@ rg AS (SELECT bc.trade_date, change, breadth, atr_pct, CASE WHEN ema IS NULL THE
 
 
 def with_indicators(spark, sf, bars: DataFrame | None = None) -> DataFrame:
-    """Bars with INDICATORS, as a table dealt by instrument: what factors, regimes and the stack read, so that bars and series are made once a query."""
-    bars = bars_daily(spark, sf) if bars is None else bars
-    return dealt(S.indicators(bars.repartition(deals(spark), "instrument_id")), "indicators", "instrument_id")
+    """Bars with INDICATORS, as a table dealt by instrument: what factors, regimes and the stack read, so that bars and series are made once a query. ``bars``: dealt by instrument into ``deals`` parts."""
+    bars = bars_daily(spark, sf, dealt=deals(spark)) if bars is None else bars
+    return dealt(S.indicators(bars), "indicators", "instrument_id")
 
 
 def bars_of(ind: DataFrame) -> DataFrame:

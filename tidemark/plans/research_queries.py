@@ -55,10 +55,15 @@ def cells(spark, sf) -> DataFrame:
         x = x.join(F.broadcast(benchmark(bars_of(ind))), "trade_date", "left")
         ahead = lambda c, k: F.lead(c, k).over(S.by())
         for h in _H:
-            x = x.withColumn(f"fwd{h}", S.forward_return(h)).withColumn(f"excess{h}", half_up(F.col(f"fwd{h}") - percent_change(ahead("bench", 1 + h), ahead("bench", 1))))
-        return S.with_beta(x.withColumn("a", S.log_adv())).withColumn("b", half_up(F.col("beta")))
-
-    p = stack(spark, sf, along, ind).where("ema200 IS NOT NULL")
+            x = x.withColumn(f"fwd{h}", S.forward_return(h)).withColumn(f"excess{h}", F.col(f"fwd{h}") - percent_change(ahead("bench", 1 + h), ahead("bench", 1)))
+        x = S.with_beta(x.withColumn("a", S.log_adv())).withColumn("b", F.col("beta"))
+        # Bars without an EMA 200 are but peers of others, and what is rounded goes as whole numbers: both take less room on the way to their date.
+        x = x.withColumn("measured", F.col("ema200").isNotNull())
+        whole = [c for c in _LABELS.values() if c.startswith("excess")] + ["b"]
+        return x.withColumns({c: F.when(F.col("measured"), F.floor(F.col(c) * 10000 + 0.5) if c in whole else F.col(c)) for c in ("a", "b", *_LABELS.values())})
+
+    p = stack(spark, sf, along, ind).where("measured")
+    p = p.withColumns({c: F.col(c).cast("double") / 10000 for c in ("b", *(c for c in _LABELS.values() if c.startswith("excess")))})
     scores = (half_up(F.col(s), 3).alias(s) if s in _SUBJECTS else F.col(s).cast("double").alias(s) for s in _NINE)
     return p.select(*KEYS, "sector", "regime", *scores, "a", "b", *_LABELS.values())
 

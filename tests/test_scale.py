@@ -96,3 +96,32 @@ def test_titles_of_frequent_words_do_not_all_meet(spark):
     assert keys
     meetings = spark.read.parquet(keys).groupBy("key").count().agg(F.sum(F.col("count") ** 2)).first()[0]
     assert meetings < 500 * 60, meetings
+
+
+def sorts_by_date(df) -> list[str]:
+    return [x for x in re.findall(r"Sort \[(.*?)\], false", df._jdf.queryExecution().executedPlan().toString()) if x.startswith("trade_date") and "sector" in x]
+
+
+def test_ranks_of_a_date_sort_it_once_a_value(spark):
+    assert len(sorts_by_date(strategy_queries.production_gates(spark, SF))) == 2
+    assert len(sorts_by_date(strategy_queries.fundamental_scores(spark, SF))) == 1
+
+
+def test_series_are_made_batch_by_batch(spark):
+    """A task's series come in batches, not a group each; where a batch ends makes no difference."""
+    from tidemark.operators import series as S
+
+    rng = np.random.default_rng(3)
+    rows = [(i, d, *map(float, sorted(rng.random(3)))) for i in (None, 1, 2, 3, 4) for d in rng.permutation(1 + 9 * (i or 3)).tolist()]
+    df = spark.createDataFrame(rows, "instrument_id long, trade_date int, low double, close double, high double")
+    assert "MapInArrow" in S.indicators(df)._jdf.queryExecution().executedPlan().toString()
+    want, most = sorted(map(str, S.indicators(df).collect())), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for batch in ("1", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            assert sorted(map(str, S.indicators(df).collect())) == want
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+    one = df.where("instrument_id = 4").orderBy("trade_date").toPandas()
+    got = {r.trade_date: r.ema20 for r in S.indicators(df).where("instrument_id = 4").collect()}
+    assert [got[d] for d in one.trade_date] == [None if v != v else float(v) for v in S.ema(one.close.to_numpy(), 20)]

@@ -55,12 +55,16 @@ def relative_strength(bars: DataFrame, bench: DataFrame, n: int = 60, scale: flo
     return x.withColumn("rs", F.coalesce(50 + 50 * clamp((F.col("_r") - F.col("_b")) / scale, -1, 1), F.lit(0.0))).drop("_r", "_b")
 
 
+def ranked(value: str, by: list[str]) -> tuple[Column, Column, Column]:
+    """How many of ``by`` have a value, how many a lower one, how many the same (where there is a value): frames of one order, so that rows are sorted once."""
+    w = Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last())
+    below = F.rank().over(w) - 1
+    return F.count(value).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), below, F.count(value).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)) - below
+
+
 def sector_strength(df: DataFrame, value: str, least: int = 3) -> DataFrame:
     """Adds srs: mid-rank of ``value`` among the sector's names of the date, 0 to 100; 50 with fewer than ``least``. A name is its own peer."""
-    peers = Window.partitionBy("trade_date", "sector")
-    n = F.count(value).over(peers)
-    below = F.rank().over(peers.orderBy(F.col(value).asc_nulls_last())) - 1
-    equal = F.count(value).over(Window.partitionBy("trade_date", "sector", value))
+    n, below, equal = ranked(value, ["trade_date", "sector"])
     return df.withColumn("srs", F.when(F.col(value).isNull() | (n < least), 50.0).otherwise((below + 0.5 * equal) / n * 100))
 
 

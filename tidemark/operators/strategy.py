@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp, half_up
-from .factors import first_failed
+from .factors import first_failed, ranked
 
 # Weights of the technical, sentiment and fundamental bucket by regime; any other regime has those of SIDEWAYS.
 REGIME_WEIGHTS = {"BULL": (0.5, 0.3, 0.2), "SIDEWAYS": (0.35, 0.25, 0.4), "HIGH_VOL": (0.4, 0.45, 0.15), "BEAR": (0.3, 0.3, 0.4)}
@@ -133,9 +133,7 @@ def results_pending(date: Column, state: Column) -> Column:
 def fundamental(df: DataFrame, day: str = "trade_date", sector: str = "sector", least: int = 3, cap: float = 40.0) -> DataFrame:
     """Adds value, growth and fundamental to rows with pe, ttm, before: cheapness by mid-rank in the sector on the day, growth of
     trailing earnings; 0.6 and 0.4 of what is there, 50 if nothing is."""
-    peers = Window.partitionBy(day, sector)
-    n, equal = F.count("pe").over(peers), F.count("pe").over(Window.partitionBy(day, sector, "pe"))
-    below = F.rank().over(peers.orderBy(F.col("pe").asc_nulls_last())) - 1
+    n, below, equal = ranked("pe", [day, sector])
     value = F.when(F.col("pe").isNotNull() & F.col(sector).isNotNull() & (n >= least), (n - below - equal + 0.5 * equal) / n * 100)
     ttm, before = F.col("ttm"), F.col("before")
     growth = F.when(before > 0, 50 + clamp((ttm - before) / before * 100 / cap, -1, 1) * 50).when((before <= 0) & (ttm > 0), 100.0)

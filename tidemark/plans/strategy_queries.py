@@ -137,15 +137,15 @@ def known_bars(spark, sf) -> DataFrame:
     """Daily bars with ttm and before (earnings known on the day) and sentiment, all found along an instrument's rows: line items, quarters and news are dealt by instrument, then nothing moves."""
     n = deals(spark)
     bars = bars_daily(spark, sf, dealt=n)
-    held = P.known_quarters(quarters(spark, sf), "instrument_id").select("instrument_id", F.unix_date("usable_from").alias("_d"), F.lit(0).alias("_side"), F.struct("state.ttm", "state.before").alias("_v")).repartition(n, "instrument_id")
+    held = P.known_quarters(quarters(spark, sf), "instrument_id").select("instrument_id", F.col("usable_from").alias("trade_date"), F.lit(0).alias("_side"), F.struct("state.ttm", "state.before").alias("_v")).repartition(n, "instrument_id")
     # A row a name and day, so that no frame of days holds more rows than days.
-    news = named_news(spark, sf, "live+bse").select("instrument_id", F.unix_date("seen").alias("_d"), "score", "neutral").repartition(n, "instrument_id")
-    news = news.groupBy("instrument_id", "_d").agg(F.collect_list(F.struct("_d", "score", "neutral")).alias("_news")).withColumn("_side", F.lit(0))
-    u = bars.select("*", F.unix_date("trade_date").alias("_d"), F.lit(1).alias("_side")).unionByName(held, allowMissingColumns=True).unionByName(news, allowMissingColumns=True)
-    w = Window.partitionBy("instrument_id").orderBy("_d", "_side")
+    news = named_news(spark, sf, "live+bse").select("instrument_id", F.col("seen").alias("trade_date"), "score", "neutral").repartition(n, "instrument_id")
+    news = news.groupBy("instrument_id", "trade_date").agg(F.collect_list(F.struct(F.col("trade_date").alias("seen"), "score", "neutral")).alias("_news")).withColumn("_side", F.lit(0))
+    u = bars.withColumn("_side", F.lit(1)).unionByName(held, allowMissingColumns=True).unionByName(news, allowMissingColumns=True)
+    w = Window.partitionBy("instrument_id").orderBy("trade_date", "_side")
     u = u.withColumn("_lv", F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    u = u.withColumn("_news", F.collect_list("_news").over(Window.partitionBy("instrument_id").orderBy("_d").rangeBetween(-29, 0))).where("_side = 1")
-    said = A.sentiment_of(F.flatten("_news"), lambda x: F.col("_d") - x["_d"], lambda x: x["score"], lambda x: x["neutral"])
+    u = u.withColumn("_news", F.expr("collect_list(_news) OVER (PARTITION BY instrument_id ORDER BY trade_date RANGE BETWEEN 29 PRECEDING AND CURRENT ROW)")).where("_side = 1")
+    said = A.sentiment_of(F.flatten("_news"), lambda x: F.datediff("trade_date", x["seen"]), lambda x: x["score"], lambda x: x["neutral"])
     return u.select(*bars.columns, F.col("_lv.ttm").alias("ttm"), F.col("_lv.before").alias("before"), half_up(said, 2).alias("sentiment"))
 
 

@@ -125,3 +125,20 @@ def test_series_are_made_batch_by_batch(spark):
     one = df.where("instrument_id = 4").orderBy("trade_date").toPandas()
     got = {r.trade_date: r.ema20 for r in S.indicators(df).where("instrument_id = 4").collect()}
     assert [got[d] for d in one.trade_date] == [None if v != v else float(v) for v in S.ema(one.close.to_numpy(), 20)]
+
+
+def test_percentiles_equal_arrays_a_bar(spark):
+    from tidemark.operators import factors as E
+    from tidemark.operators import series as S
+
+    v = np.random.default_rng(4).integers(0, 40, 700).astype(float)
+    v[[0, 1, 5, 300]] = np.nan
+    for rows in (64, 4096):
+        got = S.mid_rank_of_last(v, 100, rows)
+        for i in range(len(v)):
+            f = v[max(0, i - 99) : i + 1]
+            f = f[~np.isnan(f)]
+            assert np.isnan(got[i]) if np.isnan(v[i]) else got[i] == ((f < v[i]).sum() + 0.5 * (f == v[i]).sum()) / len(f) * 100
+    df = spark.createDataFrame([(1, i, None if x != x else x, 100.0) for i, x in enumerate(v.tolist())], "instrument_id long, trade_date int, atr14 double, close double")
+    assert [r.p for r in df.select("trade_date", E.atr_percentile().alias("p")).orderBy("trade_date").collect()] == [None if x != x else x for x in S.mid_rank_of_last(v).tolist()]
+    assert "collect_list" not in research_queries.atr_percentiles(spark, SF)._jdf.queryExecution().executedPlan().toString()

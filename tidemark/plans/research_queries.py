@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up, percent_change
 from ..operators import cross as X
-from ..operators import factors as E
 from ..operators import grid as G
 from ..operators import series as S
 from ..operators import titles
 from ..sources.market import SQL_BARS, SQL_BENCH, SQL_SECTORS, bars_daily, benchmark, sectors, table
+from ..sources.shared import deals
 from .cross_queries import _F, bars_of, with_indicators
 from .registry import query, r
 from .series_queries import _H, _SQL_LABELS, KEYS, SQL_INDICATORS, W
@@ -121,8 +121,8 @@ c AS (SELECT *, list_filter(all_, lambda x: x IS NOT NULL) AS v FROM l)
 SELECT instrument_id, trade_date, {r('(len(list_filter(v, lambda x: x < p)) + 0.5::DOUBLE * len(list_filter(v, lambda x: x = p))) / len(v) * 100', 3)} AS percentile FROM c WHERE p IS NOT NULL""")
 def atr_percentiles(spark, sf) -> DataFrame:
     """Mid-rank of a bar's ATR share among the last hundred bars of its name."""
-    x = S.indicators(bars_daily(spark, sf)).where("close > 0").withColumn("atr14", half_up(F.col("atr14") / F.col("close") * 100)).withColumn("close", F.lit(100.0))
-    return x.select(*KEYS, half_up(E.atr_percentile(), 3).alias("percentile")).where("percentile IS NOT NULL")
+    x = S.atr_percentiles(bars_daily(spark, sf, dealt=deals(spark)).select(*KEYS, "close", "high", "low"))
+    return x.select(*KEYS, half_up(F.col("percentile"), 3).alias("percentile")).where("percentile IS NOT NULL")
 
 
 @query("""WITH d AS (SELECT CAST(unnest(range((SELECT min(CAST(l_shipdate AS DATE)) FROM lineitem), (SELECT max(CAST(l_shipdate AS DATE)) + 1 FROM lineitem), INTERVAL 1 DAY)) AS DATE) AS day)

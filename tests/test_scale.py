@@ -142,3 +142,8 @@ def test_percentiles_equal_arrays_a_bar(spark):
     df = spark.createDataFrame([(1, i, None if x != x else x, 100.0) for i, x in enumerate(v.tolist())], "instrument_id long, trade_date int, atr14 double, close double")
     assert [r.p for r in df.select("trade_date", E.atr_percentile().alias("p")).orderBy("trade_date").collect()] == [None if x != x else x for x in S.mid_rank_of_last(v).tolist()]
     assert "collect_list" not in research_queries.atr_percentiles(spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_of_fundamentals_are_small(spark):
+    plan = strategy_queries.fundamental_scores(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"Exchange hashpartitioning\(instrument_id#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)[0] == str(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))

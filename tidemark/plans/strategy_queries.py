@@ -64,9 +64,13 @@ fv AS (SELECT *, CASE WHEN pe IS NOT NULL AND sector IS NOT NULL AND count(pe) O
 fs AS (SELECT *, coalesce({r("(coalesce(value * 0.6::DOUBLE, 0) + coalesce(growth * 0.4::DOUBLE, 0)) / nullif(CASE WHEN value IS NOT NULL THEN 0.6::DOUBLE ELSE 0 END + CASE WHEN growth IS NOT NULL THEN 0.4::DOUBLE ELSE 0 END, 0)", 2)}, 50) AS fundamental FROM fv)"""
 
 
-def fundamentals(spark, sf, bars: DataFrame) -> DataFrame:
-    """instrument_id, trade_date, known, ttm, before, pe, days_since, pending, value, growth, fundamental of every bar."""
-    x = A.last_before(bars.select(*KEYS, "close"), P.known_quarters(quarters(spark, sf), "instrument_id"), "instrument_id", "trade_date", "usable_from", "state")
+def fundamentals(spark, sf) -> DataFrame:
+    """instrument_id, trade_date, known, ttm, before, pe, days_since, pending, value, growth, fundamental of every bar. Line items and quarters are dealt by instrument, then bars find what was known where they lie."""
+    # A task sorts its part three times over: parts are a quarter of the usual.
+    n = 4 * deals(spark)
+    bars = bars_daily(spark, sf, dealt=n)
+    known = P.known_quarters(quarters(spark, sf), "instrument_id").repartition(n, "instrument_id")
+    x = A.last_before(bars.select(*KEYS, "close"), known, "instrument_id", "trade_date", "usable_from", "state")
     state = F.col("state")
     x = x.select(*KEYS, F.coalesce(state["known"], F.lit(0)).cast("long").alias("known"), state["ttm"].alias("ttm"), state["before"].alias("before"), P.price_earnings(F.col("close"), state["ttm"]).alias("pe"),
                  F.datediff("trade_date", state["last_available"]).alias("days_since"), P.results_pending(F.col("trade_date"), state).alias("pending"))
@@ -76,13 +80,13 @@ def fundamentals(spark, sf, bars: DataFrame) -> DataFrame:
 @query(f"WITH {SQL_BARS}, {SQL_SECTORS}, {_FUND} SELECT instrument_id, trade_date, known, ttm, before, {r('pe')} AS pe, days_since, pending FROM fu")
 def fundamentals_as_of(spark, sf) -> DataFrame:
     """What was known of earnings on each bar's day: two trailing years, price over earnings, how old the last result is, and whether one is due."""
-    return fundamentals(spark, sf, bars_daily(spark, sf)).select(*KEYS, "known", "ttm", "before", half_up(F.col("pe")).alias("pe"), "days_since", "pending")
+    return fundamentals(spark, sf).select(*KEYS, "known", "ttm", "before", half_up(F.col("pe")).alias("pe"), "days_since", "pending")
 
 
 @query(f"WITH {SQL_BARS}, {SQL_SECTORS}, {_FUND} SELECT instrument_id, trade_date, {r('value', 3)} AS value, {r('growth', 3)} AS growth, fundamental FROM fs")
 def fundamental_scores(spark, sf) -> DataFrame:
     """Cheapness in the sector and growth, and the factor made of them."""
-    return fundamentals(spark, sf, bars_daily(spark, sf)).select(*KEYS, half_up(F.col("value"), 3).alias("value"), half_up(F.col("growth"), 3).alias("growth"), "fundamental")
+    return fundamentals(spark, sf).select(*KEYS, half_up(F.col("value"), 3).alias("value"), half_up(F.col("growth"), 3).alias("growth"), "fundamental")
 
 
 # ---------------------------------------------------------------- sentiment of a name

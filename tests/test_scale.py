@@ -147,3 +147,12 @@ def test_percentiles_equal_arrays_a_bar(spark):
 def test_parts_of_fundamentals_are_small(spark):
     plan = strategy_queries.fundamental_scores(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert re.findall(r"Exchange hashpartitioning\(instrument_id#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)[0] == str(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def test_blocks_are_made_where_their_line_items_lie(spark):
+    from tidemark.sources.market import bars_daily
+
+    b = bars_daily(spark, SF, dealt=4, block=256)
+    assert len(shuffles(b.groupBy("instrument_id", "_block").agg(F.collect_list("close")))) == 1
+    plain = bars_daily(spark, SF)
+    assert b.drop("_block").exceptAll(plain).count() == 0 and b.count() == plain.count()

@@ -43,11 +43,12 @@ def affine_scan(rows: DataFrame, key: str, order: str, position: Column, inputs:
     x (the row's columns, n, and prev: the row before, null for the first). ``step(s, adds)`` gives the SQL of the new numbers from the
     old ones, s(i), and the row x with its inputs; without what the inputs add if ``adds`` is false. ``reach[j]`` lists the numbers that
     the j-th tells on, itself first. Rows with a null key or order are series and rows like others (nulls first); ties of order are
-    in the order of their columns.
+    in the order of their columns. Rows may come with their _block, dealt by key and _block.
     """
-    cols = [order, *(c for c in rows.columns if c not in (key, order))]
+    cols = [order, *(c for c in rows.columns if c not in (key, order, "_block"))]
     quoted = [f"`{c}`" for c in cols]
-    cut = rows.select(key, F.floor(position / SIZE).alias("_block"), F.struct(*(F.col(c) for c in quoted)).alias("_x"))
+    block = F.col("_block") if "_block" in rows.columns else F.floor(position / SIZE)
+    cut = rows.select(key, block.alias("_block"), F.struct(*(F.col(c) for c in quoted)).alias("_x"))
     blocks = written(cut.groupBy(key, "_block").agg(F.array_sort(F.collect_list("_x")).alias("_rows")), "series-blocks")
 
     def beside(a: DataFrame, b: DataFrame, column: str) -> DataFrame:

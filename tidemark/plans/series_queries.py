@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up, ratio
 from ..operators import series as S
+from ..operators.recurrence import SIZE
 from ..sources.market import SQL_BARS, SQL_BENCH, bars_daily, benchmark
+from ..sources.shared import deals
 from .registry import query, r
 
 KEYS = ("instrument_id", "trade_date")
@@ -148,7 +150,7 @@ def indicators(spark, sf) -> DataFrame:
 @query(f"WITH {SQL_INDICATORS} SELECT instrument_id, trade_date, {', '.join(f'{r(x)} AS {x}' for x in S.INDICATORS)} FROM ind")
 def indicator_scan(spark, sf) -> DataFrame:
     """The same numbers as a scan over blocks of bars."""
-    return S.indicators_scan(bars_daily(spark, sf)).select(*KEYS, *(half_up(F.col(x)).alias(x) for x in S.INDICATORS))
+    return S.indicators_scan(bars_daily(spark, sf, dealt=deals(spark), block=SIZE)).select(*KEYS, *(half_up(F.col(x)).alias(x) for x in S.INDICATORS))
 
 
 @query(f"""WITH {SQL_BARS}, x AS (SELECT *, lag(close) OVER ({W}) AS c1 FROM bars), d AS (SELECT trade_date, avg(close / c1 - 1) AS m FROM x WHERE c1 > 0 GROUP BY trade_date),

@@ -13,11 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bars_daily(spark: SparkSession, sf_dir: str, as_of: str | None = None, dealt: int = 0) -> DataFrame:
+def bars_daily(spark: SparkSession, sf_dir: str, as_of: str | None = None, dealt: int = 0, block: int = 0) -> DataFrame:
     """instrument_id, trade_date, open, high, low, close, volume. One shuffle, summed before it. ``as_of``: up to this day, which is asked of the scan.
 
     ``dealt``: line items are dealt by instrument into so many parts first, and bars are made where they lie: what goes along
-    an instrument's bars then needs no shuffle of its own, and a line item is half as wide as the sums of one.
+    an instrument's bars then needs no shuffle of its own, and a line item is half as wide as the sums of one. ``block``: they
+    are dealt by instrument and _block, so many days each, which comes with the bars.
     """
     price = F.col("l_extendedprice") / F.col("l_quantity")
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
@@ -25,10 +26,13 @@ def bars_daily(spark: SparkSession, sf_dir: str, as_of: str | None = None, dealt
     if as_of is not None:
         raw = raw.where(F.col("l_shipdate") < F.lit(as_of).cast("date") + F.expr("interval 1 day"))
     raw = raw.select(F.col("l_suppkey").alias("instrument_id"), F.to_date("l_shipdate").alias("trade_date"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
+    keys = ["instrument_id"]
+    if block:
+        raw, keys = raw.withColumn("_block", F.floor(F.unix_date("trade_date") / block)), ["instrument_id", "_block"]
     if dealt:
-        raw = raw.repartition(dealt, "instrument_id")
-    rows = raw.select("instrument_id", "trade_date", price.alias("p"), order.alias("o"), "l_quantity")
-    return rows.groupBy("instrument_id", "trade_date").agg(
+        raw = raw.repartition(dealt, *keys)
+    rows = raw.select(*keys, "trade_date", price.alias("p"), order.alias("o"), "l_quantity")
+    return rows.groupBy(*keys, "trade_date").agg(
         F.min_by("p", "o").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "o").alias("close"), F.sum("l_quantity").alias("volume")
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import cross as X
 from tidemark.operators import grid as G
+from tidemark.operators import series as S
 from tidemark.plans import research_queries, strategy_queries
 
 SF = f"{DATA}/sf0.001"
@@ -156,3 +157,26 @@ def test_blocks_are_made_where_their_line_items_lie(spark):
     assert len(shuffles(b.groupBy("instrument_id", "_block").agg(F.collect_list("close")))) == 1
     plain = bars_daily(spark, SF)
     assert b.drop("_block").exceptAll(plain).count() == 0 and b.count() == plain.count()
+
+
+def test_cells_write_and_move_no_more_than_they_read(spark):
+    """Indicators and prices but the close are not written; what a bar's factors and ranks are made of does not go to its date beside them."""
+    from tidemark.functions.numbers import half_up
+
+    most = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "500")
+    try:
+        c = research_queries.cells(spark, SF)
+        plan = c._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", most)
+    names = lambda x: set(re.findall(r"(\w+)#\d+", x))
+    moved = names(plan[plan.index("RepartitionByExpression [trade_date") :].split("\n")[1])
+    made = [names(x) for x in re.findall(r"Relation spark_catalog\.\S+?\[(.*?)\]", plan)]
+    assert made and not set.union(*made) & {"open", "high", "low", *S.INDICATORS}, made
+    assert {"r60", "pe", "fwd63"} <= moved and not moved & {"close", "volume", "ttm", "before", "ema200"}, moved
+    keys, nine = ["instrument_id", "trade_date"], research_queries._NINE
+    want = strategy_queries.stack(spark, SF).where("ema200 IS NOT NULL")
+    want = want.select(*keys, "sector", "regime", *((half_up(F.col(s), 3) if s in strategy_queries._SUBJECTS else F.col(s).cast("double")).alias(s) for s in nine))
+    got = c.select(want.columns)
+    assert got.count() == want.count() > 1000 and got.exceptAll(want).count() == 0

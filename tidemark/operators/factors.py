@@ -69,8 +69,14 @@ def sector_strength(df: DataFrame, value: str, least: int = 3) -> DataFrame:
 
 
 def breadth(df: DataFrame) -> DataFrame:
-    """trade_date, breadth: per cent of names over their EMA 50."""
-    return df.where("ema50 IS NOT NULL").groupBy("trade_date").agg((F.avg(F.when(F.col("close") > F.col("ema50"), 1.0).otherwise(0.0)) * 100).alias("breadth"))
+    """trade_date, breadth: per cent of names over their EMA 50. df: bars with ema50, or with ``over_ema50`` in its place."""
+    x = df if "over_ema50" in df.columns else df.withColumn("over_ema50", over_ema50())
+    return x.where("over_ema50 IS NOT NULL").groupBy("trade_date").agg((F.avg(F.when(F.col("over_ema50"), 1.0).otherwise(0.0)) * 100).alias("breadth"))
+
+
+def over_ema50() -> Column:
+    """Null before EMA 50 exists."""
+    return F.when(F.col("ema50").isNotNull(), F.coalesce(F.col("close") > F.col("ema50"), F.lit(False)))
 
 
 @dataclasses.dataclass(frozen=True)

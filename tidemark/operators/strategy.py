@@ -125,19 +125,22 @@ def price_earnings(price: Column, ttm: Column) -> Column:
     return F.when((ttm > 0) & (price > 0), price / ttm)
 
 
+def growth(ttm: Column, before: Column, cap: float = 40.0) -> Column:
+    return F.when(before > 0, 50 + clamp((ttm - before) / before * 100 / cap, -1, 1) * 50).when((before <= 0) & (ttm > 0), 100.0)
+
+
 def results_pending(date: Column, state: Column) -> Column:
     """A calendar quarter has ended before the date and is not known yet."""
     return F.coalesce((state["known"] > 0) & (state["last_period"] < F.date_sub(F.trunc(date, "quarter"), 1)), F.lit(False))
 
 
 def fundamental(df: DataFrame, day: str = "trade_date", sector: str = "sector", least: int = 3, cap: float = 40.0) -> DataFrame:
-    """Adds value, growth and fundamental to rows with pe, ttm, before: cheapness by mid-rank in the sector on the day, growth of
-    trailing earnings; 0.6 and 0.4 of what is there, 50 if nothing is."""
+    """Adds value, growth (unless it is there) and fundamental to rows with pe, ttm, before: cheapness by mid-rank in the sector on
+    the day, growth of trailing earnings; 0.6 and 0.4 of what is there, 50 if nothing is."""
     n, below, equal = ranked("pe", [day, sector])
     value = F.when(F.col("pe").isNotNull() & F.col(sector).isNotNull() & (n >= least), (n - below - equal + 0.5 * equal) / n * 100)
-    ttm, before = F.col("ttm"), F.col("before")
-    growth = F.when(before > 0, 50 + clamp((ttm - before) / before * 100 / cap, -1, 1) * 50).when((before <= 0) & (ttm > 0), 100.0)
-    x = df.withColumn("value", value).withColumn("growth", growth)
+    x = df.withColumn("value", value)
+    x = x if "growth" in df.columns else x.withColumn("growth", growth(F.col("ttm"), F.col("before"), cap))
     weights = F.when(F.col("value").isNotNull(), 0.6).otherwise(0.0) + F.when(F.col("growth").isNotNull(), 0.4).otherwise(0.0)
     score = F.try_divide(F.coalesce(F.col("value") * 0.6, F.lit(0.0)) + F.coalesce(F.col("growth") * 0.4, F.lit(0.0)), F.nullif(weights, F.lit(0.0)))
     return x.withColumn("fundamental", F.coalesce(half_up(score, 2), F.lit(50.0)))

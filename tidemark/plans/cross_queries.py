@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up, ratio
@@ -91,11 +91,16 @@ f AS (SELECT *, CASE WHEN ema200 IS NULL THEN 0 ELSE 25 * (close > ema20)::INT +
 FACTORS = ("trend", "momentum", "rs", "srs", "vol", "calm")
 
 
+def bar_factors() -> dict[str, Column]:
+    """Factors that hang on a bar's own indicators alone."""
+    return {"trend": E.trend(), "momentum": E.momentum(), "calm": E.volatility()}
+
+
 def factor_panel(spark, sf, ind: DataFrame | None = None, along=lambda x: x) -> DataFrame:
-    """All factors on every bar of ``with_indicators``: the series are there by instrument, one shuffle by date makes the cross-sections. ``along``: what else is taken along the series."""
+    """All factors on every bar of ``with_indicators``: the series are there by instrument, one shuffle by date makes the cross-sections. ``along``: what else is taken along the series. ``ind`` may have ``bar_factors`` in place of indicators."""
     ind = with_indicators(spark, sf) if ind is None else ind
     x = E.relative_strength(ind, benchmark(bars_of(ind))).withColumn("r60", S.lookback_return(60))
-    x = x.withColumn("trend", E.trend()).withColumn("momentum", E.momentum()).withColumn("vol", E.volume()).withColumn("calm", E.volatility())
+    x = x.withColumns({k: c for k, c in bar_factors().items() if k not in ind.columns}).withColumn("vol", E.volume())
     return E.sector_strength(along(x).join(sectors(spark, sf), "instrument_id").repartition("trade_date"), "r60")
 
 

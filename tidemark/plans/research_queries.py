@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up, percent_change
 from ..operators import cross as X
+from ..operators import factors as E
 from ..operators import grid as G
 from ..operators import series as S
+from ..operators import strategy as P
 from ..operators import titles
 from ..sources.market import SQL_BARS, SQL_BENCH, SQL_SECTORS, bars_daily, benchmark, sectors, table
-from ..sources.shared import deals
-from .cross_queries import _F, bars_of, with_indicators
+from ..sources.shared import dealt, deals
+from .cross_queries import _F, bar_factors
 from .registry import query, r
 from .series_queries import _H, _SQL_LABELS, KEYS, SQL_INDICATORS, W
-from .strategy_queries import _STACK, _SUBJECTS, known_bars, stack
+from .strategy_queries import _STACK, _SUBJECTS, known_bars, scored
 
 LEAST, LEAST_DECILES = 10, 20
 _NINE = (*_SUBJECTS, "fundamental", "sentiment", "composite")
@@ -47,24 +49,38 @@ FROM s JOIN gl USING (subject, label, h, regime)"""
 _LABELS = {("raw", h): f"fwd{h}" for h in _H} | {("excess", h): f"excess{h}" for h in _H}
 
 
+# What goes to its date as a whole number, as it is rounded anyway: by what it is multiplied.
+_WHOLE = {c: 10000 for c in ("b", *_LABELS.values()) if not c.startswith("fwd")} | {"vol": 1000, "calm": 1000}
+
+
+def readings(spark, sf) -> DataFrame:
+    """Bars as a table dealt by instrument, with no more than ``cells`` reads of them: prices but the close, and indicators, go no further than the factors that they make."""
+    x = S.indicators(known_bars(spark, sf).drop("open"))
+    x = x.select(*KEYS, "close", "volume", "ttm", "before", "sentiment", *(c.alias(k) for k, c in bar_factors().items()), E.over_ema50().alias("over_ema50"), F.col("ema200").isNotNull().alias("measured"))
+    return dealt(x, "readings", "instrument_id")
+
+
 def cells(spark, sf) -> DataFrame:
     """What is measured: a row a name and date with the subjects (eight factors and the composite), raw and excess labels of every horizon, and what the residual one is found from. All of it is taken along a name's bars, then dealt by date once."""
-    ind = with_indicators(spark, sf, known_bars(spark, sf))
+    bars = readings(spark, sf)
 
     def along(x: DataFrame) -> DataFrame:
-        x = x.join(F.broadcast(benchmark(bars_of(ind))), "trade_date", "left")
-        ahead = lambda c, k: F.lead(c, k).over(S.by())
-        for h in _H:
-            x = x.withColumn(f"fwd{h}", S.forward_return(h)).withColumn(f"excess{h}", F.col(f"fwd{h}") - percent_change(ahead("bench", 1 + h), ahead("bench", 1)))
-        x = S.with_beta(x.withColumn("a", S.log_adv())).withColumn("b", F.col("beta"))
-        # Bars without an EMA 200 are but peers of others, and what is rounded goes as whole numbers: both take less room on the way to their date.
-        x = x.withColumn("measured", F.col("ema200").isNotNull())
-        whole = [c for c in _LABELS.values() if c.startswith("excess")] + ["b"]
-        return x.withColumns({c: F.when(F.col("measured"), F.floor(F.col(c) * 10000 + 0.5) if c in whole else F.col(c)) for c in ("a", "b", *_LABELS.values())})
-
-    p = stack(spark, sf, along, ind).where("measured")
-    p = p.withColumns({c: F.col(c).cast("double") / 10000 for c in ("b", *(c for c in _LABELS.values() if c.startswith("excess")))})
-    scores = (half_up(F.col(s), 3).alias(s) if s in _SUBJECTS else F.col(s).cast("double").alias(s) for s in _NINE)
+        x = x.join(F.broadcast(benchmark(bars)), "trade_date", "left")
+        # All that is read ahead is one window.
+        ahead = (F.lead(c, k).over(S.by()).alias(f"_{c}{k}") for c in ("close", "bench") for k in (1, *(1 + h for h in _H)))
+        x = x.select("*", S.log_adv().alias("a"), *ahead)
+        change = lambda c, h: percent_change(F.col(f"_{c}{1 + h}"), F.col(f"_{c}1"))
+        x = x.withColumns({f"fwd{h}": change("close", h) for h in _H} | {f"excess{h}": change("close", h) - change("bench", h) for h in _H})
+        x = x.withColumns({"pe": P.price_earnings(F.col("close"), F.col("ttm")), "growth": P.growth(F.col("ttm"), F.col("before"))})
+        x = S.with_beta(x).withColumn("b", F.col("beta"))
+        # Bars without an EMA 200 are but peers of others, by r60 and pe: nothing else of them goes to their date, and none that has neither.
+        x = x.where("measured OR r60 IS NOT NULL OR pe IS NOT NULL")
+        own = ("trend", "momentum", "rs", "vol", "calm", "growth", "sentiment", "a", "b", *_LABELS.values())
+        return x.withColumns({c: F.when(F.col("measured"), F.floor(F.col(c) * _WHOLE[c] + 0.5) if c in _WHOLE else F.col(c)) for c in own})
+
+    p = scored(spark, sf, bars, along).where("measured")
+    p = p.withColumns({c: F.col(c).cast("double") / k for c, k in _WHOLE.items()})
+    scores = (half_up(F.col(s), 3).alias(s) if s in _SUBJECTS and s not in _WHOLE else F.col(s).cast("double").alias(s) for s in _NINE)
     return p.select(*KEYS, "sector", "regime", *scores, "a", "b", *_LABELS.values())
 
 

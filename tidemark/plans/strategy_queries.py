@@ -153,15 +153,20 @@ def known_bars(spark, sf) -> DataFrame:
     return u.select(*bars.columns, F.col("_lv.ttm").alias("ttm"), F.col("_lv.before").alias("before"), half_up(said, 2).alias("sentiment"))
 
 
-def stack(spark, sf, along=lambda x: x, ind: DataFrame | None = None) -> DataFrame:
-    """Every bar with its factors, regime, fundamental and sentiment, composite and the first gate of the production stack that fails. ``along``: what else is taken along an instrument's bars."""
-    ind = with_indicators(spark, sf, known_bars(spark, sf)) if ind is None else ind
-    p = factor_panel(spark, sf, ind, lambda x: along(P.momentum_bars(x.where("trade_date IS NOT NULL"))))
+def scored(spark, sf, ind: DataFrame, along=lambda x: x) -> DataFrame:
+    """Every bar of ``ind`` with its factors, regime, fundamental and sentiment and composite. ``along``: what else is taken along an instrument's bars, pe with it or close and ttm left for it."""
+    p = factor_panel(spark, sf, ind, lambda x: along(x.where("trade_date IS NOT NULL")))
     # A row a date.
     p = p.join(F.broadcast(regimes(spark, sf, ind).select("trade_date", "regime")), "trade_date", "left").withColumn("regime", F.coalesce("regime", F.lit("SIDEWAYS")))
-    p = P.fundamental(p.withColumn("pe", P.price_earnings(F.col("close"), F.col("ttm")))).withColumn("sentiment", F.coalesce("sentiment", F.lit(50.0)))
-    p = p.withColumn("technical", E.composite(P.PRODUCTION_WEIGHTS)).withColumn("composite", half_up(F.col("technical"), 2))
-    return p.withColumn("failed", P.production_failure())
+    p = p if "pe" in p.columns else p.withColumn("pe", P.price_earnings(F.col("close"), F.col("ttm")))
+    p = P.fundamental(p).withColumn("sentiment", F.coalesce("sentiment", F.lit(50.0)))
+    return p.withColumn("technical", E.composite(P.PRODUCTION_WEIGHTS)).withColumn("composite", half_up(F.col("technical"), 2))
+
+
+def stack(spark, sf, along=lambda x: x) -> DataFrame:
+    """``scored`` with the first gate of the production stack that fails."""
+    ind = with_indicators(spark, sf, known_bars(spark, sf))
+    return scored(spark, sf, ind, lambda x: along(P.momentum_bars(x))).withColumn("failed", P.production_failure())
 
 
 @query(f"{_STACK} SELECT instrument_id, trade_date, regime, composite, {r('greatest(0, least(1, 1 - list_aggregate([trend, momentum, rs, vol], ' + chr(39) + 'stddev_pop' + chr(39) + ') / 50))', 3)} AS agreement, failed FROM pg WHERE ema200 IS NOT NULL")

@@ -75,6 +75,16 @@ def test_signals_are_made_once(spark):
         assert len(by) <= most, (q.__name__, by)
 
 
+def test_draws_of_resamples_do_not_go_through_the_driver(spark):
+    """The series is a small file, its draws are forty times as many rows: what is broadcast is a row a series at most."""
+    from tidemark.operators import resampling
+
+    df = spark.range(300).select(F.lit("a").alias("series"), F.expr("date_add(DATE '2024-01-01', int(id % 9))").alias("day"), "id", (F.col("id") % 7).alias("k"))
+    plan = resampling.replicates(df, "series", "day", ["id"], ["k"], 400, 20, 1)._jdf.queryExecution().executedPlan().toString()
+    joins = [(kind, re.sub(r"#\d+L?", "", by)) for kind, by in re.findall(r"(\w+Join) \[(.*?)\], \[", plan)]
+    assert len(joins) == 3 and [by for kind, by in joins if kind.startswith("Broadcast")] == ["coalesce(_s, ), isnull(_s)"], joins
+
+
 def test_titles_of_frequent_words_do_not_all_meet(spark):
     import datetime
     import glob

@@ -32,19 +32,21 @@ def replicates(rows: DataFrame, series: str, date: str, tie: list[str], values:
     of_day = of_day.select("_s", "_d", *(until(c).alias(c) for c in ("_n", *(f"_{v}" for v in values))))
     order = day.orderBy(*tie, *values)
     so_far = [(F.col(f"_{v}") + F.sum(v).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col(v)).alias(f"_{v}") for v in values]
-    before = x.join(of_day.withColumnsRenamed({"_s": "_ss", "_d": "_dd"}), F.col("_s").eqNullSafe(F.col("_ss")) & F.col("_d").eqNullSafe(F.col("_dd"))).select("_s", (F.col("_n") + F.row_number().over(order) - 1).alias("_i"), *so_far)
+    # Hints: written rows and what is exploded from them look smaller to the planner than they are, and what looks small goes through the driver.
+    before = x.join(of_day.withColumnsRenamed({"_s": "_ss", "_d": "_dd"}).hint("shuffle_hash"), F.col("_s").eqNullSafe(F.col("_ss")) & F.col("_d").eqNullSafe(F.col("_dd"))).select("_s", (F.col("_n") + F.row_number().over(order) - 1).alias("_i"), *so_far)
     sizes = written(x.groupBy("_s").agg(F.count(F.lit(1)).alias("size"), *(F.sum(v).alias(f"all_{v}") for v in values)), "resampled-sizes")
 
     pieces = sizes.select("_s", "size", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("replicate")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(PIECE).cast("long"))).alias("from"))
-    # Dealt by number: a piece is a short row that becomes thousands.
-    places = pieces.repartition(deals(rows.sparkSession), "_s", "replicate", "from").select("_s", "size", "replicate", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + PIECE, F.col("size")) - 1)).alias("t"))
+    # Dealt by number: a piece is a short row that becomes thousands. A replicate's are in one part, where each block finds the next.
+    places = pieces.repartition(deals(rows.sparkSession), "_s", "replicate").select("_s", "size", "replicate", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + PIECE, F.col("size")) - 1)).alias("t"))
     starts = places.where((F.col("t") == 0) | (_drawn(seed, 0) % block == 0)).withColumn("at", _drawn(seed, 1) % F.col("size"))
     next_ = F.lead("t", 1).over(Window.partitionBy("_s", "replicate").orderBy("t"))
     ends = starts.withColumn("end", F.col("at") + F.coalesce(next_, F.col("size")) - F.col("t"))
     sides = F.explode(F.array(F.struct(F.col("at").alias("i"), F.lit(0).cast("long").alias("around"), F.lit(-1).alias("sign")), F.struct((F.col("end") % F.col("size")).alias("i"), F.floor(F.col("end") / F.col("size")).alias("around"), F.lit(1).alias("sign"))))
-    looked = ends.select("_s", "replicate", "size", sides.alias("x")).select("_s", "replicate", "size", "x.*").alias("l").join(before.alias("b"), F.col("l._s").eqNullSafe(F.col("b._s")) & (F.col("l.i") == F.col("b._i")))
-    sums = looked.groupBy("l._s", "replicate", "size").agg(F.sum(F.col("sign") * F.col("around")).alias("_rounds"), *(F.sum(F.col("sign") * F.col(f"_{v}")).alias(v) for v in values))
-    z = sizes.drop("size").withColumnRenamed("_s", "_k")
+    # Looked-up places are 2 * reps / block times the series: they meet it by place, and it is the side that is held.
+    looked = ends.select("_s", "replicate", sides.alias("x")).select("_s", "replicate", "x.*").alias("l").join(before.hint("shuffle_hash").alias("b"), (F.col("l.i") == F.col("b._i")) & F.col("l._s").eqNullSafe(F.col("b._s")))
+    sums = looked.groupBy("l._s", "replicate").agg(F.sum(F.col("sign") * F.col("around")).alias("_rounds"), *(F.sum(F.col("sign") * F.col(f"_{v}")).alias(v) for v in values))
+    z = sizes.withColumnRenamed("_s", "_k")
     done = sums.join(z, F.col("_s").eqNullSafe(F.col("_k")))
     return done.select(F.col("_s").alias(series), "replicate", "size", *((F.col(v) + F.col("_rounds") * F.col(f"all_{v}")).alias(v) for v in values))
 

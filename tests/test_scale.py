@@ -85,6 +85,29 @@ def test_draws_of_resamples_do_not_go_through_the_driver(spark):
     assert len(joins) == 3 and [by for kind, by in joins if kind.startswith("Broadcast")] == ["coalesce(_s, ), isnull(_s)"], joins
 
 
+def test_cooled_signals_move_once_and_meet_nothing(spark):
+    import datetime as dt
+
+    from tidemark.operators import simulate as M
+    from tidemark.operators import strategy as P
+
+    rng = np.random.default_rng(6)
+    days = {k: sorted(rng.choice(60, n, replace=False).tolist()) for k, n in ((1, 30), (2, 1), (3, 12))}
+    rows = [(d + 0.5, dt.date(2024, 1, 1) + dt.timedelta(d), k, None if d % 3 else "x") for k, at in days.items() for d in rng.permutation(at).tolist()]
+    kept = P.cooled(spark.createDataFrame(rows, "v double, at date, k int, s string"), "k", "at")
+    assert len(shuffles(kept)) == 1 and "Join" not in kept._jdf.queryExecution().executedPlan().toString()
+    want = {(k, d) for k, at in days.items() for d, on in zip(at, M.cooled(np.array(at), 5).tolist(), strict=True) if on}
+    assert {(r.k, (r.at - dt.date(2024, 1, 1)).days) for r in kept.collect()} == want and all(r.v == (r.at - dt.date(2024, 1, 1)).days + 0.5 and (r.s is None) == ((r.at - dt.date(2024, 1, 1)).days % 3 > 0) for r in kept.collect())
+
+
+def test_bars_that_no_signal_can_come_of_carry_no_averages(spark):
+    x = strategy_queries.signal_readings(spark, f"{DATA}/sf0.01")
+    n = x.agg(*(F.count(F.when(c, 1)).alias(k) for k, c in {"all": F.lit(True), "may": F.col("may"), "wide": F.col("may") | F.col("ema20").isNotNull() | F.col("atr14").isNotNull() | F.col("calm").isNotNull()}.items())).first()
+    assert 0 < n.may == n.wide < n["all"] / 5, n
+    may = x.where("may").select("instrument_id", "trade_date")
+    assert strategy_queries.signals(spark, f"{DATA}/sf0.01").join(may, ["instrument_id", "trade_date"], "left_anti").count() == 0
+
+
 def test_titles_of_frequent_words_do_not_all_meet(spark):
     import datetime
     import glob

@@ -128,7 +128,7 @@ def levels(low15: Column, wild: float = 6.0, loss_band: tuple[float, float] = (0
     pct = a / c * 100
     stop = F.greatest(c - F.when(pct < 1.5, 2.0).otherwise(1.5) * a, low15 * 0.997)
     risk = c - stop
-    loss = risk / c * 100
+    loss = F.try_divide(risk, c) * 100  # what is common to conditions is evaluated on every bar, also where a close is 0
     why = F.when(pct >= wild, "too_volatile").when((loss < loss_band[0]) | (loss > loss_band[1]), "stop_distance")
     return {"stop": stop, "target1": c + 2 * risk, "target2": c + 3 * risk, "reject": why}
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,10 +43,10 @@ def threshold(regime: Column) -> Column:
 
 
 def momentum_bars(df: DataFrame) -> DataFrame:
-    """Adds the rounded readings that gates compare: rsi, hist, and both of the bar before (the bar's own where there is none)."""
+    """Adds the rounded readings that gates compare: rsi, hist (unless they are there), and both of the bar before (the bar's own where there is none)."""
     own = Window.partitionBy("instrument_id").orderBy("trade_date")
     hist = F.col("macd") - F.col("macd_signal")
-    x = df.withColumn("rsi", half_up(F.col("rsi14"), 2)).withColumn("hist", half_up(hist, 2))
+    x = df if "hist" in df.columns else df.withColumn("rsi", half_up(F.col("rsi14"), 2)).withColumn("hist", half_up(hist, 2))
     return x.withColumn("rsi_before", F.coalesce(F.lag("rsi").over(own), F.col("rsi"))).withColumn("hist_before", F.coalesce(F.lag("hist").over(own), F.col("hist")))
 
 
@@ -69,6 +71,13 @@ def pullback_gates(rising: bool = True) -> list[tuple[str, Column]]:
     return [*gates, ("histogram-rising", F.col("hist") > F.col("hist_before"))] if rising else gates
 
 
+def may_pass() -> Column:
+    """False where a bar's own rsi, hist, close and averages fail both the base gates and the pullback's, whatever its date, its peers and the bar before are."""
+    holds = lambda gates: functools.reduce(lambda a, b: a & b, (F.coalesce(c, F.lit(False)) for c in gates))
+    base = dict(base_gates())
+    return holds(base[g] for g in ("macd-bullish", "price-above-ema20", "rsi-band")) | holds(c for _, c in pullback_gates(rising=False))
+
+
 def production_failure(off: tuple[str, ...] = (), override: dict[str, dict[str, float]] | None = None) -> Column:
     """The first gate that fails, null if all hold."""
     dip = first_failed(pullback_gates())
@@ -76,12 +85,11 @@ def production_failure(off: tuple[str, ...] = (), override: dict[str, dict[str,
 
 
 def cooled(signals: DataFrame, key: str, at: str, days: int = 5) -> DataFrame:
-    """key, at of signals that are ``days`` and more after the last one kept, in order. A fold over the key's own dates in the JVM; only dates that passed all gates come here."""
-    keep = F.aggregate(
-        F.sort_array(F.collect_list(at)), F.array().cast("array<date>"),
-        lambda kept, d: F.when(F.coalesce(F.datediff(d, F.try_element_at(kept, F.lit(-1))) >= days, F.lit(True)), F.array_append(kept, d)).otherwise(kept),
-    )
-    return signals.groupBy(key).agg(keep.alias("k")).select(key, F.explode("k").alias(at))
+    """Signals that are ``days`` and more after the last one kept of their key, in order. A fold over the key's own rows in the JVM, which move once; only what passed all gates comes here, once a date."""
+    all_ = F.sort_array(F.collect_list(F.struct(at, *(c for c in signals.columns if c not in (key, at)))))
+    later = lambda kept, x: F.coalesce(F.datediff(x[at], F.try_element_at(kept, F.lit(-1))[at]) >= days, F.lit(True))
+    keep = F.aggregate(F.col("_k"), F.slice("_k", 1, 0), lambda kept, x: F.when(later(kept, x), F.array_append(kept, x)).otherwise(kept))
+    return signals.groupBy(key).agg(all_.alias("_k")).select(key, F.explode(keep).alias("_x")).select(key, "_x.*")
 
 
 def allocate(candidates: DataFrame, day: str, score: str, tie: str) -> DataFrame:

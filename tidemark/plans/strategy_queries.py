@@ -14,8 +14,8 @@ from ..operators import grid as G
 from ..operators import series as S
 from ..operators import strategy as P
 from ..sources.market import SQL_BARS, SQL_SECTORS, bars_daily, sectors, table
-from ..sources.shared import deals, written
-from .cross_queries import _F, SQL_REGIME, bars_of, factor_panel, regimes, with_indicators
+from ..sources.shared import dealt, deals, written
+from .cross_queries import _F, SQL_REGIME, bar_factors, bars_of, factor_panel, regimes, with_indicators
 from .registry import query, r
 from .series_queries import KEYS, W
 
@@ -200,21 +200,39 @@ co AS (SELECT instrument_id, min(trade_date) AS trade_date FROM ok GROUP BY inst
 sg2 AS (SELECT ok.instrument_id, ok.trade_date, sector, regime, composite, close AS entry, stop, close + 2 * (close - stop) AS target1, atr_pct FROM ok JOIN co ON co.instrument_id = ok.instrument_id AND co.trade_date = ok.trade_date)"""
 
 
+def signal_readings(spark, sf) -> DataFrame:
+    """Bars as a table dealt by instrument, with what ``signals`` reads of them: averages, ATR and factors only of bars (``may``) whose own readings a gate does not stop already."""
+    x = S.indicators(known_bars(spark, sf).drop("open"))
+    x = x.withColumns({"rsi": half_up(F.col("rsi14"), 2), "hist": half_up(F.col("macd") - F.col("macd_signal"), 2)})
+    sound = (F.col("low") > 0) & (F.col("volume") >= 0) & (F.col("high") >= F.col("low"))
+    may = F.col("ema200").isNotNull() & F.coalesce(F.try_divide("atr14", "close") * 100 < WILD, F.lit(False)) & P.may_pass()
+    x = x.withColumns({"may": may, "unsound": sound.cast("int") * -1 + 1, "over_ema50": E.over_ema50()})
+    own = {c: F.col(c) for c in ("ema20", "ema50", "ema200", "atr14", "rsi")} | bar_factors()
+    x = x.select(*KEYS, "close", "low", "volume", "ttm", "before", "sentiment", "hist", "may", "unsound", "over_ema50", *(F.when(F.col("may"), c).alias(k) for k, c in own.items()))
+    return dealt(x, "signal-readings", "instrument_id")
+
+
 def signals(spark, sf, more: tuple = ()) -> DataFrame:
     """Raw signals: all gates, quality of the history as of the day, levels, then no second one within five days of an accepted one. ``more``: further columns, net (what the next five bars earn) among them."""
     run = S.by().rowsBetween(Window.unboundedPreceding, 0)
-    n, d0 = F.row_number().over(S.by()), F.min("trade_date").over(run)
-    bad = F.sum(((F.col("low") > 0) & (F.col("volume") >= 0) & (F.col("high") >= F.col("low"))).cast("int") * -1 + 1).over(run)
-    def along(x: DataFrame) -> DataFrame:
-        x = x.withColumn("n", n).withColumn("d0", d0).withColumn("bad", bad).withColumn("low15", F.min("low").over(S.last(15))).withColumn("net", half_up(S.forward_return(5), 2))
-        return x.withColumn("quality", half_up(S.quality(F.col("n"), F.col("d0"), F.col("trade_date"), F.col("bad"))))
+    n, d0, bad = F.row_number().over(S.by()), F.min("trade_date").over(run), F.sum("unsound").over(run)
 
-    lv = E.levels(F.col("low15"), WILD, LOSS_BAND)
-    p = stack(spark, sf, along).withColumn("stop", lv["stop"]).withColumn("target1", lv["target1"]).withColumn("reject", lv["reject"]).withColumn("atr_pct", F.col("atr14") / F.col("close") * 100)
-    ok = p.where(F.col("failed").isNull() & F.col("ema200").isNotNull() & (F.col("quality") >= LEAST_QUALITY) & F.col("reject").isNull())
-    # Written: what passes is a small part of the bars, and is read twice.
+    def along(x: DataFrame) -> DataFrame:
+        x = P.momentum_bars(x).withColumn("n", n).withColumn("d0", d0).withColumn("bad", bad).withColumn("low15", F.min("low").over(S.last(15))).withColumn("net", half_up(S.forward_return(5), 2))
+        x = x.withColumn("quality", half_up(S.quality(F.col("n"), F.col("d0"), F.col("trade_date"), F.col("bad"))))
+        lv = E.levels(F.col("low15"), WILD, LOSS_BAND)
+        x = x.withColumns({"stop": lv["stop"], "target1": lv["target1"], "atr_pct": F.col("atr14") / F.col("close") * 100, "pe": P.price_earnings(F.col("close"), F.col("ttm")), "growth": P.growth(F.col("ttm"), F.col("before"))})
+        x = x.withColumn("may", F.col("may") & F.coalesce(F.col("quality") >= LEAST_QUALITY, F.lit(False)) & lv["reject"].isNull())
+        # Other bars are but peers, by r60 and pe: nothing else of them goes to their date, and none that has neither.
+        x = x.where("may OR r60 IS NOT NULL OR pe IS NOT NULL")
+        own = ("close", "ema20", "ema50", "ema200", "rsi", "hist", "hist_before", "trend", "momentum", "rs", "vol", "calm", "growth", "sentiment", "net", "stop", "target1", "atr_pct")
+        return x.withColumns({c: F.when(F.col("may"), F.col(c)) for c in own})
+
+    p = scored(spark, sf, signal_readings(spark, sf), along)
+    ok = p.where(F.col("may") & P.production_failure().isNull())
+    # Written: what passes is a small part of the bars.
     ok = written(ok.select(*KEYS, "sector", "regime", "composite", F.col("close").alias("entry"), "stop", "target1", "atr_pct", *more), "passed")
-    return ok.join(P.cooled(ok, "instrument_id", "trade_date"), list(KEYS))
+    return P.cooled(ok, "instrument_id", "trade_date")
 
 
 @query(f"{_SIGNALS} SELECT instrument_id, trade_date, sector, regime, composite, {r('entry', 3)} AS entry, {r('stop', 3)} AS stop, {r('target1', 3)} AS target1 FROM sg2")
